@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, sharding, simhash, warc
+from . import host_rules, language_id, quality_model, sharding, simhash, warc
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_all(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -28,7 +36,7 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_warc_zstd, op7_stratified_interleaving, op9_simhash_trie, op10_host_rules)}
+    return {f.__name__: f for f in (op1_language_id, op3_quality_ordinal, op4_warc_zstd, op7_stratified_interleaving, op9_simhash_trie, op10_host_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
