@@ -20,7 +20,7 @@ WORDS, GRAMS = 1 << WORD_BITS, 1 << GRAM_BITS
 GRAM_SCALE = 20.0  # a text's trigram shares add up to this
 GRAM_SMOOTH = 60  # trigrams without weight that every text is taken to have, so that short texts stay near the prior
 STEM = 5  # letters of a word that give a bucket of their own
-SAMPLE = 12_000  # labelled documents that the model is fitted on, at most
+SAMPLE = 8000  # labelled documents that the model is fitted on, at most
 MIN_SEEN = 4  # sampled documents that must hold a word bucket before it gets a weight
 MIN_Z = 3.5  # standard errors that their mean grade must be off by
 CACHE = 400_000  # words a task remembers the bucket of
@@ -108,7 +108,7 @@ def fit_ordinal(rows: Rows, grades: np.ndarray, n_grades: int, ridge: float = 2e
         out[size + 1 :] = np.exp(p[size + 1 :]) * np.cumsum(by_cut[::-1])[::-1][1:]
         return out
 
-    p = fit(np.concatenate((np.zeros(size), cuts[:1], steps)), gradient, steps=250, rate=0.1)
+    p = fit(np.concatenate((np.zeros(size), cuts[:1], steps)), gradient, steps=200, rate=0.1)
     return Model((p[:size] * live).astype(np.float32), ends(p))
 
 

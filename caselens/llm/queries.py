@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, language_id, quality_model, sharding, simhash, warc
+from . import decontamination, host_rules, language_id, packing, quality_model, sharding, simhash, warc
 from .common import table
 
 
@@ -23,6 +24,14 @@ def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), n_shards=40)
 
@@ -36,7 +45,7 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality_ordinal, op4_warc_zstd, op7_stratified_interleaving, op9_simhash_trie, op10_host_rules)}
+    return {f.__name__: f for f in (op1_language_id, op3_quality_ordinal, op4_warc_zstd, op5_best_two_fit, op6_template_decontamination, op7_stratified_interleaving, op9_simhash_trie, op10_host_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .common import materialise, parts_for
 
 
-def _with_rank(rows: DataFrame, keys: list[str], bucket: str, order: list[Column], out: str) -> DataFrame:
+def with_rank(rows: DataFrame, keys: list[str], bucket: str, order: list[Column], out: str) -> DataFrame:
     """1-based rank within `keys` by (bucket, order): ranks inside a bucket plus the rows of earlier buckets.
 
     No window ever spans more than one bucket of rows, so a key with a third of all rows is ranked by many tasks.
@@ -42,12 +42,12 @@ def interleave(docs: DataFrame, n_shards: int = 40, seed: int = 17, stratum: str
     total = docs.count()
     buckets = parts_for(total, rows_per_bucket, 16)
     rows = rows.withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
-    ranked = _with_rank(rows, ["_key"], "_b", [F.col("_h"), F.col("_id"), F.col("_size")], "_rank")
+    ranked = with_rank(rows, ["_key"], "_b", [F.col("_h"), F.col("_id"), F.col("_size")], "_rank")
     sizes = rows.groupBy("_key").agg(F.count("*").alias("_rows"))
     ranked = materialise(ranked.join(sizes, "_key").withColumn("_f", F.expr(f"((2 * _rank - 1) * {buckets}) div (2 * _rows)")).drop("_b", "_h"))
     # (2 rank - 1) / (2 rows) as the remainder within its bucket keeps the comparison exact for any number of rows.
     inside = F.expr(f"((2 * _rank - 1) * {buckets}) % (2 * _rows)") / (2 * F.col("_rows"))
-    placed = _with_rank(ranked.withColumn("_one", F.lit(0)), ["_one"], "_f", [inside, F.col("_key"), F.col("_rank")], "_at")
+    placed = with_rank(ranked.withColumn("_one", F.lit(0)), ["_one"], "_f", [inside, F.col("_key"), F.col("_rank")], "_at")
     at = F.col("_at") - 1
     shard = F.floor(at * n_shards / F.lit(max(total, 1))) if total == 0 else F.expr(f"((_at - 1) * {n_shards}) div {total}")
     first = F.expr(f"(_shard * {total} + {n_shards - 1}) div {n_shards}")
