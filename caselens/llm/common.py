@@ -28,7 +28,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back, so its lineage ends there."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, host_rules, language_id, packing, quality_model, sharding, simhash, warc
+from . import decontamination, host_rules, language_id, line_dedup, packing, quality_model, sharding, simhash, warc
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op7_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op8_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), budget=2, width=3)
 
@@ -45,7 +49,7 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality_ordinal, op4_warc_zstd, op5_best_two_fit, op6_template_decontamination, op7_stratified_interleaving, op9_simhash_trie, op10_host_rules)}
+    return {f.__name__: f for f in (op1_language_id, op3_quality_ordinal, op4_warc_zstd, op5_best_two_fit, op6_template_decontamination, op7_stratified_interleaving, op8_segment_line_dedup, op9_simhash_trie, op10_host_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
