@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, host_rules, language_id, line_dedup, packing, quality_model, sharding, simhash, warc
+from . import decontamination, exact_dedup, host_rules, language_id, line_dedup, packing, quality_model, sharding, simhash, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_all(table(spark, sf_dir, "documents"))
 
 
+def op2_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality_ordinal, op4_warc_zstd, op5_best_two_fit, op6_template_decontamination, op7_stratified_interleaving, op8_segment_line_dedup, op9_simhash_trie, op10_host_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_bucket_pointer_dedup, op3_quality_ordinal, op4_warc_zstd, op5_best_two_fit, op6_template_decontamination, op7_stratified_interleaving, op8_segment_line_dedup, op9_simhash_trie, op10_host_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

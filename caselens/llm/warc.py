@@ -140,16 +140,16 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("_url"), html.alias("_html")).withColumns({"_digest": F.sha2("_html", 256), "_bytes": F.octet_length("_html").cast("long")})
     total = rows.agg(F.sum("_bytes")).first()[0]
     archives = parts_for(total, ARCHIVE_BYTES, 12)
-    rows = rows.join(_first_copies(rows), "page_id", "left").withColumn("_html", F.when(F.col("refers_to").isNull(), F.col("_html")))
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64("page_id"), F.lit(archives)))
+    archive = F.pmod(F.xxhash64("page_id"), F.lit(archives)).alias("archive")
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame, copies: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("page_id", kind="stable")
-        to = [None if pd.isna(x) else int(x) for x in pdf["refers_to"]]
-        records = [record_bytes(int(p), u, None if t is not None else h, d, int(n), t) for p, u, h, d, n, t in zip(pdf["page_id"], pdf["_url"], pdf["_html"], pdf["_digest"], pdf["_bytes"], to, strict=True)]
-        return pd.DataFrame({"archive": [int(pdf["archive"].iloc[0])], "content": [archive_bytes(records)]})
+        first = dict(zip(copies["page_id"].tolist(), copies["refers_to"].tolist(), strict=True))
+        records = [record_bytes(p, u, None if p in first else h, d, n, first.get(p)) for p, u, h, d, n in zip(pdf["page_id"].tolist(), pdf["_url"], pdf["_html"], pdf["_digest"], pdf["_bytes"].tolist(), strict=True)]
+        return pd.DataFrame({"archive": [key[0]], "content": [archive_bytes(records)]})
 
-    return rows.groupBy("archive").applyInPandas(pack, "archive long, content binary")
+    copies = materialise(_first_copies(rows).select("page_id", "refers_to", archive))
+    return rows.select("*", archive).groupBy("archive").cogroup(copies.groupBy("archive")).applyInPandas(pack, "archive long, content binary")
 
 
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
