@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, parts_for, utf8
+from .common import materialise, mix64, parts_for, utf8
 from .components import components
 
 BITS = 64
@@ -82,10 +82,10 @@ def _star_edges(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[
 def _partition_links(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
     fp = pdf["fp"].to_numpy().view(np.uint64)
     mask, ids = pdf["mask"].to_numpy(), pdf["rep"].to_numpy()
-    prefix = fp & mask.view(np.uint64)
-    order = np.lexsort((fp, prefix, mask))
-    fp, mask, prefix, ids = fp[order], mask[order], prefix[order], ids[order]
-    cut = np.flatnonzero((mask[1:] != mask[:-1]) | (prefix[1:] != prefix[:-1])) + 1
+    prefix, seed = fp & mask.view(np.uint64), pdf["seed"].to_numpy()
+    order = np.lexsort((fp, prefix, mask, seed))
+    fp, mask, prefix, ids, seed = fp[order], mask[order], prefix[order], ids[order], seed[order]
+    cut = np.flatnonzero((mask[1:] != mask[:-1]) | (prefix[1:] != prefix[:-1]) | (seed[1:] != seed[:-1])) + 1
     starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(fp)]))
     big = ends - starts > 1
     starts, ends = starts[big], ends[big]
@@ -112,7 +112,8 @@ def _signed(x: int) -> int:
 
 
 def links(fps: DataFrame, budget: int) -> DataFrame:
-    """fps: distinct fp with a long rep. Edges (a, b) between reps that connect whatever lies within `budget` bits.
+    """fps: seed, distinct fp and a long rep. Edges (a, b) between reps that connect whatever lies within `budget` bits
+    under one seed.
 
     The bits are dealt into budget + 1 runs, and values that agree on a run share a trie below it. A group over
     GROUP_LIMIT is dealt again by runs of its free bits, as often as needed: with few bits free a group is small by
@@ -121,23 +122,23 @@ def links(fps: DataFrame, budget: int) -> DataFrame:
     total = fps.count()
     full = (1 << BITS) - 1
     level = [0]  # masks of the groups to split next
-    rows = fps.select("fp", "rep", F.lit(0).cast("long").alias("mask"))
+    rows = fps.select("seed", "fp", "rep", F.lit(0).cast("long").alias("mask"))
     edges: DataFrame | None = None
     while level:
         split = {m: [m | x for x in _masks(full & ~m, budget + 1)] for m in level}
         deeper = F.coalesce(*(F.when(F.col("mask") == _signed(m), F.array(*(F.lit(_signed(x)).cast("long") for x in xs))) for m, xs in split.items()))
-        rows = rows.select("fp", "rep", F.explode(deeper).alias("mask"))
-        key = [F.col("mask"), F.col("fp").bitwiseAND(F.col("mask")).alias("prefix")]
+        rows = rows.select("seed", "fp", "rep", F.explode(deeper).alias("mask"))
+        key = [F.col("seed"), F.col("mask"), F.col("fp").bitwiseAND(F.col("mask")).alias("prefix")]
         hot = rows.groupBy(*key).count().where(F.col("count") > GROUP_LIMIT).drop("count")
         level = [r["mask"] & full for r in hot.select("mask").distinct().collect()]  # masks are few whatever the rows
-        keyed = rows.withColumn("prefix", key[1])
-        here = keyed.join(hot, ["mask", "prefix"], "left_anti") if level else keyed
+        keyed = rows.withColumn("prefix", key[2])
+        here = keyed.join(hot, ["seed", "mask", "prefix"], "left_anti") if level else keyed
         tasks = parts_for(total * sum(map(len, split.values())), ROWS_PER_TASK, 24)
-        dealt = here.withColumn("_p", F.pmod(F.xxhash64("mask", "prefix"), F.lit(tasks)))
-        found = dealt.select("_p", "fp", "rep", "mask").groupBy("_p").applyInPandas(lambda pdf: _partition_links(pdf, budget), "a long, b long")
+        dealt = here.withColumn("_p", F.pmod(F.xxhash64("seed", "mask", "prefix"), F.lit(tasks)))
+        found = dealt.select("_p", "seed", "fp", "rep", "mask").groupBy("_p").applyInPandas(lambda pdf: _partition_links(pdf, budget), "a long, b long")
         edges = found if edges is None else edges.union(found)
         if level:
-            rows = materialise(keyed.join(hot, ["mask", "prefix"], "left_semi").select("fp", "rep", "mask"))
+            rows = materialise(keyed.join(hot, ["seed", "mask", "prefix"], "left_semi").select("seed", "fp", "rep", "mask"))
     return edges
 
 
@@ -150,6 +151,51 @@ def near_duplicates(docs: DataFrame, budget: int = 2, width: int = 3, id_col: st
     """
     rows = materialise(fingerprints(docs, width, id_col, text_col))
     fps = materialise(rows.groupBy("fp").agg(F.min("_id").cast("long").alias("rep")))
-    found = components(links(fps.where("rep is not null"), budget))
+    found = components(links(fps.where("rep is not null").withColumn("seed", F.lit(0)), budget))
     of = fps.join(found, fps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(of, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def word_fingerprints(text: str | None, seeds: int, letters: int = 7, least: int = 12) -> list[int]:
+    """A fingerprint for each seed over the words of `letters` bytes or more, each as often as it comes; where they are
+    fewer than `least`, over all runs of one to three words."""
+    words = utf8(text).lower().split()
+    if not words:
+        return [0] * seeds
+    held = [w for w in words if len(w) >= letters]
+    if len(held) < least:
+        held = [b" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, held), np.uint64, len(held))
+    out = []
+    for seed in range(seeds):
+        bits = np.unpackbits(mix64(hashes + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << BITS) - 1)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        out.append(int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(held)).tobytes(), "big"))
+    return out
+
+
+def one_of_each(docs: DataFrame, budget: int = 3, seeds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the row of least id of each near-duplicate group; every column stays.
+
+    Rows are linked where their fingerprints differ by up to `budget` bits under one seed at least. Single words are the
+    features: with shingles of five words, texts that share 0.8 of them differ by 11 of 64 bits in the median, further
+    than any budget that still prunes; over long words it's 3, and several seeds find most of the rest.
+    Null or wordless texts are one group. Null ids are in no group and stay. Rows that repeat a kept id stay.
+    """
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            made = [np.array(word_fingerprints(t if isinstance(t, str) else None, seeds), np.uint64).view(np.int64) for t in pdf["_text"]]
+            yield pd.DataFrame({"_id": np.repeat(pdf["_id"].to_numpy(), seeds), "seed": np.tile(np.arange(seeds), len(pdf)), "fp": np.concatenate(made) if made else []})
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    # Equal texts share all fingerprints, so only the first of them is held against others.
+    named = materialise(rows.select("_id", F.xxhash64(F.coalesce("_text", F.lit(""))).alias("n1"), F.xxhash64(F.lit(1), F.coalesce("_text", F.lit(""))).alias("n2")))
+    firsts = named.groupBy("n1", "n2").agg(F.min("_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = materialise(named.join(firsts, ["n1", "n2"]).where("_id <> first").select(F.col("_id").alias("a"), F.col("first").alias("b")).distinct())
+    alone = rows.join(copies.select(F.col("a").alias("_id")), "_id", "left_anti")
+    marks = materialise(alone.mapInPandas(batches, "_id long, seed int, fp long"))
+    fps = materialise(marks.groupBy("seed", "fp").agg(F.min("_id").alias("rep")))
+    same = marks.join(fps, ["seed", "fp"]).where("_id <> rep").select(F.col("_id").alias("a"), F.col("rep").alias("b"))
+    found = components(same.union(copies).union(links(fps, budget)))
+    gone = found.where("node <> component").select(F.col("node").cast(docs.schema[id_col].dataType).alias(id_col))
+    return docs.join(gone, id_col, "left_anti")
