@@ -29,8 +29,9 @@ from .common import mix64, parts_for, utf8
 LENGTH = 50
 Q = LENGTH // 2
 OWNERS = LENGTH - Q + 1
-BATCH_BYTES = 12 << 20  # text that a batch of documents is meant to hold
-BLOCK = 1 << 20  # starts named at once
+BATCH_BYTES = 6 << 20  # text that a batch of documents is meant to hold; raise it with the executors' memory and the corpus
+PART_BYTES = 16 << 20  # text whose names a part is meant to hold
+BLOCK = 1 << 16  # starts named at once
 _U = np.uint64
 
 
@@ -52,26 +53,22 @@ def _refine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Runs:
     """Runs of starts that own the same sample, over the documents of a batch.
 
-    doc: the document's number in the batch; start, length: the run's starts; sample: its bucket name; whole: the name of
-    the run, from the buckets of its first and last start, its length and the sample's place in it.
+    doc: the document's number in the batch; start, length: the run's starts in the joined texts; sample: its bucket
+    name; whole: the name of the run, from the buckets of its first and last start, its length and the sample's place.
     """
 
     def __init__(self, texts: list[bytes]):
-        parts: list[tuple] = []
-        for number, text in enumerate(texts):
-            n = len(text) - LENGTH + 1
-            for at in range(0, n, BLOCK):  # a run cut by a block's end is two runs, which question 3 settles
-                parts.append((number, at, *self._block(np.frombuffer(text, np.uint8, min(BLOCK, n - at) + LENGTH - 1, at))))
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        self.begin = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+        n = len(self.data) - LENGTH + 1
+        # A run cut by a block's end is two runs, which question 3 settles. Small blocks stay in the cache.
+        parts = [self._block(at, min(BLOCK, n - at)) for at in range(0, n, BLOCK)]
         join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind)
-        sizes = [len(p[2]) for p in parts]
-        self.doc = np.repeat(np.array([p[0] for p in parts], np.int64), sizes)
-        self.start = join(2, np.int64) + np.repeat(np.array([p[1] for p in parts], np.int64), sizes)
-        self.length, self.sample, self.whole = join(3, np.int64), join(4, np.uint64), join(5, np.uint64)
-
-    @staticmethod
-    def _block(data: np.ndarray) -> tuple[np.ndarray, ...]:
-        names = _names(data)
-        n = len(data) - LENGTH + 1
+        self.doc, self.start, self.length = (join(k, np.int64) for k in range(3))
+        self.sample, self.whole = join(3, np.uint64), join(4, np.uint64)
+
+    def _block(self, start: int, n: int) -> tuple[np.ndarray, ...]:
+        names = _names(self.data[start : start + n + LENGTH - 1])
         # The least name of the OWNERS buckets in each start's string; the place makes ties fall to the first.
         low = (names & ~_U(0xFFFFFF)) | np.arange(len(names), dtype=np.uint64)
         span = 1
@@ -80,18 +77,17 @@ class Runs:
             span *= 2
         low = np.minimum(low[:n], low[OWNERS - span : OWNERS - span + n])
         place = (low & _U(0xFFFFFF)).astype(np.int64)
-        first = np.concatenate((np.zeros(1, np.int64), np.flatnonzero(place[1:] != place[:-1]) + 1))
+        opens = self.begin[np.searchsorted(self.begin, start) : np.searchsorted(self.begin, start + n)] - start
+        first = np.unique(np.concatenate((np.zeros(1, np.int64), opens, np.flatnonzero(place[1:] != place[:-1]) + 1)))
         last = np.concatenate((first[1:], [n])) - 1
+        doc = np.searchsorted(self.begin, first + start, "right") - 1
+        last = np.minimum(last, self.begin[doc + 1] - start - LENGTH)  # a string lies within its document
+        keep = first <= last
+        first, last, doc = first[keep], last[keep], doc[keep]
         at = place[first]
         fifty = lambda i: _refine(names[i], names[i + Q])
         shape = ((last - first) * 64 + (at - first)).astype(np.uint64)
-        return first, last - first + 1, names[at], _refine(fifty(first), fifty(last) + shape * _U(0x165667B19E3779F9))
-
-
-def _starts(text: bytes, start: int, length: int) -> np.ndarray:
-    """The bucket names of `length` 50-byte strings from `start` on."""
-    names = _names(np.frombuffer(text, np.uint8, length + LENGTH - 1, start))
-    return _refine(names[:length], names[Q : Q + length])
+        return doc, first + start, last - first + 1, names[at], _refine(fifty(first), fifty(last) + shape * _U(0x165667B19E3779F9))
 
 
 class Batch:
@@ -104,16 +100,16 @@ class Batch:
         self.texts = [utf8(t if isinstance(t, str) else None) for t in pdf["_text"].to_numpy(object)[order]]
         self.runs = Runs(self.texts)
 
-    def ask_samples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Names (ascending, once each), the run's name or 0 if runs differ, and the id or -1 if documents do."""
+    def ask_samples(self) -> tuple[np.ndarray, np.ndarray]:
+        """Names (ascending, once each) and the run's name, 0 if runs differ; its lowest bit says if documents do."""
         r = self.runs
-        order = np.lexsort((r.whole, r.sample))
+        order = np.argsort(r.sample, kind="stable")
         name, whole, ids = r.sample[order], r.whole[order], self.ids[r.doc[order]]
         first = _firsts(name)
-        one = lambda x: np.minimum.reduceat(x, first) == np.maximum.reduceat(x, first)
         if not len(first):
-            return name, whole, ids
-        return name[first], np.where(one(whole), whole[first], _U(0)), np.where(one(ids), ids[first], -1)
+            return name, whole
+        one = lambda x: np.minimum.reduceat(x, first) == np.maximum.reduceat(x, first)
+        return name[first], np.where(one(whole), whole[first] & ~_U(1), _U(0)) | (~one(ids)).astype(np.uint64)
 
     def shared(self, answer: np.ndarray, names: np.ndarray) -> np.ndarray:
         """For each run what question 1 says of its sample: 0 alone, 1 in several documents, 2 and with several runs."""
@@ -133,10 +129,15 @@ class Batch:
     def open_starts(self, state: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Run, start and name of every 50-byte string that question 3 is about."""
         r, runs = self.runs, np.flatnonzero((state == 2) & ~whole)
-        names = [_starts(self.texts[r.doc[k]], int(r.start[k]), int(r.length[k])) for k in runs]
         run = np.repeat(runs, r.length[runs])
-        inside = np.concatenate([np.arange(len(x)) for x in names]) if names else np.zeros(0, np.int64)
-        return run, r.start[run] + inside, np.concatenate(names) if names else np.zeros(0, np.uint64)
+        start = np.repeat(r.start[runs] - np.concatenate(([0], np.cumsum(r.length[runs])))[:-1], r.length[runs]) + np.arange(len(run))
+        names = np.zeros(len(run), np.uint64)
+        for at in range(0, len(run), BLOCK):
+            for k, lo in enumerate((0, Q)):
+                strings = np.lib.stride_tricks.sliding_window_view(r.data, Q)[start[at : at + BLOCK] + lo]
+                part = _names(np.ascontiguousarray(strings).reshape(-1))[::Q]
+                names[at : at + BLOCK] = part if not k else _refine(names[at : at + BLOCK], part)
+        return run, start, names
 
 
 def _firsts(ascending: np.ndarray) -> np.ndarray:
@@ -155,38 +156,44 @@ def _part_of(names: np.ndarray, parts: int) -> np.ndarray:
     return (((names >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
 
 
-def _letters(batch: int, step: int, parts: int, names: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
-    """A row for each part that a batch has names in; what it holds is packed, as rows of single names cost far more."""
+def _letters(batch: int, step: int, parts: int, names: np.ndarray, column: np.ndarray, short: bool = False) -> pd.DataFrame:
+    """A row for each part that a batch has names in; what it holds is packed, as rows of single names cost far more.
+
+    short: what a name has beyond its part is cut to 32 bits. Two names that agree so far are only looked at in vain.
+    """
     part = _part_of(names, parts)
     cuts = np.searchsorted(part, np.arange(parts + 1))
     full = np.flatnonzero(np.diff(cuts))
-    packed = [b"".join(c[cuts[p] : cuts[p + 1]].tobytes() for c in (names, *columns)) for p in full]
+    sent = ((names * _U(parts)) >> _U(32)).astype(np.uint32) if short else names
+    packed = [sent[cuts[p] : cuts[p + 1]].tobytes() + column[cuts[p] : cuts[p + 1]].tobytes() for p in full]
     return pd.DataFrame({"part": full, "batch": batch, "step": step, "data": packed})
 
 
 LETTER = "part long, batch long, step int, data binary"
 
 
-def _answer(pdf: pd.DataFrame, width: int, rule: Callable) -> pd.DataFrame:
+def _answer(pdf: pd.DataFrame, rule: Callable, short: bool = False) -> pd.DataFrame:
     """Answers to all letters of a part: one byte for each name of each letter, in its order."""
     pdf = pdf.sort_values("batch", kind="stable")
-    letters = [np.frombuffer(d, np.uint64).reshape(width, -1) for d in pdf["data"]]
-    sizes = [x.shape[1] for x in letters]
-    out = rule(*(np.concatenate([x[k] for x in letters]) for k in range(width))).astype(np.int8)
+    wide = 4 if short else 8
+    sizes = [len(d) // (wide + 8) for d in pdf["data"]]
+    names = np.concatenate([np.frombuffer(d, np.uint32 if short else np.uint64, n) for d, n in zip(pdf["data"], sizes, strict=True)])
+    column = np.concatenate([np.frombuffer(d, np.uint64, n, wide * n) for d, n in zip(pdf["data"], sizes, strict=True)])
+    out = rule(names, column).astype(np.int8)
     cuts = np.concatenate(([0], np.cumsum(sizes)))
     return pdf.drop(columns="data").assign(data=[out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
-def _sample_rule(names: np.ndarray, whole: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def _sample_rule(names: np.ndarray, whole: np.ndarray) -> np.ndarray:
     order = np.argsort(names, kind="stable")
     first = _firsts(names[order])
     size = np.diff(np.concatenate((first, [len(names)])))
-    spread = lambda x: np.repeat(x, size)
-    w, d = whole[order], ids.view(np.int64)[order]
-    several = (size > 1) | (np.minimum.reduceat(d, first) == -1)  # an id is in one batch alone
-    differ = (np.minimum.reduceat(w, first) != np.maximum.reduceat(w, first)) | (np.minimum.reduceat(w, first) == 0)
+    w = whole[order]
+    several = (size > 1) | ((w[first] & _U(1)) > 0)  # an id is in one batch alone
+    w = w & ~_U(1)
+    least = np.minimum.reduceat(w, first)
     out = np.zeros(len(names), np.int8)
-    out[order] = spread(np.where(several, np.where(differ, 2, 1), 0))
+    out[order] = np.repeat(np.where(several, np.where((least != np.maximum.reduceat(w, first)) | (least == 0), 2, 1), 0), size)
     return out
 
 
@@ -219,10 +226,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     batches = parts_for(total, batch_bytes, 12)
     # An id's rows share a batch, so a name asked about by two batches is in two documents.
     dealt = rows.where("_id is not null").select(F.pmod(F.xxhash64("_id"), F.lit(batches)).alias("batch"), F.col("_id").cast("long").alias("_id"), "_text").repartition(batches, "batch")
-    parts = parts_for(total, 4 * batch_bytes, 12)
+    parts = parts_for(total, PART_BYTES * batch_bytes / BATCH_BYTES, 12)
+    # 32 bits beyond the part tell names apart as long as a part has far fewer of them; it holds as many at any size.
 
     def samples(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _letters(key[0], 1, parts, *Batch(pdf).ask_samples())
+        return _letters(key[0], 1, parts, *Batch(pdf).ask_samples(), short=True)
 
     def runs(key: tuple, pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         b = Batch(pdf)
@@ -246,31 +254,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         asked, least = _earliest(names, ids)
         at = np.searchsorted(asked, names)
         gone = (ids > least[at]) | (_replies(told, 3)[at] > 0) if len(names) else np.zeros(0, bool)
-        doc = np.concatenate((b.runs.doc[whole], b.runs.doc[run[gone]]))
         lo = np.concatenate((b.runs.start[whole], start[gone]))
         hi = np.concatenate(((b.runs.start + b.runs.length)[whole], start[gone] + 1)) + LENGTH - 1
-        order = np.argsort(doc, kind="stable")
-        doc, lo, hi = doc[order], lo[order], hi[order]
-        cuts = np.searchsorted(doc, np.arange(len(b.texts) + 1))
+        size = len(b.runs.data) + 1
+        off = np.cumsum(np.bincount(lo, minlength=size) - np.bincount(hi, minlength=size))[:-1] > 0
         out = []
         for k, text in enumerate(b.texts):
-            own = slice(cuts[k], cuts[k + 1])
-            if cuts[k] == cuts[k + 1]:
+            own = off[b.runs.begin[k] : b.runs.begin[k + 1]]
+            n = int(own.sum())
+            if not n:
                 out.append((b.ids[k], text, len(text), 0, 0))
-                continue
-            step = np.zeros(len(text) + 1, np.int64)
-            np.add.at(step, lo[own], 1)
-            np.add.at(step, hi[own], -1)
-            off = np.cumsum(step[:-1]) > 0
-            out.append((b.ids[k], np.frombuffer(text, np.uint8)[~off].tobytes(), len(text), int(off.sum()), int(off[0]) + int((off[1:] & ~off[:-1]).sum())))
+            else:
+                out.append((b.ids[k], b.runs.data[b.runs.begin[k] : b.runs.begin[k + 1]][~own].tobytes(), len(text), n, int(own[0]) + int((own[1:] & ~own[:-1]).sum())))
         return pd.DataFrame(out, columns=["_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     by_batch = dealt.groupBy("batch")
     ask = lambda f, told: by_batch.cogroup(told.groupBy("batch")).applyInPandas(f, LETTER)
-    reply = lambda letters, width, rule: letters.groupBy("part").applyInPandas(lambda pdf: _answer(pdf, width, rule), LETTER)
-    first = reply(by_batch.applyInPandas(samples, LETTER), 3, _sample_rule)
-    second = reply(ask(runs, first), 2, _earlier_rule)
-    third = reply(ask(starts, first.union(second)), 2, _earlier_rule)
+    reply = lambda letters, rule, short=False: letters.groupBy("part").applyInPandas(lambda pdf: _answer(pdf, rule, short), LETTER)
+    first = reply(by_batch.applyInPandas(samples, LETTER), _sample_rule, True)
+    second = reply(ask(runs, first), _earlier_rule)
+    third = reply(ask(starts, first.union(second)), _earlier_rule)
     told = first.union(second).union(third)
     out = by_batch.cogroup(told.groupBy("batch")).applyInPandas(finish, "_id long, kept binary, n_bytes long, n_removed long, n_spans long")
     return out.select(F.col("_id").cast(kind).alias(id_col), "kept", "n_bytes", "n_removed", "n_spans").union(none)
