@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64
+from .common import materialise
 
 EDITS = 1  # so a line has EDITS + 1 = 2 segments
 MIN_CHARS = 24  # shorter lines ("Yes.", "* * *") repeat by chance and stay
 HOT_KEY = 16  # lines that share a segment and are still paired with each other
 BROADCAST_ROWS = 500_000  # candidate pairs (32 bytes each) that may be broadcast
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def within(a: str, b: str, k: int = EDITS) -> bool:
@@ -55,64 +50,68 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def _keys(distinct: DataFrame) -> DataFrame:
-    """A row for each segment: those of the line's own length, and those that a line one shorter would have, which
-    start at the front or end at the back. Lines within one edit share a key whose length is the shorter one's."""
-    line, n = F.col("line"), F.char_length("line")
+def _nodes(distinct: DataFrame) -> DataFrame:
+    """Each line as one of its own length (probe 0) and as one that a line shorter by one may match (probe 1), with
+    nothing agreed at its front (a characters) or back (b) yet. `length` is the shorter line's."""
+    n = F.char_length("line")
+    roles = F.array(F.struct(n.alias("length"), F.lit(0).alias("probe")), F.struct((n - 1).alias("length"), F.lit(1).alias("probe")))
+    return distinct.select("h1", "line", "_id", "line_no", F.explode(roles).alias("r")).select("h1", "line", "_id", "line_no", "r.length", "r.probe", F.lit(0).alias("a"), F.lit(0).alias("b"))
 
-    def two(length: Column, role: int) -> list[Column]:
-        half = F.floor(length / 2).cast("int")
-        front = F.xxhash64(length, F.lit(0), F.substring(line, F.lit(1), half))
-        back = F.xxhash64(length, F.lit(1), F.substring(line, n - (length - half) + 1, length - half))
-        return [F.struct(k.alias("key"), F.lit(role).alias("probe")) for k in (front, back)]
 
-    return distinct.select("h1", F.explode(F.array(*two(n, 0), *two(n - 1, 1))).alias("k")).select("h1", "k.key", "k.probe")
+def _split(rows: DataFrame) -> DataFrame:
+    """What is open of a line is cut into EDITS + 1 segments; of lines within the edits one segment agrees, at the front
+    or, aligned to the end, at the back. A row and key for each."""
+    left = F.col("length") - F.col("a") - F.col("b")
+    half = F.when(left <= 1, left).otherwise(F.floor(left / 2)).cast("int")
+    rest = F.when(left <= 1, left).otherwise(left - F.floor(left / 2)).cast("int")
+    kids = F.array(F.struct((F.col("a") + half).alias("a"), F.col("b").alias("b")), F.struct(F.col("a").alias("a"), (F.col("b") + rest).alias("b")))
+    out = rows.select("h1", "line", "_id", "line_no", "length", "probe", F.explode(kids).alias("k")).select("h1", "line", "_id", "line_no", "length", "probe", "k.a", "k.b")
+    n = F.char_length("line")
+    return out.withColumn("key", F.xxhash64("length", "a", "b", F.substring("line", F.lit(1), F.col("a")), F.substring(F.col("line"), n - F.col("b") + 1, F.col("b"))))
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _deletions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each line its own hash (at -1) and the hash of what is left without each of its characters."""
-    for pdf in batches:
-        for h1, line, d, n in zip(pdf["h1"], pdf["line"], pdf["_id"], pdf["line_no"], strict=True):
-            c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-            power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(c), _BASE, np.uint64))))
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(c) * power[:-1])))
-            without = total[:-1] + (total[-1] - total[1:]) * np.uint64(_BASE_INVERSE)
-            yield pd.DataFrame({"h1": h1, "_id": d, "line_no": n, "at": np.arange(-1, len(c)), "hash": mix64(np.concatenate((total[-1:], without))).view(np.int64)})
-
-
-def _hot_candidates(lines: DataFrame) -> DataFrame:
-    """For lines of which too many share a segment: pairs of each line and the earliest line within one edit.
-
-    Lines differ by a substitution if they agree without the character at one place, and by an insertion if one without
-    a character is the other. Both are groups by a hash, of which the earliest member is all that's needed; so the work
-    is in proportion to the lines' characters however many lines meet.
-    """
-    kind = lines.schema["_id"].dataType.simpleString()
-    rows = materialise(lines.select("h1", "line", "_id", "line_no").mapInPandas(_deletions, f"h1 long, _id {kind}, line_no int, at int, hash long"))
+def _ends(rows: DataFrame) -> DataFrame:
+    """Pairs where keys leave a character open, or none: each line and the earliest that the key itself puts within one
+    edit. Lines of one length that differ in the open character are substitutions; with none open, the longer ones hold
+    one more character than the shorter. A group's earliest is all that's needed, so no pairs are made within it."""
     who = F.struct("_id", "line_no", "h1")
-    cut, whole = rows.where("at >= 0"), rows.where("at < 0")
-    same = cut.groupBy("hash", "at").agg(F.min(who).alias("m"), F.count("*").alias("n")).where("n > 1")
-    found = [cut.join(same, ["hash", "at"]).select("h1", "m"), cut.join(whole.select("hash", who.alias("m")), "hash").select("h1", "m"), whole.join(cut.groupBy("hash").agg(F.min(who).alias("m")), "hash").select("h1", "m")]
-    # One of each kind for a line: they are checked below, and an earliest one passes.
-    each = [x.groupBy("h1").agg(F.min("m").alias("m")).where("h1 <> m.h1").select(*_ordered(F.col("h1"), F.col("m.h1"))) for x in found]
-    return each[0].union(each[1]).union(each[2])
+    left = F.col("length") - F.col("a") - F.col("b")
+    of = lambda probe: F.min(F.when(F.col("probe") == probe, who)).alias(f"m{probe}")
+    met = rows.join(rows.groupBy("key").agg(of(0), of(1)), "key")
+    other = F.when(left == 0, F.when(F.col("probe") == 0, F.col("m1")).otherwise(F.col("m0"))).when(F.col("probe") == 0, F.col("m0"))
+    return met.select("h1", other["h1"].alias("o")).where("o is not null and h1 <> o").select(*_ordered(F.col("h1"), F.col("o")))
 
 
 def _candidates(distinct: DataFrame) -> DataFrame:
-    """Pairs a < b of line names (h1) that may be within one edit."""
-    keys = _keys(distinct)
-    met = materialise(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("probe").alias("probe")).where("n > 1 and probe = 0 and lo <> hi").drop("probe"))
-    two = met.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    some = keys.join(met.where(f"n > 2 and n <= {HOT_KEY}").select("key"), "key").groupBy("key").agg(F.collect_set("h1").alias("ids"))
-    pairs = some.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b")
-    out = two.union(pairs)
-    hot = met.where(f"n > {HOT_KEY}").select("key")
-    if not hot.isEmpty():
-        out = out.union(_hot_candidates(distinct.join(keys.join(hot, "key").select("h1").distinct(), "h1")))
+    """Pairs a < b of line names (h1) that may be within one edit.
+
+    Lines that share a key are paired while they are few. Keys that more share are split again by what they leave open,
+    until few share them or nothing is left; a line gets four keys a round, so the work follows the lines and not their
+    pairs, however many share a segment.
+    """
+    rows, found = _nodes(distinct), []
+    while True:
+        keys = _split(rows)
+        met = materialise(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("probe").alias("probe")).where("n > 1 and probe = 0 and lo <> hi").drop("probe"))
+        found.append(met.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")))
+        some = keys.join(met.where(f"n > 2 and n <= {HOT_KEY}").select("key"), "key").groupBy("key").agg(F.collect_set("h1").alias("ids"))
+        found.append(some.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b"))
+        hot = met.where(f"n > {HOT_KEY}").select("key")
+        if hot.isEmpty():
+            break
+        shared = materialise(keys.join(hot, "key"))
+        left = F.col("length") - F.col("a") - F.col("b")
+        found.append(_ends(shared.where(left <= 1)))
+        rows = shared.where(left >= 1).drop("key")
+        if rows.isEmpty():
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
     return out.distinct()
 
 
