@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,12 @@ class Log:
     def union(self, other: Log) -> Log:
         return Log(*(getattr(self, x.name).unionByName(getattr(other, x.name)) for x in fields(self)))
 
+    def persist(self) -> Log:
+        """Keep the tables and the case view that nearly every operator reads, for plans that read them many times."""
+        for df in (self.event, self.object, self.object_attr, case_events(self)):
+            df.persist(StorageLevel.MEMORY_AND_DISK)
+        return self
+
     def where(self, condition: Column | str) -> Log:
         """The same log for some entities; the condition is about cse_id."""
         return self.map(lambda df: df.where(condition))

@@ -40,7 +40,7 @@ def two_sided(z: Column | str = "z") -> Column:
 
 def as_series(rows: DataFrame, keys: list[str], order: str, *values: str) -> DataFrame:
     """An ordered array of each value for each key; a series is as long as its number of periods."""
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("_s")).select(*keys, *(F.col(f"_s.{v}").alias(v) for v in values))
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *values))).alias("_s")).select(*keys, *(F.col(f"_s.{v}").alias(v) for v in values))
 
 
 def ewma(xs: Column, rate: float = 0.3) -> Column:

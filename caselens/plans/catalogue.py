@@ -35,7 +35,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def fused(spark: SparkSession, sf_dir: str) -> fusion.Fusion:
-    return fusion.fuse(projection.log(spark, sf_dir))
+    return fusion.fuse(projection.log(spark, sf_dir).persist())
 
 
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +156,7 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ewma_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _series(spark, sf_dir).select(F.explode(F.arrays_zip("day", peers.ewma(F.col("mean_value")).alias("ewma"))).alias("x"))
-    return rounded(rows.select("x.day", F.col("x.ewma").alias("ewma")))
+    return rounded(rows.select(F.col("x.day").cast("string").alias("day"), F.col("x.ewma").alias("ewma")))
 
 
 @query
@@ -211,7 +211,7 @@ def page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = projection.log(spark, sf_dir)
+    log = projection.log(spark, sf_dir).persist()
     return portfolio.peer_comparison(portfolio.case_counts(log), portfolio.flagged_counts(fusion.fuse(log).concerns))
 
 
@@ -254,7 +254,7 @@ def robustness_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def intervention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = projection.log(spark, sf_dir)
+    log = projection.log(spark, sf_dir).persist()
     return rounded(causal.entity_report(log, fusion.fuse(log).concerns).drop("finding_id"))
 
 
@@ -331,6 +331,6 @@ def standin_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def portfolio_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = projection.log(spark, sf_dir)
+    log = projection.log(spark, sf_dir).persist()
     found = fusion.fuse(log).concerns
     return portfolio.totals(log, found, portfolio.entity_risk(portfolio.peer_comparison(portfolio.case_counts(log), portfolio.flagged_counts(found))))
