@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def with_ids(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """_id, further columns, _text for a Python step. The id goes as text, since pandas makes long ids with nulls floats."""
+    return docs.select(F.col(id_col).cast("string").alias("_id"), *more, F.col(text_col).alias("_text"))
+
+
 def parts_for(total: float, each: float, least: int = 1) -> int:
     """How many groups of about `each` units hold `total`; follows the data without an upper bound."""
     return max(least, math.ceil((total or 0) / each))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, parts_for, utf8
+from .common import mix64, parts_for, utf8, with_ids
 
 WINDOW = 8
 MIN_LITERAL = 4  # words of a window that are no placeholder
@@ -146,8 +146,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("_text"))
     blocks = parts_for(items.agg(F.sum(F.octet_length("_text") + 64)).first()[0], BLOCK_BYTES)
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    rows = with_ids(docs.where(F.col(text_col).isNotNull()), id_col, text_col)
     found: DataFrame | None = None
     for block in range(blocks):
         part = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()]
@@ -159,9 +158,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 out = [(i, *m) for i, t in zip(pdf["_id"], pdf["_text"], strict=True) for m in index.matches(template(t, canon))]
                 yield pd.DataFrame(out, columns=["_id", "item_id", "n_windows", "coverage", "n_slots", "n_changed"])
 
-        one = rows.mapInPandas(batches, f"_id {kind}, item_id long, n_windows long, coverage double, n_slots long, n_changed long")
+        one = rows.mapInPandas(batches, "_id string, item_id long, n_windows long, coverage double, n_slots long, n_changed long")
         found = one if found is None else found.union(one)
-    return found.withColumnRenamed("_id", id_col)
+    return found.withColumn("_id", F.col("_id").cast(docs.schema[id_col].dataType)).withColumnRenamed("_id", id_col)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, utf8
+from .common import materialise, utf8, with_ids
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -66,10 +66,9 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per document with its host, the five counts and whether it breaks each rule."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(host_col).cast("string").alias("_host"), F.col(text_col).alias("_text"))
-    out = rows.mapInPandas(_count_batches, f"_id {kind}, _host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    out = with_ids(docs, id_col, text_col, F.col(host_col).cast("string").alias("_host")).mapInPandas(_count_batches, "_id string, _host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
     return out.withColumns({
+        "_id": F.col("_id").cast(docs.schema[id_col].dataType),
         "short": F.col("n_words") < MIN_WORDS,
         "repetitive": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"),
         "symbols": 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars"),

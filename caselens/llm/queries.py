@@ -49,12 +49,35 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.judge(table(spark, sf_dir, "documents"))
+    return host_rules.judge(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_bucket_pointer_dedup, op3_quality_ordinal, op4_warc_zstd, op5_best_two_fit, op6_template_decontamination, op7_stratified_interleaving, op8_segment_line_dedup, op9_simhash_trie, op10_host_rules)}
 
 
+_OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM q"""
+
+_OP10 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i:i+4] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(range(0, 5)) AS k FROM r) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+m AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, n_words < 10 AS r1, 100 * n_repeat_words > 20 * n_words AS r2, 100 * n_symbols > 10 * word_chars AS r3, n_dup_lines > 3 AS r4 FROM m),
+h AS (SELECT source, count(*) AS n, unnest([1, 2, 3, 4]) AS rule, unnest([count(*) FILTER (r1), count(*) FILTER (r2), count(*) FILTER (r3), count(*) FILTER (r4)]) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT rule, sum(f) / sum(n) AS mean, coalesce(var_pop(f / n), 0) AS v FROM h GROUP BY rule),
+s AS (SELECT rule, mean, greatest(1.0, least(1000.0, CASE WHEN v > 0 THEN mean * (1 - mean) / v - 1 ELSE 1000.0 END)) AS k FROM p),
+x AS (SELECT source, max((f + mean * k) / (n + k)) AS rate FROM h JOIN s USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r1 OR r2 AS base_failed, NOT (r1 OR r2) AND coalesce(rate, 0) <= 0.5 AS kept FROM b LEFT JOIN x USING (source)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_zstd": _OP4, "op10_host_rules": _OP10}

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, parts_for, utf8
+from .common import materialise, mix64, parts_for, utf8, with_ids
 from .components import components
 
 BITS = 64
@@ -42,8 +42,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
             values = [fingerprint(t if isinstance(t, str) else None, width) for t in pdf["_text"]]
             yield pd.DataFrame({"_id": pdf["_id"], "fp": np.array(values, np.uint64).view(np.int64)})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(batches, f"_id {kind}, fp long")
+    return with_ids(docs, id_col, text_col).mapInPandas(batches, "_id string, fp long").withColumn("_id", F.col("_id").cast(docs.schema[id_col].dataType))
 
 
 def trie_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
