@@ -15,7 +15,7 @@ MIN_ROBUSTNESS = 0.3
 
 def outcome_frame(log: Log, flagged: DataFrame) -> DataFrame:
     """flagged: cse_id, case_id. T is 1 for a SENIOR and 0 for a JUNIOR assignee, Y is 1 if the case isn't flagged."""
-    who = log.object_object().where("source_type = 'Case' and qualifier = 'current_assignee'").select("cse_id", F.col("source_id").alias("case_id"), F.col("target_id").alias("analyst_id"))
+    who = log.object_object("Case").where("qualifier = 'current_assignee'").select("cse_id", F.col("source_id").alias("case_id"), F.col("target_id").alias("analyst_id"))
     tiers = objects(log, "Analyst", "tier").where("tier in ('SENIOR', 'JUNIOR')").select("cse_id", F.col("object_id").alias("analyst_id"), "tier")
     mark = flagged.select("cse_id", "case_id", F.lit(1).alias("_f")).distinct()
     return who.join(tiers, ["cse_id", "analyst_id"]).join(mark, ["cse_id", "case_id"], "left").select("cse_id", "case_id", (F.col("tier") == "SENIOR").cast("int").alias("t"), F.when(F.col("_f").isNull(), 1).otherwise(0).alias("y"))

@@ -7,22 +7,20 @@ from pyspark.sql import functions as F
 
 from caselens.functions.expressions import minutes
 
-from .log import Log, alert_assets, case_alerts, case_events, first_target, objects
-
-NOBODY = "∅"  # stands for a reassignment to no one, which counts as someone
+from .log import Log, alert_assets, case_alerts, case_events, case_profile, first_target, objects
 
 
 def reassignment_loops(log: Log, min_reassignments: int = 3, max_distinct_analysts: int = 2) -> DataFrame:
     """Cases with enough reassignments: a loop goes round few analysts; a shift change each time justifies it."""
-    rows = case_events(log).where("type = 'REASSIGN'").select("cse_id", "case_id", "time", "event_id", F.coalesce(first_target("reassigned_to"), F.lit(NOBODY)).alias("to"), F.coalesce(F.col("attrs")["handover_reason"] == "SHIFT_CHANGE", F.lit(False)).alias("shift"))
-    out = rows.groupBy("cse_id", "case_id").agg(F.count("*").alias("n_reassign"), F.count_distinct("to").alias("n_analysts"), F.bool_and("shift").alias("justified"), F.array_sort(F.collect_list(F.struct("time", "event_id", "to"))).alias("_s")).where(F.col("n_reassign") >= min_reassignments)
+    rows = case_profile(log).where(F.col("n_REASSIGN") >= min_reassignments)
+    out = rows.select("cse_id", "case_id", F.col("n_REASSIGN").alias("n_reassign"), F.size(F.array_distinct("reassigned.to")).cast("long").alias("n_analysts"), F.forall("reassigned.shift", lambda s: s).alias("justified"), F.col("reassigned").alias("_s"))
     loop = (F.col("n_reassign") > F.col("n_analysts")) & (F.col("n_analysts") <= max_distinct_analysts)
     return out.select("cse_id", "case_id", "n_reassign", "n_analysts", F.concat_ws(">", F.col("_s.to")).alias("sequence"), loop.alias("is_loop"), "justified", (loop & ~F.col("justified")).alias("flagged"))
 
 
 def case_times(log: Log) -> DataFrame:
     """Closed cases: first event, last CLOSE and the minutes between."""
-    out = case_events(log).groupBy("cse_id", "case_id").agg(F.min("time").alias("opened"), F.max(F.when(F.col("type") == "CLOSE", F.col("time"))).alias("closed")).where("closed is not null")
+    out = case_profile(log).where("closed is not null").select("cse_id", "case_id", "opened", "closed")
     return out.withColumn("minutes", minutes(F.col("opened"), F.col("closed")))
 
 
@@ -32,7 +30,7 @@ def fast_close(log: Log, threshold: float = 30.0) -> DataFrame:
 
 def asset_recurrence(log: Log, min_alerts: int = 3) -> DataFrame:
     """Assets with alerts: flagged when they recur and no case of theirs was looked into."""
-    depth = case_events(log).groupBy("cse_id", "case_id").agg(F.bool_or(F.col("type").isin("INVESTIGATE", "EVIDENCE_COLLECT")).alias("deep"))
+    depth = case_profile(log).select("cse_id", "case_id", (F.col("n_INVESTIGATE") + F.col("n_EVIDENCE_COLLECT") > 0).alias("deep"))
     chain = alert_assets(log).join(case_alerts(log), ["cse_id", "alert_id"], "left").join(depth, ["cse_id", "case_id"], "left")
     out = chain.groupBy("cse_id", "asset_id").agg(F.count_distinct("alert_id").alias("n_alerts"), F.count_distinct("case_id").alias("n_cases"), F.coalesce(F.bool_or("deep"), F.lit(False)).alias("remediated"))
     return out.withColumn("flagged", (F.col("n_alerts") >= min_alerts) & ~F.col("remediated"))
@@ -47,9 +45,8 @@ def asset_alerts(log: Log) -> DataFrame:
 
 def investigation_uniformity(log: Log, min_cases: int = 5, threshold: float = 0.15) -> DataFrame:
     """Analysts whose investigations take suspiciously alike times: coefficient of variation under the threshold."""
-    rows = case_events(log).where("type in ('INVESTIGATE', 'CLOSE')")
-    closed = rows.where("type = 'CLOSE'").groupBy("cse_id", "case_id").agg(F.max("time").alias("closed"))
-    looked = rows.where("type = 'INVESTIGATE'").select("cse_id", "case_id", "time", first_target("investigated_by").alias("analyst_id")).where("analyst_id is not null")
+    closed = case_profile(log).where("closed is not null").select("cse_id", "case_id", "closed")
+    looked = case_events(log).where("type = 'INVESTIGATE'").select("cse_id", "case_id", "time", first_target("investigated_by").alias("analyst_id")).where("analyst_id is not null")
     took = looked.join(closed, ["cse_id", "case_id"]).withColumn("m", minutes(F.col("time"), F.col("closed"))).where("m >= 0")
     out = took.groupBy("cse_id", "analyst_id").agg(F.count("*").alias("n_durations"), F.avg("m").alias("mean_minutes"), F.stddev_samp("m").alias("_sd"))
     cov = F.when((F.col("n_durations") >= min_cases) & (F.col("mean_minutes") > 0), F.col("_sd") / F.col("mean_minutes"))
@@ -58,7 +55,7 @@ def investigation_uniformity(log: Log, min_cases: int = 5, threshold: float = 0.
 
 def analyst_workload(log: Log) -> DataFrame:
     """Every analyst: cases assigned now and investigations done, zeros kept."""
-    assigned = log.object_object().where("source_type = 'Case' and qualifier = 'current_assignee'").groupBy("cse_id", F.col("target_id").alias("analyst_id")).agg(F.count("*").alias("n_assigned"))
+    assigned = log.object_object("Case").where("qualifier = 'current_assignee'").groupBy("cse_id", F.col("target_id").alias("analyst_id")).agg(F.count("*").alias("n_assigned"))
     done = log.event_object().where("type = 'INVESTIGATE' and qualifier = 'investigated_by'").groupBy("cse_id", F.col("target_id").alias("analyst_id")).agg(F.count("*").alias("n_investigated"))
     everyone = objects(log, "Analyst").select("cse_id", F.col("object_id").alias("analyst_id"))
     return everyone.join(assigned, ["cse_id", "analyst_id"], "left").join(done, ["cse_id", "analyst_id"], "left").fillna(0, ["n_assigned", "n_investigated"])
@@ -66,8 +63,8 @@ def analyst_workload(log: Log) -> DataFrame:
 
 def queue_escalations(log: Log) -> DataFrame:
     """Every queue: cases routed to it now and their escalations, zeros kept."""
-    routed = log.object_object().where("source_type = 'Case' and qualifier = 'current_queue'").select("cse_id", F.col("source_id").alias("case_id"), F.col("target_id").alias("queue_id"))
-    up = case_events(log).where("type = 'ESCALATE'").groupBy("cse_id", "case_id").agg(F.count("*").alias("n_up"))
+    routed = log.object_object("Case").where("qualifier = 'current_queue'").select("cse_id", F.col("source_id").alias("case_id"), F.col("target_id").alias("queue_id"))
+    up = case_profile(log).select("cse_id", "case_id", F.col("n_ESCALATE").alias("n_up"))
     n = routed.join(up, ["cse_id", "case_id"], "left").groupBy("cse_id", "queue_id").agg(F.count("*").alias("n_routed"), F.coalesce(F.sum("n_up"), F.lit(0)).alias("n_escalated"))
     everyone = objects(log, "Queue").select("cse_id", F.col("object_id").alias("queue_id"))
     return everyone.join(n, ["cse_id", "queue_id"], "left").fillna(0, ["n_routed", "n_escalated"])

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselens.functions.expressions import concern_score, filled, finding_id, review_minutes
+from caselens.functions.vocabulary import CASE_QUALIFIER
 
 from . import detectors, rules
-from .log import Log, case_alerts, case_event_counts, objects
+from .log import Log, case_alerts, case_profile, objects
 from .peers import negative_space, two_sided
 
 CONCERN = ("cse_id", "finding_type", "primary_id", "capability", "authority", "event_type", "supporting", "detail")
@@ -76,7 +77,7 @@ def fuse(log: Log, low_confidence: DataFrame | None = None, uniform_threshold: f
         _concern(loops.where("flagged"), "REASSIGNMENT_LOOP", "case_id", "Operational Discipline", "EXPECTED", "REASSIGN", detail=F.col("sequence")),
         _concern(many.join(signal, ["cse_id", "case_id"], "left_anti"), "EXCESSIVE_REASSIGNMENT_CARDINALITY", "case_id", F.col("capability"), F.col("authority"), "REASSIGN"),
         _concern(rules.evaluate(log, rules.ESCALATE_CRITICAL), "ESCALATION_SLA_VIOLATION", "case_id", "Escalation", "MANDATORY", "ESCALATE", detail=F.col("detail")),
-        _concern(rules.evaluate(log, rules.ENRICH_FIRST).select("cse_id", "case_id").distinct(), "MISSING_ENRICHMENT", "case_id", "Investigation", "EXPECTED", "INVESTIGATE"),
+        _concern(rules.precedence_cases(log, rules.ENRICH_FIRST), "MISSING_ENRICHMENT", "case_id", "Investigation", "EXPECTED", "INVESTIGATE"),
         _concern(cases.where("is_fast").join(odd_pace, ["cse_id", "severity"], "left_semi"), "FAST_CLOSE_OUTLIER", "case_id", "Investigation", "PEER_NORMAL", "CLOSE", detail=F.col("severity")),
         _concern(detectors.asset_recurrence(log).where("flagged"), "REPEATED_ALERT_NO_REMEDIATION", "asset_id", "Incident Response", "PEER_NORMAL", supporting=F.col("n_cases")),
         _concern(telemetry(log).where("flagged"), "LOW_TELEMETRY_CRITICAL_ASSET", "group_id", "Threat Detection", "PEER_NORMAL", detail=_z()),
@@ -87,8 +88,9 @@ def fuse(log: Log, low_confidence: DataFrame | None = None, uniform_threshold: f
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
-    counts = case_event_counts(log).select("cse_id", F.col("case_id").alias("primary_id"), F.col("type").alias("event_type"), "n_events")
-    rows = rows.join(counts, ["cse_id", "primary_id", "event_type"], "left").withColumn("n_events", F.coalesce("n_events", F.lit(0).cast("long")))
+    counts = case_profile(log).select("cse_id", F.col("case_id").alias("primary_id"), *(f"n_{k}" for k in CASE_QUALIFIER))
+    own = F.coalesce(*(F.when(F.col("event_type") == k, F.col(f"n_{k}")) for k in CASE_QUALIFIER), F.lit(0).cast("long"))
+    rows = rows.join(counts, ["cse_id", "primary_id"], "left").withColumn("n_events", own).drop(*(f"n_{k}" for k in CASE_QUALIFIER))
     if low_confidence is None:
         rows = rows.withColumn("evidence_quality", F.lit("HIGH"))
     else:

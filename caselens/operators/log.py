@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselens.functions.expressions import epoch
-from caselens.functions.vocabulary import FOR_CASE
+from caselens.functions.vocabulary import CASE_QUALIFIER, FOR_CASE
+
+NOBODY = "∅"  # stands for a reassignment to no one, which counts as someone
 
 RELS = "array<struct<target_id:string,qualifier:string>>"
 EVENT = f"cse_id string, event_id string, type string, time timestamp, attrs map<string,string>, rels {RELS}"
@@ -28,6 +31,8 @@ class Log:
     event: DataFrame
     object: DataFrame
     object_attr: DataFrame
+    by_type: dict[str, DataFrame] = field(default_factory=dict)  # rows of `object` of a type, where they are known apart
+    by_name: dict[str, DataFrame] = field(default_factory=dict)  # rows of `object_attr` of a name, likewise
 
     @staticmethod
     def of(spark: SparkSession, event: list, object: list, object_attr: list = ()) -> Log:  # noqa: A002
@@ -35,14 +40,23 @@ class Log:
         return Log(spark.createDataFrame(list(event), EVENT), spark.createDataFrame(list(object), OBJECT), spark.createDataFrame(list(object_attr), OBJECT_ATTR))
 
     def map(self, f) -> Log:  # noqa: ANN001
-        return Log(*(f(getattr(self, x.name)) for x in fields(self)))
+        return Log(f(self.event), f(self.object), f(self.object_attr), {k: f(v) for k, v in self.by_type.items()}, {k: f(v) for k, v in self.by_name.items()})
 
     def union(self, other: Log) -> Log:
-        return Log(*(getattr(self, x.name).unionByName(getattr(other, x.name)) for x in fields(self)))
+        return Log(*(getattr(self, n).unionByName(getattr(other, n)) for n in ("event", "object", "object_attr")))
+
+    def of_type(self, kind: str) -> DataFrame:
+        return self.by_type[kind] if kind in self.by_type else self.object.where(F.col("type") == kind)
+
+    def of_name(self, *names: str) -> DataFrame:
+        """Attribute rows of some names."""
+        if all(n in self.by_name for n in names):
+            return reduce(DataFrame.unionByName, [self.by_name[n] for n in names])
+        return self.object_attr.where(F.col("name").isin(*names))
 
     def persist(self) -> Log:
-        """Keep the tables and the case view that nearly every operator reads, for plans that read them many times."""
-        for df in (self.event, self.object, self.object_attr, case_events(self)):
+        """Keep the tables and the case profile that nearly every operator reads, for plans that read them many times."""
+        for df in (self.event, *(self.by_type.values() or [self.object]), *(self.by_name.values() or [self.object_attr]), case_profile(self)):
             df.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
@@ -53,8 +67,9 @@ class Log:
     def event_object(self) -> DataFrame:
         return self.event.select("cse_id", "event_id", "type", "time", F.explode("rels").alias("r")).select("cse_id", "event_id", "type", "time", "r.target_id", "r.qualifier")
 
-    def object_object(self) -> DataFrame:
-        return self.object.select("cse_id", F.col("object_id").alias("source_id"), F.col("type").alias("source_type"), F.explode("rels").alias("r")).select("cse_id", "source_id", "source_type", "r.target_id", "r.qualifier")
+    def object_object(self, kind: str | None = None) -> DataFrame:
+        """Edges from objects, of one type or all."""
+        return (self.of_type(kind) if kind else self.object).select("cse_id", F.col("object_id").alias("source_id"), F.col("type").alias("source_type"), F.explode("rels").alias("r")).select("cse_id", "source_id", "source_type", "r.target_id", "r.qualifier")
 
 
 def first_target(qualifier: str, rels: str = "rels") -> Column:
@@ -64,10 +79,10 @@ def first_target(qualifier: str, rels: str = "rels") -> Column:
 
 def objects(log: Log, kind: str, *attributes: str) -> DataFrame:
     """cse_id, object_id, rels of one type of object, with the initial values of some attributes."""
-    rows = log.object.where(F.col("type") == kind).select("cse_id", "object_id", "rels")
+    rows = log.of_type(kind).select("cse_id", "object_id", "rels")
     if not attributes:
         return rows
-    first = log.object_attr.where(F.col("name").isin(*attributes) & (F.col("time") == epoch()))
+    first = log.of_name(*attributes).where(F.col("time") == epoch())
     wide = first.groupBy("cse_id", "object_id").agg(*(F.min(F.when(F.col("name") == a, F.col("value"))).alias(a) for a in attributes))
     return rows.join(wide, ["cse_id", "object_id"], "left")
 
@@ -83,17 +98,17 @@ def case_events(log: Log) -> DataFrame:
     """cse_id, case_id, event_id, type, time, attrs, rels: an event for each edge that ends in `_for_case` at a case."""
     edge = F.explode(F.filter("rels", lambda r: r["qualifier"].endswith(FOR_CASE)))
     rows = log.event.select("cse_id", edge.alias("_e"), "event_id", "type", "time", "attrs", "rels").select("cse_id", F.col("_e.target_id").alias("case_id"), "event_id", "type", "time", "attrs", "rels")
-    cases = log.object.where("type = 'Case'").select("cse_id", F.col("object_id").alias("case_id"))
+    cases = log.of_type("Case").select("cse_id", F.col("object_id").alias("case_id"))
     return rows.join(cases, ["cse_id", "case_id"], "left_semi")
 
 
 def case_alerts(log: Log) -> DataFrame:
     """cse_id, case_id, alert_id for every edge from a case to its alert."""
-    return log.object_object().where("source_type = 'Case' and qualifier = 'case_for_alert'").select("cse_id", F.col("source_id").alias("case_id"), F.col("target_id").alias("alert_id"))
+    return log.object_object("Case").where("qualifier = 'case_for_alert'").select("cse_id", F.col("source_id").alias("case_id"), F.col("target_id").alias("alert_id"))
 
 
 def alert_assets(log: Log) -> DataFrame:
-    return log.object_object().where("source_type = 'Alert' and qualifier = 'raised_on_asset'").select("cse_id", F.col("source_id").alias("alert_id"), F.col("target_id").alias("asset_id"))
+    return log.object_object("Alert").where("qualifier = 'raised_on_asset'").select("cse_id", F.col("source_id").alias("alert_id"), F.col("target_id").alias("asset_id"))
 
 
 def case_context(log: Log) -> DataFrame:
@@ -110,6 +125,11 @@ def case_trace(log: Log) -> DataFrame:
     return edge.select("cse_id", F.col("_e.target_id").alias("object_id"), "event_id", "type", "time", F.concat_ws("; ", F.sort_array(others)).alias("others")).distinct()
 
 
-def case_event_counts(log: Log) -> DataFrame:
-    """Events of each case and type: cse_id, case_id, type, n_events. A finding's events are counted from it."""
-    return case_events(log).groupBy("cse_id", "case_id", "type").agg(F.countDistinct("event_id").alias("n_events"))
+def case_profile(log: Log) -> DataFrame:
+    """What rules and detectors ask of a case, in one pass: `opened` (first event), `closed` (last CLOSE), the number and
+    first time of each type of event (`n_<type>`, `first_<type>`), and `reassigned`, its reassignments in order."""
+    is_ = lambda kind: F.col("type") == kind
+    step = F.struct("time", "event_id", F.coalesce(first_target("reassigned_to"), F.lit(NOBODY)).alias("to"), F.coalesce(F.col("attrs")["handover_reason"] == "SHIFT_CHANGE", F.lit(False)).alias("shift"))
+    numbers = [F.count_if(is_(k)).alias(f"n_{k}") for k in CASE_QUALIFIER]
+    times = [F.min(F.when(is_(k), F.col("time"))).alias(f"first_{k}") for k in CASE_QUALIFIER]
+    return case_events(log).groupBy("cse_id", "case_id").agg(F.min("time").alias("opened"), F.max(F.when(is_("CLOSE"), F.col("time"))).alias("closed"), *numbers, *times, F.array_sort(F.collect_list(F.when(is_("REASSIGN"), step))).alias("reassigned"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from caselens.functions.expressions import COMPARE, minutes
 from caselens.functions.vocabulary import AUTHORITY_WEIGHT
 
-from .log import Log, case_context, case_events
+from .log import Log, case_context, case_events, case_profile
 
 UNIT_MINUTES = {"minutes": 1, "hours": 60, "days": 1440}
 
@@ -51,8 +51,7 @@ def predicate(conditions: dict) -> Column:
 def response(log: Log, rule: Rule) -> DataFrame:
     """Cases in scope, each once, where the expected event never comes or comes at the wrong time."""
     scope = case_context(log).where(predicate(rule.applies_when)).select("cse_id", "case_id").distinct()
-    want = F.when(F.col("type") == rule.expect["event"], F.col("time"))
-    seen = case_events(log).groupBy("cse_id", "case_id").agg(F.min("time").alias("opened"), F.min(want).alias("answered"))
+    seen = case_profile(log).select("cse_id", "case_id", "opened", F.col(f"first_{rule.expect['event']}").alias("answered"))
     took = minutes(F.col("opened"), F.col("answered"))
     fits = COMPARE[rule.within[0]](took, F.lit(float(rule.within[1] * UNIT_MINUTES[rule.within[2]]))) if rule.within else F.lit(True)
     return scope.join(seen, ["cse_id", "case_id"]).where(F.col("answered").isNull() | ~fits).select("cse_id", "case_id", F.when(F.col("answered").isNull(), "never").otherwise("late").alias("detail"), took.alias("measure"))
@@ -65,17 +64,22 @@ def precedence(log: Log, rule: Rule) -> DataFrame:
     return rows.where((F.col("type") == rule.expect["after"]) & (F.col("_first").isNull() | (F.col("_first") > F.col("time")))).select("cse_id", "case_id", F.col("event_id").alias("detail"), F.lit(None).cast("double").alias("measure"))
 
 
+def precedence_cases(log: Log, rule: Rule) -> DataFrame:
+    """Cases with such an event, each once: their first `after` comes before any `before`."""
+    before, after = (F.col(f"first_{rule.expect[k]}") for k in ("before", "after"))
+    return case_profile(log).where(after.isNotNull() & (before.isNull() | (before > after))).select("cse_id", "case_id")
+
+
 def cardinality(log: Log, rule: Rule) -> DataFrame:
     """Cases with the event whose count is out of bounds."""
-    n = case_events(log).where(F.col("type") == rule.expect["event"]).groupBy("cse_id", "case_id").agg(F.count("*").cast("double").alias("measure"))
+    n = case_profile(log).select("cse_id", "case_id", F.col(f"n_{rule.expect['event']}").cast("double").alias("measure")).where("measure > 0")
     return n.where(~COMPARE[rule.expect["op"]](F.col("measure"), F.lit(float(rule.expect["bound"])))).select("cse_id", "case_id", F.lit("count").alias("detail"), "measure")
 
 
 def not_co_existence(log: Log, rule: Rule) -> DataFrame:
-    """Cases with both events, in one pass."""
-    kinds = [F.col("type") == rule.expect[k] for k in "ab"]
-    both = case_events(log).where(kinds[0] | kinds[1]).groupBy("cse_id", "case_id").agg(*(F.bool_or(k).alias(f"_{i}") for i, k in enumerate(kinds)))
-    return both.where("_0 and _1").select("cse_id", "case_id", F.lit("both").alias("detail"), F.lit(None).cast("double").alias("measure"))
+    """Cases with both events."""
+    both = [F.col(f"n_{rule.expect[k]}") > 0 for k in "ab"]
+    return case_profile(log).where(both[0] & both[1]).select("cse_id", "case_id", F.lit("both").alias("detail"), F.lit(None).cast("double").alias("measure"))
 
 
 TEMPLATES: dict[str, Callable[[Log, Rule], DataFrame]] = {"RESPONSE": response, "PRECEDENCE": precedence, "CARDINALITY": cardinality, "NOT_CO_EXISTENCE": not_co_existence}

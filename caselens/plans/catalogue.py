@@ -35,7 +35,9 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def fused(spark: SparkSession, sf_dir: str) -> fusion.Fusion:
-    return fusion.fuse(projection.log(spark, sf_dir).persist())
+    """Concerns are read several times by what follows, and are few beside the log."""
+    found = fusion.fuse(projection.log(spark, sf_dir).persist())
+    return fusion.Fusion(found.concerns.persist(), found.suppressed)
 
 
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +214,7 @@ def page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = projection.log(spark, sf_dir).persist()
-    return portfolio.peer_comparison(portfolio.case_counts(log), portfolio.flagged_counts(fusion.fuse(log).concerns))
+    return portfolio.peer_comparison(portfolio.case_counts(log), portfolio.flagged_counts(fused(spark, sf_dir).concerns))
 
 
 @query
@@ -255,7 +257,7 @@ def robustness_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def intervention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = projection.log(spark, sf_dir).persist()
-    return rounded(causal.entity_report(log, fusion.fuse(log).concerns).drop("finding_id"))
+    return rounded(causal.entity_report(log, fused(spark, sf_dir).concerns).drop("finding_id"))
 
 
 def _budgeted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -332,5 +334,5 @@ def standin_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def portfolio_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = projection.log(spark, sf_dir).persist()
-    found = fusion.fuse(log).concerns
+    found = fused(spark, sf_dir).concerns
     return portfolio.totals(log, found, portfolio.entity_risk(portfolio.peer_comparison(portfolio.case_counts(log), portfolio.flagged_counts(found))))

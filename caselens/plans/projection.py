@@ -78,7 +78,9 @@ def log(spark: SparkSession, sf_dir: str) -> Log:
         attr(assets, "criticality", F.col("criticality")), attr(assets, "asset_type", F.col("asset_type")), attr(analysts, "tier", tier),
     ]
     union = lambda xs: reduce(DataFrame.unionByName, xs)
-    return Log(event, union(objs), union(attrs))
+    by_type = dict(zip(("Case", "Alert", "Asset", "Analyst", "Queue"), objs, strict=True))
+    by_name = dict(zip(("status", "severity", "criticality", "asset_type", "tier"), attrs, strict=True))
+    return Log(event, union(objs), union(attrs), by_type, by_name)
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
