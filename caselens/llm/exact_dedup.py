@@ -29,20 +29,21 @@ from .common import mix64, parts_for, utf8
 LENGTH = 50
 Q = LENGTH // 2
 OWNERS = LENGTH - Q + 1
-BATCH_BYTES = 6 << 20  # text that a batch of documents is meant to hold; raise it with the executors' memory and the corpus
-PART_BYTES = 16 << 20  # text whose names a part is meant to hold
+BATCH_BYTES = 4 << 20  # text that a batch of documents is meant to hold; raise it with the executors' memory and the corpus
+PART_BYTES = 12 << 20  # text whose names a part is meant to hold
 BLOCK = 1 << 16  # starts named at once
 _U = np.uint64
 
 
-def _names(data: np.ndarray) -> np.ndarray:
-    """The bucket name of every Q-byte string."""
+def _names(data: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """The bucket name of every Q-byte string, or of those that start where told."""
     n = len(data) - Q + 1
-    wide = lambda at: np.ndarray((n,), "<u8", data, at, (1,)).astype(np.uint64)  # noqa: E731  8 bytes from every offset
+    every = slice(None) if start is None else start
+    wide = lambda at: np.ndarray((n,), "<u8", data, at, (1,))[every].astype(np.uint64)  # noqa: E731  8 bytes from each
     x = wide(0) * _U(0x9E3779B97F4A7C15)
     for at, by in ((8, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9)):
         x = (x ^ (x >> _U(29))) * _U(0xD6E8FEB86659FD93) + wide(at) * _U(by)
-    return mix64(x ^ (data[Q - 1 :].astype(np.uint64) * _U(0xFF51AFD7ED558CCD)))
+    return mix64(x ^ (data[Q - 1 :][every].astype(np.uint64) * _U(0xFF51AFD7ED558CCD)))
 
 
 def _refine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -133,10 +134,8 @@ class Batch:
         start = np.repeat(r.start[runs] - np.concatenate(([0], np.cumsum(r.length[runs])))[:-1], r.length[runs]) + np.arange(len(run))
         names = np.zeros(len(run), np.uint64)
         for at in range(0, len(run), BLOCK):
-            for k, lo in enumerate((0, Q)):
-                strings = np.lib.stride_tricks.sliding_window_view(r.data, Q)[start[at : at + BLOCK] + lo]
-                part = _names(np.ascontiguousarray(strings).reshape(-1))[::Q]
-                names[at : at + BLOCK] = part if not k else _refine(names[at : at + BLOCK], part)
+            part = start[at : at + BLOCK]
+            names[at : at + BLOCK] = _refine(_names(r.data, part), _names(r.data, part + Q))
         return run, start, names
 
 
@@ -256,8 +255,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         gone = (ids > least[at]) | (_replies(told, 3)[at] > 0) if len(names) else np.zeros(0, bool)
         lo = np.concatenate((b.runs.start[whole], start[gone]))
         hi = np.concatenate(((b.runs.start + b.runs.length)[whole], start[gone] + 1)) + LENGTH - 1
-        size = len(b.runs.data) + 1
-        off = np.cumsum(np.bincount(lo, minlength=size) - np.bincount(hi, minlength=size))[:-1] > 0
+        step = np.zeros(len(b.runs.data) + 1, np.int32)
+        np.add.at(step, lo, 1)
+        np.add.at(step, hi, -1)
+        off = np.cumsum(step, dtype=np.int32)[:-1] > 0
         out = []
         for k, text in enumerate(b.texts):
             own = off[b.runs.begin[k] : b.runs.begin[k + 1]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,34 +11,64 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, parts_for, utf8
+from .common import materialise, parts_for, with_ids
 from .sharding import with_rank
 
 CAPACITY = 2048
-CACHE = 300_000  # words a task remembers the ids of
+CACHE = 250_000  # parts of texts a task remembers the ids of, in each generation
 ROWS_PER_BUCKET = 20_000
 
 
+# How the tokenizer splits a text, for the letters and digits of Latin-1, where case and composition are plain.
+_LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+")
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
+_WORD_END = "</w>"
+
+
 class WordIds:
-    """Ids of a text, a white-space separated word at a time; the tokenizer never joins what ASCII white space parts."""
+    """Ids of a text, remembered by the parts that the tokenizer never joins.
+
+    A text of plain characters is split as the tokenizer splits it, any other at ASCII white space alone. Two
+    generations of remembered parts keep the frequent ones within bounded memory.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith(_WORD_END)]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, parts: list[str], plain: bool) -> list[bytes]:
+        if plain:  # each is one word to the tokenizer, so all can go in one call
+            ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(parts):
+                return [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def __call__(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = utf8(text).split()
-        new = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(set(words))
-        if new:
-            made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, made, strict=True))
-        return b"".join(map(self.known.__getitem__, words))
+        if not text:
+            return b""
+        plain = _PLAIN.fullmatch(text) is not None and "<|" not in text
+        parts = _SPLIT.findall(text.lower()) if plain else [" " + w for w in re.split(r"[ \t\n\x0b\x0c\r]+", text) if w]  # the blank tells them from plain parts
+        found = list(map(self.young.get, parts))
+        if None in found:
+            new = {p for p, f in zip(parts, found, strict=True) if f is None}
+            if len(self.young) + len(new) > CACHE:
+                self.old, self.young = self.young, {}
+                new = set(parts)
+            known = {p: self.old[p] for p in new if p in self.old}
+            lacking = [p for p in new if p not in known]
+            self.young.update(known)
+            self.young.update(zip(lacking, self._encode(lacking, plain), strict=True) if lacking else ())
+            found = list(map(self.young.__getitem__, parts))
+        return b"".join(found)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,14 +77,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         to_ids = WordIds(tokenizer_path)
         for pdf in it:
-            out = []
-            for i, text in zip(pdf["_id"], pdf["_text"], strict=True):
-                ids = to_ids(text if isinstance(text, str) else None) + b"\0\0\0\0"
-                out += [(i, k, k * capacity, len(part) // 4, part) for k, part in enumerate(ids[at : at + 4 * capacity] for at in range(0, len(ids), 4 * capacity))]
-            yield pd.DataFrame(out, columns=["_id", "piece", "start", "length", "ids"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(batches, f"_id {kind}, piece int, start long, length long, ids binary")
+            for at in range(0, len(pdf), 500):
+                out = []
+                for i, text in zip(pdf["_id"].iloc[at : at + 500], pdf["_text"].iloc[at : at + 500], strict=True):
+                    ids = to_ids(text if isinstance(text, str) else None) + b"\0\0\0\0"
+                    out += [(i, k, k * capacity, len(part) // 4, part) for k, part in enumerate(ids[b : b + 4 * capacity] for b in range(0, len(ids), 4 * capacity))]
+                yield pd.DataFrame(out, columns=["_id", "piece", "start", "length", "ids"])
+
+    out = with_ids(docs, id_col, text_col).mapInPandas(batches, "_id string, piece int, start long, length long, ids binary")
+    return out.withColumn("_id", F.col("_id").cast(docs.schema[id_col].dataType))
 
 
 @dataclass(frozen=True)
