@@ -17,7 +17,7 @@ to name ranges and back, each batch asking about a name once however often it ho
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -127,16 +127,22 @@ class Batch:
         out[some] = (self.ids[self.runs.doc[some]] > ids[at]) | (answer[at] > 0) if len(some) else out[some]
         return out
 
-    def open_starts(self, state: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Run, start and name of every 50-byte string that question 3 is about."""
-        r, runs = self.runs, np.flatnonzero((state == 2) & ~whole)
-        run = np.repeat(runs, r.length[runs])
-        start = np.repeat(r.start[runs] - np.concatenate(([0], np.cumsum(r.length[runs])))[:-1], r.length[runs]) + np.arange(len(run))
-        names = np.zeros(len(run), np.uint64)
-        for at in range(0, len(run), BLOCK):
-            part = start[at : at + BLOCK]
-            names[at : at + BLOCK] = _refine(_names(r.data, part), _names(r.data, part + Q))
-        return run, start, names
+    def open_starts(self, state: np.ndarray, whole: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids, starts and names of every 50-byte string that question 3 is about, some BLOCK of them at once; ids ascend."""
+        r, open_ = self.runs, np.flatnonzero((state == 2) & ~whole)
+        ends = np.cumsum(r.length[open_])
+        cuts = np.searchsorted(ends, np.arange(BLOCK, ends[-1] + BLOCK, BLOCK)) if len(open_) else []
+        lo = 0
+        for hi in cuts:
+            runs, lo = open_[lo : hi + 1], hi + 1
+            if len(runs):
+                n = r.length[runs]
+                start = np.repeat(r.start[runs] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                yield np.repeat(self.ids[r.doc[runs]], n), start, _refine(_names(r.data, start), _names(r.data, start + Q))
+
+    def ask_starts(self, state: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [_earliest(names, ids) for ids, _, names in self.open_starts(state, whole)]
+        return _earliest(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def _firsts(ascending: np.ndarray) -> np.ndarray:
@@ -144,8 +150,8 @@ def _firsts(ascending: np.ndarray) -> np.ndarray:
 
 
 def _earliest(names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each name once, ascending, with its least id."""
-    order = np.lexsort((ids, names))
+    """Each name once, ascending, with its least id; wherever a name recurs, its ids ascend."""
+    order = np.argsort(names, kind="stable")
     first = _firsts(names[order])
     return names[order][first], ids[order][first]
 
@@ -242,22 +248,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def starts(key: tuple, pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         b = Batch(pdf)
-        run, _, names = b.open_starts(*settle(b, told))
-        return _letters(key[0], 3, parts, *_earliest(names, b.ids[b.runs.doc[run]]))
+        return _letters(key[0], 3, parts, *b.ask_starts(*settle(b, told)))
 
     def finish(key: tuple, pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         b = Batch(pdf)
         state, whole = settle(b, told)
-        run, start, names = b.open_starts(state, whole)
-        ids = b.ids[b.runs.doc[run]]
-        asked, least = _earliest(names, ids)
-        at = np.searchsorted(asked, names)
-        gone = (ids > least[at]) | (_replies(told, 3)[at] > 0) if len(names) else np.zeros(0, bool)
-        lo = np.concatenate((b.runs.start[whole], start[gone]))
-        hi = np.concatenate(((b.runs.start + b.runs.length)[whole], start[gone] + 1)) + LENGTH - 1
+        asked, least = b.ask_starts(state, whole)
+        earlier = _replies(told, 3) > 0
         step = np.zeros(len(b.runs.data) + 1, np.int32)
-        np.add.at(step, lo, 1)
-        np.add.at(step, hi, -1)
+
+        def cover(lo: np.ndarray, hi: np.ndarray) -> None:
+            np.add.at(step, lo, 1)
+            np.add.at(step, hi + LENGTH - 1, -1)
+
+        cover(b.runs.start[whole], (b.runs.start + b.runs.length)[whole])
+        for ids, start, names in b.open_starts(state, whole):
+            at = np.searchsorted(asked, names)
+            gone = start[(ids > least[at]) | earlier[at]]
+            cover(gone, gone + 1)
         off = np.cumsum(step, dtype=np.int32)[:-1] > 0
         out = []
         for k, text in enumerate(b.texts):
