@@ -17,6 +17,9 @@ from .components import components
 BITS = 64
 GROUP_LIMIT = 1024  # fingerprints that one trie may hold; larger groups are split by more bits
 ROWS_PER_TASK = 400_000
+SHINGLE = 5  # words
+SIMILAR = (4, 5)  # as a fraction: the least Jaccard similarity of near-duplicates
+SHINGLES_PER_TASK = 2_000_000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -155,15 +158,11 @@ def near_duplicates(docs: DataFrame, budget: int = 2, width: int = 3, id_col: st
     return rows.join(of, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def word_fingerprints(text: str | None, seeds: int, letters: int = 7, least: int = 12) -> list[int]:
-    """A fingerprint for each seed over the words of `letters` bytes or more, each as often as it comes; where they are
-    fewer than `least`, over all runs of one to three words."""
-    words = utf8(text).lower().split()
-    if not words:
+def word_fingerprints(text: str | None, seeds: int) -> list[int]:
+    """A fingerprint for each seed over the distinct words, whatever the text's length."""
+    held = set(utf8(text).lower().split())
+    if not held:
         return [0] * seeds
-    held = [w for w in words if len(w) >= letters]
-    if len(held) < least:
-        held = [b" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, held), np.uint64, len(held))
     out = []
     for seed in range(seeds):
@@ -172,13 +171,61 @@ def word_fingerprints(text: str | None, seeds: int, letters: int = 7, least: int
     return out
 
 
-def one_of_each(docs: DataFrame, budget: int = 3, seeds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of all runs of SHINGLE words, ascending; a shorter text is one run, a wordless one the empty run."""
+    words = utf8(text).lower().split()
+    joined = b" ".join(words)
+    if len(words) <= SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    one = xxhash.xxh64_intdigest
+    return np.unique(np.array([one(joined[s : e - 1], 42) for s, e in zip([0, *ends], ends[SHINGLE - 1 :])], np.uint64))  # noqa: B905  the starts are longer
+
+
+def similar(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Index pairs of Jaccard similarity SIMILAR or more that connect all sets which such pairs connect.
+
+    The first set is held against all others and leaves. A set near it leaves too once no set that isn't near can be
+    near to it: 1 - Jaccard is a metric, so the two are at least as far apart as their distances to the first differ.
+    """
+    live, size = np.arange(len(sets)), np.array([len(s) for s in sets])
+    codes: np.ndarray | None = None
+    while len(live) > 1:
+        if codes is None or 2 * len(live) < len(held):
+            held = live
+            _, codes = np.unique(np.concatenate([sets[i] for i in held]), return_inverse=True)
+            bounds = np.concatenate(([0], np.cumsum(size[held])))
+        first, rest = live[0], live[1:]
+        mark = np.zeros(int(codes.max()) + 1, bool)
+        at = np.searchsorted(held, live)
+        mark[codes[bounds[at[0]] : bounds[at[0] + 1]]] = True
+        both = np.add.reduceat(mark[codes], bounds[:-1], dtype=np.int64)[at[1:]]
+        either = size[first] + size[rest] - both
+        near = both * SIMILAR[1] >= either * SIMILAR[0]
+        yield from ((int(first), int(i)) for i in rest[near])
+        apart = 1 - both / either
+        least = apart[~near].min(initial=np.inf)
+        live = rest[~near | (apart >= least - (1 - SIMILAR[0] / SIMILAR[1]) - 1e-9)]
+
+
+def _true_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links by `similar` within each candidate group; rows that repeat an id are of one document."""
+    out = []
+    for _, part in pdf.sort_values(["_c", "_id"], kind="stable").groupby("_c", sort=False):
+        ids = part["_id"].to_numpy()
+        out += [(ids[i], ids[j]) for i, j in similar([np.asarray(s, np.int64).view(np.uint64) for s in part["_set"]]) if ids[i] != ids[j]]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def one_of_each(docs: DataFrame, budget: int = 3, seeds: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the row of least id of each near-duplicate group; every column stays.
 
-    Rows are linked where their fingerprints differ by up to `budget` bits under one seed at least. Single words are the
-    features: with shingles of five words, texts that share 0.8 of them differ by 11 of 64 bits in the median, further
-    than any budget that still prunes; over long words it's 3, and several seeds find most of the rest.
-    Null or wordless texts are one group. Null ids are in no group and stay. Rows that repeat a kept id stay.
+    Texts are linked where their sets of five-word shingles (ASCII lower case) have a Jaccard similarity of 0.8 or more.
+    Candidates are texts whose fingerprints differ by up to `budget` bits under one seed at least, over distinct words:
+    with shingles, texts that share 0.8 of them differ by 11 of 64 bits in the median, further than any budget that
+    still prunes; over words it's 3, and the seeds find the rest. All pairs of a group of candidates are then verified
+    on their shingles before they count as links. Null or wordless texts are one group. Null ids are in no group and
+    stay. Rows that repeat a kept id stay.
     """
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,6 +233,10 @@ def one_of_each(docs: DataFrame, budget: int = 3, seeds: int = 6, id_col: str =
             made = [np.array(word_fingerprints(t if isinstance(t, str) else None, seeds), np.uint64).view(np.int64) for t in pdf["_text"]]
             yield pd.DataFrame({"_id": np.repeat(pdf["_id"].to_numpy(), seeds), "seed": np.tile(np.arange(seeds), len(pdf)), "fp": np.concatenate(made) if made else []})
 
+    def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pdf[["_id", "_c"]].assign(_set=[shingles(t if isinstance(t, str) else None).view(np.int64) for t in pdf["_text"]])
+
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     # Equal texts share all fingerprints, so only the first of them is held against others.
     named = materialise(rows.select("_id", F.xxhash64(F.coalesce("_text", F.lit(""))).alias("n1"), F.xxhash64(F.lit(1), F.coalesce("_text", F.lit(""))).alias("n2")))
@@ -195,6 +246,10 @@ def one_of_each(docs: DataFrame, budget: int = 3, seeds: int = 6, id_col: str =
     marks = materialise(alone.mapInPandas(batches, "_id long, seed int, fp long"))
     fps = materialise(marks.groupBy("seed", "fp").agg(F.min("_id").alias("rep")))
     same = marks.join(fps, ["seed", "fp"]).where("_id <> rep").select(F.col("_id").alias("a"), F.col("rep").alias("b"))
-    found = components(same.union(copies).union(links(fps, budget)))
+    maybe = components(same.union(links(fps, budget))).select(F.col("node").alias("_id"), F.col("component").alias("_c"))
+    held = materialise(alone.join(maybe, "_id").mapInPandas(sets, "_id long, _c long, _set array<long>"))
+    tasks = parts_for(held.agg(F.sum(F.size("_set"))).first()[0], SHINGLES_PER_TASK, 24)
+    true = held.withColumn("_p", F.pmod(F.xxhash64("_c"), F.lit(tasks))).groupBy("_p").applyInPandas(lambda pdf: _true_links(pdf), "a long, b long")
+    found = components(copies.union(true))
     gone = found.where("node <> component").select(F.col("node").cast(docs.schema[id_col].dataType).alias(id_col))
     return docs.join(gone, id_col, "left_anti")

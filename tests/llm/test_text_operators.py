@@ -176,6 +176,32 @@ def test_one_of_each(spark):
     assert simhash.near_duplicates(frame(spark, [])).isEmpty()
 
 
+def test_near_duplicates_share_shingles(spark):
+    """Links are those of five-word shingles with a similarity of 0.8, on either side of that bound and for any words."""
+    R = random.Random(16)
+    short = lambda n: [R.choice("abcdefgh") + R.choice("aeiou") + R.choice("lmnr") + R.choice(["", "s", "t", "ing"]) for _ in range(n)]
+    docs, long = [], ["".join(R.choice("abcdefgh") for _ in range(9)) for _ in range(40)]
+    for k in range(12):
+        words = short(R.choice([60, 120, 240]))
+        docs += [(10 * k, words), (10 * k + 1, words[:30] + ["changed"] + words[31:]), (10 * k + 2, [w if i % 8 else "z" + w for i, w in enumerate(words)])]
+    docs += [(500, [x for w in long for x in (w, "in", "the")]), (501, [x for w in long for x in (w, "or", "of")]), (502, long[::-1])]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in docs}
+    near = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    label = {i: i for i in sets}
+    for _ in sets:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.doc_id for r in simhash.one_of_each(frame(spark, [(i, " ".join(w)) for i, w in docs])).collect()}
+    assert got == {i for i in sets if label[i] == i} and {500, 501, 502, 2} <= got and 1 not in got
+    names = [i for i, _ in docs]
+    pairs = [(names[a], names[b]) for a, b in simhash.similar([simhash.shingles(" ".join(w)) for _, w in docs])]
+    reach = {i: i for i in sets}
+    for _ in sets:
+        for a, b in pairs:
+            reach[a] = reach[b] = min(reach[a], reach[b])
+    assert reach == label
+
+
 # --- counts, hosts -------------------------------------------------------------------------------------------------
 
 
