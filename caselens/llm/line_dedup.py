@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 EDITS = 1  # so a line has EDITS + 1 = 2 segments
-MIN_CHARS = 24  # shorter lines ("Yes.", "* * *") repeat by chance and stay
+MIN_CHARS = 24  # shorter lines are only dropped for an equal one, as an edit makes another line of them
+MIN_WORDS = 2  # words of two letters or more that a shorter line needs; "Yes." and "* * *" repeat by chance and stay
+WORDS = r"(\p{L}\p{M}*){2}([^\n]*[^\p{L}\p{M}](\p{L}\p{M}*){2}){%d}" % (MIN_WORDS - 1)
 HOT_KEY = 16  # lines that share a segment and are still paired with each other
 BROADCAST_ROWS = 500_000  # candidate pairs (32 bytes each) that may be broadcast
 
@@ -44,9 +46,9 @@ def within(a: str, b: str, k: int = EDITS) -> bool:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, line_no, line (trimmed) and its 128-bit name in h1, h2, of every line long enough to count."""
+    """_id, line_no, line (trimmed) and its 128-bit name in h1, h2, of every line with enough to it."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "_raw"))
-    rows = rows.select("_id", "line_no", F.expr("trim(both ' \\t\\r' from _raw)").alias("line")).where(F.char_length("line") >= MIN_CHARS)
+    rows = rows.select("_id", "line_no", F.expr("trim(both ' \\t\\r' from _raw)").alias("line")).where((F.char_length("line") >= MIN_CHARS) | F.col("line").rlike(WORDS))
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -137,7 +139,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = _lines(docs, id_col, text_col)
     distinct = materialise(lines.groupBy("h1", "h2").agg(F.min(F.struct("_id", "line_no")).alias("pos"), F.count("*").alias("n"), F.first("line").alias("line")).select("h1", "h2", "n", "pos._id", "pos.line_no", "line"))
     own = distinct.select("h1", "h2", "n", F.struct("_id", "line_no").alias("pos"))
-    first = own.join(near_lines(distinct), ["h1", "h2"], "left").where("n > 1 or near is not null").select("h1", "h2", "pos", "near")
+    first = own.join(near_lines(distinct.where(F.char_length("line") >= MIN_CHARS)), ["h1", "h2"], "left").where("n > 1 or near is not null").select("h1", "h2", "pos", "near")
     at = F.struct("_id", "line_no")
     gone = lines.select("_id", "line_no", "h1", "h2").join(first, ["h1", "h2"]).where((at > F.col("pos")) | (at > F.col("near")))
     return gone.groupBy("_id").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"), F.count_if(~(at > F.col("pos"))).alias("n_near"))
@@ -146,8 +148,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id_col, n_lines, n_dropped, n_near, dropped_lines (their numbers from 0, comma-separated).
 
-    A line of at least MIN_CHARS characters (spaces, tabs and returns at its ends aside) is dropped if a line at an
-    earlier (id, line number) is equal to it or one edit away, whether that line stays or not. Null text: no lines.
+    A line (spaces, tabs and returns at its ends aside) of at least MIN_CHARS characters or MIN_WORDS words is dropped if
+    a line at an earlier (id, line number) is equal to it, whether that line stays or not; one of at least MIN_CHARS
+    characters also if such a line is one edit away. Null text: no lines.
     Empty text: one line, which stays. Null ids neither give nor lose lines. Repeated rows lose the same lines, and
     equal positions aren't earlier than each other. Empty table: no rows. Other columns are ignored.
     """

@@ -114,6 +114,12 @@ def test_lines(spark, monkeypatch, hot):
         assert texts[i] == (None if t is None else "\n".join(x for n, x in enumerate(lines) if n not in gone))
 
 
+def test_short_lines_repeat(spark):
+    docs = [(1, "All rights reserved.\nYes.\n* * *\nÀ é í\nOf, edti oner."), (2, " All rights reserved.\nYes.\n* * *\nÀ é í\nOf, edti onex."), (3, "x\nOf, edti oner.\t\nErheed. Titionly.\nErheed. Titionly.")]
+    got = {r.doc_id: (r.dropped_lines, r.n_near) for r in line_dedup.line_report(frame(spark, docs)).collect()}
+    assert got == {1: ("", 0), 2: ("0", 0), 3: ("1,3", 0)}
+
+
 def test_no_lines(spark):
     assert line_dedup.line_report(frame(spark, [])).isEmpty()
 
