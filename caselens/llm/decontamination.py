@@ -53,13 +53,16 @@ class Template:
     words: list[bytes]
     hashes: np.ndarray
     slot: np.ndarray
+    other: np.ndarray  # hashes with each capitalised word read the other way, as a name or as a word
 
 
-def template(text: str | None, canon: Canon) -> Template:
-    """Numbers, units right after a number, and capitalised words inside a sentence become typed placeholders."""
-    words, codes = [], []
+def template(text: str | None, canon: Canon, by_line: bool = True) -> Template:
+    """Numbers, units right after a number, and capitalised words inside a sentence become typed placeholders. by_line:
+    a line start opens a sentence."""
+    words, codes, firsts = [], [], []
     for line in utf8(text).split(b"\n"):
         if part := line.split():
+            firsts.append(len(words))
             words += part
             got = list(map(canon.__getitem__, part))
             codes += got
@@ -68,30 +71,55 @@ def template(text: str | None, canon: Canon) -> Template:
     ends = (code & np.uint64(4)) > 0
     before = np.concatenate(([False], kind[:-1] == 1)) if len(code) else np.zeros(0, bool)
     opens = np.concatenate(([True], ends[:-1])) if len(code) else np.zeros(0, bool)
+    if by_line:
+        opens[firsts] = True
     slot = np.where(kind == 1, 1, np.where((kind == 2) & ~opens, 2, np.where((kind == 3) & before, 3, 0)))
-    hashes = code & ~np.uint64(7)
+    plain = code & ~np.uint64(7)
+    hashes = plain.copy()
     for k, name in ((1, NUM), (2, NAME), (3, UNIT)):
         hashes[slot == k] = SLOTS[name]
-    return Template(words, hashes, slot)
+    return Template(words, hashes, slot, np.where(kind == 2, np.where(slot == 2, plain, np.uint64(SLOTS[NAME])), hashes))
 
 
-def window_hashes(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and fitness of each window; fit ones hold enough words that are no placeholder."""
-    n = len(t.hashes) - width + 1
+def rolled(hashes: np.ndarray, width: int, firsts: np.ndarray | None = None) -> np.ndarray:
+    """Hash of each window, with its first word's hash from `firsts`."""
+    n = len(hashes) - width + 1
     if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for i in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + (t.hashes[i : i + n] ^ (t.hashes[i : i + n] >> np.uint64(29)))
+        part = (hashes if i or firsts is None else firsts)[i : i + n]
+        out = out * np.uint64(0x9E3779B97F4A7C15) + (part ^ (part >> np.uint64(29)))
+    return mix64(out)
+
+
+def fit_windows(t: Template, width: int) -> np.ndarray:
+    """Whether each window holds enough words that are no placeholder."""
     plain = np.concatenate(([0], np.cumsum(t.slot == 0)))
-    return mix64(out), plain[width:] - plain[:-width] >= min(MIN_LITERAL, width)
+    return plain[width:] - plain[:-width] >= min(MIN_LITERAL, width)
+
+
+class Exact(dict):
+    """Raw word -> hash of it in lower case, without the marks at its ends."""
+
+    def __missing__(self, raw: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        word = raw.decode("utf-8", "surrogatepass")
+        out = self[raw] = _literal((_EDGE.sub("", word) or word).lower())
+        return out
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 class Index:
-    """Windows of a bounded block of items, by width (an item shorter than WINDOW is one window of its own width)."""
+    """Windows of a bounded block of items, by width (an item shorter than WINDOW is one window of its own width). Items
+    without a fit window are held as exact sequences of words, by the hash of their first window."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        canon = Canon()
+        canon, self.exact_words = Canon(), Exact()
+        self.exact: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
         self.templates = {}
         self.total: dict[int, int] = {}
         found: dict[int, list] = defaultdict(list)
@@ -100,10 +128,16 @@ class Index:
             width = min(WINDOW, len(t.words))
             if width < MIN_LITERAL:
                 continue
-            hashes, fit = window_hashes(t, width)
+            fit = fit_windows(t, width)
+            if not fit.any():
+                words = self.exact_words.of(t.words)
+                self.exact[width][int(rolled(words, width)[0])].append((item, words))
+                continue
             self.templates[item] = t
             self.total[item] = int(fit.sum())
-            found[width] += [(h, item, j) for j, h in enumerate(hashes.tolist()) if fit[j]]
+            # A window that a capitalised word opens is held with it as a word and as a name.
+            both = [rolled(t.hashes, width), rolled(t.hashes, width, t.other)]
+            found[width] += {(h, item, j) for hashes in both for j, h in enumerate(hashes.tolist()) if fit[j]}
         self.by_width = {}
         for width, rows in found.items():
             rows.sort()
@@ -112,27 +146,43 @@ class Index:
             bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
             self.by_width[width] = hashes, bits, [r[1:] for r in rows]
 
-    def matches(self, t: Template) -> list[tuple]:
-        """item_id, n_windows, coverage, n_slots, n_changed of every item that the text holds with consistent slots."""
-        lanes: dict[tuple[int, int], list[int]] = defaultdict(list)
+    def matches(self, text: str | None, canon: Canon) -> list[tuple]:
+        """item_id, n_windows, coverage, n_slots, n_changed of every item that the text holds with consistent slots.
+
+        Line starts are read as opening a sentence and, since a sentence may run on, as not opening one.
+        """
+        readings = [template(text, canon), template(text, canon, by_line=False)]
+        readings = readings[: 1 + bool((readings[0].slot != readings[1].slot).any())]
+        lanes: dict[tuple[int, int], set[int]] = defaultdict(set)
+        t = readings[0]
         for width, (hashes, bits, at) in self.by_width.items():
-            own, fit = window_hashes(t, width)
-            for i in np.flatnonzero(bits[(own >> np.uint64(44)).astype(np.int64)] & fit) if len(own) else ():
-                lo, hi = np.searchsorted(hashes, own[i], "left"), np.searchsorted(hashes, own[i], "right")
-                for item, j in at[lo:hi]:
-                    lanes[item, int(i) - j].append(j)
+            for own in [rolled(r.hashes, width, firsts) for r in readings for firsts in (None, r.other)]:
+                for i in np.flatnonzero(bits[(own >> np.uint64(44)).astype(np.int64)]) if len(own) else ():
+                    lo, hi = np.searchsorted(hashes, own[i], "left"), np.searchsorted(hashes, own[i], "right")
+                    for item, j in at[lo:hi]:
+                        lanes[item, int(i) - j].add(j)
         best: dict[int, dict] = {}
         for (item, shift), js in lanes.items():
             ours = self.templates[item]
             width = min(WINDOW, len(ours.words))
-            spots = sorted({j + k for j in js for k in range(width) if ours.slot[j + k]})
+            spots = sorted({j + k for j in js for k in range(width) if ours.slot[j + k]} | {j for j in js if ours.words[j].lower().strip(b".,;:!?()") != t.words[j + shift].lower().strip(b".,;:!?()") and ours.other[j] != ours.hashes[j]})
             given: dict[bytes, bytes] = {}
             same = all(given.setdefault(ours.words[p].strip(b".,;:!?()"), got) == got for p in spots for got in [t.words[p + shift].strip(b".,;:!?()")])
             if same:
                 kept = best.setdefault(item, {"js": set(), "slots": {}})
                 kept["js"].update(js)
                 kept["slots"].update((p, ours.words[p].strip(b".,;:!?()") != t.words[p + shift].strip(b".,;:!?()")) for p in spots)
-        return [(item, len(x["js"]), len(x["js"]) / self.total[item], len(x["slots"]), sum(x["slots"].values())) for item, x in sorted(best.items()) if len(x["js"]) >= MIN_COVERAGE * self.total[item]]
+        return self._exact(t.words) + [(item, len(x["js"]), len(x["js"]) / self.total[item], len(x["slots"]), sum(x["slots"].values())) for item, x in sorted(best.items()) if len(x["js"]) >= MIN_COVERAGE * self.total[item]]
+
+    def _exact(self, words: list[bytes]) -> list[tuple]:
+        if not self.exact:
+            return []
+        codes, out = self.exact_words.of(words), set()
+        for width, held in self.exact.items():
+            own = rolled(codes, width)
+            for i in np.flatnonzero(np.isin(own, np.fromiter(held, np.uint64, len(held)))):
+                out |= {(item, len(x) - width + 1, 1.0, 0, 0) for item, x in held[int(own[i])] if np.array_equal(codes[i : i + len(x)], x)}
+        return sorted(out)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -140,7 +190,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     n_changed counts slots filled with other values than the item's; 0 is a copy, more a re-parameterised question.
     A text counts if it holds MIN_COVERAGE of an item's template windows, and each value of the item is replaced by one
-    value throughout. The benchmark is read in blocks of bounded size and each is held against all documents, which
+    value throughout. An item of which no window holds MIN_LITERAL plain words counts where a text holds all its words in
+    a row, values included, whatever their case (n_slots 0). The benchmark is read in blocks of bounded size and each is held against all documents, which
     never move. Null or empty texts hold nothing; items under four words, null items and null item ids are left out.
     Items that repeat return one row each id. Repeated documents each return. Other columns are ignored.
     """
@@ -155,7 +206,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         def batches(it: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             index, canon = Index(held.value), Canon()
             for pdf in it:
-                out = [(i, *m) for i, t in zip(pdf["_id"], pdf["_text"], strict=True) for m in index.matches(template(t, canon))]
+                out = [(i, *m) for i, t in zip(pdf["_id"], pdf["_text"], strict=True) for m in index.matches(t, canon)]
                 yield pd.DataFrame(out, columns=["_id", "item_id", "n_windows", "coverage", "n_slots", "n_changed"])
 
         one = rows.mapInPandas(batches, "_id string, item_id long, n_windows long, coverage double, n_slots long, n_changed long")

@@ -299,3 +299,12 @@ def test_leaks(spark):
     assert got[1] == (0, 0) and got[2][0] == 0 and got[2][1] > 0 and 3 not in got and None in got and 4 not in got
     assert {r.doc_id for r in decontamination.clean(frame(spark, docs), bench).collect()} == {3, 4, 5, 6, None}
     assert decontamination.leaks(frame(spark, docs), bench.limit(0)).isEmpty() and decontamination.leaks(frame(spark, []), bench).isEmpty()
+
+
+def test_leaks_of_short_items(spark):
+    items = ["12 + 30 = 42", "If Alice gives Bob 5 kg", "Did Marie Curie Win The Nobel Prize?", "What is the capital of France?", "Alice sold every apple on the old market"]
+    docs = [(1, "Now 12 + 30 = 42."), (2, "so IF alice gives Bob 5 kg, then"), (3, "Quiz: Did Marie Curie\nWin The Nobel Prize?"), (4, "Quiz A\nWhat is the capital of France?"), (5, "as What is the capital of\nFrance?")]
+    docs += [(6, "12 + 30 = 43"), (7, "If Alice gives Bob 6 kg"), (8, "yesterday Bella sold every apple on the old market"), (9, "What is the weather of France?")]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_changed) for r in decontamination.leaks(frame(spark, docs), bench).collect()}
+    assert got == {(1, 0, 0), (2, 1, 0), (3, 2, 0), (4, 3, 0), (5, 3, 0), (8, 4, 1)}
