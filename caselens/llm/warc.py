@@ -28,13 +28,13 @@ class BadArchive(ValueError):
     """The bytes aren't a well-formed archive."""
 
 
-def record_bytes(page_id: int, url: str, payload: bytes | None, digest: str, length: int, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. payload None: a revisit, whose block ends after the HTTP header."""
+def record_bytes(page_id: int | str | None, url: str, payload: bytes | None, digest: str, length: int, refers_to: int | str | None) -> bytes:
+    """One WARC/1.1 record. payload None: a revisit, whose block ends after the HTTP header. A null id is named null."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode() + (payload or b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>",
         f"WARC-Target-URI: {re.sub(r'[\x00-\x20\x7f]', lambda m: f'%{ord(m[0]):02X}', url)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -118,15 +118,21 @@ def parse_record(data: bytes) -> dict:
         raise BadArchive("the payload doesn't fit its length or digest")
     if kind == "revisit" and (payload or "warc-refers-to" not in fields):
         raise BadArchive("a revisit needs a target and no payload")
-    page = lambda k: int(re.fullmatch(r"<urn:page:(-?\d+)>", fields[k])[1]) if k in fields else None
+
+    def page(k: str) -> int | None:
+        found = re.fullmatch(r"<urn:page:(-?\d+|null)>", fields.get(k, "<urn:page:null>"))
+        if not found:
+            raise BadArchive(f"{k} names no page: {fields[k][:80]!r}")
+        return None if found[1] == "null" else int(found[1])
+
     return {"page_id": page("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "payload_bytes": int(told[1]), "payload_digest": digest, "refers_to": page("warc-refers-to"), "payload": payload if kind == "response" else None}
 
 
 def _first_copies(pages: DataFrame) -> DataFrame:
-    """page_id of every row whose payload an earlier page holds, with that page's id."""
-    light = pages.where(F.col("_bytes") >= MIN_REVISIT_BYTES).select("page_id", "_digest")
+    """page_id and _digest of every row whose payload an earlier page holds, with that page's id. Null ids take no part."""
+    light = pages.where(F.col("page_id").isNotNull() & (F.col("_bytes") >= MIN_REVISIT_BYTES)).select("page_id", "_digest")
     first = light.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return light.join(first, "_digest").where("page_id <> _first").select("page_id", F.col("_first").alias("refers_to")).distinct()
+    return light.join(first, "_digest").where("page_id <> _first").select("page_id", "_digest", F.col("_first").alias("refers_to")).distinct()
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -134,22 +140,26 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     Of payloads equal and at least MIN_REVISIT_BYTES long the least id is the response and the others revisit it, so a
     payload is stored once however many pages hold it. Null html: an empty payload. Null url: an empty target. Null id:
-    an error, as a record needs one. Repeated ids with equal payloads: each a response. Other columns are ignored.
+    a response named <urn:page:null>, read back as null. Repeated ids with equal payloads: each a response; with other
+    payloads each row is judged by its own. Other columns are ignored.
     """
     html = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("_url"), html.alias("_html")).withColumns({"_digest": F.sha2("_html", 256), "_bytes": F.octet_length("_html").cast("long")})
     total = rows.agg(F.sum("_bytes")).first()[0]
     archives = parts_for(total, ARCHIVE_BYTES, 12)
-    archive = F.pmod(F.xxhash64("page_id"), F.lit(archives)).alias("archive")
+    archive = F.pmod(F.xxhash64("page_id", "_digest"), F.lit(archives)).alias("archive")
+    as_text = F.col("page_id").cast("string").alias("page_id")  # pandas makes long ids with nulls floats
 
     def pack(key: tuple, pdf: pd.DataFrame, copies: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page_id", kind="stable")
-        first = dict(zip(copies["page_id"].tolist(), copies["refers_to"].tolist(), strict=True))
-        records = [record_bytes(p, u, None if p in first else h, d, n, first.get(p)) for p, u, h, d, n in zip(pdf["page_id"].tolist(), pdf["_url"], pdf["_html"], pdf["_digest"], pdf["_bytes"].tolist(), strict=True)]
+        order = [(p is None, int(p or 0)) for p in (x if isinstance(x, str) else None for x in pdf["page_id"])]
+        pdf = pdf.iloc[sorted(range(len(order)), key=order.__getitem__)]
+        ids = [p if isinstance(p, str) else None for p in pdf["page_id"]]
+        first = {(p, d): to for p, d, to in zip(copies["page_id"], copies["_digest"], copies["refers_to"], strict=True)}
+        records = [record_bytes(p, u, None if (p, d) in first else h, d, n, first.get((p, d))) for p, u, h, d, n in zip(ids, pdf["_url"], pdf["_html"], pdf["_digest"], pdf["_bytes"].tolist(), strict=True)]
         return pd.DataFrame({"archive": [key[0]], "content": [archive_bytes(records)]})
 
-    copies = materialise(_first_copies(rows).select("page_id", "refers_to", archive))
-    return rows.select("*", archive).groupBy("archive").cogroup(copies.groupBy("archive")).applyInPandas(pack, "archive long, content binary")
+    copies = materialise(_first_copies(rows).select(as_text, "_digest", F.col("refers_to").cast("string").alias("refers_to"), archive))
+    return rows.select(as_text, "_url", "_html", "_digest", "_bytes", archive).groupBy("archive").cogroup(copies.groupBy("archive")).applyInPandas(pack, "archive long, content binary")
 
 
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -179,8 +189,7 @@ def read_archives(files: DataFrame, content_col: str = "content") -> DataFrame:
 
 
 def _frame(records: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(records)
-    return out.assign(refers_to=out["refers_to"].astype("Int64"))
+    return pd.DataFrame(records).assign(**{k: pd.array([r[k] for r in records], "Int64") for k in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

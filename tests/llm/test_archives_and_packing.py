@@ -29,6 +29,16 @@ def test_round_trip(spark):
     assert len(got) == len(pages) and warc.round_trip(df.limit(0)).isEmpty()
 
 
+def test_archives_of_null_and_repeated_ids(spark):
+    a, b, big = "a" * 200, "b" * 200, (1 << 60) + 1
+    pages = [(1, a), (None, a), (None, "n" * 200), (None, None), (2, b), (2, a), (big, "c" * 150), (big + 1, "c" * 150)]
+    df = spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string")
+    got = [(r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()]
+    to = {(2, a): 1, (big + 1, "c" * 150): big}
+    want = [(i, hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if (i, h) in to else "response", to.get((i, h))) for i, h in pages]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_bad_archives():
     good = warc.archive_bytes([warc.record_bytes(1, "u", b"x" * 200, hashlib.sha256(b"x" * 200).hexdigest(), 200, None)])
     assert [warc.parse_record(f)["payload_bytes"] for f in warc.split_frames(good)[1]] == [200]
