@@ -11,6 +11,7 @@ import math
 from collections.abc import Callable
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -88,8 +89,8 @@ def choose(classes: dict[Class, int], budget: float) -> dict[Class, int]:
     return best
 
 
-def _walk(concerns: DataFrame, budget: DataFrame, keys: list[str], order: list[str], f: Callable[[dict, float], dict]) -> DataFrame:
-    """Apply f to the classes of each scope; returns the concerns that it takes, the first ones by id of each class."""
+def _walk(concerns: DataFrame, budget: DataFrame, keys: list[str], order: list[str], f: Callable[[dict, float], dict], by: Column | None = None) -> DataFrame:
+    """Apply f to the classes of each scope; returns the concerns that it takes, the first ones of each class by `by` and id."""
     rows = concerns.withColumn("_bucket", bucket())
     classes = rows.groupBy(*keys, "_bucket", "minutes", "concern_score").agg(F.count("*").alias("_n")).join(budget, keys)
 
@@ -101,7 +102,7 @@ def _walk(concerns: DataFrame, budget: DataFrame, keys: list[str], order: list[s
     kinds = {name: kind for name, kind in rows.dtypes}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "_bucket string, minutes double, concern_score double, _take long"])
     take = classes.groupBy(*keys).applyInPandas(run, schema).where("_take > 0")
-    rank = F.row_number().over(W.partitionBy(*keys, "_bucket", "minutes", "concern_score").orderBy("finding_id"))
+    rank = F.row_number().over(W.partitionBy(*keys, "_bucket", "minutes", "concern_score").orderBy(*([] if by is None else [by]), "finding_id"))
     return rows.withColumn("_r", rank).join(take, [*keys, "_bucket", "minutes", "concern_score"]).where("_r <= _take").drop("_r", "_take", "_bucket")
 
 
@@ -146,14 +147,33 @@ def top_score(concerns: DataFrame, budget: DataFrame, keys: list[str]) -> DataFr
     return _walk(concerns, budget, keys, ["minutes", "_bucket", "concern_score"], run)
 
 
+def _shuffled_fill(costs: np.ndarray, counts: np.ndarray, budget: float, seed: int) -> np.ndarray:
+    """How many of each class a shuffle of all concerns, filled with skipping, takes.
+
+    A block is a stretch of the shuffle of which only the classes' counts are drawn. Where all that may still fit does
+    so together, their order doesn't matter; else the block is drawn apart into halves. What is too dear once stays so.
+    """
+    rng, taken, spare, blocks = np.random.default_rng(seed), np.zeros_like(counts), budget, [counts]
+    while blocks:
+        block = np.where(costs <= spare + 1e-9, blocks.pop(), 0)
+        need = float((block * costs).sum())
+        if need <= spare + 1e-9:
+            taken, spare = taken + block, spare - need
+        else:
+            half = rng.multivariate_hypergeometric(block, int(block.sum()) // 2, method="marginals")
+            blocks += [block - half, half]
+    return taken
+
+
 def random_pick(concerns: DataFrame, budget: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
-    """Baseline: a seeded order (by class, as concerns of one class are alike), filled with skipping."""
+    """Baseline: concerns in a seeded shuffle, filled with skipping. The classes' counts are drawn as the shuffle of the
+    concerns would give them; which ones of a class go is by a seeded hash of their ids."""
 
     def run(pdf: pd.DataFrame, b: float) -> dict[int, int]:
-        order = pdf.sample(frac=1.0, random_state=seed).index.tolist()
-        return {order[i]: k for i, k in _fill(pdf.loc[order], b).items()}
+        taken = _shuffled_fill(pdf["minutes"].to_numpy(float), pdf["_n"].to_numpy(np.int64), b, seed)
+        return dict(enumerate(taken.tolist()))
 
-    return _walk(concerns, budget, keys, ["minutes", "_bucket", "concern_score"], run)
+    return _walk(concerns, budget, keys, ["minutes", "_bucket", "concern_score"], run, F.xxhash64(F.lit(seed), "finding_id"))
 
 
 def stratified(concerns: DataFrame, budget: DataFrame, keys: list[str]) -> DataFrame:

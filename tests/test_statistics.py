@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from caselens.operators import causal, peers, portfolio, review, selection
@@ -108,3 +109,21 @@ def test_verdicts_and_feedback(spark):
     post = review.feedback(out)
     assert {(r.bucket, r["sample"]): (r.alpha, r.beta) for r in post.collect()} == {("b", "risk_selected"): (21, 1), ("b", "random_calibration"): (1, 11), ("n", "risk_selected"): (1, 1)}
     assert {r.bucket: r.source for r in review.debiased(post).collect()} == {"b": "random_calibration", "n": "risk_selected"}
+
+
+def test_random_pick_samples_concerns(spark):
+    rows = spark.createDataFrame([("A", f"{t}{i:03}", "x", t, 10.0 + 20 * (t == "q"), 1.0) for t in "pq" for i in range(200)], "cse_id string, finding_id string, capability string, finding_type string, minutes double, concern_score double")
+    got = selection.random_pick(rows, selection.budgets(rows, ["cse_id"], 0.3), ["cse_id"]).collect()
+    per = {t: sorted(r.finding_id for r in got if r.finding_type == t) for t in "pq"}
+    assert all(35 <= len(x) <= 85 for x in per.values()) and 2370 < sum(r.minutes for r in got) <= 2400
+    assert all(x != [f"{t}{i:03}" for i in range(len(x))] for t, x in per.items())
+    costs, counts = np.array([1.0, 5.0]), np.array([6, 3])
+    means = np.mean([selection._shuffled_fill(costs, counts, 9.0, s) for s in range(3000)], axis=0)
+    R, want = np.random.default_rng(1), np.zeros(2)
+    for _ in range(3000):
+        spare = 9.0
+        for k in R.permutation(np.repeat([0, 1], counts)):
+            if costs[k] <= spare:
+                spare -= costs[k]
+                want[k] += 1 / 3000
+    assert np.abs(means - want).max() < 0.1
