@@ -227,9 +227,27 @@ def sweep(concerns: DataFrame, truth: DataFrame, keys: list[str], fractions: lis
 
 
 def explain(concerns: DataFrame, selected: DataFrame, budget: DataFrame, keys: list[str], increment: float = 60.0) -> DataFrame:
-    """Per capability: selected count and score, the coverage, and what `increment` more minutes would add."""
-    more = submodular(concerns, budget.withColumn("budget", F.col("budget") + increment), keys)
+    """Per capability: selected count and score, the coverage, and what `increment` more minutes would add to the
+    selection, which itself stays. A capability that is newly covered has n_selected 0."""
+    of = [*keys, "capability", "_bucket", "minutes"]
+    count = lambda df, name: df.withColumn("_bucket", bucket()).groupBy(*of).agg(F.count("*").alias(name))
+    mine = count(selected, "_k").select(*(F.col(c).alias(f"_s_{c}") for c in of), "_k")
+    every = count(concerns, "_n")
+    same = [every[c].eqNullSafe(mine[f"_s_{c}"]) for c in of]
+    classes = every.join(mine, same, "left").select(*of, "_n", F.coalesce("_k", F.lit(0)).cast("long").alias("_k")).join(budget, keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["minutes", "_bucket"], kind="stable").reset_index(drop=True)
+        names = list(zip(pdf["_bucket"], pdf["minutes"].astype(float), strict=True))
+        start = {k: int(n) for k, n in zip(names, pdf["_k"], strict=True) if n}
+        left = {k: int(n - t) for k, n, t in zip(names, pdf["_n"], pdf["_k"], strict=True)}
+        taken = complete(left, float(pdf["budget"].iloc[0]) + increment, start)
+        return pdf.assign(_more=[taken.get(k, 0) for k in names])[[*keys, "capability", "_bucket", "_k", "_more"]]
+
+    kinds = dict(concerns.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in [*keys, "capability"]), "_bucket string, _k long, _more long"])
+    counts = classes.groupBy(*keys).applyInPandas(run, schema).groupBy(*keys, "capability", "_bucket").agg(F.sum("_k").alias("_k"), F.sum("_more").alias("_more"))
+    then = counts.groupBy(*keys, "capability").agg(F.sum("_more").alias("n_with_more")).where("n_with_more > 0")
     now = selected.groupBy(*keys, "capability").agg(F.count("*").alias("n_selected"), F.sum("concern_score").alias("score"))
-    then = more.groupBy(*keys, "capability").agg(F.count("*").alias("n_with_more"))
-    cover = coverage_score(selected, *keys).join(coverage_score(more, *keys).withColumnRenamed("coverage", "coverage_with_more"), keys, "full")
+    cover = counts.groupBy(*keys).agg(F.sum(F.log1p("_k")).alias("coverage"), F.sum(F.log1p("_more")).alias("coverage_with_more"))
     return now.join(then, [*keys, "capability"], "full").join(cover, keys, "left").withColumn("marginal_gain", F.col("coverage_with_more") - F.col("coverage")).fillna(0, ["n_selected", "n_with_more"])

@@ -127,3 +127,13 @@ def test_random_pick_samples_concerns(spark):
                 spare -= costs[k]
                 want[k] += 1 / 3000
     assert np.abs(means - want).max() < 0.1
+
+
+def test_explanation_keeps_the_selection(spark):
+    kinds = [("p", "a", 30.0, 3), ("p", "b", 45.0, 2), ("q", "c", 50.0, 2), ("r", "d", 90.0, 2)]
+    rows = spark.createDataFrame([("A", f"{t}{i}", c, t, m, 1.0) for c, t, m, n in kinds for i in range(n)], "cse_id string, finding_id string, capability string, finding_type string, minutes double, concern_score double")
+    budget = spark.createDataFrame([("A", 90.0)], "cse_id string, budget double")
+    chosen = rows.where("finding_id in ('a0', 'a1', 'a2')")  # 90 minutes, and not what a new selection would hold
+    got = {r.capability: r for r in selection.explain(rows, chosen, budget, ["cse_id"]).collect()}
+    assert {c: (r.n_selected, r.n_with_more) for c, r in got.items()} in ({"p": (3, 3), "q": (0, 1)}, {"p": (3, 4)})
+    assert all(abs(r.coverage - math.log1p(3)) < 1e-9 and abs(r.marginal_gain - math.log1p(1)) < 1e-9 for r in got.values())
