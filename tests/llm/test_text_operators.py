@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -47,20 +48,56 @@ def brute_repeats(docs):
     return {k: sorted(v) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("block", [1 << 16, 37])
-def test_exact_repeats(spark, monkeypatch, block):
-    R = random.Random(3)
+def repeat_docs(R):
     pool = ["".join(R.choice("abcd é\n") for _ in range(R.randint(30, 200))) for _ in range(12)]
     doc = lambda: "".join(R.choice(pool)[R.randint(0, 40) : R.randint(40, 200)] if R.random() < 0.7 else "".join(R.choice("xyz") for _ in range(R.randint(1, 60))) for _ in range(R.randint(0, 7))) * R.choice([1, 1, 2])
-    docs = [(i, doc()) for i in R.sample(range(1000), 100)] + ODD + [(None, pool[0] * 2)]
-    docs += docs[:5]
-    monkeypatch.setattr(exact_dedup, "BLOCK", block)
+    docs = [(i, doc()) for i in R.sample(range(1000), 100)] + ODD
+    return docs + docs[:5], pool
+
+
+def test_exact_repeats(spark):
+    docs, pool = repeat_docs(random.Random(3))
+    docs += [(None, pool[0] * 2), (docs[0][0], docs[1][1])]
     got = {}
     for r in exact_dedup.repeat_digest(frame(spark, docs), batch_bytes=2000).collect():
         got.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
     assert {k: sorted(v) for k, v in got.items()} == brute_repeats(docs)
 
 
+@pytest.mark.parametrize(("block", "hot", "chunk"), [(1 << 16, 1024, 1 << 20), (37, 1, 500), (1 << 16, 3, 2000), (200, 0, 1)])
+def test_exact_repeats_by_letters(monkeypatch, block, hot, chunk):
+    """The steps that tasks take, in one process, at other sizes of blocks, chunks and hot samples."""
+    for name, value in (("BLOCK", block), ("HOT_RUNS", hot), ("CHUNK", chunk)):
+        monkeypatch.setattr(exact_dedup, name, value)
+    docs, _ = repeat_docs(random.Random(block + hot))
+    batches = [pd.DataFrame(docs[k::5], columns=["_id", "_text"]) for k in range(5)]
+    reply = lambda letters, rule: pd.concat([rule(g) for _, g in pd.concat(letters).groupby("part")])
+    made = [exact_dedup.Batch(b) for b in batches]
+    first = reply([exact_dedup._sample_letters(k, 3, *b.ask_samples()) for k, b in enumerate(made)], exact_dedup._answer_samples)
+    asked = [b.entries(b.state(exact_dedup._replies(first[first.batch == k], 1, np.int8), b.ask_samples()[0]), 3) for k, b in enumerate(made)]
+    second = reply([exact_dedup._entry_letters(k, e) for k, e in enumerate(asked)], exact_dedup._answer_entries)
+    got = {}
+    for k, (b, e) in enumerate(zip(made, asked, strict=True)):
+        for r in exact_dedup._settle(b, e, exact_dedup._replies(second[second.batch == k], 2, np.uint32)).itertuples():
+            got.setdefault(r._1, []).append((r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()))
+    assert {k: sorted(v) for k, v in got.items()} == brute_repeats(docs)
+
+
+def test_refined_buckets():
+    """Buckets are those of equal 50 bytes, in their order."""
+    R = random.Random(4)
+    entries = ["".join(R.choice("ab") for _ in range(R.choice([50, 55, 75]))) for _ in range(40)]
+    entries += [e[:30] + "z" * 20 for e in entries] + [e + "q" for e in entries]
+    joined = "".join(entries).encode()
+    left = np.concatenate([np.arange(len(e), 0, -1) for e in entries])
+    at, pointer = exact_dedup.refine_buckets(np.frombuffer(joined, np.uint8), left)
+    strings = [joined[a : a + 50] for a in at.tolist()]
+    assert at.tolist() == [a for a in range(len(joined)) if left[a] >= 50]
+    order = np.argsort(pointer, kind="stable")
+    assert all((strings[a] == strings[b]) == (pointer[a] == pointer[b]) for a in range(0, len(at), 3) for b in range(len(at)))
+    assert [strings[k] for k in order] == sorted(strings)
+
+
 def test_exact_repeats_of_nothing(spark):
     assert exact_dedup.repeat_digest(frame(spark, [])).isEmpty()
 
