@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one where none is set (tests, one machine)."""
+    """The shared folder the session names; a temporary one where none is set and all runs on one machine (tests)."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="caselens-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -37,6 +39,29 @@ def with_ids(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> Data
     return docs.select(F.col(id_col).cast("string").alias("_id"), *more, F.col(text_col).alias("_text"))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+HOT_SHARE = 1024  # a key with over 1 / HOT_SHARE of all rows is hot, so fewer than HOT_SHARE keys are
+SALTS = 64
+
+
+def skewed_join(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int, by: list[str]) -> DataFrame:
+    """rows with the columns of facts, which has one row for each key and in `n` how many rows hold it (not returned).
+
+    Hot keys, fewer than HOT_SHARE of them and so safe to broadcast, are dealt by a hash of the columns `by` as well.
+    """
+    hot = F.col(n) > max(total // HOT_SHARE, SALTS)
+    salts = facts.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop(n)
+    marked = rows.join(F.broadcast(facts.where(hot).select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)
+    return marked.withColumn("_salt", salt).drop("_hot").join(salts, [*keys, "_salt"]).drop("_salt")
+
+
 def parts_for(total: float, each: float, least: int = 1) -> int:
     """How many groups of about `each` units hold `total`; follows the data without an upper bound."""
     return max(least, math.ceil((total or 0) / each))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise, skewed_join
 
 EDITS = 1  # so a line has EDITS + 1 = 2 segments
 MIN_CHARS = 24  # shorter lines are only dropped for an equal one, as an edit makes another line of them
@@ -46,9 +46,9 @@ def within(a: str, b: str, k: int = EDITS) -> bool:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, line_no, line (trimmed) and its 128-bit name in h1, h2, of every line with enough to it."""
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "_raw"))
-    rows = rows.select("_id", "line_no", F.expr("trim(both ' \\t\\r' from _raw)").alias("line")).where((F.char_length("line") >= MIN_CHARS) | F.col("line").rlike(WORDS))
+    """_id, _t (of the row's text), line_no, line (trimmed) and its 128-bit name in h1, h2, of every line with enough to it."""
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "_raw"))
+    rows = rows.select("_id", "_t", "line_no", F.expr("trim(both ' \\t\\r' from _raw)").alias("line")).where((F.char_length("line") >= MIN_CHARS) | F.col("line").rlike(WORDS))
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -135,14 +135,17 @@ def near_lines(distinct: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, dropped (ascending line numbers from 0) and n_near (those with no equal earlier line) of documents that lose lines."""
+    """_id, _t, dropped (ascending line numbers from 0) and n_near (those with no equal earlier line) of rows that lose
+    lines. A row is known by its id and text, so rows that repeat an id lose their own lines alone."""
     lines = _lines(docs, id_col, text_col)
     distinct = materialise(lines.groupBy("h1", "h2").agg(F.min(F.struct("_id", "line_no")).alias("pos"), F.count("*").alias("n"), F.first("line").alias("line")).select("h1", "h2", "n", "pos._id", "pos.line_no", "line"))
     own = distinct.select("h1", "h2", "n", F.struct("_id", "line_no").alias("pos"))
-    first = own.join(near_lines(distinct.where(F.char_length("line") >= MIN_CHARS)), ["h1", "h2"], "left").where("n > 1 or near is not null").select("h1", "h2", "pos", "near")
+    first = own.join(near_lines(distinct.where(F.char_length("line") >= MIN_CHARS)), ["h1", "h2"], "left").where("n > 1 or near is not null").select("h1", "h2", "n", "pos", "near")
+    first = materialise(first)
+    total = first.agg(F.sum("n")).first()[0] or 0
     at = F.struct("_id", "line_no")
-    gone = lines.select("_id", "line_no", "h1", "h2").join(first, ["h1", "h2"]).where((at > F.col("pos")) | (at > F.col("near")))
-    return gone.groupBy("_id").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"), F.count_if(~(at > F.col("pos"))).alias("n_near"))
+    found = skewed_join(lines.select("_id", "_t", "line_no", "h1", "h2"), first, ["h1", "h2"], "n", total, ["_id", "line_no"])
+    return found.where((at > F.col("pos")) | (at > F.col("near"))).groupBy("_id", "_t").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"), F.count_if(~(at > F.col("pos"))).alias("n_near"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,12 +154,13 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A line (spaces, tabs and returns at its ends aside) of at least MIN_CHARS characters or MIN_WORDS words is dropped if
     a line at an earlier (id, line number) is equal to it, whether that line stays or not; one of at least MIN_CHARS
     characters also if such a line is one edit away. Null text: no lines.
-    Empty text: one line, which stays. Null ids neither give nor lose lines. Repeated rows lose the same lines, and
-    equal positions aren't earlier than each other. Empty table: no rows. Other columns are ignored.
+    Empty text: one line, which stays. Null ids neither give nor lose lines. Repeated rows lose the same lines, rows that
+    repeat an id with another text their own, and equal positions aren't earlier than each other. Very long texts: lines
+    are rows, so their number isn't bounded. Empty table: no rows. Other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.size(F.split(text_col, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), F.coalesce(F.size(F.split(text_col, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
     rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    out = rows.join(dropped_lines(docs, id_col, text_col), "_id", "left")
+    out = rows.join(dropped_lines(docs, id_col, text_col), ["_id", "_t"], "left")
     return out.select(
         F.col("_id").alias(id_col), "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.concat_ws(",", F.coalesce(F.col("dropped").cast("array<string>"), F.array().cast("array<string>"))).alias("dropped_lines"),
@@ -165,7 +169,10 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the dropped lines taken out of the text; every row and every other column stays."""
-    gone = dropped_lines(docs, id_col, text_col).select(F.col("_id").alias(id_col), F.col("dropped").alias("_dropped"))
-    left = F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains("_dropped", i))
-    text = F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return docs.join(gone, id_col, "left").withColumn(text_col, text).select(*docs.columns)
+    lines, name, gone = (fresh(docs, c) for c in ("_lines", "_name", "_dropped"))
+    lost = dropped_lines(docs, id_col, text_col).select(F.col("_id").alias(id_col), F.col("_t").alias(name), F.col("dropped").alias(gone))
+    # Text travels as its lines, so they are split once; array_except() looks the dropped ones up in a set.
+    rows = docs.withColumns({lines: F.split(text_col, "\n", -1), name: F.xxhash64(text_col)}).drop(text_col)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    return rows.join(lost, [id_col, name], "left").withColumn(text_col, text).select(*docs.columns)

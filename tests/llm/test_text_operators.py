@@ -7,6 +7,9 @@ import pandas as pd
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
+from caselens.llm import common as common_helpers
 from caselens.llm import decontamination, exact_dedup, host_rules, language_id, line_dedup, quality_model, sharding, simhash
 
 
@@ -157,6 +160,24 @@ def test_short_lines_repeat(spark):
     assert got == {1: ("", 0), 2: ("0", 0), 3: ("1,3", 0)}
 
 
+def test_lines_of_repeated_ids(spark):
+    """Rows that repeat an id lose their own lines only; columns named like the operator's own stay."""
+    a, b, c, d = ("The %s line is long enough to count here." % x * 2 for x in ("first", "second", "third", "fourth"))
+    rows = [(1, a, "p"), (2, a + "\n" + b, "q"), (2, c + "\n" + d, "r"), (2, None, "s"), (3, c + "\n" + "x", "t"), (3, c + "\n" + "x", "t"), (None, a, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _dropped string").withColumns({"_lines": F.lit(1), "_name": F.lit(2)})
+    got = sorted((r._dropped, r.text, r._lines, r._name) for r in line_dedup.without_repeats(df).collect())
+    assert got == [("p", a, 1, 2), ("q", b, 1, 2), ("r", c + "\n" + d, 1, 2), ("s", None, 1, 2), ("t", "x", 1, 2), ("t", "x", 1, 2), ("u", a, 1, 2)]
+    assert sorted((r.doc_id or 0, r.dropped_lines) for r in line_dedup.line_report(df).collect()) == [(0, ""), (1, ""), (2, ""), (2, ""), (2, "0"), (3, "0"), (3, "0")]
+
+
+def test_a_long_text_and_a_common_line(spark, monkeypatch):
+    common = "This very line is in all of the documents."
+    monkeypatch.setattr(common_helpers, "SALTS", 2)
+    docs = [(i, f"{common}\nline number {i} with its own words {'abcdefghij'[i % 10] * 30}") for i in range(300)] + [(900, "\n".join(f"{k} ordinary {k * 7919} words {k % 97}" for k in range(30_000)) + "\n" + common)]
+    got = {r.doc_id: r for r in line_dedup.line_report(frame(spark, docs)).collect()}
+    assert got[0].n_dropped == 0 and all(got[i].dropped_lines.startswith("0") for i in range(1, 300)) and got[900].dropped_lines.endswith("30000")
+
+
 def test_no_lines(spark):
     assert line_dedup.line_report(frame(spark, [])).isEmpty()
 
