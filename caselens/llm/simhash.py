@@ -11,15 +11,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, parts_for, utf8, with_ids
+from .common import fresh, materialise, mix64, parts_for, skewed_join, utf8, with_ids
 from .components import components
 
 BITS = 64
 GROUP_LIMIT = 1024  # fingerprints that one trie may hold; larger groups are split by more bits
 ROWS_PER_TASK = 400_000
+BLOCK = 1 << 16  # hashes whose bits are unpacked at once
 SHINGLE = 5  # words
 SIMILAR = (4, 5)  # as a fraction: the least Jaccard similarity of near-duplicates
 SHINGLES_PER_TASK = 2_000_000
+PIVOTS = 8  # sets that those of a large group are compared with in a round
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -33,8 +35,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     ends = list(accumulate(len(w) + 1 for w in words))
     one = xxhash.xxh64_intdigest
     hashes = [one(joined[s : e - 1], 42) for s, e in zip([0, *ends], ends[width - 1 :])]  # noqa: B905  the starts are longer
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).tobytes(), "big")
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the values; a block of them is unpacked at a time."""
+    total = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        total += np.unpackbits(hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,11 +173,7 @@ def word_fingerprints(text: str | None, seeds: int) -> list[int]:
     if not held:
         return [0] * seeds
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, held), np.uint64, len(held))
-    out = []
-    for seed in range(seeds):
-        bits = np.unpackbits(mix64(hashes + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << BITS) - 1)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        out.append(int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(held)).tobytes(), "big"))
-    return out
+    return [majority(mix64(hashes + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << BITS) - 1))) for seed in range(seeds)]
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -209,14 +214,52 @@ def similar(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
 
 
 def _true_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links by `similar` within each candidate group; rows that repeat an id are of one document."""
+    """Links by `similar` within each candidate group."""
     out = []
-    for _, part in pdf.sort_values(["_c", "_id"], kind="stable").groupby("_c", sort=False):
-        ids = part["_id"].to_numpy()
-        out += [(ids[i], ids[j]) for i, j in similar([np.asarray(s, np.int64).view(np.uint64) for s in part["_set"]]) if ids[i] != ids[j]]
+    for _, part in pdf.sort_values(["_c", "_node"], kind="stable").drop_duplicates("_node").groupby("_c", sort=False):
+        nodes = part["_node"].to_numpy()
+        out += [(nodes[i], nodes[j]) for i, j in similar([np.asarray(s, np.int64).view(np.uint64) for s in part["_set"]])]
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def _compared(held: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+    """_c, _node, pivot, near, apart: each set of the groups in `sizes` against PIVOTS sets of its group."""
+    keyed = held.withColumn("_h", F.pmod(F.xxhash64("_node"), F.lit(PIVOTS)))
+    ends = keyed.groupBy("_c", "_h").agg(F.min_by(F.struct("_node", "_set"), "_node").alias("_p"))
+    facts = sizes.join(ends.groupBy("_c").agg(F.collect_list("_p").alias("_pivots")), "_c").select("_c", "_n", "_pivots")
+    met = skewed_join(held, facts, ["_c"], "_n", total, ["_node"]).select("_c", "_node", "_set", F.explode("_pivots").alias("_p"))
+    met = met.select("_c", "_node", F.col("_p._node").alias("pivot"), F.size(F.array_intersect("_set", "_p._set")).alias("_both"), (F.size("_set") + F.size("_p._set")).alias("_sum"))
+    either = F.col("_sum") - F.col("_both")
+    return met.select("_c", "_node", "pivot", (F.col("_both") * SIMILAR[1] >= either * SIMILAR[0]).alias("near"), (1 - F.col("_both") / either).alias("apart"))
+
+
+def true_links(held: DataFrame, limit: int = SHINGLES_PER_TASK) -> DataFrame:
+    """held: _node, _c (candidate group), _set. Pairs (a, b) of Jaccard similarity SIMILAR or more that connect whatever
+    such pairs connect within a group.
+
+    Groups of up to `limit` shingles are each compared in one task. The sets of larger ones, wherever they are, are
+    compared with some pivots of their group, round after round: a set near a pivot leaves once nothing that isn't near
+    that pivot can be near the set (the bound of `similar`), the pivots leave in any case, and what's left goes on.
+    """
+    found = None
+    while True:
+        sizes = materialise(held.groupBy("_c").agg(F.count("*").alias("_n"), F.sum(F.size("_set")).alias("_s")))
+        total, shingled, n_big = sizes.agg(F.sum("_n"), F.sum(F.when(F.col("_s") <= limit, F.col("_s"))), F.count_if(F.col("_s") > limit)).first()
+        tasks = parts_for(shingled, limit, 24)
+        small = skewed_join(held, sizes, ["_c"], "_n", total or 0, ["_node"]).where(f"_s <= {limit}") if n_big else held
+        here = small.withColumn("_p", F.pmod(F.xxhash64("_c"), F.lit(tasks))).groupBy("_p").applyInPandas(lambda pdf: _true_links(pdf), "a long, b long")
+        found = here if found is None else found.union(here)
+        if not n_big:
+            return found
+        met = materialise(_compared(held, sizes.where(f"_s > {limit}"), total))
+        found = found.union(met.where("near and _node <> pivot").select(F.col("_node").alias("a"), F.col("pivot").alias("b")))
+        least = met.groupBy("_c", "pivot").agg(F.min(F.when(~F.col("near"), F.col("apart"))).alias("_least"), F.count("*").alias("_n"))
+        judged = skewed_join(met.where("near"), least, ["_c", "pivot"], "_n", total * PIVOTS, ["_node"])
+        bound = 1 - SIMILAR[0] / SIMILAR[1] + 1e-9
+        done = judged.where((F.col("_node") == F.col("pivot")) | F.col("_least").isNull() | (F.col("apart") < F.col("_least") - bound)).select("_node").distinct()
+        held = materialise(held.join(met.select("_node").distinct(), "_node", "left_semi").join(done, "_node", "left_anti"))
+
+
 def one_of_each(docs: DataFrame, budget: int = 3, seeds: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the row of least id of each near-duplicate group; every column stays.
 
@@ -225,31 +268,38 @@ def one_of_each(docs: DataFrame, budget: int = 3, seeds: int = 18, id_col: str =
     with shingles, texts that share 0.8 of them differ by 11 of 64 bits in the median, further than any budget that
     still prunes; over words it's 3, and the seeds find the rest. All pairs of a group of candidates are then verified
     on their shingles before they count as links. Null or wordless texts are one group. Null ids are in no group and
-    stay. Rows that repeat a kept id stay.
+    stay. Rows that repeat an id are judged by their own texts; rows that repeat a kept row stay. Very long texts: held
+    one at a time, in blocks of words. Empty table: no rows. Extra columns stay, whatever their names.
     """
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             made = [np.array(word_fingerprints(t if isinstance(t, str) else None, seeds), np.uint64).view(np.int64) for t in pdf["_text"]]
-            yield pd.DataFrame({"_id": np.repeat(pdf["_id"].to_numpy(), seeds), "seed": np.tile(np.arange(seeds), len(pdf)), "fp": np.concatenate(made) if made else []})
+            yield pd.DataFrame({"_node": np.repeat(pdf["_node"].to_numpy(), seeds), "seed": np.tile(np.arange(seeds), len(pdf)), "fp": np.concatenate(made) if made else []})
 
     def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield pdf[["_id", "_c"]].assign(_set=[shingles(t if isinstance(t, str) else None).view(np.int64) for t in pdf["_text"]])
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    # Equal texts share all fingerprints, so only the first of them is held against others.
-    named = materialise(rows.select("_id", F.xxhash64(F.coalesce("_text", F.lit(""))).alias("n1"), F.xxhash64(F.lit(1), F.coalesce("_text", F.lit(""))).alias("n2")))
-    firsts = named.groupBy("n1", "n2").agg(F.min("_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = materialise(named.join(firsts, ["n1", "n2"]).where("_id <> first").select(F.col("_id").alias("a"), F.col("first").alias("b")).distinct())
-    alone = rows.join(copies.select(F.col("a").alias("_id")), "_id", "left_anti")
-    marks = materialise(alone.mapInPandas(batches, "_id long, seed int, fp long"))
-    fps = materialise(marks.groupBy("seed", "fp").agg(F.min("_id").alias("rep")))
-    same = marks.join(fps, ["seed", "fp"]).where("_id <> rep").select(F.col("_id").alias("a"), F.col("rep").alias("b"))
-    maybe = components(same.union(links(fps, budget))).select(F.col("node").alias("_id"), F.col("component").alias("_c"))
-    held = materialise(alone.join(maybe, "_id").mapInPandas(sets, "_id long, _c long, _set array<long>"))
-    tasks = parts_for(held.agg(F.sum(F.size("_set"))).first()[0], SHINGLES_PER_TASK, 24)
-    true = held.withColumn("_p", F.pmod(F.xxhash64("_c"), F.lit(tasks))).groupBy("_p").applyInPandas(lambda pdf: _true_links(pdf), "a long, b long")
-    found = components(copies.union(true))
-    gone = found.where("node <> component").select(F.col("node").cast(docs.schema[id_col].dataType).alias(id_col))
-    return docs.join(gone, id_col, "left_anti")
+            yield pdf[["_node", "_c"]].assign(_set=[shingles(t if isinstance(t, str) else None).view(np.int64) for t in pdf["_text"]])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    name = [F.xxhash64(text).alias("_n1"), F.xxhash64(F.lit(1), text).alias("_n2")]
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *name)
+    # Equal texts share all fingerprints, so each is one node, and only its first row is held against others.
+    named = rows.select("_id", "_n1", "_n2")
+    texts = materialise(named.groupBy("_n1", "_n2").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).withColumn("_node", F.monotonically_increasing_id()))
+    firsts = texts.select(F.col("_first").alias("_id"), "_n1", "_n2", "_node")
+    alone = rows.join(firsts, ["_id", "_n1", "_n2"]).select("_node", "_text")
+    marks = materialise(alone.mapInPandas(batches, "_node long, seed int, fp long"))
+    fps = materialise(marks.groupBy("seed", "fp").agg(F.min("_node").alias("rep")))
+    same = marks.join(fps, ["seed", "fp"]).where("_node <> rep").select(F.col("_node").alias("a"), F.col("rep").alias("b"))
+    maybe = materialise(components(same.union(links(fps, budget))).select(F.col("node").alias("_node"), F.col("component").alias("_c")))
+    held = materialise(alone.join(maybe, "_node").mapInPandas(sets, "_node long, _c long, _set array<long>"))
+    of = texts.join(components(true_links(held)).select(F.col("node").alias("_node"), "component"), "_node", "left").withColumn("_group", F.coalesce("component", "_node"))
+    best = of.groupBy("_group").agg(F.min(F.struct("_first", "_node")).alias("_best"))
+    judged = of.join(best, "_group").where("_n > 1 or _node <> _best._node").select("_n1", "_n2", "_first", "_n", (F.col("_node") == F.col("_best._node")).alias("_stays"))
+    judged = materialise(judged)
+    total = judged.agg(F.sum("_n")).first()[0] or 0
+    met = skewed_join(named, judged, ["_n1", "_n2"], "_n", total, ["_id"])
+    key, other = fresh(docs, "_name"), fresh(docs, "_other")
+    gone = met.where(~F.col("_stays") | (F.col("_id") != F.col("_first"))).select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("_n1").alias(key), F.col("_n2").alias(other)).distinct()
+    return docs.withColumns({key: name[0], other: name[1]}).join(gone, [id_col, key, other], "left_anti").select(*docs.columns)

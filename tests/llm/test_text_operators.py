@@ -240,6 +240,53 @@ def test_one_of_each(spark):
     assert simhash.near_duplicates(frame(spark, [])).isEmpty()
 
 
+def test_one_of_each_of_repeated_ids(spark):
+    """Rows that repeat an id are judged by their own texts."""
+    R = random.Random(26)
+    a, b, c = (" ".join("".join(R.choice("abcdefgh") for _ in range(6)) for _ in range(80)) for _ in range(3))
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(1, a), (2, near), (2, b), (3, b), (4, c), (4, c), (5, c), (6, None), (7, " "), (None, a)]
+    got = sorted((r.doc_id or 0, r.text or "") for r in simhash.one_of_each(frame(spark, rows).withColumns({"_name": F.lit(1), "_n": F.lit(1)})).collect())
+    assert got == sorted([(0, a), (1, a), (2, b), (4, c), (4, c), (6, "")])
+    assert simhash.one_of_each(frame(spark, [])).isEmpty()
+
+
+def test_links_of_large_groups(spark):
+    """Groups too large for a task, compared by pivots, end up connected as all their pairs connect them."""
+    R = random.Random(28)
+    sets = []
+    for c in range(3):
+        base = [R.getrandbits(40) for _ in range(40)]
+        for _ in range(45):
+            changed = set(R.sample(range(40), R.randint(0, 12)))
+            sets.append((len(sets), c, [R.getrandbits(40) if i in changed else x for i, x in enumerate(base)]))
+    held = spark.createDataFrame(sets, "_node long, _c long, _set array<long>")
+    near = [(a[0], b[0]) for a in sets for b in sets if a[0] < b[0] and 5 * len(set(a[2]) & set(b[2])) >= 4 * len(set(a[2]) | set(b[2]))]
+
+    def reach(pairs):
+        label = {x[0]: x[0] for x in sets}
+        while True:
+            before = dict(label)
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+            if before == label:
+                return label
+
+    for limit in (10**6, 900):
+        pairs = [(r.a, r.b) for r in simhash.true_links(held, limit).collect()]
+        assert reach(pairs) == reach(near) and all((min(p), max(p)) in set(near) for p in pairs)
+    assert len(set(reach(near).values())) > 5
+
+
+def test_fingerprints_of_long_texts(monkeypatch):
+    R = random.Random(27)
+    text = " ".join(R.choice(["w%d" % i for i in range(5000)]) for _ in range(20_000))
+    whole = simhash.fingerprint(text), simhash.word_fingerprints(text, 3)
+    monkeypatch.setattr(simhash, "BLOCK", 1000)
+    assert (simhash.fingerprint(text), simhash.word_fingerprints(text, 3)) == whole
+    assert whole[0] == brute_print(text)
+
+
 def test_near_duplicates_share_shingles(spark):
     """Links are those of five-word shingles with a similarity of 0.8, on either side of that bound and for any words."""
     R = random.Random(16)
