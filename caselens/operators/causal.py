@@ -111,9 +111,14 @@ def entity_report(log: Log, concerns: DataFrame, verdicts: DataFrame | None = No
     return out.unionByName(found.join(true, ["cse_id", "finding_type"]).withColumn("level", F.lit("confirmed")))
 
 
+# The rates that a scenario starts from, as log odds, and how common its confounder is.
+BASE_RATE = -0.5
+CONFOUNDED = 0.4
+
+
 def scenario(spark: SparkSession, n: int, seed: int, effect: float, c_to_t: float = 0.0, c_to_y: float = 0.0) -> DataFrame:
-    """C is Bernoulli(0.4); T and Y are logistic in C, and Y in T."""
-    logistic = lambda x: 1 / (1 + F.exp(-x))
-    rows = spark.range(n).select((F.rand(seed) < 0.4).cast("int").alias("c"), F.rand(seed + 1).alias("_u"), F.rand(seed + 2).alias("_v"))
-    rows = rows.withColumn("t", (F.col("_u") < logistic(c_to_t * F.col("c") - c_to_t * 0.4)).cast("int"))
-    return rows.withColumn("y", (F.col("_v") < logistic(effect * F.col("t") - effect / 2 + c_to_y * F.col("c") - c_to_y * 0.4)).cast("int")).select("c", "t", "y")
+    """C is Bernoulli(CONFOUNDED); T and Y are logistic in C, and Y in T, from BASE_RATE."""
+    drawn = lambda k, odds: (F.rand(seed + k) < 1 / (1 + F.exp(-(BASE_RATE + odds)))).cast("int")
+    rows = spark.range(n).select((F.rand(seed) < CONFOUNDED).cast("int").alias("c"))
+    rows = rows.withColumn("t", drawn(1, c_to_t * F.col("c")))
+    return rows.withColumn("y", drawn(2, effect * F.col("t") + c_to_y * F.col("c")))

@@ -7,6 +7,7 @@ import sqlite3
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from caselens.operators.log import EVENT, OBJECT, OBJECT_ATTR, Log
 
@@ -36,8 +37,12 @@ class Store:
             getattr(log, name).withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("cse_id", "batch_id").parquet(self._at(name))
 
     def read_log(self, cse_id: str, batch_id: str) -> Log:
-        rows = [self._read(n, f"{s}, batch_id string").where((F.col("cse_id") == cse_id) & (F.col("batch_id") == batch_id)).drop("batch_id") for n, s in zip(_PARTS, (EVENT, OBJECT, OBJECT_ATTR), strict=True)]
-        return Log(*rows)
+        def rows(name: str, schema: str) -> DataFrame:
+            """Reading puts partition columns last, so the schema's order is restored."""
+            got = self._read(name, f"{schema}, batch_id string").where((F.col("cse_id") == cse_id) & (F.col("batch_id") == batch_id))
+            return got.select(*StructType.fromDDL(schema).names)
+
+        return Log(*map(rows, _PARTS, (EVENT, OBJECT, OBJECT_ATTR)))
 
     def submit(self, log: Log, concerns: DataFrame, batch_id: str, submitted_at: str, low_confidence: DataFrame | None = None) -> None:
         """Store a batch: the log, the cases of low confidence, and a manifest row for each entity."""
