@@ -1,7 +1,15 @@
-"""Benchmark decontamination over canonical templates, with a check that slots are filled consistently."""
+"""Benchmark decontamination: a hash join of canonical template windows, with a check that slots are filled consistently.
+
+Items and documents become templates (typed placeholders for numbers, names and units), and their windows are hashed. A
+bitmap of the items' hashes, of bounded size, lets documents send the windows alone that may meet one. An item counts at
+a share of its windows, so it can't do without all of its rarest ones: only those are joined on their hash, and the
+pairs of document and item that they give are then joined with all windows of the item. A window that many items share,
+such as a common opening, is no key of any of them as long as they have rarer ones.
+"""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -13,13 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, parts_for, utf8, with_ids
+from .common import fresh, materialise, mix64, skewed_join, utf8
 
 WINDOW = 8
 MIN_LITERAL = 4  # words of a window that are no placeholder
 MIN_COVERAGE = 0.4  # of an item's windows
-BLOCK_BYTES = 16 << 20  # benchmark text whose windows are held at once
+BITMAP_BITS = (24, 29)  # least and most address bits of the bitmap, so it has 2 to 64 MB
 CACHE = 400_000
+TEMPLATE, EXACT, LINE = 0, 1, 2  # how an item is found: by template windows, as a run of its words, as a line of its own
 # Units of measure and money that a number may carry.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilogram kilograms gram grams mile miles foot feet inch inches pound pounds liter liters litre litres dollar dollars euro euros cent cents percent % $ € £ °c °f degrees".split())
 NUM, NAME, UNIT = "\x01num", "\x01name", "\x01unit"
@@ -54,6 +63,7 @@ class Template:
     hashes: np.ndarray
     slot: np.ndarray
     other: np.ndarray  # hashes with each capitalised word read the other way, as a name or as a word
+    firsts: list[int]  # places of the words that open a line
 
 
 def template(text: str | None, canon: Canon, by_line: bool = True) -> Template:
@@ -78,7 +88,7 @@ def template(text: str | None, canon: Canon, by_line: bool = True) -> Template:
     hashes = plain.copy()
     for k, name in ((1, NUM), (2, NAME), (3, UNIT)):
         hashes[slot == k] = SLOTS[name]
-    return Template(words, hashes, slot, np.where(kind == 2, np.where(slot == 2, plain, np.uint64(SLOTS[NAME])), hashes))
+    return Template(words, hashes, slot, np.where(kind == 2, np.where(slot == 2, plain, np.uint64(SLOTS[NAME])), hashes), firsts)
 
 
 def rolled(hashes: np.ndarray, width: int, firsts: np.ndarray | None = None) -> np.ndarray:
@@ -113,76 +123,178 @@ class Exact(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-class Index:
-    """Windows of a bounded block of items, by width (an item shorter than WINDOW is one window of its own width). Items
-    without a fit window are held as exact sequences of words, by the hash of their first window."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        canon, self.exact_words = Canon(), Exact()
-        self.exact: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        self.templates = {}
-        self.total: dict[int, int] = {}
-        found: dict[int, list] = defaultdict(list)
-        for item, text in items:
-            t = template(text, canon)
-            width = min(WINDOW, len(t.words))
-            if width < MIN_LITERAL:
-                continue
-            fit = fit_windows(t, width)
-            if not fit.any():
-                words = self.exact_words.of(t.words)
-                self.exact[width][int(rolled(words, width)[0])].append((item, words))
-                continue
-            self.templates[item] = t
-            self.total[item] = int(fit.sum())
-            # A window that a capitalised word opens is held with it as a word and as a name.
-            both = [rolled(t.hashes, width), rolled(t.hashes, width, t.other)]
-            found[width] += {(h, item, j) for hashes in both for j, h in enumerate(hashes.tolist()) if fit[j]}
-        self.by_width = {}
-        for width, rows in found.items():
-            rows.sort()
-            bits = np.zeros(1 << 20, bool)
-            hashes = np.array([r[0] for r in rows], np.uint64)
-            bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
-            self.by_width[width] = hashes, bits, [r[1:] for r in rows]
-
-    def matches(self, text: str | None, canon: Canon) -> list[tuple]:
-        """item_id, n_windows, coverage, n_slots, n_changed of every item that the text holds with consistent slots.
-
-        Line starts are read as opening a sentence and, since a sentence may run on, as not opening one.
-        """
-        readings = [template(text, canon), template(text, canon, by_line=False)]
-        readings = readings[: 1 + bool((readings[0].slot != readings[1].slot).any())]
-        lanes: dict[tuple[int, int], set[int]] = defaultdict(set)
-        t = readings[0]
-        for width, (hashes, bits, at) in self.by_width.items():
-            for own in [rolled(r.hashes, width, firsts) for r in readings for firsts in (None, r.other)]:
-                for i in np.flatnonzero(bits[(own >> np.uint64(44)).astype(np.int64)]) if len(own) else ():
-                    lo, hi = np.searchsorted(hashes, own[i], "left"), np.searchsorted(hashes, own[i], "right")
-                    for item, j in at[lo:hi]:
-                        lanes[item, int(i) - j].add(j)
-        best: dict[int, dict] = {}
-        for (item, shift), js in lanes.items():
-            ours = self.templates[item]
-            width = min(WINDOW, len(ours.words))
-            spots = sorted({j + k for j in js for k in range(width) if ours.slot[j + k]} | {j for j in js if ours.words[j].lower().strip(b".,;:!?()") != t.words[j + shift].lower().strip(b".,;:!?()") and ours.other[j] != ours.hashes[j]})
-            given: dict[bytes, bytes] = {}
-            same = all(given.setdefault(ours.words[p].strip(b".,;:!?()"), got) == got for p in spots for got in [t.words[p + shift].strip(b".,;:!?()")])
-            if same:
-                kept = best.setdefault(item, {"js": set(), "slots": {}})
-                kept["js"].update(js)
-                kept["slots"].update((p, ours.words[p].strip(b".,;:!?()") != t.words[p + shift].strip(b".,;:!?()")) for p in spots)
-        return self._exact(t.words) + [(item, len(x["js"]), len(x["js"]) / self.total[item], len(x["slots"]), sum(x["slots"].values())) for item, x in sorted(best.items()) if len(x["js"]) >= MIN_COVERAGE * self.total[item]]
-
-    def _exact(self, words: list[bytes]) -> list[tuple]:
-        if not self.exact:
-            return []
-        codes, out = self.exact_words.of(words), set()
-        for width, held in self.exact.items():
-            own = rolled(codes, width)
-            for i in np.flatnonzero(np.isin(own, np.fromiter(held, np.uint64, len(held)))):
-                out |= {(item, len(x) - width + 1, 1.0, 0, 0) for item, x in held[int(own[i])] if np.array_equal(codes[i : i + len(x)], x)}
-        return sorted(out)
+SALT = {TEMPLATE: np.uint64(0), EXACT: np.uint64(0x2545F4914F6CDD1D), LINE: np.uint64(0x9FB21C651E98DF25)}
+
+
+@dataclass
+class Item:
+    """kind, the words, and the windows: hash, place. `need` of `total` windows must be met."""
+
+    kind: int
+    words: list[bytes]
+    template: Template
+    width: int
+    windows: list[tuple[int, int]]
+    total: int
+    need: int
+
+
+def item_of(text: str, canon: Canon, exact: Exact) -> Item | None:
+    """How an item is looked for; None if it has no word.
+
+    With a window of MIN_LITERAL plain words: by template. Other items of MIN_LITERAL words or more (numbers and names
+    alone): by all their words in a row. Shorter ones: by a line that holds nothing else.
+    """
+    t = template(text, canon)
+    width = min(WINDOW, len(t.words))
+    if not width:
+        return None
+    fit = fit_windows(t, width)
+    if width >= MIN_LITERAL and fit.any():
+        # A window that a capitalised word opens is held with it as a word and as a name.
+        both = [rolled(t.hashes, width), rolled(t.hashes, width, t.other)]
+        windows = sorted({(h, j) for hashes in both for j, h in enumerate(hashes.tolist()) if fit[j]})
+        return Item(TEMPLATE, t.words, t, width, windows, int(fit.sum()), math.ceil(MIN_COVERAGE * int(fit.sum()) - 1e-9))
+    kind = EXACT if width >= MIN_LITERAL else LINE
+    windows = list(enumerate((rolled(exact.of(t.words), width) ^ SALT[kind]).tolist()))
+    return Item(kind, t.words, t, width, [(h, j) for j, h in windows], len(windows), len(windows))
+
+
+def _bare(word: bytes) -> bytes:
+    return word.strip(b".,;:!?()")
+
+
+class Scan:
+    """The windows of a text that the bitmap lets through. shapes: kind and width of the items' windows."""
+
+    def __init__(self, shapes: list[tuple[int, int]], bitmap: np.ndarray):
+        self.bitmap, self.shift = bitmap, np.uint64(64 - (len(bitmap) * 8 - 1).bit_length())
+        self.widths = {kind: [w for k, w in shapes if k == kind] for kind in SALT}
+        self.canon, self.exact = Canon(), Exact()
+
+    def _may_meet(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> self.shift
+        return np.flatnonzero(self.bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+
+    def windows(self, text: str) -> list[tuple[int, int, str]]:
+        """Place, hash and words of each. Line starts are read as opening a sentence and, since one may run on, as not."""
+        t = template(text, self.canon)
+        found: set[tuple[int, int, int]] = set()
+        if self.widths[TEMPLATE]:
+            other = template(text, self.canon, by_line=False)
+            for reading in [t, other] if (t.slot != other.slot).any() else [t]:
+                for width in self.widths[TEMPLATE]:
+                    for own in (rolled(reading.hashes, width), rolled(reading.hashes, width, reading.other)):
+                        found |= {(i, int(own[i]), width) for i in self._may_meet(own).tolist()}
+        if self.widths[EXACT] or self.widths[LINE]:
+            codes = self.exact.of(t.words)
+            for width in self.widths[EXACT]:
+                own = rolled(codes, width) ^ SALT[EXACT]
+                found |= {(i, int(own[i]), width) for i in self._may_meet(own).tolist()}
+            starts = np.array(t.firsts, np.int64)
+            size = np.diff(np.append(starts, len(t.words)))
+            for width in self.widths[LINE]:
+                alone = starts[size == width]
+                if len(alone):
+                    own = rolled(codes, width)[alone] ^ SALT[LINE]
+                    found |= {(int(alone[i]), int(own[i]), width) for i in self._may_meet(own).tolist()}
+        return [(i, h, b" ".join(t.words[i : i + width]).decode("utf-8", "surrogatepass")) for i, h, width in sorted(found)]
+
+
+def judge(item: Item, met: list[tuple[int, int, bytes]]) -> tuple[int, float, int, int] | None:
+    """n_windows, coverage, n_slots, n_changed if the windows met (place in item, place in text, words) make the item."""
+    lanes: dict[int, dict[int, list[bytes]]] = defaultdict(dict)
+    for j, at, words in met:
+        lanes[at - j][j] = words.split()
+    ours = item.template
+    if item.kind != TEMPLATE:
+        same = lambda js: len(js) == item.total and all([*map(_plain, w)] == [*map(_plain, item.words[j : j + item.width])] for j, w in js.items())
+        return (item.total, 1.0, 0, 0) if any(map(same, lanes.values())) else None
+    seen: set[int] = set()
+    changed: dict[int, bool] = {}
+    for js in lanes.values():
+        theirs = {j + k: w for j, words in js.items() for k, w in enumerate(words)}
+        spots = sorted({j + k for j in js for k in range(item.width) if ours.slot[j + k]} | {j for j in js if _bare(ours.words[j].lower()) != _bare(theirs[j].lower()) and ours.other[j] != ours.hashes[j]})
+        given: dict[bytes, bytes] = {}
+        if all(given.setdefault(_bare(ours.words[p]), got) == got for p in spots for got in [_bare(theirs[p])]):
+            seen.update(js)
+            changed.update((p, _bare(ours.words[p]) != _bare(theirs[p])) for p in spots)
+    return (len(seen), len(seen) / item.total, len(changed), sum(changed.values())) if len(seen) >= item.need else None
+
+
+def _plain(word: bytes) -> str:
+    text = word.decode("utf-8", "surrogatepass")
+    return (_EDGE.sub("", text) or text).lower()
+
+
+def _bitmap(windows: DataFrame) -> np.ndarray:
+    """One bit for each leading part of a hash. It's made in pieces of 8 KB, so the driver gets BITMAP_BITS at most."""
+    n = windows.select("h").distinct().count()
+    bits = min(max((max(n, 1) - 1).bit_length() + 11, BITMAP_BITS[0]), BITMAP_BITS[1])
+
+    def piece(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(1 << 16, np.uint8)
+        held[pdf["at"].to_numpy(np.int64) & 0xFFFF] = 1
+        return pd.DataFrame({"piece": [key[0]], "bits": [np.packbits(held, bitorder="little").tobytes()]})
+
+    at = windows.select(F.shiftrightunsigned("h", 64 - bits).alias("at")).distinct().withColumn("piece", F.shiftright("at", 16))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in at.groupBy("piece").applyInPandas(piece, "piece long, bits binary").toLocalIterator():
+        out[r["piece"] << 13 : (r["piece"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _item_windows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    canon, exact = Canon(), Exact()
+    for pdf in it:
+        rows = []
+        for name, text in zip(pdf["item"], pdf["_text"], strict=True):
+            if item := item_of(text, canon, exact):
+                rows += [(name, item.kind, item.width, j, h - (1 << 64) if h >> 63 else h, item.total - item.need + 1) for h, j in item.windows]
+        yield pd.DataFrame(rows, columns=["item", "kind", "width", "j", "h", "n_keys"])
+
+
+def _judged(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    canon, exact = Canon(), Exact()
+    for pdf in it:
+        rows, known = [], {}
+        for i, name, item, text, met in zip(pdf["_id"], pdf["_t"], pdf["item"], pdf["_text"], pdf["met"], strict=True):
+            held = known[item] = known.get(item) or item_of(text, canon, exact)
+            if got := judge(held, [(m["j"], m["at"], utf8(m["words"])) for m in met]):
+                rows.append((i, name, item, *got))
+        yield pd.DataFrame(rows, columns=["_id", "_t", "item", "n_windows", "coverage", "n_slots", "n_changed"])
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """_id (as text), _t (of the row's text), item_id and what judge() says."""
+    items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("_text"))
+    items = materialise(items.withColumn("item", F.xxhash64("_text")))  # equal items are looked for once
+    texts = items.groupBy("item").agg(F.min("_text").alias("_text"))
+    windows = materialise(texts.mapInPandas(_item_windows, "item long, kind int, width int, j int, h long, n_keys int"))
+    shapes = [(r["kind"], r["width"]) for r in windows.select("kind", "width").distinct().collect()]  # 14 at most
+    held = docs.sparkSession.sparkContext.broadcast((shapes, _bitmap(windows)))
+
+    def hits(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scan = Scan(*held.value)
+        for pdf in it:
+            rows = [(i, t, at, h - (1 << 64) if h >> 63 else h, w) for i, t, text in zip(pdf["_id"], pdf["_t"], pdf["_text"], strict=True) for at, h, w in scan.windows(text)]
+            yield pd.DataFrame(rows, columns=["_id", "_t", "at", "h", "words"])
+
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_id"), F.xxhash64(text_col).alias("_t"), F.col(text_col).alias("_text"))
+    met = materialise(rows.mapInPandas(hits, "_id string, _t long, at long, h long, words string").join(windows.select("h").distinct(), "h", "left_semi"))
+    # The rarest windows of each item, as many as leave too few for it to count without one of them.
+    spread = windows.groupBy("h").agg(F.count_distinct("item").alias("_items"))
+    of_place = windows.join(spread, "h").groupBy("item", "j").agg(F.max("_items").alias("_items"), F.first("n_keys").alias("n_keys"), F.collect_set("h").alias("hs"))
+    ranked = of_place.groupBy("item", "n_keys").agg(F.array_sort(F.collect_list(F.struct("_items", "j", "hs"))).alias("p"))  # an item's own windows
+    keys = ranked.select("item", F.explode(F.slice("p", F.lit(1), F.col("n_keys"))).alias("k")).select("item", F.explode("k.hs").alias("h"))
+    often = materialise(met.groupBy("h").agg(F.count("*").alias("_n")))
+    total = often.agg(F.sum("_n")).first()[0] or 0
+    facts = keys.groupBy("h").agg(F.collect_set("item").alias("items")).join(often, "h")
+    pairs = skewed_join(met.select("_id", "_t", "h"), facts, ["h"], "_n", total, ["_id", "_t"]).select("_id", "_t", F.explode("items").alias("item")).distinct()
+    lanes = pairs.join(windows.select("item", "j", "h"), "item").join(met, ["_id", "_t", "h"])
+    lanes = lanes.groupBy("_id", "_t", "item").agg(F.collect_set(F.struct("j", "at", "words")).alias("met")).join(texts, "item")
+    out = lanes.select("_id", "_t", "item", "_text", "met").mapInPandas(_judged, "_id string, _t long, item long, n_windows long, coverage double, n_slots long, n_changed long")
+    return out.join(items.select("item", "item_id"), "item").drop("item")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -191,29 +303,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     n_changed counts slots filled with other values than the item's; 0 is a copy, more a re-parameterised question.
     A text counts if it holds MIN_COVERAGE of an item's template windows, and each value of the item is replaced by one
     value throughout. An item of which no window holds MIN_LITERAL plain words counts where a text holds all its words in
-    a row, values included, whatever their case (n_slots 0). The benchmark is read in blocks of bounded size and each is held against all documents, which
-    never move. Null or empty texts hold nothing; items under four words, null items and null item ids are left out.
-    Items that repeat return one row each id. Repeated documents each return. Other columns are ignored.
+    a row, values included, whatever their case (n_slots 0); one of under MIN_LITERAL words where they are a line of their
+    own. Null or empty texts hold nothing; null items, wordless items and null item ids are left out. Items that repeat
+    return a row for each id. Null ids return null. Rows that repeat an id are judged by their own texts; equal rows
+    return once. Very long texts: held one at a time, whole. Empty tables: no rows. Other columns are ignored.
     """
-    items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("_text"))
-    blocks = parts_for(items.agg(F.sum(F.octet_length("_text") + 64)).first()[0], BLOCK_BYTES)
-    rows = with_ids(docs.where(F.col(text_col).isNotNull()), id_col, text_col)
-    found: DataFrame | None = None
-    for block in range(blocks):
-        part = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()]
-        held = docs.sparkSession.sparkContext.broadcast(part)
-
-        def batches(it: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index, canon = Index(held.value), Canon()
-            for pdf in it:
-                out = [(i, *m) for i, t in zip(pdf["_id"], pdf["_text"], strict=True) for m in index.matches(t, canon)]
-                yield pd.DataFrame(out, columns=["_id", "item_id", "n_windows", "coverage", "n_slots", "n_changed"])
-
-        one = rows.mapInPandas(batches, "_id string, item_id long, n_windows long, coverage double, n_slots long, n_changed long")
-        found = one if found is None else found.union(one)
-    return found.withColumn("_id", F.col("_id").cast(docs.schema[id_col].dataType)).withColumnRenamed("_id", id_col)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows that hold a benchmark item. Null ids never match and stay."""
-    return docs.join(leaks(docs, benchmark, id_col).select(id_col).distinct(), id_col, "left_anti")
+    out = _found(docs, benchmark, id_col, text_col, item_col, item_text)
+    return out.select(F.nullif("_id", F.lit("null")).cast(docs.schema[id_col].dataType).alias(id_col), "item_id", "n_windows", "coverage", "n_slots", "n_changed")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text holds a benchmark item. Null ids stay; rows that repeat an id are judged by their
+    own texts. Extra columns stay, whatever their names."""
+    name = fresh(docs, "_name")
+    gone = _found(docs, benchmark, id_col, text_col, "item_id", "text").where("_id <> 'null'")
+    gone = gone.select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("_t").alias(name)).distinct()
+    return docs.withColumn(name, F.xxhash64(text_col)).join(gone, [id_col, name], "left_anti").select(*docs.columns)

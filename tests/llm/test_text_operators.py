@@ -399,7 +399,7 @@ def test_leaks(spark):
     again = "A train travels 75 km in 4 hours and then another 75 km in 5 hours, so what is its average speed for Bella overall?"
     wrong = "A train travels 75 km in 4 hours and then another 90 km in 5 hours, so what is its average speed for Bella overall?"
     docs = [(1, "Words before. " + item + " Words after."), (2, again), (3, wrong), (4, "nothing of the sort is told here at all"), (5, None), (6, ""), (None, item)]
-    bench = spark.createDataFrame([(0, item), (1, "a b"), (2, None), (None, item)], "item_id long, text string")
+    bench = spark.createDataFrame([(0, item), (1, "a b"), (2, None), (None, item), (3, ""), (4, " \n")], "item_id long, text string")
     got = {r.doc_id: (r.item_id, r.n_changed) for r in decontamination.leaks(frame(spark, docs), bench).collect()}
     assert got[1] == (0, 0) and got[2][0] == 0 and got[2][1] > 0 and 3 not in got and None in got and 4 not in got
     assert {r.doc_id for r in decontamination.clean(frame(spark, docs), bench).collect()} == {3, 4, 5, 6, None}
@@ -413,3 +413,50 @@ def test_leaks_of_short_items(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.n_changed) for r in decontamination.leaks(frame(spark, docs), bench).collect()}
     assert got == {(1, 0, 0), (2, 1, 0), (3, 2, 0), (4, 3, 0), (5, 3, 0), (8, 4, 1)}
+
+
+def test_leaks_of_very_short_items(spark):
+    items = ["2 + 2 =", "1 2 3 4 5 6", "Prove Fermat's theorem", "Why?"]
+    docs = [(1, "so 2 + 2 = what"), (2, "a 1 2 3 4 5 6 b"), (3, "Exercise\n prove Fermat's Theorem. \nnext"), (4, "we prove Fermat's theorem here"), (5, "Why?"), (6, "why not"), (6, "WHY"), (7, "2 + 3 =")]
+    bench = spark.createDataFrame([*enumerate(items), (9, "Why?")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, docs), bench).collect()}
+    assert got == {(1, 0), (2, 1), (3, 2), (5, 3), (5, 9), (6, 3), (6, 9)}
+    kept = sorted((r.doc_id, r.text) for r in decontamination.clean(frame(spark, docs).withColumn("_name", F.lit(1)), bench).collect())
+    assert kept == [(4, "we prove Fermat's theorem here"), (6, "why not"), (7, "2 + 3 =")]
+
+
+def brute_leaks(docs, items):
+    """Every item held against every text, window by window, without hashes, bitmap or joins."""
+    canon, exact, out = decontamination.Canon(), decontamination.Exact(), set()
+    for i, text in docs:
+        readings = [decontamination.template(text, canon), decontamination.template(text, canon, by_line=False)]
+        for k, item_text in items:
+            item = decontamination.item_of(item_text, canon, exact)
+            ours, met = item.template, set()
+            same = lambda a, b: all(x == y for x, y in zip(a, b, strict=True))
+            for j in sorted({j for _, j in item.windows}):
+                for t in readings:
+                    for at in range(len(t.words) - item.width + 1):
+                        tail = same(ours.hashes[j + 1 : j + item.width], t.hashes[at + 1 : at + item.width])
+                        if tail and {int(ours.hashes[j]), int(ours.other[j])} & {int(t.hashes[at]), int(t.other[at])}:
+                            met.add((j, at, b" ".join(t.words[at : at + item.width])))
+            if decontamination.judge(item, sorted(met)):
+                out.add((i, k))
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    """Items share an opening and differ behind it; texts hold them whole, cut, re-parameterised and inconsistently."""
+    R = random.Random(17)
+    word = lambda: R.choice(["apple", "river", "stone", "cloud", "paper", "green", "seven", "often"])
+    opening = "Read the question below and answer with care as well as you can"
+    items = [(k, f"{opening}: {word()} {word()} Alice has {R.randint(2, 99)} {word()} {word()} and {word()} {word()} {R.randint(2, 99)} km {word()} {word()} {word()}") for k in range(25)]
+    docs = []
+    for i in range(120):
+        words = R.choice(items)[1].split()
+        lo, hi = sorted(R.sample(range(len(words) + 1), 2)) if R.random() < 0.5 else (0, len(words))
+        cut = [str(R.randint(2, 99)) if w.isdigit() and R.random() < 0.5 else R.choice(["Bella", "Alice"]) if w == "Alice" else w for w in words[lo:hi]]
+        docs.append((i, " ".join([word(), *cut, word()]) + R.choice(["", "\n" + opening])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, docs), bench).collect()}
+    assert got == brute_leaks(docs, items) and len(got) > 30
