@@ -377,8 +377,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _settle(*told_samples(pdf, told), _replies(told, 2, np.uint32))
 
     by_batch = dealt.groupBy("batch")
-    first = by_batch.applyInPandas(samples, LETTER).groupBy("part").applyInPandas(lambda pdf: _answer_samples(pdf), LETTER)
-    second = by_batch.cogroup(first.groupBy("batch")).applyInPandas(entries, LETTER).groupBy("part").applyInPandas(lambda pdf: _answer_entries(pdf), LETTER)
+    by_part = lambda letters: letters.repartition(parts, "part").groupBy("part")  # noqa: E731  as many tasks as parts, at any size
+    first = by_part(by_batch.applyInPandas(samples, LETTER)).applyInPandas(lambda pdf: _answer_samples(pdf), LETTER)
+    second = by_part(by_batch.cogroup(first.groupBy("batch")).applyInPandas(entries, LETTER)).applyInPandas(lambda pdf: _answer_entries(pdf), LETTER)
     out = by_batch.cogroup(first.union(second).groupBy("batch")).applyInPandas(finish, "_id long, kept binary, n_bytes long, n_removed long, n_spans long")
     return out.select(F.col("_id").cast(kind).alias(id_col), "kept", "n_bytes", "n_removed", "n_spans").union(none)
 
