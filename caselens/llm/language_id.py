@@ -34,6 +34,7 @@ _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 BITS = 16
 SIZE = 1 << BITS
 PER_LANG = 1200  # training documents of a language, at most
+RANK_BUCKETS = 64
 BLOCK = 1 << 20
 SCALE = 30.0
 UNKNOWN = "und"
@@ -45,6 +46,11 @@ def family_of(lang: str) -> str:
     return _FAMILY.get(code, code)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of the categories L*; superscripts and number forms aren't."""
+    return any(m[0].isalpha() for m in re.finditer(r"[^\W\d_]", text))
+
+
 def gram_blocks(text: str) -> Iterator[np.ndarray]:
     """Buckets of the letter pairs and triples (other characters count as one gap), in blocks of bounded size."""
     whole = f" {text.lower()} "
@@ -76,7 +82,7 @@ class Model:
     pairs: dict[str, list[tuple[str, str, int]]] = field(default_factory=dict)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not re.search(r"[^\W\d_]", text) or not self.families:
+        if not text or not self.families or not has_letter(text):
             return UNKNOWN, 0.0
         total, n = np.zeros(self.weights.shape[1]), 0
         for block in gram_blocks(text):
@@ -100,13 +106,15 @@ class Model:
         return lang, p * votes[lang] / (len(langs) - 1)
 
 
-def family_weights(rows: Rows, labels: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Multinomial log-probabilities of the grams under each family, every document weighing the same, no prior."""
-    of = np.array([family_of(x) for x in labels])
-    counts = np.array([np.bincount(rows.col, rows.val * (of == f)[rows.row], SIZE) / max((of == f).sum(), 1) for f in names])
+def family_weights(sums: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multinomial log-probabilities of the grams under each family, every document weighing the same, no prior.
+
+    sums: the summed gram shares of each family's documents; sizes: how many there are.
+    """
+    counts = sums / np.maximum(sizes, 1)[:, None]
     smooth = counts + 0.02 * counts.mean(axis=0) + 1e-7
     logs = np.log(smooth / smooth.sum(axis=1, keepdims=True))
-    return (logs - logs.mean(axis=0)).T, np.zeros(len(names))
+    return (logs - logs.mean(axis=0)).T, np.zeros(len(sums))
 
 
 def svm(rows: Rows, side: np.ndarray, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -126,20 +134,33 @@ def _rows(pdf: pd.DataFrame) -> Rows:
     return Rows([np.frombuffer(c, np.int32) for c in pdf["col"]], [np.frombuffer(v, np.float32) for v in pdf["val"]])
 
 
+def sample(rows: DataFrame, per_lang: int) -> DataFrame:
+    """At most per_lang of each language's different rows (doc_id, lang, _t), those of the least hashes. Ranked in buckets
+    first, so that no task ranks a language's rows."""
+    order = [F.xxhash64("doc_id"), "doc_id", "_t"]
+    rank = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    few = rows.distinct().withColumn("_b", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(RANK_BUCKETS)))
+    few = few.withColumn("_r", rank("lang", "_b")).where(F.col("_r") <= per_lang)
+    return few.withColumn("_r", rank("lang")).where(F.col("_r") <= per_lang).drop("_r", "_b")
+
+
 def train(docs: DataFrame, learnable: Column, per_lang: int = PER_LANG) -> Model:
     """Learn from the rows where `learnable` holds and lang isn't null: at most per_lang documents of each language,
-    taken by a hash of their id. Each language pair of a family is fitted by a task of its own."""
-    light = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = light.withColumn("_r", rank).where(F.col("_r") <= per_lang).select("doc_id", "lang").distinct()
-    texts = docs.where(learnable & F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # per_lang ids of each language
+    taken by a hash of their id. Each language pair of a family is fitted by a task of its own, and so are the sums of
+    each family."""
+    usable = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("text").alias("_t"), "text")
+    chosen = sample(usable.drop("text"), per_lang)
+    held = chosen.select(*(F.col(c).alias(f"_{c}_") for c in ("doc_id", "lang", "_t")))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id_")) & (F.col("lang") == F.col("_lang_")) & (F.col("_t") == F.col("__t_"))
+    texts = usable.join(F.broadcast(held), same, "left_semi")  # per_lang rows of each language
+    texts = texts.groupBy("doc_id", "lang", "_t").agg(F.min("text").alias("text"))  # a repeated row counts once
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = [features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "col": [c.tobytes() for c, _ in made], "val": [v.tobytes() for _, v in made]})
+            yield pd.DataFrame({"name": pdf["name"], "lang": pdf["lang"], "col": [c.tobytes() for c, _ in made], "val": [v.tobytes() for _, v in made]})
 
-    made = texts.mapInPandas(vectors, "doc_id long, lang string, col binary, val binary")
+    made = texts.select(F.concat_ws(" ", "doc_id", "_t").alias("name"), "lang", "text").mapInPandas(vectors, "name string, lang string, col binary, val binary")
     langs = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
     families: dict[str, list[str]] = {}
     for lang in langs:
@@ -148,24 +169,24 @@ def train(docs: DataFrame, learnable: Column, per_lang: int = PER_LANG) -> Model
     if not families:
         return Model({}, np.zeros((SIZE, 0), np.float32), np.zeros(0))
     names = list(families)
-    tasks = {lang: [f"{a}|{b}" for a, b in pairs if lang in (a, b)] + ["families"] * (len(names) > 1) for lang in langs}
+    tasks = {lang: [f"{a}|{b}" for a, b in pairs if lang in (a, b)] + [f"|{family_of(lang)}"] * (len(names) > 1) for lang in langs}
     to = F.coalesce(*(F.when(F.col("lang") == lang, F.array(*map(F.lit, ts)) if ts else F.array().cast("array<string>")) for lang, ts in tasks.items()))
 
     def learn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "lang"], kind="stable")
+        pdf = pdf.sort_values(["name", "lang"], kind="stable")
         rows, labels = _rows(pdf), pdf["lang"].to_numpy()
-        if key[0] == "families":
-            w, b = family_weights(rows, labels, names)
+        if key[0].startswith("|"):
+            w, b = np.bincount(rows.col, rows.val, SIZE), len(pdf)
         else:
-            w, bias = svm(rows, np.where(labels == key[0].split("|")[0], 1.0, -1.0))
-            w, b = w[:, None], np.array([bias])
-        return pd.DataFrame({"task": [key[0]], "w": [w.astype(np.float32).tobytes()], "b": [b.tolist()]})
+            w, b = svm(rows, np.where(labels == key[0].split("|")[0], 1.0, -1.0))
+        return pd.DataFrame({"task": [key[0]], "w": [w.tobytes()], "b": [float(b)]})
 
-    got = {r["task"]: r for r in made.withColumn("task", F.explode(to)).groupBy("task").applyInPandas(learn, "task string, w binary, b array<double>").collect()}
-    take = lambda k, n: (np.frombuffer(got[k]["w"], np.float32).reshape(SIZE, n), got[k]["b"]) if k in got else (np.zeros((SIZE, n), np.float32), [0.0] * n)
-    columns = [take("families", len(names)), *(take(f"{a}|{b}", 1) for a, b in pairs)]
+    got = {r["task"]: (np.frombuffer(r["w"]), r["b"]) for r in made.withColumn("task", F.explode(to)).groupBy("task").applyInPandas(learn, "task string, w binary, b double").collect()}
+    none = np.zeros(SIZE), 0.0
+    sums, sizes = zip(*(got.get(f"|{f}", none) for f in names), strict=True)
+    columns = [family_weights(np.array(sums), np.array(sizes)), *((w[:, None], [b]) for w, b in (got.get(f"{a}|{b}", none) for a, b in pairs))]
     at = {pair: len(names) + i for i, pair in enumerate(pairs)}
-    return Model(families, np.hstack([w for w, _ in columns]), np.concatenate([b for _, b in columns]), {f: [(a, b, at[a, b]) for a, b in combinations(m, 2)] for f, m in families.items()})
+    return Model(families, np.hstack([w for w, _ in columns]).astype(np.float32), np.concatenate([b for _, b in columns]), {f: [(a, b, at[a, b]) for a, b in combinations(m, 2)] for f, m in families.items()})
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -188,8 +209,8 @@ def predict_all(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; held-out rows take no part in the learning.
 
     Null text or a text without a letter: `und` with score 0; so is every text where nothing can be learned. Null lang:
-    predicted like any other. Null id: not held out. Repeated rows each return. Empty table: no rows. Other columns are
-    ignored, whatever their names.
+    predicted like any other. Null id: not held out. Repeated rows each return, and count once in the learning. Very long
+    texts: read whole, in blocks. Empty table: no rows. Other columns are ignored, whatever their names.
     """
     docs = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out())
     model = train(docs, ~F.col("held_out"), per_lang)

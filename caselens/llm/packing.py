@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,10 +25,15 @@ _LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
 _WORD_END = "</w>"
+_KNOWN = {  # the parts of a tokenizer's description that the above stands for
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 
 
 class WordIds:
-    """Ids of a text, remembered by the parts that the tokenizer never joins.
+    """Ids of a text, remembered by the parts that the tokenizer never joins. A tokenizer that isn't described as _KNOWN
+    gets whole texts.
 
     A text of plain characters is split as the tokenizer splits it, any other at ASCII white space alone. Two
     generations of remembered parts keep the frequent ones within bounded memory.
@@ -40,6 +46,8 @@ class WordIds:
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith(_WORD_END)]] = True
+        told = json.loads(self.tokenizer.to_str())
+        self.whole = any(told.get(k) != v for k, v in _KNOWN.items()) or told["model"].get("end_of_word_suffix") != _WORD_END or any(t["content"][:2] != "<|" for t in told["added_tokens"])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -55,6 +63,8 @@ class WordIds:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
+        if self.whole:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         plain = _PLAIN.fullmatch(text) is not None and "<|" not in text
         parts = _SPLIT.findall(text.lower()) if plain else [" " + w for w in re.split(r"[ \t\n\x0b\x0c\r]+", text) if w]  # the blank tells them from plain parts
         found = list(map(self.young.get, parts))
@@ -159,30 +169,30 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """cut: rows with _id, piece and length (1 to capacity). Adds sequence_id and offset.
+    """cut: stored rows with _id, piece, length (1 to capacity) and a number _row of their own. Adds sequence_id and offset.
 
-    The driver sees one count for each length. A length's pieces are ranked in buckets by a hash of their id, so a
-    length that a third of all pieces have is ranked by many tasks.
+    The driver sees one count for each length. A length's pieces are ranked in buckets by a hash of their number, so a
+    length, or an id, that a third of all pieces have is ranked by many tasks.
     """
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     made = cut.sparkSession.sparkContext.broadcast(plan(counts, capacity))
     buckets = parts_for(sum(counts.values()), ROWS_PER_BUCKET, 16)
-    dealt = cut.withColumn("_b", F.pmod(F.xxhash64("_id", "piece"), F.lit(buckets)))
-    ranked = with_rank(dealt, ["length"], "_b", [F.col("_id"), F.col("piece")], "_rank")
+    dealt = cut.withColumn("_b", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
+    ranked = with_rank(dealt, ["length"], "_b", [F.col("_row")], "_rank")
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         sequence, offset = made.value.place(length.to_numpy(np.int64), rank.to_numpy(np.int64) - 1)
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    return ranked.withColumn("_p", place("length", "_rank")).select("*", "_p.sequence_id", "_p.offset").drop("_p", "_b", "_rank")
+    return ranked.withColumn("_p", place("length", "_rank")).select("*", "_p.sequence_id", "_p.offset").drop("_p", "_b", "_rank", "_row")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, piece, start, length, ids_crc32, sequence_id, offset for every piece.
 
     Null or wordless text: one piece, the id 0 alone. Repeated rows or ids: packed once each. Null ids: packed like any
-    other. Empty table: no rows. Other columns are ignored, whatever their names.
+    other. Very long texts: encoded whole, piece by piece in the result. Empty table: no rows. Other columns are ignored, whatever their names.
     """
-    cut = pieces(docs, tokenizer_path, capacity, id_col, text_col).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    cut = pieces(docs, tokenizer_path, capacity, id_col, text_col).withColumn("ids_crc32", F.crc32("ids")).drop("ids").withColumn("_row", F.monotonically_increasing_id())
     return pack(materialise(cut), capacity).select(F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

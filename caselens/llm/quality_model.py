@@ -23,7 +23,7 @@ STEM = 5  # letters of a word that give a bucket of their own
 SAMPLE = 8000  # labelled documents that the model is fitted on, at most
 MIN_SEEN = 4  # sampled documents that must hold a word bucket before it gets a weight
 MIN_Z = 3.5  # standard errors that their mean grade must be off by
-CACHE = 400_000  # words a task remembers the bucket of
+CACHE = 200_000  # words a task remembers the bucket of
 BLOCK = 1 << 20
 
 
@@ -80,14 +80,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -500, 500)))
 
 
-def fit_ordinal(rows: Rows, grades: np.ndarray, n_grades: int, ridge: float = 2e-4) -> Model:
+def live_columns(cols: list[np.ndarray], grades: np.ndarray) -> np.ndarray:
+    """Word buckets that enough documents hold and whose mean grade is clearly off, and all trigram buckets."""
+    seen, off = np.zeros(WORDS), np.zeros(WORDS)
+    for col, grade in zip(cols, grades - grades.mean(), strict=True):
+        words = col[col < WORDS]  # each once
+        seen[words] += 1
+        off[words] += grade
+    z = np.abs(off) / np.sqrt(np.maximum(seen, 1)) / max(grades.std(), 1e-9)
+    return np.concatenate(((seen >= MIN_SEEN) & (z >= MIN_Z), np.ones(GRAMS, bool)))
+
+
+def fit_ordinal(rows: Rows, live: np.ndarray, grades: np.ndarray, n_grades: int, ridge: float = 2e-4) -> Model:
     """Maximum likelihood with a ridge; later thresholds are the first plus positive steps, so they stay ordered."""
     size = WORDS + GRAMS
-    word = rows.col < WORDS
-    seen = np.bincount(rows.col[word], minlength=WORDS)
-    off = np.abs(np.bincount(rows.col[word], (grades - grades.mean())[rows.row[word]], WORDS)) / np.sqrt(np.maximum(seen, 1)) / max(grades.std(), 1e-9)
-    live = np.concatenate(((seen >= MIN_SEEN) & (off >= MIN_Z), np.ones(GRAMS, bool)))
-    rows = rows.only(live)
     share = np.array([(grades >= k).mean() for k in range(1, n_grades)]).clip(0.01, 0.99)
     cuts = -np.log(share / (1 - share))
     steps = np.log(np.maximum(np.diff(cuts), 0.05))
@@ -133,20 +139,26 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int =
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "grade": pdf["grade"], "col": [c.tobytes() for c, _ in made], "val": [v.tobytes() for _, v in made]})
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "grade"], kind="stable").drop_duplicates("doc_id")
-        rows = Rows([np.frombuffer(c, np.int32) for c in pdf["col"]], [np.frombuffer(v, np.float32) for v in pdf["val"]])
-        model = fit_ordinal(rows, pdf["grade"].to_numpy(np.int64), n_grades)
+        pdf = pdf.sort_values("doc_id", kind="stable")
+        grades = pdf["grade"].to_numpy(np.int64)
+        cols, vals = [np.frombuffer(c, np.int32) for c in pdf["col"]], [np.frombuffer(v, np.float32) for v in pdf["val"]]
+        live = live_columns(cols, grades)
+        kept = [live[c] for c in cols]  # most words go before the rows are joined, which halves what is held
+        rows = Rows([c[k] for c, k in zip(cols, kept, strict=True)], [v[k] for v, k in zip(vals, kept, strict=True)])
+        model = fit_ordinal(rows, live, grades, n_grades)
         return pd.DataFrame({"weights": [model.weights.tobytes()], "thresholds": [model.thresholds.tolist()]})
 
-    made = texts.select("doc_id", "grade", "_text").mapInPandas(vectors, "doc_id long, grade int, col binary, val binary")
+    # An id counts once however often it comes, so the task's bound holds.
+    texts = texts.groupBy("doc_id", "grade").agg(F.min("_text").alias("_text"))
+    made = texts.mapInPandas(vectors, "doc_id long, grade int, col binary, val binary")
     got = made.groupBy().applyInPandas(learn, "weights binary, thresholds array<double>").collect()
     return Model(np.frombuffer(got[0]["weights"], np.float32), np.array(got[0]["thresholds"])) if got else None
 
 
-def grade_scores(docs: DataFrame, model: Model | None, n_grades: int = 3, text_col: str = "text") -> DataFrame:
-    """docs plus _expected_grade and _tails (P(grade >= k) for k from 1), both null where there is no model or text."""
+def grade_scores(docs: DataFrame, model: Model | None, tails_col: str = "_tails", text_col: str = "text") -> DataFrame:
+    """docs plus `tails_col` (P(grade >= k) for k from 1), null where there is no model or text."""
     if model is None:
-        return docs.withColumns({"_expected_grade": F.lit(None).cast("double"), "_tails": F.lit(None).cast("array<double>")})
+        return docs.withColumn(tails_col, F.lit(None).cast("array<double>"))
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
     @F.pandas_udf("array<double>")
@@ -157,19 +169,24 @@ def grade_scores(docs: DataFrame, model: Model | None, n_grades: int = 3, text_c
             out = model.tails(z)
             yield pd.Series([None if np.isnan(s) else row for s, row in zip(z, out.tolist(), strict=True)])
 
-    return docs.withColumn("_tails", tails(F.col(text_col))).withColumn("_expected_grade", F.aggregate("_tails", F.lit(0.0), lambda a, x: a + x))
+    return docs.withColumn(tails_col, tails(F.col(text_col)))
 
 
-def keeps(least_tail: float = 0.5, n_grades: int = 3) -> Column:
+def keeps(least_tail: float = 0.5, tails_col: str = "_tails") -> Column:
     """Selection by the probability of the best grade; without a model or a text nothing speaks for the row."""
-    return F.coalesce(F.element_at("_tails", n_grades - 1) >= least_tail, F.lit(False))
+    return F.coalesce(F.element_at(tails_col, -1) >= least_tail, F.lit(False))
+
+
+def expected_grade(tails_col: str = "_tails") -> Column:
+    return F.aggregate(tails_col, F.lit(0.0), lambda a, x: a + x)
 
 
 def classify(docs: DataFrame, labels: DataFrame, least_tail: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """doc_id, expected_grade (0 to 2), p_good (grade 1 or more), p_clean (grade 2), kept (p_clean >= least_tail).
 
     Null text: null scores, not kept. Empty text: the thresholds alone decide. No usable label: null scores, nothing
-    kept. Repeated rows each return. Empty table: no rows. Other columns are ignored, whatever their names.
+    kept. Repeated rows each return; of rows that repeat a rated id the least text is learned from. Very long texts: read
+    whole, trigrams in blocks. Empty table: no rows. Other columns are ignored, whatever their names.
     """
     scored = grade_scores(docs.select("doc_id", "text"), train(docs, rated(labels), sample=sample))
-    return scored.select("doc_id", F.col("_expected_grade").alias("expected_grade"), F.element_at("_tails", 1).alias("p_good"), F.element_at("_tails", 2).alias("p_clean"), keeps(least_tail).alias("kept"))
+    return scored.select("doc_id", expected_grade().alias("expected_grade"), F.element_at("_tails", 1).alias("p_good"), F.element_at("_tails", 2).alias("p_clean"), keeps(least_tail).alias("kept"))

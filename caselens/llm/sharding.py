@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, parts_for
+from .common import HOT_SHARE, materialise, parts_for
 
 
 def with_rank(rows: DataFrame, keys: list[str], bucket: str, order: list[Column], out: str) -> DataFrame:
@@ -25,7 +25,7 @@ def interleave(docs: DataFrame, n_shards: int = 40, seed: int = 17, stratum: str
 
     Rows are shuffled by a seeded hash within each stratum and ranked; the fractional rank (rank - 1/2) / rows of the
     stratum orders all rows, and the order is cut into shards whose row counts differ by at most one. Law: `rows`.
-    Copies of one text are separate rows and may part; a group can't stay whole when it outgrows a shard.
+    Copies of one text are separate rows and may part: counts that differ by at most one leave no room for whole groups.
 
     Null stratum: a stratum of its own. Null text: 0 bytes, CRC-32 of nothing (0). Null or repeated ids, repeated rows:
     each row is placed once. Empty table: no rows. Other columns are ignored, whatever their names.
@@ -39,12 +39,17 @@ def interleave(docs: DataFrame, n_shards: int = 40, seed: int = 17, stratum: str
         (F.octet_length(text) + 16).cast("long").alias("_size"),
         F.crc32(text.cast("binary")).alias("_crc"),
     ).withColumn("_h", F.xxhash64(F.lit(seed), "_id", "_crc"))
-    total = docs.count()
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
+    total = rows.count()
     buckets = parts_for(total, rows_per_bucket, 16)
-    rows = rows.withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
-    ranked = with_rank(rows, ["_key"], "_b", [F.col("_h"), F.col("_id"), F.col("_size")], "_rank")
+    # Rows that share id and text are alike, so where they are very many (fewer than HOT_SHARE hashes) their numbers may
+    # spread them over the buckets.
+    hot = rows.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") > max(total // HOT_SHARE, rows_per_bucket)).select("_h", F.lit(True).alias("_hot"))
+    spread = F.when(F.col("_hot"), F.xxhash64("_h", "_row")).otherwise(F.col("_h"))
+    rows = rows.join(F.broadcast(hot), "_h", "left").withColumn("_b", F.pmod(spread, F.lit(buckets))).drop("_hot")
+    ranked = with_rank(rows, ["_key"], "_b", [F.col("_h"), F.col("_id"), F.col("_size"), F.col("_row")], "_rank")
     sizes = rows.groupBy("_key").agg(F.count("*").alias("_rows"))
-    ranked = materialise(ranked.join(sizes, "_key").withColumn("_f", F.expr(f"((2 * _rank - 1) * {buckets}) div (2 * _rows)")).drop("_b", "_h"))
+    ranked = materialise(ranked.join(sizes, "_key").withColumn("_f", F.expr(f"((2 * _rank - 1) * {buckets}) div (2 * _rows)")).drop("_b", "_h", "_row"))
     # (2 rank - 1) / (2 rows) as the remainder within its bucket keeps the comparison exact for any number of rows.
     inside = F.expr(f"((2 * _rank - 1) * {buckets}) % (2 * _rows)") / (2 * F.col("_rows"))
     placed = with_rank(ranked.withColumn("_one", F.lit(0)), ["_one"], "_f", [inside, F.col("_key"), F.col("_rank")], "_at")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -139,7 +140,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """One record per row, in archives of about ARCHIVE_BYTES: archive long, content binary (a whole .warc.zst file).
 
     Of payloads equal and at least MIN_REVISIT_BYTES long the least id is the response and the others revisit it, so a
-    payload is stored once however many pages hold it. Null html: an empty payload. Null url: an empty target. Null id:
+    payload is stored once however many pages hold it. A page is held whole by one task. Null html: an empty payload. Null url: an empty target. Null id:
     a response named <urn:page:null>, read back as null. Repeated ids with equal payloads: each a response; with other
     payloads each row is judged by its own. Other columns are ignored.
     """
@@ -159,7 +160,30 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         return pd.DataFrame({"archive": [key[0]], "content": [archive_bytes(records)]})
 
     copies = materialise(_first_copies(rows).select(as_text, "_digest", F.col("refers_to").cast("string").alias("refers_to"), archive))
-    return rows.select(as_text, "_url", "_html", "_digest", "_bytes", archive).groupBy("archive").cogroup(copies.groupBy("archive")).applyInPandas(pack, "archive long, content binary")
+    # As many tasks as archives, so what a task reads doesn't grow with the input.
+    dealt = rows.select(as_text, "_url", "_html", "_digest", "_bytes", archive).repartition(archives, "archive")
+    return dealt.groupBy("archive").cogroup(copies.repartition(archives, "archive").groupBy("archive")).applyInPandas(pack, "archive long, content binary")
+
+
+def export_archives(archives: DataFrame, uri: str) -> DataFrame:
+    """Each archive as a file of its own, <uri>/<archive>.warc.zst, on any file system that pyarrow opens by URI; returns
+    archive and path. A file is written under another name and then moved, so a repeated task leaves whole files only."""
+
+    def write(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(uri)
+        where.create_dir(root, recursive=True)
+        for pdf in it:
+            names = [f"{archive:08d}.warc.zst" for archive in pdf["archive"]]
+            for name, content in zip(names, pdf["content"], strict=True):
+                part = f"{root}/_{uuid.uuid4().hex}"
+                with where.open_output_stream(part) as out:
+                    out.write(content)
+                where.move(part, f"{root}/{name}")
+            yield pd.DataFrame({"archive": pdf["archive"], "path": [f"{uri.rstrip('/')}/{name}" for name in names]})
+
+    return archives.select("archive", "content").mapInPandas(write, "archive long, path string")
 
 
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"

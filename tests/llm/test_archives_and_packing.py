@@ -39,6 +39,15 @@ def test_archives_of_null_and_repeated_ids(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_files(spark, tmp_path):
+    """Archives as files, read back as binaryFile gives them."""
+    pages = spark.createDataFrame([(i, "u", "p" * (i * 40)) for i in range(20)], "page_id long, url string, html string")
+    rows = warc.export_archives(warc.write_archives(pages), f"file://{tmp_path}/a").collect()
+    assert rows and sorted(r.path.rpartition("/")[2] for r in rows) == sorted(p.name for p in (tmp_path / "a").iterdir())
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(str(tmp_path / "a"))
+    assert sorted((r.page_id, r.payload_bytes, bytes(r.payload)) for r in warc.read_archives(files).collect()) == [(i, i * 40, b"p" * (i * 40)) for i in range(20)]
+
+
 def test_bad_archives():
     good = warc.archive_bytes([warc.record_bytes(1, "u", b"x" * 200, hashlib.sha256(b"x" * 200).hexdigest(), 200, None)])
     assert [warc.parse_record(f)["payload_bytes"] for f in warc.split_frames(good)[1]] == [200]
@@ -63,6 +72,13 @@ def test_ids_are_the_tokenizer_s(monkeypatch):
         assert ours(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ours, whole = packing.WordIds(path), Tokenizer.from_file(path)
+    for text in ("Some plain text, twice.  Some plain text.", "Ünïcode\ttoo", " "):
+        assert ours(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_packing(spark):
     R = random.Random(3)
     docs = [(i, " ".join(R.choice(["alpha", "beta", "gamma."]) for _ in range(R.randint(0, 90)))) for i in range(150)] + [(900, None), (901, " "), (None, "alpha beta"), (3, "alpha")]
