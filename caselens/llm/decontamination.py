@@ -66,41 +66,49 @@ class Template:
     firsts: list[int]  # places of the words that open a line
 
 
-def template(text: str | None, canon: Canon, by_line: bool = True) -> Template:
-    """Numbers, units right after a number, and capitalised words inside a sentence become typed placeholders. by_line:
-    a line start opens a sentence."""
-    words, codes, firsts = [], [], []
+def templates(text: str | None, canon: Canon) -> list[Template]:
+    """Numbers, units right after a number, and capitalised words inside a sentence become typed placeholders. A line
+    start is read as opening a sentence and, since a sentence may run on, as not: a second template where they differ."""
+    words, firsts = [], []
     for line in utf8(text).split(b"\n"):
         if part := line.split():
             firsts.append(len(words))
             words += part
-            got = list(map(canon.__getitem__, part))
-            codes += got
-    code = np.array(codes, np.uint64)
+    code = np.fromiter(map(canon.__getitem__, words), np.uint64, len(words))
     kind = (code & np.uint64(3)).astype(np.int8)
-    ends = (code & np.uint64(4)) > 0
     before = np.concatenate(([False], kind[:-1] == 1)) if len(code) else np.zeros(0, bool)
-    opens = np.concatenate(([True], ends[:-1])) if len(code) else np.zeros(0, bool)
-    if by_line:
-        opens[firsts] = True
-    slot = np.where(kind == 1, 1, np.where((kind == 2) & ~opens, 2, np.where((kind == 3) & before, 3, 0)))
-    plain = code & ~np.uint64(7)
-    hashes = plain.copy()
-    for k, name in ((1, NUM), (2, NAME), (3, UNIT)):
-        hashes[slot == k] = SLOTS[name]
-    return Template(words, hashes, slot, np.where(kind == 2, np.where(slot == 2, plain, np.uint64(SLOTS[NAME])), hashes), firsts)
-
-
-def rolled(hashes: np.ndarray, width: int, firsts: np.ndarray | None = None) -> np.ndarray:
-    """Hash of each window, with its first word's hash from `firsts`."""
+    name, plain = kind == 2, code & ~np.uint64(7)
+    fixed = np.where(kind == 1, 1, np.where((kind == 3) & before, 3, 0))
+    opens = np.concatenate(([True], (code[:-1] & np.uint64(4)) > 0)) if len(code) else np.zeros(0, bool)
+    by_line = opens.copy()
+    by_line[firsts] = True
+    out = []
+    for begins in [by_line, opens] if (name & (by_line != opens)).any() else [by_line]:
+        slot = np.where(name & ~begins, 2, fixed)
+        hashes = plain.copy()
+        for k, placeholder in ((1, NUM), (2, NAME), (3, UNIT)):
+            hashes[slot == k] = SLOTS[placeholder]
+        out.append(Template(words, hashes, slot, np.where(name, np.where(slot == 2, plain, np.uint64(SLOTS[NAME])), hashes), firsts))
+    return out
+
+
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def rolled(hashes: np.ndarray, width: int, *firsts: np.ndarray) -> list[np.ndarray]:
+    """Hash of each window; then, for each of firsts, with its first word's hash from there."""
     n = len(hashes) - width + 1
     if n < 1:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(width):
-        part = (hashes if i or firsts is None else firsts)[i : i + n]
-        out = out * np.uint64(0x9E3779B97F4A7C15) + (part ^ (part >> np.uint64(29)))
-    return mix64(out)
+        return [np.zeros(0, np.uint64)] * (1 + len(firsts))
+    spread = lambda x: x ^ (x >> np.uint64(29))
+    mixed = spread(hashes)
+    tail, power = np.zeros(n, np.uint64), np.uint64(1)
+    for i in range(1, width):
+        tail = tail * _MULTIPLIER + mixed[i : i + n]
+    with np.errstate(over="ignore"):
+        for _ in range(width - 1):
+            power = power * _MULTIPLIER
+    return [mix64(first[:n] * power + tail) for first in (mixed, *map(spread, firsts))]
 
 
 def fit_windows(t: Template, width: int) -> np.ndarray:
@@ -145,18 +153,18 @@ def item_of(text: str, canon: Canon, exact: Exact) -> Item | None:
     With a window of MIN_LITERAL plain words: by template. Other items of MIN_LITERAL words or more (numbers and names
     alone): by all their words in a row. Shorter ones: by a line that holds nothing else.
     """
-    t = template(text, canon)
+    t = templates(text, canon)[0]
     width = min(WINDOW, len(t.words))
     if not width:
         return None
     fit = fit_windows(t, width)
     if width >= MIN_LITERAL and fit.any():
         # A window that a capitalised word opens is held with it as a word and as a name.
-        both = [rolled(t.hashes, width), rolled(t.hashes, width, t.other)]
+        both = rolled(t.hashes, width, t.other)
         windows = sorted({(h, j) for hashes in both for j, h in enumerate(hashes.tolist()) if fit[j]})
         return Item(TEMPLATE, t.words, t, width, windows, int(fit.sum()), math.ceil(MIN_COVERAGE * int(fit.sum()) - 1e-9))
     kind = EXACT if width >= MIN_LITERAL else LINE
-    windows = list(enumerate((rolled(exact.of(t.words), width) ^ SALT[kind]).tolist()))
+    windows = list(enumerate((rolled(exact.of(t.words), width)[0] ^ SALT[kind]).tolist()))
     return Item(kind, t.words, t, width, [(h, j) for j, h in windows], len(windows), len(windows))
 
 
@@ -177,26 +185,23 @@ class Scan:
         return np.flatnonzero(self.bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
 
     def windows(self, text: str) -> list[tuple[int, int, str]]:
-        """Place, hash and words of each. Line starts are read as opening a sentence and, since one may run on, as not."""
-        t = template(text, self.canon)
-        found: set[tuple[int, int, int]] = set()
-        if self.widths[TEMPLATE]:
-            other = template(text, self.canon, by_line=False)
-            for reading in [t, other] if (t.slot != other.slot).any() else [t]:
-                for width in self.widths[TEMPLATE]:
-                    for own in (rolled(reading.hashes, width), rolled(reading.hashes, width, reading.other)):
-                        found |= {(i, int(own[i]), width) for i in self._may_meet(own).tolist()}
+        """Place, hash and words of each."""
+        readings = templates(text, self.canon)
+        t, found = readings[0], set()
+        for width in self.widths[TEMPLATE]:
+            for own in (x for r in readings for x in rolled(r.hashes, width, r.other)):
+                found |= {(i, int(own[i]), width) for i in self._may_meet(own).tolist()}
         if self.widths[EXACT] or self.widths[LINE]:
             codes = self.exact.of(t.words)
             for width in self.widths[EXACT]:
-                own = rolled(codes, width) ^ SALT[EXACT]
+                own = rolled(codes, width)[0] ^ SALT[EXACT]
                 found |= {(i, int(own[i]), width) for i in self._may_meet(own).tolist()}
             starts = np.array(t.firsts, np.int64)
             size = np.diff(np.append(starts, len(t.words)))
             for width in self.widths[LINE]:
                 alone = starts[size == width]
                 if len(alone):
-                    own = rolled(codes, width)[alone] ^ SALT[LINE]
+                    own = rolled(codes, width)[0][alone] ^ SALT[LINE]
                     found |= {(int(alone[i]), int(own[i]), width) for i in self._may_meet(own).tolist()}
         return [(i, h, b" ".join(t.words[i : i + width]).decode("utf-8", "surrogatepass")) for i, h, width in sorted(found)]
 

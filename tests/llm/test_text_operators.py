@@ -449,7 +449,7 @@ def brute_leaks(docs, items):
     """Every item held against every text, window by window, without hashes, bitmap or joins."""
     canon, exact, out = decontamination.Canon(), decontamination.Exact(), set()
     for i, text in docs:
-        readings = [decontamination.template(text, canon), decontamination.template(text, canon, by_line=False)]
+        readings = decontamination.templates(text, canon)
         for k, item_text in items:
             item = decontamination.item_of(item_text, canon, exact)
             ours, met = item.template, set()
