@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -33,6 +33,9 @@ class Log:
     object_attr: DataFrame
     by_type: dict[str, DataFrame] = field(default_factory=dict)  # rows of `object` of a type, where they are known apart
     by_name: dict[str, DataFrame] = field(default_factory=dict)  # rows of `object_attr` of a name, likewise
+    cases_known: bool = False  # every edge that ends in `_for_case` leads to a case of the log
+    kept: bool = False  # what the tables are made from is held already
+    views: dict[str, DataFrame] = field(default_factory=dict)  # views of the log that are held
 
     @staticmethod
     def of(spark: SparkSession, event: list, object: list, object_attr: list = ()) -> Log:  # noqa: A002
@@ -40,7 +43,7 @@ class Log:
         return Log(spark.createDataFrame(list(event), EVENT), spark.createDataFrame(list(object), OBJECT), spark.createDataFrame(list(object_attr), OBJECT_ATTR))
 
     def map(self, f) -> Log:  # noqa: ANN001
-        return Log(f(self.event), f(self.object), f(self.object_attr), {k: f(v) for k, v in self.by_type.items()}, {k: f(v) for k, v in self.by_name.items()})
+        return Log(f(self.event), f(self.object), f(self.object_attr), {k: f(v) for k, v in self.by_type.items()}, {k: f(v) for k, v in self.by_name.items()}, self.cases_known, self.kept)
 
     def union(self, other: Log) -> Log:
         return Log(*(getattr(self, n).unionByName(getattr(other, n)) for n in ("event", "object", "object_attr")))
@@ -55,10 +58,19 @@ class Log:
         return self.object_attr.where(F.col("name").isin(*names))
 
     def persist(self) -> Log:
-        """Keep the tables and the case profile that nearly every operator reads, for plans that read them many times."""
-        for df in (self.event, *(self.by_type.values() or [self.object]), *(self.by_name.values() or [self.object_attr]), case_profile(self)):
-            df.persist(StorageLevel.MEMORY_AND_DISK)
-        return self
+        """The same log with its tables and the views that nearly every operator reads held, for plans that read them
+        many times. release() lets go of them."""
+        hold = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
+        if not self.kept:
+            for df in (self.event, *(self.by_type.values() or [self.object]), *(self.by_name.values() or [self.object_attr])):
+                hold(df)
+        views = {"case_profile": case_profile(self), "case_alerts": case_alerts(self), "alert_assets": alert_assets(self)}
+        views |= {f"{kind}.{name}": objects(self, kind, name) for kind, name in (("Alert", "severity"), ("Asset", "criticality"))}
+        return replace(self, views={k: hold(v) for k, v in views.items()})
+
+    def release(self) -> None:
+        for df in (*self.views.values(), self.event, self.object, self.object_attr, *self.by_type.values(), *self.by_name.values()):
+            df.unpersist()
 
     def where(self, condition: Column | str) -> Log:
         """The same log for some entities; the condition is about cse_id."""
@@ -79,6 +91,8 @@ def first_target(qualifier: str, rels: str = "rels") -> Column:
 
 def objects(log: Log, kind: str, *attributes: str) -> DataFrame:
     """cse_id, object_id, rels of one type of object, with the initial values of some attributes."""
+    if len(attributes) == 1 and f"{kind}.{attributes[0]}" in log.views:
+        return log.views[f"{kind}.{attributes[0]}"]
     rows = log.of_type(kind).select("cse_id", "object_id", "rels")
     if not attributes:
         return rows
@@ -98,16 +112,23 @@ def case_events(log: Log) -> DataFrame:
     """cse_id, case_id, event_id, type, time, attrs, rels: an event for each edge that ends in `_for_case` at a case."""
     edge = F.explode(F.filter("rels", lambda r: r["qualifier"].endswith(FOR_CASE)))
     rows = log.event.select("cse_id", edge.alias("_e"), "event_id", "type", "time", "attrs", "rels").select("cse_id", F.col("_e.target_id").alias("case_id"), "event_id", "type", "time", "attrs", "rels")
+    if log.cases_known:
+        return rows
     cases = log.of_type("Case").select("cse_id", F.col("object_id").alias("case_id"))
     return rows.join(cases, ["cse_id", "case_id"], "left_semi")
 
 
 def case_alerts(log: Log) -> DataFrame:
     """cse_id, case_id, alert_id for every edge from a case to its alert."""
+    if "case_alerts" in log.views:
+        return log.views["case_alerts"]
     return log.object_object("Case").where("qualifier = 'case_for_alert'").select("cse_id", F.col("source_id").alias("case_id"), F.col("target_id").alias("alert_id"))
 
 
 def alert_assets(log: Log) -> DataFrame:
+    """cse_id, alert_id, asset_id for every edge from an alert to its asset."""
+    if "alert_assets" in log.views:
+        return log.views["alert_assets"]
     return log.object_object("Alert").where("qualifier = 'raised_on_asset'").select("cse_id", F.col("source_id").alias("alert_id"), F.col("target_id").alias("asset_id"))
 
 
@@ -128,6 +149,8 @@ def case_trace(log: Log) -> DataFrame:
 def case_profile(log: Log) -> DataFrame:
     """What rules and detectors ask of a case, in one pass: `opened` (first event), `closed` (last CLOSE), the number and
     first time of each type of event (`n_<type>`, `first_<type>`), and `reassigned`, its reassignments in order."""
+    if "case_profile" in log.views:
+        return log.views["case_profile"]
     is_ = lambda kind: F.col("type") == kind
     step = F.struct("time", "event_id", F.coalesce(first_target("reassigned_to"), F.lit(NOBODY)).alias("to"), F.coalesce(F.col("attrs")["handover_reason"] == "SHIFT_CHANGE", F.lit(False)).alias("shift"))
     numbers = [F.count_if(is_(k)).alias(f"n_{k}") for k in CASE_QUALIFIER]

@@ -36,7 +36,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def fused(spark: SparkSession, sf_dir: str) -> fusion.Fusion:
     """Concerns are read several times by what follows, and are few beside the log."""
-    found = fusion.fuse(projection.log(spark, sf_dir).persist())
+    found = fusion.fuse(projection.log(spark, sf_dir, keep=True).persist())
     return fusion.Fusion(found.concerns.persist(), found.suppressed)
 
 
@@ -213,7 +213,7 @@ def page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = projection.log(spark, sf_dir).persist()
+    log = projection.log(spark, sf_dir, keep=True).persist()
     return portfolio.peer_comparison(portfolio.case_counts(log), portfolio.flagged_counts(fused(spark, sf_dir).concerns))
 
 
@@ -256,7 +256,7 @@ def robustness_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def intervention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = projection.log(spark, sf_dir).persist()
+    log = projection.log(spark, sf_dir, keep=True).persist()
     return rounded(causal.entity_report(log, fused(spark, sf_dir).concerns).drop("finding_id"))
 
 
@@ -333,6 +333,6 @@ def standin_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def portfolio_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = projection.log(spark, sf_dir).persist()
+    log = projection.log(spark, sf_dir, keep=True).persist()
     found = fused(spark, sf_dir).concerns
     return portfolio.totals(log, found, portfolio.entity_risk(portfolio.peer_comparison(portfolio.case_counts(log), portfolio.flagged_counts(found))))

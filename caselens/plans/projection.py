@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,22 +23,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cse_id, case_id, opened, status, analyst, queue, severity."""
+    """o_orderkey, cse_id, case_id, opened, status, analyst, queue, severity."""
     nation = F.broadcast(read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))  # 25 rows
     customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority").join(customer, F.col("o_custkey") == F.col("c_custkey"))
     return rows.select(
-        F.col("c_mktsegment").alias("cse_id"), F.col("o_orderkey").cast("string").alias("case_id"), F.col("o_orderdate").cast("timestamp").alias("opened"), F.col("o_orderstatus").alias("status"),
+        "o_orderkey", F.col("c_mktsegment").alias("cse_id"), F.col("o_orderkey").cast("string").alias("case_id"), F.col("o_orderdate").cast("timestamp").alias("opened"), F.col("o_orderstatus").alias("status"),
         F.concat(F.lit("AN-"), F.col("c_nationkey").cast("string")).alias("analyst"), F.concat(F.lit("Q-"), F.col("n_regionkey").cast("string")).alias("queue"), lookup(SEVERITY, F.col("o_orderpriority"), "LOW").alias("severity"),
     )
 
 
 def case_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as events: case_id, asset, k, type, ts, actor, shift."""
+    """Line items as events: l_orderkey, case_id, asset, k, type, ts, actor, shift."""
     lines = read(spark, sf_dir, "lineitem").withColumn("_k", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*LINE_ORDER)))
     supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     return lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        F.col("l_orderkey").cast("string").alias("case_id"), "l_partkey", F.col("_k").alias("k"), lookup(KINDS, F.concat("l_returnflag", "l_linestatus")).alias("type"),
+        "l_orderkey", F.col("l_orderkey").cast("string").alias("case_id"), "l_partkey", F.col("_k").alias("k"), lookup(KINDS, F.concat("l_returnflag", "l_linestatus")).alias("type"),
         F.col("l_shipdate").cast("timestamp").alias("ts"), F.concat(F.lit("AN-"), F.col("s_nationkey").cast("string")).alias("actor"), (F.col("l_discount") >= 0.05).alias("shift"),
     ).where("type is not null")
 
@@ -50,17 +51,23 @@ def _tag(prefix: str, col: str) -> Column:
     return F.concat(F.lit(prefix), F.col(col).cast("string"))
 
 
-def log(spark: SparkSession, sf_dir: str) -> Log:
-    """The whole log of all entities. Asset and alert of a case come from its order; an order without lines has none."""
-    case = cases(spark, sf_dir)
-    lines = case_lines(spark, sf_dir).join(case.select("cse_id", "case_id"), "case_id")
+def log(spark: SparkSession, sf_dir: str, keep: bool = False) -> Log:
+    """The whole log of all entities. Asset and alert of a case come from its order; an order without lines has none.
+
+    keep: hold the cases, their lines and assets, from which all tables of the log are plain projections or small.
+    Lines are ranked and joined by the order's number, so one shuffle of them serves both.
+    """
+    held = (lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)) if keep else (lambda df: df)
+    case = held(cases(spark, sf_dir))
+    lines = case_lines(spark, sf_dir).join(case.select("cse_id", F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    lines = held(lines.select("cse_id", "case_id", "l_partkey", "k", "type", "ts", "actor", "shift"))
     none = F.array().cast(RELS)
     alert, shift = _tag("AL-", "case_id"), F.when((F.col("type") == "REASSIGN") & F.col("shift"), F.create_map(F.lit("handover_reason"), F.lit("SHIFT_CHANGE"))).otherwise(F.create_map().cast("map<string,string>"))
     to_case = F.coalesce(*(F.when(F.col("type") == k, F.array(_rel(F.col("case_id"), q))) for k, q in CASE_QUALIFIER.items()))
     to_actor = F.when(F.col("type") == "REASSIGN", F.array(_rel(F.col("actor"), "reassigned_to"))).when(F.col("type") == "INVESTIGATE", F.array(_rel(F.col("actor"), "investigated_by"))).otherwise(none)
     event = lines.select("cse_id", F.concat_ws("::", "type", "case_id", F.col("k").cast("string")).alias("event_id"), "type", F.col("ts").alias("time"), shift.alias("attrs"), F.concat(to_case, to_actor).cast(RELS).alias("rels"))
     part = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type")
-    asset_of = lines.groupBy("cse_id", "case_id").agg(F.min("l_partkey").alias("p_partkey"))
+    asset_of = held(lines.groupBy("cse_id", "case_id").agg(F.min("l_partkey").alias("p_partkey")))
     size = F.col("p_size")
     critical = F.when(size <= 12, "LOW").when(size <= 25, "MEDIUM").when(size <= 38, "HIGH").otherwise("CRITICAL")
     assets = asset_of.select("cse_id", "p_partkey").distinct().join(part, "p_partkey").select("cse_id", _tag("AS-", "p_partkey").alias("object_id"), critical.alias("criticality"), F.col("p_type").alias("asset_type"))
@@ -80,7 +87,7 @@ def log(spark: SparkSession, sf_dir: str) -> Log:
     union = lambda xs: reduce(DataFrame.unionByName, xs)
     by_type = dict(zip(("Case", "Alert", "Asset", "Analyst", "Queue"), objs, strict=True))
     by_name = dict(zip(("status", "severity", "criticality", "asset_type", "tier"), attrs, strict=True))
-    return Log(event, union(objs), union(attrs), by_type, by_name)
+    return Log(event, union(objs), union(attrs), by_type, by_name, cases_known=True, kept=keep)
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
