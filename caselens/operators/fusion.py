@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselens.functions.expressions import concern_score, filled, finding_id, review_minutes
-from caselens.functions.vocabulary import CASE_QUALIFIER
+from caselens.functions.expressions import concern_score, filled, finding_id, label, lookup, review_minutes
+from caselens.functions.vocabulary import CASE_QUALIFIER, QUALITY_WEIGHT
 
 from . import detectors, rules
-from .log import Log, case_alerts, case_profile, objects
+from .log import Log, alert_assets, case_alerts, case_events, case_profile, objects
 from .peers import negative_space, two_sided
 
 CONCERN = ("cse_id", "finding_type", "primary_id", "capability", "authority", "event_type", "supporting", "detail")
@@ -60,7 +61,54 @@ def _z(detail: str = "z") -> Column:
     return F.format_string("z=%.4f", F.col(detail))
 
 
-def fuse(log: Log, low_confidence: DataFrame | None = None, uniform_threshold: float = 0.15) -> Fusion:
+# The rule behind a finding type, and the version of the rules and of the package layout.
+RULES = {"EXCESSIVE_REASSIGNMENT_CARDINALITY": rules.FEW_REASSIGNMENTS.rule_id, "ESCALATION_SLA_VIOLATION": rules.ESCALATE_CRITICAL.rule_id, "MISSING_ENRICHMENT": rules.ENRICH_FIRST.rule_id}
+VERSION = "1.0"
+
+
+def evidence(log: Log, concerns: DataFrame) -> DataFrame:
+    """What each concern rests on, a row for each: cse_id, finding_id, finding_type, primary_id, kind, ref_id.
+
+    kind object: what it is about. kind case: the case itself; the cases of an asset's alerts, an analyst's present cases
+    or a queue's escalated ones. kind event: the events of the concern's own type in its case. Rows and not lists, as an
+    analyst or queue may have any number of cases.
+    """
+    about = ["cse_id", "finding_id", "finding_type", "primary_id"]
+    out = lambda df, kind, ref: df.select(*about, F.lit(kind).alias("kind"), F.col(ref).alias("ref_id"))
+    of = lambda *kinds: concerns.where(F.col("finding_type").isin(*kinds)).select(*about)
+    owned = concerns.where("event_type is not null").select(*about, "event_type")
+    events = case_events(log).select("cse_id", F.col("case_id").alias("primary_id"), F.col("type").alias("event_type"), "event_id")
+    chain = alert_assets(log).join(case_alerts(log), ["cse_id", "alert_id"]).select("cse_id", F.col("asset_id").alias("primary_id"), "case_id").distinct()
+    edge = lambda qualifier: log.object_object("Case").where(F.col("qualifier") == qualifier).select("cse_id", F.col("source_id").alias("case_id"), F.col("target_id").alias("primary_id"))
+    raised = case_profile(log).where("n_ESCALATE > 0").select("cse_id", "case_id")
+    key = ["cse_id", "primary_id"]
+    parts = [
+        out(concerns, "object", "primary_id"),
+        out(owned, "case", "primary_id"),
+        out(owned.join(events, [*key, "event_type"]), "event", "event_id"),
+        out(of("REPEATED_ALERT_NO_REMEDIATION").join(chain, key), "case", "case_id"),
+        out(of("INVESTIGATION_WORKLOAD_INCONSISTENT").join(edge("current_assignee"), key), "case", "case_id"),
+        out(of("ESCALATION_WORKLOAD_INCONSISTENT").join(edge("current_queue").join(raised, ["cse_id", "case_id"], "left_semi"), key), "case", "case_id"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def packages(concerns: DataFrame, refs: DataFrame, source_system: str = "caselens", batch_id: str = "") -> DataFrame:
+    """Concerns, best a selection of them, as evidence packages: scores, rule, the lists of what they rest on, what was
+    assumed, and where it came from. refs: rows of evidence()."""
+    some = refs.join(concerns.select("finding_id").distinct(), "finding_id", "left_semi")
+    listed = some.groupBy("finding_id").agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("ref_id")))).alias(name) for kind, name in (("object", "affected_objects"), ("case", "supporting_cases"), ("event", "supporting_events"))))
+    rule = lookup(RULES, F.col("finding_type"))
+    doubt = F.when(F.col("evidence_quality") != "HIGH", F.lit("an event of this case was not recognised, so its trace may be incomplete"))
+    known = F.concat_ws(" ", label(F.col("finding_type")), F.when(F.col("detail").isNotNull(), F.concat(F.lit("("), F.col("detail"), F.lit(")"))))
+    source = F.struct(F.lit(source_system).alias("source_system"), F.lit("").alias("source_file"), F.col("primary_id").alias("source_record_id"), F.lit(batch_id).alias("ingestion_batch_id"), F.lit("").alias("ingestion_timestamp"), F.lit(VERSION).alias("schema_version"))
+    return concerns.join(listed, "finding_id", "left").withColumns({
+        "rule_id": rule, "rule_version": F.when(rule.isNotNull(), VERSION), "anomaly_score": F.lit(1.0), "finding_score": lookup(QUALITY_WEIGHT, F.col("evidence_quality")), "confidence": F.lit(1.0),
+        "assumptions": F.array_compact(F.array(known, doubt)), "provenance": source,
+    })
+
+
+def fuse(log: Log, low_confidence: DataFrame | None = None, uniform_threshold: float = 0.15, few: rules.Rule = rules.FEW_REASSIGNMENTS) -> Fusion:
     """All concerns of all entities: ten finding types with score and expected minutes.
 
     low_confidence: cse_id, case_id whose evidence is of MEDIUM quality. A concern counts the events of its own type in
@@ -68,8 +116,8 @@ def fuse(log: Log, low_confidence: DataFrame | None = None, uniform_threshold: f
     loops not at all; both are listed in `suppressed` with the reason.
     """
     loops = detectors.reassignment_loops(log)
-    many = rules.evaluate(log, rules.FEW_REASSIGNMENTS)
-    signal = loops.select("cse_id", "case_id")
+    many = rules.evaluate(log, few)
+    signal = loops.select("cse_id", "case_id", F.when(F.col("flagged"), "flagged as a loop").when(F.col("is_loop"), "every handover is a shift change").otherwise("no analyst comes back").alias("reason"))
     cases, pace = fast_close_by_severity(log)
     odd_pace = pace.where("flagged").select("cse_id", F.col("group_id").alias("severity"))
     people, queues = analyst_peers(log), queue_peers(log)
@@ -101,7 +149,7 @@ def fuse(log: Log, low_confidence: DataFrame | None = None, uniform_threshold: f
         "concern_score": concern_score(F.col("evidence_quality"), F.col("authority"), F.col("capability")),
         "minutes": review_minutes(F.col("n_events"), F.col("evidence_quality"), F.col("authority")),
     })
-    excess = many.join(signal, ["cse_id", "case_id"], "left_semi").select("cse_id", "case_id", F.lit("EXCESSIVE_REASSIGNMENT_CARDINALITY").alias("finding_type"), F.lit("covered by a reassignment signal").alias("reason"))
+    excess = many.join(signal, ["cse_id", "case_id"]).select("cse_id", "case_id", F.lit("EXCESSIVE_REASSIGNMENT_CARDINALITY").alias("finding_type"), "reason")
     shifts = loops.where("is_loop and justified").select("cse_id", "case_id", F.lit("REASSIGNMENT_LOOP").alias("finding_type"), F.lit("every handover is a shift change").alias("reason"))
     return Fusion(rows, excess.union(shifts))
 

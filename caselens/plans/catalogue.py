@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from caselens.functions.expressions import event_type
 from caselens.operators import causal, detectors, fusion, ingest, peers, portfolio, review, rules, selection
 from caselens.operators import log as views
+from caselens.operators.log import Log
 
 from . import projection
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CO_EXISTENCE = rules.Rule("COEX-001", "NOT_CO_EXISTENCE", "Operational Discipline", "OPTIONAL", {"a": "ESCALATE", "b": "EVIDENCE_COLLECT"})
+TWO_ARE_MANY = rules.Rule("REASSIGN-CARD-001", "CARDINALITY", "Operational Discipline", "OPTIONAL", {"event": "REASSIGN", "op": "<=", "bound": 1})
 FAST = 60.0 * 24 * 30  # minutes; ship dates are days apart
 UNIFORM = 0.65
 FINDING = ["cse_id", "finding_type", "primary_id"]
@@ -182,6 +184,55 @@ def suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused(spark, sf_dir).suppressed
 
 
+@query
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = projection.log(spark, sf_dir, keep=True).persist()
+    return fusion.evidence(log, fusion.fuse(log).concerns.persist()).drop("finding_id")
+
+
+def _strained(spark: SparkSession, sf_dir: str) -> tuple[Log, DataFrame]:
+    log = projection.log(spark, sf_dir, keep=True, strained=True).persist()
+    return log, fusion.fuse(log, uniform_threshold=UNIFORM, few=TWO_ARE_MANY).concerns.persist()
+
+
+@query
+def strained_concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ten finding types."""
+    return rounded(_strained(spark, sf_dir)[1].select(*FINDING, "capability", "authority", "n_events", "concern_score", "minutes"))
+
+
+@query
+def strained_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.evidence(*_strained(spark, sf_dir)).drop("finding_id")
+
+
+@query
+def strained_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, found = _strained(spark, sf_dir)
+    return rounded(portfolio.entity_risk(portfolio.peer_comparison(portfolio.case_counts(log), portfolio.flagged_counts(found))))
+
+
+def _strained_flags(spark: SparkSession, sf_dir: str) -> tuple[Log, DataFrame]:
+    log = projection.log(spark, sf_dir, keep=True, strained=True)
+    return log, rules.precedence_cases(log, rules.ENRICH_FIRST)
+
+
+@query
+def strained_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trends of missing enrichment: better, worse and neither."""
+    flagged = _strained_flags(spark, sf_dir)[1].withColumn("_f", F.lit(1))
+    years = projection.cases(spark, sf_dir).select("cse_id", "case_id", F.year("opened").alias("year"))
+    rows = years.join(flagged, ["cse_id", "case_id"], "left").groupBy("cse_id", "year").agg(F.count("*").alias("exposure"), F.count_if(F.col("_f").isNull()).alias("observed"))
+    return rounded(portfolio.classify_trend(portfolio.last_two(rows, ["cse_id"], "year")))
+
+
+@query
+def strained_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on missing enrichment: to act and to look further."""
+    rows = causal.opportunities(causal.outcome_frame(*_strained_flags(spark, sf_dir)), ["cse_id"])
+    return rounded(rows.select("cse_id", "n", "effect", "se", "robustness", "decision"))
+
+
 @query
 def concern_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fused(spark, sf_dir).concerns.groupBy("cse_id", "finding_type").agg(F.count("*").alias("n"), F.sum("minutes").alias("minutes"), F.sum("n_events").alias("n_events")))

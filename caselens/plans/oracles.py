@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .catalogue import FAST, UNIFORM
+from .projection import LEFT_OUT, STRAINED_ASSET, STRAINED_DAY
 
 _BASE = """
 WITH RECURSIVE cs AS (
@@ -142,7 +143,29 @@ c_{name} AS (
 
 _CUSUM = _DAILY + _cusum("mean_value", "v", 0.25, 1.0) + _cusum("n_events", "e", 0.25, 1.0)
 
+_REFS = """, refs AS (
+  SELECT cse_id, finding_type, primary_id, 'object' AS kind, primary_id AS ref_id FROM con
+  UNION ALL SELECT cse_id, finding_type, primary_id, 'case', primary_id FROM hits WHERE et IS NOT NULL
+  UNION ALL SELECT cse_id, finding_type, primary_id, 'event', event_id FROM hits JOIN (SELECT cse_id, case_id AS primary_id, type AS et, event_id FROM ev) USING (cse_id, primary_id, et)
+  UNION ALL SELECT cse_id, finding_type, primary_id, 'case', case_id FROM con JOIN asset_of USING (cse_id) WHERE finding_type = 'REPEATED_ALERT_NO_REMEDIATION' AND primary_id = 'AS-' || p
+  UNION ALL SELECT cse_id, finding_type, primary_id, 'case', case_id FROM con JOIN cs USING (cse_id) WHERE finding_type = 'INVESTIGATION_WORKLOAD_INCONSISTENT' AND primary_id = analyst
+  UNION ALL SELECT cse_id, finding_type, primary_id, 'case', case_id FROM con JOIN cs USING (cse_id) SEMI JOIN (SELECT cse_id, case_id FROM ev WHERE type = 'ESCALATE') x USING (cse_id, case_id) WHERE finding_type = 'ESCALATION_WORKLOAD_INCONSISTENT' AND primary_id = queue)
+SELECT * FROM refs"""
+
+
+def _strain(sql: str) -> str:
+    """The same query over the strained log: its lines, its thresholds, and two reassignments as too many."""
+    sql = sql.replace("l_shipdate AS ts, 'AN-' || s_nationkey AS actor, l_discount >= 0.05 AS shift, l_partkey", f"CAST(opened AS TIMESTAMP) + to_seconds(date_diff('day', CAST(opened AS DATE), CAST(l_shipdate AS DATE)) * {STRAINED_DAY}) AS ts, 'AN-' || s_nationkey AS actor, l_discount >= 0.05 AS shift, {STRAINED_ASSET} AS l_partkey")
+    sql = sql.replace("WHERE type IS NOT NULL),", f"WHERE type IS NOT NULL AND NOT ({LEFT_OUT})),").replace("cov < 0.15", f"cov < {UNIFORM}")
+    return sql.replace("hits AS (\n", """hits AS (
+  SELECT cse_id, 'EXCESSIVE_REASSIGNMENT_CARDINALITY' AS finding_type, case_id AS primary_id, 'Operational Discipline' AS capability, 'OPTIONAL' AS authority, 'REASSIGN' AS et FROM ev WHERE type = 'REASSIGN' GROUP BY ALL HAVING count(*) = 2 UNION ALL
+""").replace("WHEN 'EXPECTED' THEN 0.7 ELSE 0.5 END AS concern_score", "WHEN 'EXPECTED' THEN 0.7 WHEN 'OPTIONAL' THEN 0.3 ELSE 0.5 END AS concern_score").replace("WHEN 'EXPECTED' THEN 1.2 ELSE 1.0 END AS minutes", "WHEN 'EXPECTED' THEN 1.2 WHEN 'OPTIONAL' THEN 0.8 ELSE 1.0 END AS minutes")
+
+
+_MISSED = "(SELECT DISTINCT cse_id, case_id, true AS flagged FROM prec)"
+
 SQL: dict[str, str] = {
+    "evidence": _CONCERNS + _REFS,
     "case_events": _BASE + "SELECT cse_id, case_id, event_id, type, ts AS time FROM ev",
     "case_context": _BASE + "SELECT * FROM ctx",
     "case_trace": _BASE
@@ -171,7 +194,7 @@ SQL: dict[str, str] = {
     "cusum_daily": _CUSUM + "SELECT CAST(i AS INT) AS at, 'up' AS side FROM c_v WHERE up UNION ALL SELECT CAST(i AS INT), 'down' FROM c_v WHERE down",
     "displacement_daily": _CUSUM + "SELECT CAST(v.i AS INT) AS at, CASE WHEN EXISTS (SELECT 1 FROM c_e e WHERE e.up AND abs(e.i - v.i) <= 1) THEN 'POTENTIAL_DISPLACEMENT' ELSE 'POTENTIAL_EXECUTION_GAP' END AS signal FROM c_v v WHERE v.down",
     "concerns": _CONCERNS + "SELECT cse_id, finding_type, primary_id, capability, authority, n_events, round(CAST(concern_score AS DOUBLE), 6) AS concern_score, round(CAST(minutes AS DOUBLE), 6) AS minutes FROM con",
-    "suppressed": _BASE + "SELECT cse_id, case_id, 'EXCESSIVE_REASSIGNMENT_CARDINALITY' AS finding_type, 'covered by a reassignment signal' AS reason FROM loops UNION ALL SELECT cse_id, case_id, 'REASSIGNMENT_LOOP', 'every handover is a shift change' FROM loops WHERE is_loop AND justified",
+    "suppressed": _BASE + "SELECT cse_id, case_id, 'EXCESSIVE_REASSIGNMENT_CARDINALITY' AS finding_type, CASE WHEN flagged THEN 'flagged as a loop' WHEN is_loop THEN 'every handover is a shift change' ELSE 'no analyst comes back' END AS reason FROM loops UNION ALL SELECT cse_id, case_id, 'REASSIGNMENT_LOOP', 'every handover is a shift change' FROM loops WHERE is_loop AND justified",
     "concern_costs": _CONCERNS + "SELECT cse_id, finding_type, count(*) AS n, round(CAST(sum(minutes) AS DOUBLE), 6) AS minutes, CAST(sum(n_events) AS BIGINT) AS n_events FROM con GROUP BY ALL",
     "concerns_by_capability": _CONCERNS + "SELECT cse_id, capability, count(*) AS n, round(CAST(sum(concern_score) AS DOUBLE), 6) AS score FROM con GROUP BY ALL",
     "topk_concerns": _CONCERNS + "SELECT * FROM (SELECT cse_id, finding_type, primary_id, round(CAST(concern_score AS DOUBLE), 6) AS concern_score, CAST(row_number() OVER (PARTITION BY cse_id ORDER BY concern_score DESC, finding_type, primary_id) AS INT) AS rank FROM con) WHERE rank <= 5",
@@ -202,3 +225,13 @@ SQL: dict[str, str] = {
       (SELECT count(*) FROM (SELECT group_id, sum(CASE WHEN z <= -2 THEN abs(z) * CASE finding_type WHEN 'REASSIGNMENT_LOOP' THEN 0.35 WHEN 'ESCALATION_SLA_VIOLATION' THEN 1.0 ELSE 0.56 END ELSE 0 END) AS r FROM peers GROUP BY ALL) WHERE r >= 1.5) AS n_high,
       (SELECT count(*) * 2 FROM cs) + (SELECT count(*) FROM assets) + (SELECT count(*) FROM analysts) + (SELECT count(*) FROM (SELECT DISTINCT cse_id, queue FROM cs)) AS n_objects, (SELECT count(*) FROM ev) AS n_events""",
 }
+
+SQL |= {
+    "strained_concerns": _strain(SQL["concerns"]),
+    "strained_evidence": _strain(SQL["evidence"]),
+    "strained_risk": _strain(SQL["entity_risk"]),
+    "strained_trend": _strain(SQL["trend_classification"].replace("(SELECT * FROM loops WHERE flagged)", _MISSED)),
+    "strained_decision": _strain(_OLS.replace("(SELECT cse_id, case_id, flagged FROM loops WHERE flagged)", _MISSED))
+    + """, f AS (SELECT *, abs(effect / se) / sqrt(df) AS f FROM ols), rv AS (SELECT *, 2 * f * f / (sqrt(pow(f, 4) + 4 * f * f) + f * f) AS robustness, 1.959963984540054 + 2.3722712358 / df + 2.8225 / (df * df) AS q FROM f)
+      SELECT cse_id, n, round(effect, 6) AS effect, round(se, 6) AS se, round(robustness, 6) AS robustness, CASE WHEN (effect - q * se > 0 OR effect + q * se < 0) AND robustness >= 0.3 THEN 'ACT' ELSE 'INVESTIGATE_MORE' END AS decision FROM rv""",
+}
