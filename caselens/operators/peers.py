@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselens.functions.expressions import minutes
 from caselens.functions.vocabulary import LOW_EXPOSURE, Z_95, Z_FLAG
 
+from .log import Log, case_context, case_profile
+
 
 def negative_space(obs: DataFrame, *keys: str) -> DataFrame:
     """obs: keys, group_id, exposure, observed. Adds expected, ci_low, ci_high, z, abstain, flagged (z <= -2).
@@ -79,3 +82,17 @@ def displacement(rows: DataFrame, keys: list[str], kpi: str, invariant: str, tol
     found = rows.where(fits.isNull()).select(*keys, cusum(F.col(kpi), k, h)["up"].alias("_up"), F.explode(cusum(F.col(invariant), k, h)["down"]).alias("at"))
     near = F.exists("_up", lambda i: F.abs(i - F.col("at")) <= tolerance)
     return found.select(*keys, "at", F.when(near, "POTENTIAL_DISPLACEMENT").otherwise("POTENTIAL_EXECUTION_GAP").alias("signal"))
+
+
+def weekly_rates(log: Log, within: float = 30.0) -> DataFrame:
+    """cse_id, week, in_time, enriched: weeks since an entity's first assignment, the share of critical alerts on critical
+    assets that were escalated within so many minutes of it, and the share of cases enriched. No such alert: 0."""
+    profile = case_profile(log).where("first_ASSIGN is not null").select("cse_id", "case_id", "first_ASSIGN", "first_ESCALATE", (F.col("n_ENRICH") > 0).alias("_enriched"))
+    start = profile.groupBy("cse_id").agg(F.min("first_ASSIGN").alias("_start"))
+    duty = case_context(log).where("alert_severity = 'CRITICAL' and asset_criticality in ('HIGH', 'CRITICAL')").select("cse_id", "case_id", F.lit(True).alias("_duty")).distinct()
+    rows = profile.join(start, "cse_id").join(duty, ["cse_id", "case_id"], "left")
+    week = F.floor(minutes(F.col("_start"), F.col("first_ASSIGN")) / (7 * 24 * 60)).cast("int")
+    soon = F.coalesce(minutes(F.col("first_ASSIGN"), F.col("first_ESCALATE")) <= within, F.lit(False))
+    due = F.coalesce("_duty", F.lit(False))
+    out = rows.groupBy("cse_id", week.alias("week")).agg(F.count_if(due).alias("_n"), F.count_if(due & soon).alias("_soon"), F.avg(F.col("_enriched").cast("double")).alias("enriched"))
+    return out.select("cse_id", "week", F.coalesce(F.try_divide("_soon", "_n"), F.lit(0.0)).alias("in_time"), "enriched")
