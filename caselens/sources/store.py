@@ -1,9 +1,7 @@
-"""Where logs, submissions and verdicts are kept, and the exchange formats of a log."""
+"""Where logs, submissions and verdicts are kept."""
 
 from __future__ import annotations
 
-import sqlite3
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,8 +9,6 @@ from pyspark.sql.types import StructType
 
 from caselens.operators.log import EVENT, OBJECT, OBJECT_ATTR, Log
 
-from .exports import Sqlite, sqlite_tables
-
 _PARTS = ("event", "object", "object_attr")
 MANIFEST = "cse_id string, batch_id string, submitted_at timestamp, n_cases long, n_concerns long, per_type map<string,struct<case_count:long,flagged_count:long>>"
 
@@ -101,66 +97,6 @@ def worse_prior(manifest: DataFrame) -> DataFrame:
     return only.withColumns({"submitted_at": F.date_trunc("month", "submitted_at") - F.expr("interval 1 day"), "batch_id": F.lit("seed"), "per_type": more})
 
 
-def log_json(log: Log) -> DataFrame:
-    """One JSON document for each entity in the exchange layout: eventTypes, objectTypes, events, objects."""
-    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    rels = F.transform("rels", lambda r: F.struct(r["target_id"].alias("objectId"), r["qualifier"].alias("qualifier")))
-    attrs = F.transform(F.map_entries("attrs"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
-    events = log.event.groupBy("cse_id").agg(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("id"), "type", stamp(F.col("time")).alias("time"), attrs.alias("attributes"), rels.alias("relationships")))).alias("events"), F.array_sort(F.collect_set(F.struct(F.col("type").alias("name")))).alias("eventTypes"))
-    history = log.object_attr.groupBy("cse_id", "object_id").agg(F.array_sort(F.collect_list(F.struct("name", "value", stamp(F.col("time")).alias("time")))).alias("attributes"))
-    objs = log.object.join(history, ["cse_id", "object_id"], "left").groupBy("cse_id").agg(F.array_sort(F.collect_list(F.struct(F.col("object_id").alias("id"), "type", F.coalesce("attributes", F.array()).alias("attributes"), rels.alias("relationships")))).alias("objects"), F.array_sort(F.collect_set(F.struct(F.col("type").alias("name")))).alias("objectTypes"))
-    return events.join(objs, "cse_id", "full").select("cse_id", F.to_json(F.struct("eventTypes", "objectTypes", "events", "objects")).alias("document"))
-
-
-_REL = "array<struct<objectId:string,qualifier:string>>"
-DOCUMENT = f"events array<struct<id:string,type:string,time:string,attributes:array<struct<name:string,value:string>>,relationships:{_REL}>>, objects array<struct<id:string,type:string,attributes:array<struct<name:string,value:string,time:string>>,relationships:{_REL}>>"
-
-
-def read_log_json(spark: SparkSession, path: str, cse_id: str) -> Log:
-    doc = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return log_of_documents(doc.withColumn("cse_id", F.lit(cse_id)))
-
-
-def log_of_documents(doc: DataFrame) -> Log:
-    """The log of parsed documents: columns cse_id, events, objects."""
-    rels = lambda c: F.coalesce(F.transform(c, lambda r: F.struct(r["objectId"].alias("target_id"), r["qualifier"].alias("qualifier"))), F.array().cast("array<struct<target_id:string,qualifier:string>>"))
-    e = doc.select("cse_id", F.explode("events").alias("e"))
-    o = doc.select("cse_id", F.explode("objects").alias("o"))
-    attrs = F.coalesce(F.map_from_entries(F.col("e.attributes")), F.create_map().cast("map<string,string>"))
-    return Log(
-        e.select("cse_id", F.col("e.id").alias("event_id"), F.col("e.type").alias("type"), F.col("e.time").cast("timestamp").alias("time"), attrs.alias("attrs"), rels(F.col("e.relationships")).alias("rels")),
-        o.select("cse_id", F.col("o.id").alias("object_id"), F.col("o.type").alias("type"), rels(F.col("o.relationships")).alias("rels")),
-        o.select("cse_id", F.col("o.id").alias("object_id"), F.explode("o.attributes").alias("a")).select("cse_id", "object_id", "a.name", "a.value", F.col("a.time").cast("timestamp").alias("time")),
-    )
-
-
-def write_log_sqlite(log: Log, path: str) -> None:
-    """One small log as a SQLite file for exchange: streams rows through the driver, so it's for exports alone."""
-    rows = lambda df: (tuple(r) for r in df.toLocalIterator())
-    with sqlite3.connect(path) as db:
-        db.executescript("CREATE TABLE event(cse_id TEXT, event_id TEXT, type TEXT, time TEXT, attrs TEXT, PRIMARY KEY(cse_id, event_id)); CREATE TABLE object(cse_id TEXT, object_id TEXT, type TEXT, PRIMARY KEY(cse_id, object_id)); CREATE TABLE object_attr(cse_id TEXT, object_id TEXT, name TEXT, value TEXT, time TEXT, PRIMARY KEY(cse_id, object_id, name, time)); CREATE TABLE event_object(cse_id TEXT, event_id TEXT, object_id TEXT, qualifier TEXT); CREATE TABLE object_object(cse_id TEXT, source_id TEXT, target_id TEXT, qualifier TEXT);")
-        db.executemany("INSERT INTO event VALUES (?,?,?,?,?)", rows(log.event.select("cse_id", "event_id", "type", F.col("time").cast("string"), F.to_json("attrs"))))
-        db.executemany("INSERT INTO object VALUES (?,?,?)", rows(log.object.select("cse_id", "object_id", "type")))
-        db.executemany("INSERT INTO object_attr VALUES (?,?,?,?,?)", rows(log.object_attr.select("cse_id", "object_id", "name", "value", F.col("time").cast("string"))))
-        db.executemany("INSERT INTO event_object VALUES (?,?,?,?)", rows(log.event_object().select("cse_id", "event_id", "target_id", "qualifier")))
-        db.executemany("INSERT INTO object_object VALUES (?,?,?,?)", rows(log.object_object().select("cse_id", "source_id", "target_id", "qualifier")))
-
-
-def read_log_sqlite(spark: SparkSession, path: str) -> Log:
-    spark.dataSource.register(Sqlite)
-    have = set(sqlite_tables(path))
-    if lacking := {"event", "object", "object_attr", "event_object", "object_object"} - have:
-        raise ValueError(f"tables lacking: {sorted(lacking)}")
-    t = lambda name: spark.read.format("sqlite_table").option("path", path).option("dbtable", name).load()
-    rels = F.collect_list(F.struct(F.col("_t").alias("target_id"), "qualifier")).alias("rels")
-    none = F.array().cast("array<struct<target_id:string,qualifier:string>>")
-    to = t("event_object").withColumnRenamed("object_id", "_t").groupBy("cse_id", "event_id").agg(rels)
-    of = t("object_object").select("cse_id", F.col("source_id").alias("object_id"), F.col("target_id").alias("_t"), "qualifier").groupBy("cse_id", "object_id").agg(rels)
-    event = t("event").join(to, ["cse_id", "event_id"], "left").select("cse_id", "event_id", "type", F.col("time").cast("timestamp").alias("time"), F.from_json("attrs", "map<string,string>").alias("attrs"), F.coalesce("rels", none).alias("rels"))
-    obj = t("object").join(of, ["cse_id", "object_id"], "left").select("cse_id", "object_id", "type", F.coalesce("rels", none).alias("rels"))
-    return Log(event, obj, t("object_attr").withColumn("time", F.col("time").cast("timestamp")))
-
-
 def evidence_json(concerns: DataFrame) -> DataFrame:
     """Each concern as one JSON text."""
     return concerns.select("cse_id", "finding_id", F.to_json(F.struct(*sorted(concerns.columns)), {"pretty": "true"}).alias("package"))

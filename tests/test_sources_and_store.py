@@ -1,11 +1,13 @@
 import json
 import sqlite3
+from dataclasses import replace
 
 import pytest
 
 from caselens.operators import detectors, fusion, ingest, review
-from caselens.sources import exports
-from caselens.sources.store import Store, evidence_bundle, log_json, read_log_json, read_log_sqlite, worse_prior, write_log_sqlite
+from caselens.sources import exchange, exports, synthetic
+from caselens.sources.exchange import log_json, read_log_json, read_log_sqlite, write_log_sqlite
+from caselens.sources.store import Store, evidence_bundle, worse_prior
 from tests.logs import case_log
 
 CASES = "case_id,assigned_to,assignment_group,status,opened_at,closed_at,alert_id\nC1,ann,q1,CLOSED,2024-01-01T00:00:00Z,2024-01-02T00:00:00Z,A1\nC2,bob,q1,OPEN,bad,,A9\n"
@@ -14,7 +16,8 @@ ALERTS = "alert_id,severity,category,asset_id,raised_at\nA1,HIGH,x,S1,2024-01-01
 
 
 def rows_of(log):
-    return {n: sorted(map(str, getattr(log, n).collect())) for n in ("event", "object", "object_attr")}
+    """Rows as text; the edges of a row have no order."""
+    return {n: sorted(str(r.asDict() | ({"rels": sorted(r.rels)} if "rels" in r else {})) for r in getattr(log, n).collect()) for n in ("event", "object", "object_attr")}
 
 
 @pytest.fixture
@@ -63,8 +66,10 @@ def test_json_and_sqlite_scans(spark, tmp_path):
 def test_round_trips_and_history(spark, tmp_path):
     log = case_log(spark, {"C1": [("REASSIGN", 0, "a"), ("REASSIGN", 1, "b"), ("REASSIGN", 2, "a", "LUNCH")]}, severity={"C1": "HIGH"}, assets={"C1": "S"}, owner={"C1": "a"})
     write_log_sqlite(log, str(tmp_path / "l.db"))
-    assert rows_of(read_log_sqlite(spark, str(tmp_path / "l.db"))) == rows_of(log)
+    assert rows_of(read_log_sqlite(spark, str(tmp_path / "l.db"), "E")) == rows_of(log)
+    assert exchange.sqlite_problems(str(tmp_path / "l.db")) == []
     (tmp_path / "l.json").write_text(log_json(log).first().document)
+    assert sum(r.n for r in exchange.document_problems(exchange.read_documents(spark, str(tmp_path / "l.json"), "E")).collect()) == 0
     assert rows_of(read_log_json(spark, str(tmp_path / "l.json"), "E")) == rows_of(log)
     store = Store(spark, str(tmp_path / "store"))
     found = fusion.fuse(log).concerns
@@ -80,3 +85,24 @@ def test_round_trips_and_history(spark, tmp_path):
     assert back.verdict == "INCONCLUSIVE" and back.evidence_quality == "MEDIUM" and back.finding_id == loop
     bundle = json.loads(evidence_bundle(found).first().bundle)
     assert bundle["finding_count"] == len(bundle["findings"]) == found.count()
+
+
+def test_exchange_of_a_planted_log(spark, tmp_path):
+    """Attribute history, microseconds and every edge come back from both formats; what a file lacks is told."""
+    log = synthetic.generate(spark, [replace(synthetic.MATURE_DEV, cases=40)])[0]
+    want = rows_of(log)
+    write_log_sqlite(log, str(tmp_path / "l.db"))
+    assert exchange.sqlite_problems(str(tmp_path / "l.db")) == []
+    assert rows_of(read_log_sqlite(spark, str(tmp_path / "l.db"), "MATURE_DEV")) == want
+    document = log_json(log).first().document
+    (tmp_path / "l.json").write_text(document)
+    assert rows_of(read_log_json(spark, str(tmp_path / "l.json"), "MATURE_DEV")) == want
+    told = {t["name"]: [a["name"] for a in t["attributes"]] for t in json.loads(document)["objectTypes"]}
+    assert told["Alert"] == ["category", "severity"] and told["Case"] == ["status"]
+    bad = {"eventTypes": [{"name": "A"}], "events": [{"id": "e", "type": "B", "time": "never", "relationships": [{"objectId": "x"}]}], "objects": [{"type": "T"}]}
+    (tmp_path / "bad.json").write_text(json.dumps(bad))
+    found = {r.check for r in exchange.document_problems(exchange.read_documents(spark, str(tmp_path / "bad.json"), "E")).collect() if r.n}
+    assert found == {"objectTypes lacking", "event without id, type or time", "object without id or type", "events: a type that isn't declared", "objects: a type that isn't declared", "events: edge without target or qualifier"}
+    with sqlite3.connect(str(tmp_path / "l.db")) as db:
+        db.executescript("DROP TABLE event_object; DELETE FROM event_map_type")
+    assert "no table event_object" in exchange.sqlite_problems(str(tmp_path / "l.db")) and len(exchange.sqlite_problems(str(tmp_path / "l.db"))) > 1
