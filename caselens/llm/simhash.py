@@ -16,7 +16,7 @@ from .components import components
 
 BITS = 64
 GROUP_LIMIT = 1024  # fingerprints that one trie may hold; larger groups are split by more bits
-ROWS_PER_TASK = 400_000
+ROWS_PER_TASK = 100_000
 BLOCK = 1 << 16  # hashes whose bits are unpacked at once
 SHINGLE = 5  # words
 SIMILAR = (4, 5)  # as a fraction: the least Jaccard similarity of near-duplicates
@@ -144,7 +144,7 @@ def links(fps: DataFrame, budget: int) -> DataFrame:
         level = [r["mask"] & full for r in hot.select("mask").distinct().collect()]  # masks are few whatever the rows
         keyed = rows.withColumn("prefix", key[2])
         here = keyed.join(hot, ["seed", "mask", "prefix"], "left_anti") if level else keyed
-        tasks = parts_for(total * sum(map(len, split.values())), ROWS_PER_TASK, 24)
+        tasks = parts_for(total * sum(map(len, split.values())), ROWS_PER_TASK, 96)
         dealt = here.withColumn("_p", F.pmod(F.xxhash64("seed", "mask", "prefix"), F.lit(tasks)))
         found = dealt.select("_p", "seed", "fp", "rep", "mask").groupBy("_p").applyInPandas(lambda pdf: _partition_links(pdf, budget), "a long, b long")
         edges = found if edges is None else edges.union(found)
@@ -274,8 +274,7 @@ def one_of_each(docs: DataFrame, budget: int = 3, seeds: int = 18, id_col: str =
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            made = [np.array(word_fingerprints(t if isinstance(t, str) else None, seeds), np.uint64).view(np.int64) for t in pdf["_text"]]
-            yield pd.DataFrame({"_node": np.repeat(pdf["_node"].to_numpy(), seeds), "seed": np.tile(np.arange(seeds), len(pdf)), "fp": np.concatenate(made) if made else []})
+            yield pdf[["_id", "_n1", "_n2"]].assign(_fps=[np.array(word_fingerprints(t if isinstance(t, str) else None, seeds), np.uint64).view(np.int64) for t in pdf["_text"]])
 
     def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -284,22 +283,22 @@ def one_of_each(docs: DataFrame, budget: int = 3, seeds: int = 18, id_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     name = [F.xxhash64(text).alias("_n1"), F.xxhash64(F.lit(1), text).alias("_n2")]
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *name)
-    # Equal texts share all fingerprints, so each is one node, and only its first row is held against others.
-    named = rows.select("_id", "_n1", "_n2")
-    texts = materialise(named.groupBy("_n1", "_n2").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).withColumn("_node", F.monotonically_increasing_id()))
-    firsts = texts.select(F.col("_first").alias("_id"), "_n1", "_n2", "_node")
-    alone = rows.join(firsts, ["_id", "_n1", "_n2"]).select("_node", "_text")
-    marks = materialise(alone.mapInPandas(batches, "_node long, seed int, fp long"))
+    # Equal texts share all fingerprints, so each is one node. What moves is the fingerprints and not the texts.
+    named = materialise(rows.mapInPandas(batches, "_id long, _n1 long, _n2 long, _fps array<long>"))
+    texts = named.groupBy("_n1", "_n2").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.first("_fps").alias("_fps"))
+    texts = materialise(texts.withColumn("_node", F.monotonically_increasing_id()))
+    marks = texts.select("_node", F.posexplode("_fps").alias("seed", "fp"))
     fps = materialise(marks.groupBy("seed", "fp").agg(F.min("_node").alias("rep")))
     same = marks.join(fps, ["seed", "fp"]).where("_node <> rep").select(F.col("_node").alias("a"), F.col("rep").alias("b"))
     maybe = materialise(components(same.union(links(fps, budget))).select(F.col("node").alias("_node"), F.col("component").alias("_c")))
-    held = materialise(alone.join(maybe, "_node").mapInPandas(sets, "_node long, _c long, _set array<long>"))
+    near = texts.join(maybe, "_node").select(F.col("_first").alias("_id"), "_n1", "_n2", "_node", "_c")
+    held = materialise(rows.join(near, ["_id", "_n1", "_n2"]).select("_node", "_c", "_text").mapInPandas(sets, "_node long, _c long, _set array<long>"))
     of = texts.join(components(true_links(held)).select(F.col("node").alias("_node"), "component"), "_node", "left").withColumn("_group", F.coalesce("component", "_node"))
     best = of.groupBy("_group").agg(F.min(F.struct("_first", "_node")).alias("_best"))
     judged = of.join(best, "_group").where("_n > 1 or _node <> _best._node").select("_n1", "_n2", "_first", "_n", (F.col("_node") == F.col("_best._node")).alias("_stays"))
     judged = materialise(judged)
     total = judged.agg(F.sum("_n")).first()[0] or 0
-    met = skewed_join(named, judged, ["_n1", "_n2"], "_n", total, ["_id"])
+    met = skewed_join(named.drop("_fps"), judged, ["_n1", "_n2"], "_n", total, ["_id"])
     key, other = fresh(docs, "_name"), fresh(docs, "_other")
     gone = met.where(~F.col("_stays") | (F.col("_id") != F.col("_first"))).select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("_n1").alias(key), F.col("_n2").alias(other)).distinct()
     return docs.withColumns({key: name[0], other: name[1]}).join(gone, [id_col, key, other], "left_anti").select(*docs.columns)
