@@ -235,3 +235,30 @@ SQL |= {
     + """, f AS (SELECT *, abs(effect / se) / sqrt(df) AS f FROM ols), rv AS (SELECT *, 2 * f * f / (sqrt(pow(f, 4) + 4 * f * f) + f * f) AS robustness, 1.959963984540054 + 2.3722712358 / df + 2.8225 / (df * df) AS q FROM f)
       SELECT cse_id, n, round(effect, 6) AS effect, round(se, 6) AS se, round(robustness, 6) AS robustness, CASE WHEN (effect - q * se > 0 OR effect + q * se < 0) AND robustness >= 0.3 THEN 'ACT' ELSE 'INVESTIGATE_MORE' END AS decision FROM rv""",
 }
+
+SQL |= {
+    "log_validation": _BASE
+    + """, n AS (SELECT unnest(['event without id, type or time', 'object without id or type', 'duplicate event id', 'duplicate object id', 'duplicate attribute change', 'event edge without qualifier', 'object edge without qualifier', 'event edge to no object', 'object edge to no object', 'attribute of no object']) AS "check",
+      unnest([(SELECT count(*) FROM ev WHERE event_id IS NULL OR event_id = '' OR type IS NULL OR ts IS NULL), (SELECT count(*) FROM cs WHERE case_id IS NULL OR case_id = ''),
+        (SELECT count(*) FROM (SELECT 1 FROM ev GROUP BY cse_id, event_id HAVING count(*) > 1)), (SELECT count(*) FROM (SELECT 1 FROM (SELECT cse_id, case_id AS o FROM cs UNION ALL SELECT cse_id, 'AL-' || case_id FROM cs UNION ALL SELECT cse_id, asset_id FROM assets UNION ALL SELECT cse_id, analyst FROM analysts UNION ALL SELECT DISTINCT cse_id, queue FROM cs) GROUP BY cse_id, o HAVING count(*) > 1)),
+        (SELECT count(*) FROM (SELECT 1 FROM cs GROUP BY cse_id, case_id HAVING count(*) > 1)), 0, 0, (SELECT count(*) FROM ev ANTI JOIN cs USING (cse_id, case_id)) + (SELECT count(*) FROM (SELECT cse_id, actor AS analyst FROM ev WHERE type IN ('REASSIGN', 'INVESTIGATE')) ANTI JOIN analysts USING (cse_id, analyst)),
+        (SELECT count(*) FROM (SELECT cse_id, 'AS-' || p AS asset_id FROM asset_of) ANTI JOIN assets USING (cse_id, asset_id)) + (SELECT count(*) FROM cs ANTI JOIN analysts USING (cse_id, analyst)), 0]) AS n) SELECT * FROM n""",
+    "baseline_top_score": _CONCERNS
+    + """, cls AS (SELECT *, row_number() OVER (PARTITION BY cse_id ORDER BY score DESC, cost, bucket) AS i FROM (
+        SELECT cse_id, finding_type, capability || '|' || finding_type AS bucket, CAST(minutes AS DOUBLE) AS cost, CAST(concern_score AS DOUBLE) AS score, count(*) AS n FROM con GROUP BY ALL)),
+    fill AS (
+      SELECT cse_id, CAST(0 AS BIGINT) AS i, 0.3 * sum(CAST(minutes AS DOUBLE)) AS spare, CAST(0 AS BIGINT) AS k FROM con GROUP BY cse_id
+      UNION ALL SELECT f.cse_id, c.i, spare - least(n, floor((spare + 1e-9) / cost)) * cost, CAST(least(n, floor((spare + 1e-9) / cost)) AS BIGINT) FROM fill f JOIN cls c ON c.cse_id = f.cse_id AND c.i = f.i + 1)
+    SELECT cse_id, finding_type, CAST(sum(k) AS BIGINT) AS n FROM fill JOIN cls USING (cse_id, i) GROUP BY ALL HAVING sum(k) > 0""",
+    "intervention_report": _CONCERNS
+    + """, kind AS (SELECT DISTINCT cse_id, finding_type FROM con WHERE finding_type IN ('REASSIGNMENT_LOOP', 'ESCALATION_SLA_VIOLATION', 'MISSING_ENRICHMENT', 'EXCESSIVE_REASSIGNMENT_CARDINALITY')),
+    oc AS (SELECT cse_id, finding_type, CASE WHEN CAST(split_part(analyst, '-', 2) AS INT) % 2 = 0 THEN 1 ELSE 0 END AS t, CASE WHEN f THEN 0 ELSE 1 END AS y
+      FROM cs JOIN kind USING (cse_id) LEFT JOIN (SELECT cse_id, finding_type, primary_id AS case_id, true AS f FROM con) USING (cse_id, finding_type, case_id)),
+    g AS (SELECT cse_id, finding_type, count(*) AS n, regr_sxx(y, t) AS sxx, regr_sxy(y, t) AS sxy, regr_syy(y, t) AS syy, count(DISTINCT t) AS nt, count(DISTINCT y) AS ny FROM oc GROUP BY ALL),
+    en AS (SELECT *, n >= 6 AND nt > 1 AND ny > 1 AS sufficient FROM g),
+    ols AS (SELECT cse_id, finding_type, n, sufficient, CASE WHEN sufficient THEN sxy / sxx END AS effect, CASE WHEN sufficient THEN sqrt(greatest(syy - sxy / sxx * sxy, 0) / (n - 2) / sxx) END AS se, CASE WHEN sufficient THEN n - 2 END AS df FROM en),
+    f AS (SELECT *, effect / nullif(se, 0) AS t_stat, abs(effect / nullif(se, 0)) / sqrt(df) AS f, 1.959963984540054 + 2.3722712358 / df + 2.8225 / (df * df) AS q FROM ols),
+    rv AS (SELECT *, effect - q * se AS ci_low, effect + q * se AS ci_high, CASE WHEN f = 0 THEN 0 ELSE 2 * f * f / (sqrt(pow(f, 4) + 4 * f * f) + f * f) END AS robustness FROM f)
+    SELECT cse_id, finding_type, n, sufficient, round(effect, 6) AS effect, round(se, 6) AS se, df, round(t_stat, 6) AS t_stat, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(robustness, 6) AS robustness,
+      CASE WHEN sufficient THEN CASE WHEN (ci_low > 0 OR ci_high < 0) AND robustness >= 0.3 THEN 'ACT' ELSE 'INVESTIGATE_MORE' END END AS decision, 'preliminary' AS level FROM rv""",
+}
