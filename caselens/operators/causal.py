@@ -111,6 +111,11 @@ def entity_report(log: Log, concerns: DataFrame, verdicts: DataFrame | None = No
     return out.unionByName(found.join(true, ["cse_id", "finding_type"]).withColumn("level", F.lit("confirmed")))
 
 
+def unsupported(concerns: DataFrame) -> DataFrame:
+    """Finding types that no intervention is estimated for, with how many concerns each entity has of them."""
+    return concerns.where(~F.col("finding_type").isin(*CAUSAL_FINDINGS)).groupBy("cse_id", "finding_type").agg(F.count("*").alias("n"))
+
+
 # The rates that a scenario starts from, as log odds, and how common its confounder is.
 BASE_RATE = -0.5
 CONFOUNDED = 0.4

@@ -146,6 +146,20 @@ def case_trace(log: Log) -> DataFrame:
     return edge.select("cse_id", F.col("_e.target_id").alias("object_id"), "event_id", "type", "time", F.concat_ws("; ", F.sort_array(others)).alias("others")).distinct()
 
 
+def raw_objects(log: Log, kind: str | None = None) -> DataFrame:
+    """cse_id, object_id, type and initial values (a map) of the objects of one type or all."""
+    rows = log.of_type(kind) if kind else log.object
+    first = log.object_attr.where(F.col("time") == epoch()).groupBy("cse_id", "object_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("name", "value")))).alias("attrs"))
+    return rows.select("cse_id", "object_id", "type").join(first, ["cse_id", "object_id"], "left")
+
+
+def raw_events(log: Log, kind: str | None = None) -> DataFrame:
+    """cse_id, event_id, type, time and edges written out of the events of one type or all."""
+    rows = log.event.where(F.col("type") == kind) if kind else log.event
+    edges = F.concat_ws(", ", F.array_sort(F.transform("rels", lambda r: F.concat(r["qualifier"], F.lit("->"), r["target_id"]))))
+    return rows.select("cse_id", "event_id", "type", "time", edges.alias("relationships"))
+
+
 def case_profile(log: Log) -> DataFrame:
     """What rules and detectors ask of a case, in one pass: `opened` (first event), `closed` (last CLOSE), the number and
     first time of each type of event (`n_<type>`, `first_<type>`), and `reassigned`, its reassignments in order."""

@@ -75,6 +75,20 @@ def last_two(cycles: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.where("_n = 1").drop("_n")
 
 
+def briefing(manifest: DataFrame) -> DataFrame:
+    """For each entity and finding type of its last two submissions: flagged then and now, and the trend; beside them how
+    many batches there are, when the last came, and its cases and concerns. One submission: nothing to compare with."""
+    newest = F.row_number().over(W.partitionBy("cse_id").orderBy(F.desc("submitted_at"), F.desc("batch_id")))
+    rows = manifest.withColumns({"_k": newest, "batches": F.count("*").over(W.partitionBy("cse_id"))}).where("_k <= 2")
+    each = rows.select("cse_id", "_k", F.explode("per_type").alias("finding_type", "v")).groupBy("cse_id", "finding_type")
+    of = lambda k, c: F.coalesce(F.max(F.when(F.col("_k") == k, F.col(f"v.{c}"))), F.lit(0)).alias(f"{'prior_' * (k - 1)}{c}")
+    seen = each.agg(*(of(k, c) for k in (1, 2) for c in ("case_count", "flagged_count")))
+    seen = seen.withColumns({f"{p}observed": F.col(f"{p}case_count") - F.col(f"{p}flagged_count") for p in ("", "prior_")})
+    known = classify_trend(seen, ("prior_case_count", "case_count"), ("prior_observed", "observed"))
+    last = rows.where("_k = 1").select("cse_id", "batches", F.col("submitted_at").alias("last_submitted"), "n_cases", "n_concerns")
+    return last.join(known.select("cse_id", "finding_type", "prior_flagged_count", "flagged_count", F.when(F.col("prior_case_count") > 0, F.col("trend")).alias("trend")), "cse_id", "left")
+
+
 def topk(concerns: DataFrame, k: int = 5) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("cse_id").orderBy(F.desc("concern_score"), "finding_type", "primary_id"))
     return concerns.withColumn("rank", rank).where(F.col("rank") <= k)

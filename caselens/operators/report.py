@@ -14,10 +14,12 @@ def _cell(value: object) -> str:
 
 
 def _table(title: str, df: DataFrame) -> str:
-    rows = df.limit(MAX_ROWS).collect()
+    rows = df.limit(MAX_ROWS + 1).collect()
+    more = f"<p>Only the first {MAX_ROWS} rows are shown.</p>" if len(rows) > MAX_ROWS else ""
+    rows = rows[:MAX_ROWS]
     head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
     body = "".join("<tr>" + "".join(f"<td>{_cell(v)}</td>" for v in r) + "</tr>" for r in rows)
-    return f"<h2>{escape(title)}</h2><table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
+    return f"<h2>{escape(title)}</h2><table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>{more}"
 
 
 def _bars(rows: list[tuple[str, float]]) -> str:
@@ -36,7 +38,8 @@ def supervisory(title: str, risk: DataFrame, trends: DataFrame, findings: DataFr
     return _page(title, bars, _table("Entities", risk), _table("Trends", trends), _table("Findings", findings))
 
 
-def interventions(title: str, report: DataFrame) -> str:
-    """Preliminary and confirmed estimates apart, and what has too little to go by."""
+def interventions(title: str, report: DataFrame, unsupported: DataFrame | None = None) -> str:
+    """Preliminary and confirmed estimates apart, what has too little to go by, and the types that none is made for."""
     parts = [_table(name.capitalize(), report.where(f"level = '{name}' and sufficient")) for name in ("preliminary", "confirmed")]
-    return _page(title, *parts, _table("Insufficient", report.where("not sufficient")))
+    parts.append(_table("Insufficient", report.where("not sufficient")))
+    return _page(title, *parts, *([_table("Unsupported types", unsupported)] if unsupported is not None else []))

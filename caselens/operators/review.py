@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from caselens.functions.expressions import minutes
 from caselens.functions.vocabulary import CONFIRMING, REFUTING, TRUE_SUB_TYPES, VERDICTS
 
 VERDICT = "finding_id string, verdict string, capability_link string, authority_violated string, sub_type string, duplicate_of string, recorded_at timestamp, seq long"
@@ -66,6 +67,12 @@ def with_overrides(concerns: DataFrame, overrides: DataFrame) -> DataFrame:
     return concerns.join(mine, "finding_id", "left").withColumn("minutes", F.coalesce("_m", "minutes")).drop("_m")
 
 
+def review_times(timers: DataFrame) -> DataFrame:
+    """timers: finding_id, started_at, stopped_at. Adds the minutes between; a timer that runs, or ran backwards, is left out."""
+    took = minutes(F.col("started_at"), F.col("stopped_at"))
+    return timers.withColumn("minutes", took).where("minutes >= 0")
+
+
 AUDIT = "at timestamp, action string, finding_id string, value string"
 
 

@@ -228,7 +228,7 @@ def sweep(concerns: DataFrame, truth: DataFrame, keys: list[str], fractions: lis
 
 def explain(concerns: DataFrame, selected: DataFrame, budget: DataFrame, keys: list[str], increment: float = 60.0) -> DataFrame:
     """Per capability: selected count and score, the coverage, and what `increment` more minutes would add to the
-    selection, which itself stays. A capability that is newly covered has n_selected 0."""
+    selection, which itself stays: n_added is above 0 for the capabilities that the added minutes reach."""
     of = [*keys, "capability", "_bucket", "minutes"]
     count = lambda df, name: df.withColumn("_bucket", bucket()).groupBy(*of).agg(F.count("*").alias(name))
     mine = count(selected, "_k").select(*(F.col(c).alias(f"_s_{c}") for c in of), "_k")
@@ -250,4 +250,5 @@ def explain(concerns: DataFrame, selected: DataFrame, budget: DataFrame, keys: l
     then = counts.groupBy(*keys, "capability").agg(F.sum("_more").alias("n_with_more")).where("n_with_more > 0")
     now = selected.groupBy(*keys, "capability").agg(F.count("*").alias("n_selected"), F.sum("concern_score").alias("score"))
     cover = counts.groupBy(*keys).agg(F.sum(F.log1p("_k")).alias("coverage"), F.sum(F.log1p("_more")).alias("coverage_with_more"))
-    return now.join(then, [*keys, "capability"], "full").join(cover, keys, "left").withColumn("marginal_gain", F.col("coverage_with_more") - F.col("coverage")).fillna(0, ["n_selected", "n_with_more"])
+    out = now.join(then, [*keys, "capability"], "full").join(cover, keys, "left").withColumn("marginal_gain", F.col("coverage_with_more") - F.col("coverage")).fillna(0, ["n_selected", "n_with_more"])
+    return out.withColumn("n_added", F.col("n_with_more") - F.col("n_selected"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,25 @@ def attr_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.attr_snapshot(projection.log(spark, sf_dir)).drop("name")
 
 
+@query
+def raw_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.raw_objects(projection.log(spark, sf_dir), "Asset")
+    return rows.select("cse_id", "object_id", "type", F.col("attrs")["criticality"].alias("criticality"), F.col("attrs")["asset_type"].alias("asset_type"))
+
+
+@query
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.raw_events(projection.log(spark, sf_dir), "INVESTIGATE")
+
+
+@query
+def weekly_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly rates of a log whose escalations stand for its assignments too, as the tables have none."""
+    log = projection.log(spark, sf_dir)
+    first = log.event.where("type = 'INVESTIGATE'").withColumn("type", F.lit("ASSIGN"))
+    return rounded(peers.weekly_rates(replace(log, event=log.event.unionByName(first)), within=60.0 * 24 * 30))
+
+
 @query
 def log_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.validate_log(projection.log(spark, sf_dir))

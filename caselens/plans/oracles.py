@@ -262,3 +262,13 @@ SQL |= {
     SELECT cse_id, finding_type, n, sufficient, round(effect, 6) AS effect, round(se, 6) AS se, df, round(t_stat, 6) AS t_stat, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(robustness, 6) AS robustness,
       CASE WHEN sufficient THEN CASE WHEN (ci_low > 0 OR ci_high < 0) AND robustness >= 0.3 THEN 'ACT' ELSE 'INVESTIGATE_MORE' END END AS decision, 'preliminary' AS level FROM rv""",
 }
+
+SQL |= {
+    "raw_objects": _BASE + "SELECT DISTINCT cse_id, asset_id AS object_id, 'Asset' AS type, criticality, p_type AS asset_type FROM assets JOIN part ON asset_id = 'AS-' || p_partkey",
+    "raw_events": _BASE + "SELECT cse_id, event_id, type, ts AS time, 'investigate_for_case->' || case_id || ', investigated_by->' || actor AS relationships FROM ev WHERE type = 'INVESTIGATE'",
+    "weekly_rates": _BASE
+    + """, pr AS (SELECT cse_id, case_id, min(ts) FILTER (type = 'INVESTIGATE') AS a, min(ts) FILTER (type = 'ESCALATE') AS e, bool_or(type = 'ENRICH') AS enriched FROM ev GROUP BY ALL),
+    wk AS (SELECT *, CAST(floor((epoch_us(a) - min(epoch_us(a)) OVER (PARTITION BY cse_id)) / 6e7 / 10080) AS INT) AS week, coalesce((epoch_us(e) - epoch_us(a)) / 6e7 <= 43200, false) AS soon FROM pr WHERE a IS NOT NULL),
+    dy AS (SELECT wk.*, d.case_id IS NOT NULL AS due FROM wk LEFT JOIN (SELECT DISTINCT cse_id, case_id FROM ctx WHERE alert_severity = 'CRITICAL' AND asset_criticality IN ('HIGH', 'CRITICAL')) d ON wk.cse_id = d.cse_id AND wk.case_id = d.case_id)
+    SELECT cse_id, week, round(coalesce(count(*) FILTER (due AND soon) / nullif(count(*) FILTER (due), 0), 0), 6) AS in_time, round(avg(CASE WHEN enriched THEN 1.0 ELSE 0.0 END), 6) AS enriched FROM dy GROUP BY ALL""",
+}

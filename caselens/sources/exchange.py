@@ -143,6 +143,15 @@ def sqlite_problems(path: str) -> list[str]:
         return out + [f"{r[0]}: row {r[1]} points at no {r[2]}" for r in db.execute("PRAGMA foreign_key_check")]
 
 
+def problems(spark: SparkSession, json_path: str, sqlite_path: str, cse_id: str) -> list[str]:
+    """What a log's two files and the log itself lack; empty if nothing."""
+    from caselens.operators.ingest import validate_log
+
+    doc = read_documents(spark, json_path, cse_id)
+    found = document_problems(doc).unionByName(validate_log(log_of_documents(doc))).where("n > 0")
+    return [f"{r['check']}: {r['n']}" for r in found.collect()] + sqlite_problems(sqlite_path)
+
+
 def read_log_sqlite(spark: SparkSession, path: str, cse_id: str) -> Log:
     """The log of a file that every executor can open. A file without the standard's tables stops the read."""
     spark.dataSource.register(Sqlite)

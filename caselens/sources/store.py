@@ -60,6 +60,10 @@ class Store:
     def submissions(self, cse_id: str) -> DataFrame:
         return self.manifest().where(F.col("cse_id") == cse_id).orderBy("submitted_at", "batch_id")
 
+    def history(self, cse_id: str) -> DataFrame:
+        """An entity's submissions, the newest first."""
+        return self.manifest().where(F.col("cse_id") == cse_id).orderBy(F.desc("submitted_at"), F.desc("batch_id"))
+
     def latest_two(self) -> DataFrame:
         newest = F.row_number().over(W.partitionBy("cse_id").orderBy(F.desc("submitted_at"), F.desc("batch_id")))
         return self.manifest().withColumn("newest", newest).where("newest <= 2")

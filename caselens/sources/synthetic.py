@@ -205,6 +205,11 @@ def generate(spark: SparkSession, profiles: Sequence[Profile]) -> tuple[Log, Dat
     return log, truth
 
 
+def write_truth(truth: DataFrame, path: str) -> None:
+    """The ground truth beside a log: a folder of JSON lines, a line for each planted case."""
+    truth.write.mode("overwrite").json(path)
+
+
 def _as(df: DataFrame, schema: str) -> DataFrame:
     from pyspark.sql.types import StructType
 

@@ -4,7 +4,7 @@ from dataclasses import replace
 
 import pytest
 
-from caselens.operators import detectors, fusion, ingest, review
+from caselens.operators import detectors, fusion, ingest, portfolio, review
 from caselens.sources import exchange, exports, synthetic
 from caselens.sources.exchange import log_json, read_log_json, read_log_sqlite, write_log_sqlite
 from caselens.sources.store import Store, evidence_bundle, worse_prior
@@ -83,6 +83,15 @@ def test_round_trips_and_history(spark, tmp_path):
         store.record_verdicts(spark.createDataFrame([(loop, "NO", None, None, None, None, None, 1)], review.VERDICT))
     back = store.load_batch("E", "b1").where("finding_type = 'REASSIGNMENT_LOOP'").first()
     assert back.verdict == "INCONCLUSIVE" and back.evidence_quality == "MEDIUM" and back.finding_id == loop
+    worse = seed.asDict() | {"per_type": {k: v.asDict() for k, v in seed.per_type.items()}}
+    history = store.manifest().unionByName(spark.createDataFrame([worse], store.manifest().schema))
+    told = {r.finding_type: r for r in portfolio.briefing(history).collect()}["REASSIGNMENT_LOOP"]
+    assert (told.batches, told.prior_flagged_count, told.flagged_count, told.trend) == (2, 1, 1, "INSUFFICIENT_EVIDENCE")
+    assert portfolio.briefing(store.manifest()).first().trend is None and store.history("E").first().batch_id == "b1"
+    refs = fusion.evidence(log, found)
+    one = fusion.packages(found, refs).where("finding_type = 'REASSIGNMENT_LOOP'").first()
+    assert one.supporting_cases == one.affected_objects == ["C1"] and one.supporting_events == [f"REASSIGN::C1::{k}" for k in range(3)]
+    assert one.rule_id is None and one.provenance.source_record_id == "C1" and one.assumptions == ["Reassignment loop (a>b>a)"]
     bundle = json.loads(evidence_bundle(found).first().bundle)
     assert bundle["finding_count"] == len(bundle["findings"]) == found.count()
 
@@ -99,6 +108,7 @@ def test_exchange_of_a_planted_log(spark, tmp_path):
     assert rows_of(read_log_json(spark, str(tmp_path / "l.json"), "MATURE_DEV")) == want
     told = {t["name"]: [a["name"] for a in t["attributes"]] for t in json.loads(document)["objectTypes"]}
     assert told["Alert"] == ["category", "severity"] and told["Case"] == ["status"]
+    assert exchange.problems(spark, str(tmp_path / "l.json"), str(tmp_path / "l.db"), "MATURE_DEV") == []
     bad = {"eventTypes": [{"name": "A"}], "events": [{"id": "e", "type": "B", "time": "never", "relationships": [{"objectId": "x"}]}], "objects": [{"type": "T"}]}
     (tmp_path / "bad.json").write_text(json.dumps(bad))
     found = {r.check for r in exchange.document_problems(exchange.read_documents(spark, str(tmp_path / "bad.json"), "E")).collect() if r.n}
