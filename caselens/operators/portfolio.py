@@ -11,6 +11,7 @@ from caselens.functions.vocabulary import AUTHORITY_WEIGHT, CAPABILITY_WEIGHT, C
 
 from .log import Log, objects
 from .peers import negative_space
+from .ranking import ranked, start_of
 
 TIERS = (0.7, 1.5)
 
@@ -95,10 +96,19 @@ def topk(concerns: DataFrame, k: int = 5) -> DataFrame:
 
 
 def interleaved(concerns: DataFrame) -> DataFrame:
-    """Position in turns over capabilities, the one with the highest score first, within each entity."""
-    own = W.partitionBy("cse_id", "capability")
-    rows = concerns.withColumns({"turn": F.row_number().over(own.orderBy(F.desc("concern_score"), "finding_type", "primary_id")), "_top": F.max("concern_score").over(own)})
-    return rows.withColumn("position", F.row_number().over(W.partitionBy("cse_id").orderBy("turn", F.desc("_top"), "capability"))).drop("_top")
+    """Position in turns over capabilities, the one with the highest score first, within each entity.
+
+    A position follows from the capabilities' counts: each gives all its concerns of earlier turns, and those ahead in
+    the order one more in this turn. Capabilities are few, so they are an array beside the concern.
+    """
+    rows = ranked(concerns, ["cse_id", "capability"], [-F.col("concern_score"), F.col("finding_type"), start_of("primary_id", 4)], [F.col("primary_id")], "turn").withColumn("turn", F.col("turn").cast("int"))
+    counts = concerns.groupBy("cse_id", "capability").agg(F.count("*").cast("int").alias("n"), F.max("concern_score").alias("_top"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("_top")).alias("top"), "capability", "n")))
+    rows = rows.join(counts.groupBy("cse_id").agg(order.alias("_all")), "cse_id")
+    place = F.array_position(F.transform("_all", lambda c: c["capability"]), F.col("capability")).cast("int")
+    earlier = F.aggregate(F.transform("_all", lambda c: F.least(c["n"], F.col("turn") - 1)), F.lit(0), lambda a, x: a + x)
+    ahead = F.size(F.filter(F.slice("_all", F.lit(1), place), lambda c: c["n"] >= F.col("turn")))
+    return rows.withColumn("position", earlier + ahead).drop("_all")
 
 
 def search(concerns: DataFrame, text: str | None = None, capability: str | None = None, cse_id: str | None = None) -> DataFrame:

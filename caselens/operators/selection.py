@@ -17,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import ranked, start_of
+
 Class = tuple[str, float]  # bucket, cost
 EPSILON = 0.1
 SEED_POOL = 12
 SEED_SIZE = 3
+ROUNDS = 1000  # rounds of the stratified baseline that are added up as one block
 
 
 def bucket() -> Column:
@@ -102,8 +105,9 @@ def _walk(concerns: DataFrame, budget: DataFrame, keys: list[str], order: list[s
     kinds = {name: kind for name, kind in rows.dtypes}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "_bucket string, minutes double, concern_score double, _take long"])
     take = classes.groupBy(*keys).applyInPandas(run, schema).where("_take > 0")
-    rank = F.row_number().over(W.partitionBy(*keys, "_bucket", "minutes", "concern_score").orderBy(*([] if by is None else [by]), "finding_id"))
-    return rows.withColumn("_r", rank).join(take, [*keys, "_bucket", "minutes", "concern_score"]).where("_r <= _take").drop("_r", "_take", "_bucket")
+    lead = start_of("finding_id") if by is None else F.shiftright(by, 52)
+    named = ranked(rows, [*keys, "_bucket", "minutes", "concern_score"], [lead], [*([] if by is None else [by]), F.col("finding_id")], "_r")
+    return named.join(take, [*keys, "_bucket", "minutes", "concern_score"]).where("_r <= _take").drop("_r", "_take", "_bucket")
 
 
 def budgets(concerns: DataFrame, keys: list[str], fraction: float = 0.3) -> DataFrame:
@@ -178,14 +182,31 @@ def random_pick(concerns: DataFrame, budget: DataFrame, keys: list[str], seed: i
 
 def stratified(concerns: DataFrame, budget: DataFrame, keys: list[str]) -> DataFrame:
     """Baseline: rounds over finding types, one of each type by id; what doesn't fit is passed over, and a round that
-    adds nothing ends it. A round with an addition costs the cheapest concern at least, so later rounds than the budget
-    allows are cut off before the walk."""
-    rank = F.row_number().over(W.partitionBy(*keys, "finding_type").orderBy("finding_id"))
-    least = concerns.groupBy(*keys).agg(F.min(F.when(F.col("minutes") > 0, F.col("minutes"))).alias("_least"))
-    rows = concerns.withColumn("_round", rank).join(budget.join(least, keys), keys).where(F.col("_least").isNull() | (F.col("_round") <= F.floor(F.col("budget") / F.col("_least")) + 1))
+    adds nothing ends it.
+
+    All rounds before the first that doesn't fit whole are taken; which one that is follows from the rounds' sums, added
+    up in blocks. From there what's left is less than one round, and every further round but the last takes a concern, so
+    only as many rounds are walked as the cheapest concern goes into a round's worth.
+    """
+    rows = ranked(concerns, [*keys, "finding_type"], [start_of("finding_id")], [F.col("finding_id")], "_round").withColumn("_block", F.floor(F.col("_round") / ROUNDS))
+    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = rows.groupBy(*keys, "_block").agg(F.sum("minutes").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    first = blocks.join(budget, keys).where(F.col("_before") + F.col("_sum") > F.col("budget")).groupBy(*keys).agg(F.min(F.struct("_block", "_before")).alias("_at"))
+    limit = budget.join(first, keys, "left").select(*keys, "budget", F.col("_at._block").alias("_full"), F.coalesce("_at._before", F.lit(0.0)).alias("_spent"))
+    rows = rows.join(limit, keys)
+    whole = rows.where("_full is null or _block < _full")
+    sums = rows.where("_block = _full").groupBy(*keys, "_round").agg(F.sum("minutes").alias("_sum"))
+    upto = W.partitionBy(*keys).orderBy("_round")
+    crossing = sums.withColumn("_upto", F.sum("_sum").over(upto)).join(limit, keys).where(F.col("_spent") + F.col("_upto") > F.col("budget"))
+    crossing = crossing.groupBy(*keys).agg(F.min(F.struct("_round", (F.col("_spent") + F.col("_upto") - F.col("_sum")).alias("spent"))).alias("_c")).select(*keys, F.col("_c._round").alias("_last"), F.col("_c.spent").alias("_gone"))
+    rows = rows.where("_full is not null").join(crossing, keys)
+    cheapest = concerns.where("minutes > 0").groupBy(*keys).agg(F.min("minutes").alias("_least"))
+    free = concerns.where("minutes <= 0").groupBy(*keys).agg(F.count("*").alias("_free"))
+    further = F.floor((F.col("budget") - F.col("_gone")) / F.col("_least")) + F.coalesce("_free", F.lit(0)) + 1
+    tail = rows.where("_round >= _last").join(cheapest, keys).join(free, keys, "left").where(F.col("_round") <= F.col("_last") + further)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        spare, kept = float(pdf["budget"].iloc[0]), []
+        spare, kept = float(pdf["budget"].iloc[0] - pdf["_gone"].iloc[0]), []
         for _, part in pdf.sort_values(["_round", "finding_type"], kind="stable").groupby("_round", sort=True):
             before = len(kept)
             for i, c in zip(part["finding_id"], part["minutes"], strict=True):
@@ -197,9 +218,10 @@ def stratified(concerns: DataFrame, budget: DataFrame, keys: list[str]) -> DataF
         return pdf[pdf["finding_id"].isin(kept)][[*keys, "finding_id"]]
 
     kinds = dict(concerns.dtypes)
-    light = rows.select(*keys, "finding_id", "finding_type", "minutes", "_round", "budget")
-    picked = light.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in [*keys, "finding_id"]))
-    return concerns.join(picked, [*keys, "finding_id"], "left_semi")
+    light = tail.select(*keys, "finding_id", "finding_type", "minutes", "_round", "budget", "_gone")
+    walked = light.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in [*keys, "finding_id"]))
+    taken = whole.select(*keys, "finding_id").union(rows.where("_round < _last and _block = _full").select(*keys, "finding_id")).union(walked)
+    return concerns.join(taken, [*keys, "finding_id"], "left_semi")
 
 
 def split_budget(total: float, risk: float, calibration: float, exploration: float) -> dict[str, float]:

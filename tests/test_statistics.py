@@ -114,6 +114,32 @@ def test_verdicts_and_feedback(spark):
     assert {r.bucket: r.source for r in review.debiased(post).collect()} == {"b": "random_calibration", "n": "risk_selected"}
 
 
+def test_stratified_walks_as_told(spark):
+    """Against the walk written down: rounds over types, what doesn't fit is passed over, an empty round ends it."""
+    R = np.random.default_rng(3)
+    rows = [(e, f"T{R.integers(4)}", f"f{i:04}", float(R.choice([0.0, 7.0, 20.0, 35.0], p=[0.02, 0.3, 0.4, 0.28]))) for e in "AB" for i in range(400)]
+    df = spark.createDataFrame(rows, "cse_id string, finding_type string, finding_id string, minutes double")
+    for spent in (0.0, 30.0, 900.0, 4000.0, 1e6):
+        want = set()
+        for e in "AB":
+            by = {}
+            for x in sorted(r for r in rows if r[0] == e):
+                by.setdefault(x[1], []).append(x)
+            spare, k = spent, 0
+            while True:
+                now = [by[t][k] for t in sorted(by) if k < len(by[t])]
+                took = 0
+                for x in now:
+                    if x[3] <= spare:
+                        spare, took = spare - x[3], took + 1
+                        want.add((e, x[2]))
+                k += 1
+                if not took:
+                    break
+        got = {(r.cse_id, r.finding_id) for r in selection.stratified(df, df.select("cse_id").distinct().withColumn("budget", F.lit(spent)), ["cse_id"]).collect()}
+        assert got == want, spent
+
+
 def test_random_pick_samples_concerns(spark):
     rows = spark.createDataFrame([("A", f"{t}{i:03}", "x", t, 10.0 + 20 * (t == "q"), 1.0) for t in "pq" for i in range(200)], "cse_id string, finding_id string, capability string, finding_type string, minutes double, concern_score double")
     got = selection.random_pick(rows, selection.budgets(rows, ["cse_id"], 0.3), ["cse_id"]).collect()
