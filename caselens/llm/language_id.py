@@ -11,10 +11,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .linear import Rows, fit
+from .sharding import with_rank
 
 # Families of common language codes.
 FAMILIES = {
@@ -34,7 +34,7 @@ _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 BITS = 16
 SIZE = 1 << BITS
 PER_LANG = 1200  # training documents of a language, at most
-RANK_BUCKETS = 64
+RANK_BITS = 12  # of the hash that a language's rows are ranked by in one task
 BLOCK = 1 << 20
 SCALE = 30.0
 UNKNOWN = "und"
@@ -135,13 +135,11 @@ def _rows(pdf: pd.DataFrame) -> Rows:
 
 
 def sample(rows: DataFrame, per_lang: int) -> DataFrame:
-    """At most per_lang of each language's different rows (doc_id, lang, _t), those of the least hashes. Ranked in buckets
-    first, so that no task ranks a language's rows."""
-    order = [F.xxhash64("doc_id"), "doc_id", "_t"]
-    rank = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    few = rows.distinct().withColumn("_b", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(RANK_BUCKETS)))
-    few = few.withColumn("_r", rank("lang", "_b")).where(F.col("_r") <= per_lang)
-    return few.withColumn("_r", rank("lang")).where(F.col("_r") <= per_lang).drop("_r", "_b")
+    """At most per_lang of each language's different rows (doc_id, lang, _t), those of the least hashes. Ranked in ranges
+    of the hash, so that no task ranks a language's rows."""
+    name = F.xxhash64("doc_id")
+    dealt = rows.distinct().withColumn("_b", F.shiftrightunsigned(name, 64 - RANK_BITS))
+    return with_rank(dealt, ["lang"], "_b", [name, F.col("doc_id"), F.col("_t")], "_r").where(F.col("_r") <= per_lang).drop("_r", "_b")
 
 
 def train(docs: DataFrame, learnable: Column, per_lang: int = PER_LANG) -> Model:
