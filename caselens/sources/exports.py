@@ -9,6 +9,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -38,14 +39,26 @@ def read_csv(spark: SparkSession, directory: str | None = None, paths: dict[str,
     return {t: spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(p) for t, p in paths.items() if t in TABLES}
 
 
+def _opens_with(spark: SparkSession, path: str) -> str:
+    """The first character of a file that isn't white space."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        while 0 <= (c := stream.read()):
+            if not chr(c).isspace():
+                return chr(c)
+        return ""
+    finally:
+        stream.close()
+
+
 def read_json(spark: SparkSession, directory: str | None = None, paths: dict[str, str] | None = None) -> Tables:
     """One file for each table, an array of objects; anything else fails."""
     paths = paths if paths is not None else _files(spark, directory, ".json")
     out = {}
     for t, p in paths.items():
         if t in TABLES:
-            start = spark.read.text(p, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).collect()  # one character of each file
-            if any(r["c"] != "[" for r in start):
+            if _opens_with(spark, p) != "[":
                 raise ValueError(f"{p}: not an array")
             out[t] = spark.read.option("multiLine", True).option("primitivesAsString", True).json(p)
     return out
@@ -92,24 +105,32 @@ def read_sqlite(spark: SparkSession, path: str) -> Tables:
 
 
 def read_rest(spark: SparkSession, base: str, token: str | None = None, timeout: float = 10.0) -> Tables:
-    """GET base/table for each table; a failing request or bad JSON gives no table, a body that's no array fails."""
+    """GET base/table for each table, by a task each; a failing request or bad JSON gives no table, a body that's no
+    array fails. What came is held, so every table is asked for once."""
     if not base.startswith(("http://", "https://")):
         raise ValueError("http or https only")
-    out = {}
-    for t in TABLES:
-        request = urllib.request.Request(f"{base.rstrip('/')}/{t}", headers={"Authorization": f"Bearer {token}"} if token else {})
-        try:
-            with urllib.request.urlopen(request, timeout=timeout) as body:
-                rows = json.loads(body.read())
-        except (urllib.error.URLError, TimeoutError, json.JSONDecodeError):
-            continue
-        if not isinstance(rows, list):
-            raise ValueError(f"{t}: not an array")
-        names = sorted({k for r in rows for k in r})
-        if names:
-            schema = StructType([StructField(n, StringType()) for n in names])
-            out[t] = spark.createDataFrame([tuple(None if r.get(n) is None else str(r[n]) for n in names) for r in rows], schema)
-    return out
+
+    def fetch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for t in pdf["t"]:
+                request = urllib.request.Request(f"{base.rstrip('/')}/{t}", headers={"Authorization": f"Bearer {token}"} if token else {})
+                try:
+                    with urllib.request.urlopen(request, timeout=timeout) as body:
+                        rows = json.loads(body.read())
+                except (urllib.error.URLError, TimeoutError, json.JSONDecodeError):
+                    rows = []
+                made = [json.dumps(r) for r in rows] if isinstance(rows, list) else [None]
+                yield pd.DataFrame({"t": [t] * len(made), "row": made}, dtype=object)
+
+    asked = spark.createDataFrame([(t,) for t in TABLES], "t string").repartition(len(TABLES), "t")
+    got = asked.mapInPandas(fetch, "t string, row string").persist()
+    if bad := [r.t for r in got.where("row is null").select("t").distinct().collect()]:
+        raise ValueError(f"{', '.join(bad)}: not an array")
+    rows = got.select("t", F.from_json("row", "map<string,string>").alias("m"))
+    names: dict[str, list[str]] = {}
+    for r in rows.select("t", F.explode(F.map_keys("m")).alias("c")).distinct().collect():  # columns, not rows
+        names.setdefault(r.t, []).append(r.c)
+    return {t: rows.where(F.col("t") == t).select(*(F.col("m")[c].alias(c) for c in sorted(cs))) for t, cs in names.items()}
 
 
 READERS: dict[str, Callable[..., Tables]] = {"csv": read_csv, "json": read_json, "sqlite": read_sqlite, "rest": read_rest}

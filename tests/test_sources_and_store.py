@@ -1,6 +1,8 @@
 import json
 import sqlite3
+import threading
 from dataclasses import replace
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
@@ -51,6 +53,34 @@ def test_gate_abstains(spark, folder, tmp_path):
         exports.read_json(spark, paths={"cases": str(tmp_path / "cases.json")})
 
 
+def test_rest_scan(spark):
+    """One table is served, one isn't there, one is broken; the token is sent, and no other scheme is asked."""
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            asked.append((self.path, self.headers["Authorization"]))
+            body = {"/x/cases": '[{"case_id": 1, "state": "open"}, {"case_id": 2, "owner": null}]', "/x/alerts": "{", "/y/queues": "{}"}.get(self.path)
+            self.send_response(200 if body else 404)
+            self.end_headers()
+            self.wfile.write((body or "").encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    got = exports.read_rest(spark, f"{at}/x", "secret")
+    assert {t: sorted(map(tuple, df.collect()), key=str) for t, df in got.items()} == {"cases": [("1", None, "open"), ("2", None, None)]} and got["cases"].columns == ["case_id", "owner", "state"]
+    assert len(asked) == len(exports.TABLES) and {a for _, a in asked} == {"Bearer secret"}
+    with pytest.raises(ValueError, match="not an array"):
+        exports.read_rest(spark, f"{at}/y")
+    with pytest.raises(ValueError, match="http"):
+        exports.read_rest(spark, "file:///tmp")
+    server.shutdown()
+
+
 def test_json_and_sqlite_scans(spark, tmp_path):
     (tmp_path / "cases.json").write_text(json.dumps([{"incident_number": 1, "owner": "ann", "queue": "q", "state": "open", "created": "2024-01-01", "resolved_at": None}]))
     got = exports.read_json(spark, str(tmp_path))["cases"]
