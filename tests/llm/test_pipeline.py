@@ -21,3 +21,10 @@ def test_stages(spark):
     assert counts == sorted(counts, reverse=True) and counts[-1] >= 0.6 * counts[0]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert packed.select("doc_id").distinct().count() == counts[-1]
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no driver tables")
+def test_stages_of_no_documents(spark):
+    docs = table(spark, DATA, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).isEmpty(), name

@@ -480,3 +480,53 @@ def test_leaks_against_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, docs), bench).collect()}
     assert got == brute_leaks(docs, items) and len(got) > 30
+
+
+# --- very long texts, empty tables ---------------------------------------------------------------------------------
+
+
+def test_long_texts_in_blocks(monkeypatch):
+    """What is read in blocks gives the same as what is read at once."""
+    R = random.Random(31)
+    text = " ".join(spoken(R, "abcdefghé", 3) + R.choice([".", "", "\n", " 12"]) for _ in range(4000))
+    model = language_id.Model({"a": ["x", "y"]}, np.random.default_rng(1).normal(size=(language_id.SIZE, 2)).astype(np.float32), np.zeros(2), {"a": [("x", "y", 1)]})
+    grades = quality_model.Model(np.random.default_rng(2).normal(size=quality_model.WORDS + quality_model.GRAMS).astype(np.float32), np.array([0.0, 1.0]))
+    seen = lambda: (language_id.features(text), model.predict(text)[0], quality_model.features(text, quality_model._Buckets()), grades.score(text, quality_model._Buckets()))
+    whole = seen()
+    for module in (language_id, quality_model):
+        monkeypatch.setattr(module, "BLOCK", 5000)
+    parts = seen()
+    assert parts[1] == whole[1] and abs(parts[3] - whole[3]) < 1e-2
+    assert np.array_equal(parts[2][0], whole[2][0]) and np.allclose(parts[2][1], whole[2][1])
+    # A gap of other characters that a block cuts counts twice at most.
+    assert len(np.setxor1d(parts[0][0], whole[0][0])) <= 40 and abs(parts[0][1].sum() - 1) < 1e-3
+    item = "seven green apples rolled down the long hill past Alice and 12 other people"
+    canon, exact = decontamination.Canon(), decontamination.Exact()
+    shape = decontamination.item_of(item, canon, exact)
+    bitmap = np.zeros(1 << 21, np.uint8)
+    for h, _ in shape.windows:
+        bitmap[h >> 43] |= 1 << (h >> 40 & 7)
+    found = decontamination.Scan([(shape.kind, shape.width)], bitmap).windows(f"{text} {item} {text}")
+    assert decontamination.judge(shape, [(j, at, w.encode()) for at, h, w in found for g, j in shape.windows if g == h])
+    words = text.encode().split()
+    assert host_rules.counts(text * 3)[0] == 3 * len(words) - 2 * (not text[-1:].isspace() and not text[:1].isspace())
+
+
+def test_letters():
+    assert [language_id.has_letter(x) for x in ("²½Ⅷ 12 _", "a", "日", "é", "", "ʰ")] == [False, True, True, True, False, True]
+
+
+def test_samples_of_repeated_rows(spark):
+    """A row that is repeated often counts once, so the bounds hold; null ids take part."""
+    rows = [(7, "en", "one two three")] * 500 + [(i, "en", f"text {i}") for i in range(40)] + [(None, "de", "drei vier")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").select("doc_id", "lang", F.xxhash64("text").alias("_t"))
+    got = language_id.sample(df, 10).collect()
+    assert sorted(r.lang for r in got) == ["de"] + ["en"] * 10 and len({tuple(r) for r in got}) == 11
+    order = sorted({(r.h, r.doc_id) for r in df.where("lang = 'en'").select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 52).alias("b"), F.xxhash64("doc_id").alias("x")).select(F.struct("b", "x").alias("h"), "doc_id").collect()})
+    assert {r.doc_id for r in got if r.lang == "en"} == {i for _, i in order[:10]}
+
+
+def test_grades_of_nothing(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality_model.classify(docs, labels).isEmpty()
