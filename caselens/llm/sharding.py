@@ -23,9 +23,10 @@ def with_rank(rows: DataFrame, keys: list[str], bucket: str, order: list[Column]
 def interleave(docs: DataFrame, n_shards: int = 40, seed: int = 17, stratum: str = "source", id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 20_000) -> DataFrame:
     """Assign every row to a shard and a slot so that each shard mirrors the mixture of `stratum`.
 
-    Rows are shuffled by a seeded hash within each stratum and ranked; the fractional rank (rank - 1/2) / rows of the
+    Rows are shuffled by a seeded hash of their text within each stratum and ranked; the fractional rank (rank - 1/2) / rows of the
     stratum orders all rows, and the order is cut into shards whose row counts differ by at most one. Law: `rows`.
-    Copies of one text are separate rows and may part: counts that differ by at most one leave no room for whole groups.
+    Copies of one text follow each other in a stratum, and at about the same fraction in all strata, so a group stays
+    in one shard unless a cut falls into it; it can't always, as counts differ by at most one.
 
     Null stratum: a stratum of its own. Null text: 0 bytes, CRC-32 of nothing (0). Null or repeated ids, repeated rows:
     each row is placed once. Empty table: no rows. Other columns are ignored, whatever their names.
@@ -38,12 +39,12 @@ def interleave(docs: DataFrame, n_shards: int = 40, seed: int = 17, stratum: str
         F.when(F.col(stratum).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(stratum).cast("string"))).alias("_key"),
         (F.octet_length(text) + 16).cast("long").alias("_size"),
         F.crc32(text.cast("binary")).alias("_crc"),
-    ).withColumn("_h", F.xxhash64(F.lit(seed), "_id", "_crc"))
+        text.alias("_text"),
+    ).withColumn("_h", F.xxhash64(F.lit(seed), "_text")).drop("_text")
     rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
     total = rows.count()
     buckets = parts_for(total, rows_per_bucket, 16)
-    # Rows that share id and text are alike, so where they are very many (fewer than HOT_SHARE hashes) their numbers may
-    # spread them over the buckets.
+    # A text with very many copies (there are fewer than HOT_SHARE such) outgrows a bucket: its rows' numbers spread it.
     hot = rows.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") > max(total // HOT_SHARE, rows_per_bucket)).select("_h", F.lit(True).alias("_hot"))
     spread = F.when(F.col("_hot"), F.xxhash64("_h", "_row")).otherwise(F.col("_h"))
     rows = rows.join(F.broadcast(hot), "_h", "left").withColumn("_b", F.pmod(spread, F.lit(buckets))).drop("_hot")

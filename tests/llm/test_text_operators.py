@@ -358,6 +358,15 @@ def test_shards(spark):
     assert sharding.interleave(frame(spark, []), 7).isEmpty()
 
 
+def test_shards_keep_copies_together(spark):
+    R = random.Random(14)
+    rows = [(i, f"text {R.randrange(150)}", R.choice("aab")) for i in range(900)]
+    shards = {}
+    for r, t in ((r, dict((i, t) for i, t, _ in rows)[r.doc_id]) for r in sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string"), 5).collect()):
+        shards.setdefault(t, set()).add(r.shard)
+    assert sum(len(s) == 1 for s in shards.values()) > 0.8 * len(shards)
+
+
 def test_shards_against_brute_force(spark, monkeypatch):
     """The hashes are Spark's; ranks, fractions and the cut are made anew from exact fractions."""
     R = random.Random(12)
@@ -365,7 +374,7 @@ def test_shards_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for per_bucket in (10, 10_000):
         buckets = max(16, -(-len(rows) // per_bucket))
-        hashed = df.select("*", F.xxhash64(F.lit(17), "doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).alias("h")).collect()
+        hashed = df.select("*", F.xxhash64(F.lit(17), F.coalesce("text", F.lit(""))).alias("h")).collect()
         order = []
         for source in {r.source for r in hashed}:
             own = sorted(((r.h % buckets, r.h), r.doc_id or 0) for r in hashed if r.source == source)
