@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, utf8, with_ids
+from .common import materialise, skewed_join, utf8, with_ids
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -96,12 +96,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
     kept is false if base_failed, or if a rule's shrunk rate on the document's host is above MAX_HOST_RATE.
     Null or empty text: no words, base_failed. Null host: no host verdict, so the base rules decide. Repeated rows each
-    count and each return. Empty table: no rows. Other columns are ignored, whatever their names.
+    count and each return. Very long texts: read whole by one task. Empty table: no rows. Other columns are ignored, whatever their names.
     """
     counted = materialise(document_counts(docs, id_col, text_col, host_col))
-    hosts = host_rates(counted).groupBy("_host").agg(F.max("rate").alias("host_rate"))
+    hosts = materialise(host_rates(counted).groupBy("_host").agg(F.max("rate").alias("host_rate"), F.max("n").alias("_n")))
+    known = skewed_join(counted.where("_host is not null"), hosts, ["_host"], "_n", counted.count(), ["_id"])  # a host may have a third of all documents
+    rows = known.unionByName(counted.where("_host is null").withColumn("host_rate", F.lit(None).cast("double")))
     base = F.col("short") | F.col("repetitive")
-    return counted.join(hosts, "_host", "left").select(
+    return rows.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
         (~base & (F.coalesce("host_rate", F.lit(0.0)) <= MAX_HOST_RATE)).alias("kept"), "host_rate",
     )
