@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselens.functions.expressions import minutes
@@ -10,12 +10,21 @@ from caselens.functions.expressions import minutes
 from .log import Log, alert_assets, case_alerts, case_events, case_profile, first_target, objects
 
 
-def reassignment_loops(log: Log, min_reassignments: int = 3, max_distinct_analysts: int = 2) -> DataFrame:
-    """Cases with enough reassignments: a loop goes round few analysts; a shift change each time justifies it."""
+MIN_REASSIGNMENTS = 3
+
+
+def loop_columns(max_distinct_analysts: int = 2) -> dict[str, Column]:
+    """Over the case profile: what the reassignments of a case look like. A loop goes round few analysts; a shift change
+    each time justifies it."""
+    n, who = F.col("n_REASSIGN"), F.size(F.array_distinct("reassigned.to")).cast("long")
+    loop, justified = (n > who) & (who <= max_distinct_analysts), F.forall("reassigned.shift", lambda s: s)
+    return {"n_reassign": n, "n_analysts": who, "sequence": F.concat_ws(">", F.col("reassigned.to")), "is_loop": loop, "justified": justified, "flagged": loop & ~justified}
+
+
+def reassignment_loops(log: Log, min_reassignments: int = MIN_REASSIGNMENTS, max_distinct_analysts: int = 2) -> DataFrame:
+    """Cases with enough reassignments, and whether they go round."""
     rows = case_profile(log).where(F.col("n_REASSIGN") >= min_reassignments)
-    out = rows.select("cse_id", "case_id", F.col("n_REASSIGN").alias("n_reassign"), F.size(F.array_distinct("reassigned.to")).cast("long").alias("n_analysts"), F.forall("reassigned.shift", lambda s: s).alias("justified"), F.col("reassigned").alias("_s"))
-    loop = (F.col("n_reassign") > F.col("n_analysts")) & (F.col("n_analysts") <= max_distinct_analysts)
-    return out.select("cse_id", "case_id", "n_reassign", "n_analysts", F.concat_ws(">", F.col("_s.to")).alias("sequence"), loop.alias("is_loop"), "justified", (loop & ~F.col("justified")).alias("flagged"))
+    return rows.select("cse_id", "case_id", *(c.alias(name) for name, c in loop_columns(max_distinct_analysts).items()))
 
 
 def case_times(log: Log) -> DataFrame:

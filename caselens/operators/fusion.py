@@ -8,25 +8,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselens.functions.expressions import concern_score, filled, finding_id, label, lookup, review_minutes
-from caselens.functions.vocabulary import CASE_QUALIFIER, QUALITY_WEIGHT
+from caselens.functions.expressions import concern_score, filled, finding_id, label, lookup, minutes, review_minutes
+from caselens.functions.vocabulary import QUALITY_WEIGHT
 
 from . import detectors, rules
 from .log import Log, alert_assets, case_alerts, case_events, case_profile, objects
 from .peers import negative_space, two_sided
 
-CONCERN = ("cse_id", "finding_type", "primary_id", "capability", "authority", "event_type", "supporting", "detail")
-
-
 @dataclass(frozen=True)
 class Fusion:
     concerns: DataFrame
     suppressed: DataFrame
 
 
-def _concern(rows: DataFrame, kind: str, primary: str, capability: str | Column, authority: str | Column, event: str | None = None, supporting: Column | None = None, detail: Column | None = None) -> DataFrame:
-    text = lambda x: F.lit(x) if isinstance(x, str) else x
-    return rows.select("cse_id", F.lit(kind).alias("finding_type"), F.col(primary).alias("primary_id"), text(capability).alias("capability"), text(authority).alias("authority"), F.lit(event).cast("string").alias("event_type"), (F.lit(None) if supporting is None else supporting).cast("string").alias("supporting"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
+def _concern(rows: DataFrame, kind: str, primary: str, capability: str, authority: str = "PEER_NORMAL", supporting: Column | None = None, detail: Column | None = None) -> DataFrame:
+    """Concerns about something else than a case: no event of their own."""
+    none = F.lit(None).cast("string")
+    return rows.select("cse_id", F.lit(kind).alias("finding_type"), F.col(primary).alias("primary_id"), F.lit(capability).alias("capability"), F.lit(authority).alias("authority"), none.alias("event_type"), (none if supporting is None else supporting.cast("string")).alias("supporting"), (none if detail is None else detail).alias("detail"), F.lit(0).cast("long").alias("n_events"))
 
 
 def severity_of_cases(log: Log) -> DataFrame:
@@ -66,6 +64,42 @@ RULES = {"EXCESSIVE_REASSIGNMENT_CARDINALITY": rules.FEW_REASSIGNMENTS.rule_id,
 VERSION = "1.0"
 
 
+def case_findings(log: Log, few: rules.Rule = rules.FEW_REASSIGNMENTS, fast: float = 30.0) -> DataFrame:
+    """The findings about single cases, from one pass over the case profile beside each case's severity and scope."""
+    key = ["cse_id", "case_id"]
+    due = rules.scope(log, rules.ESCALATE_CRITICAL).withColumn("_due", F.lit(True))
+    rows = case_profile(log).join(severity_of_cases(log), key, "left").join(due, key, "left").withColumn("_fast", minutes(F.col("opened"), F.col("closed")) < fast)
+    obs = rows.where("closed is not null and severity is not null").groupBy("cse_id", F.col("severity").alias("group_id")).agg(F.count("*").alias("exposure"), F.count_if(~F.col("_fast")).alias("observed"))
+    odd = negative_space(obs, "cse_id").where("flagged").select("cse_id", F.col("group_id").alias("severity"), F.lit(True).alias("_odd"))
+    loop, enough = detectors.loop_columns(), F.col("n_REASSIGN") >= detectors.MIN_REASSIGNMENTS
+    late, _ = rules.answer(rules.ESCALATE_CRITICAL)
+    none = F.lit(None).cast("string")
+
+    def of(when: Column, kind: str, capability: str, authority: str, event: str, detail: Column = none) -> Column:
+        parts = {"finding_type": F.lit(kind), "capability": F.lit(capability), "authority": F.lit(authority), "event_type": F.lit(event), "detail": detail, "n_events": F.col(f"n_{event}")}
+        return F.when(when, F.struct(*(c.alias(name) for name, c in parts.items())))
+
+    found = F.array_compact(F.array(
+        of(enough & loop["flagged"], "REASSIGNMENT_LOOP", "Operational Discipline", "EXPECTED", "REASSIGN", loop["sequence"]),
+        of(~enough & rules.out_of_bound(few), "EXCESSIVE_REASSIGNMENT_CARDINALITY", few.capability, few.authority, "REASSIGN"),
+        of(F.col("_due") & late.isNotNull(), "ESCALATION_SLA_VIOLATION", "Escalation", "MANDATORY", "ESCALATE", late),
+        of(rules.out_of_order(rules.ENRICH_FIRST), "MISSING_ENRICHMENT", "Investigation", "EXPECTED", "INVESTIGATE"),
+        of(F.col("_fast") & F.col("_odd"), "FAST_CLOSE_OUTLIER", "Investigation", "PEER_NORMAL", "CLOSE", F.col("severity")),
+    ))
+    out = rows.join(odd, ["cse_id", "severity"], "left").select("cse_id", F.col("case_id").alias("primary_id"), F.explode(found).alias("f"))
+    return out.select("cse_id", "f.finding_type", "primary_id", "f.capability", "f.authority", "f.event_type", none.alias("supporting"), "f.detail", "f.n_events")
+
+
+def suppressions(log: Log, few: rules.Rule = rules.FEW_REASSIGNMENTS) -> DataFrame:
+    """cse_id, case_id, finding_type, reason of what a finer detector has settled: excesses of reassignments in cases with
+    enough of them for a verdict, and justified loops."""
+    loop = detectors.loop_columns()
+    rows = case_profile(log).where(F.col("n_REASSIGN") >= detectors.MIN_REASSIGNMENTS)
+    why = F.when(loop["flagged"], "flagged as a loop").when(loop["is_loop"], "every handover is a shift change").otherwise("no analyst comes back")
+    excess = rows.where(rules.out_of_bound(few)).select("cse_id", "case_id", F.lit("EXCESSIVE_REASSIGNMENT_CARDINALITY").alias("finding_type"), why.alias("reason"))
+    return excess.union(rows.where(loop["is_loop"] & loop["justified"]).select("cse_id", "case_id", F.lit("REASSIGNMENT_LOOP"), F.lit("every handover is a shift change")))
+
+
 def evidence(log: Log, concerns: DataFrame) -> DataFrame:
     """What each concern rests on, a row for each: cse_id, finding_id, finding_type, primary_id, kind, ref_id.
 
@@ -115,30 +149,16 @@ def fuse(log: Log, low_confidence: DataFrame | None = None, uniform_threshold: f
     its case. An excess of reassignments is reported only where no reassignment signal covers the case, and justified
     loops not at all; both are listed in `suppressed` with the reason.
     """
-    loops = detectors.reassignment_loops(log)
-    many = rules.evaluate(log, few)
-    signal = loops.select("cse_id", "case_id", F.when(F.col("flagged"), "flagged as a loop").when(F.col("is_loop"), "every handover is a shift change").otherwise("no analyst comes back").alias("reason"))
-    cases, pace = fast_close_by_severity(log)
-    odd_pace = pace.where("flagged").select("cse_id", F.col("group_id").alias("severity"))
     people, queues = analyst_peers(log), queue_peers(log)
     found = [
-        _concern(loops.where("flagged"), "REASSIGNMENT_LOOP", "case_id", "Operational Discipline", "EXPECTED", "REASSIGN", detail=F.col("sequence")),
-        _concern(many.join(signal, ["cse_id", "case_id"], "left_anti"), "EXCESSIVE_REASSIGNMENT_CARDINALITY", "case_id", F.col("capability"), F.col("authority"), "REASSIGN"),
-        _concern(rules.evaluate(log, rules.ESCALATE_CRITICAL), "ESCALATION_SLA_VIOLATION", "case_id", "Escalation", "MANDATORY", "ESCALATE", detail=F.col("detail")),
-        _concern(rules.precedence_cases(log, rules.ENRICH_FIRST), "MISSING_ENRICHMENT", "case_id", "Investigation", "EXPECTED", "INVESTIGATE"),
-        _concern(cases.where("is_fast").join(odd_pace, ["cse_id", "severity"], "left_semi"), "FAST_CLOSE_OUTLIER", "case_id", "Investigation", "PEER_NORMAL", "CLOSE", detail=F.col("severity")),
-        _concern(detectors.asset_recurrence(log).where("flagged"), "REPEATED_ALERT_NO_REMEDIATION", "asset_id", "Incident Response", "PEER_NORMAL", supporting=F.col("n_cases")),
-        _concern(telemetry(log).where("flagged"), "LOW_TELEMETRY_CRITICAL_ASSET", "group_id", "Threat Detection", "PEER_NORMAL", detail=_z()),
-        _concern(detectors.investigation_uniformity(log, threshold=uniform_threshold).where("flagged"), "REPETITIVE_INVESTIGATION_PATTERN", "analyst_id", "Investigation", "PEER_NORMAL"),
-        _concern(people.where(F.col("abstain").isNull() & two_sided()), "INVESTIGATION_WORKLOAD_INCONSISTENT", "group_id", "Investigation", "PEER_NORMAL", supporting=F.col("exposure"), detail=_z()),
-        _concern(queues.where(F.col("abstain").isNull() & two_sided()), "ESCALATION_WORKLOAD_INCONSISTENT", "group_id", "Escalation", "PEER_NORMAL", supporting=F.col("observed"), detail=_z()),
+        case_findings(log, few),
+        _concern(detectors.asset_recurrence(log).where("flagged"), "REPEATED_ALERT_NO_REMEDIATION", "asset_id", "Incident Response", supporting=F.col("n_cases")),
+        _concern(telemetry(log).where("flagged"), "LOW_TELEMETRY_CRITICAL_ASSET", "group_id", "Threat Detection", detail=_z()),
+        _concern(detectors.investigation_uniformity(log, threshold=uniform_threshold).where("flagged"), "REPETITIVE_INVESTIGATION_PATTERN", "analyst_id", "Investigation"),
+        _concern(people.where(F.col("abstain").isNull() & two_sided()), "INVESTIGATION_WORKLOAD_INCONSISTENT", "group_id", "Investigation", supporting=F.col("exposure"), detail=_z()),
+        _concern(queues.where(F.col("abstain").isNull() & two_sided()), "ESCALATION_WORKLOAD_INCONSISTENT", "group_id", "Escalation", supporting=F.col("observed"), detail=_z()),
     ]
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    counts = case_profile(log).select("cse_id", F.col("case_id").alias("primary_id"), *(f"n_{k}" for k in CASE_QUALIFIER))
-    own = F.coalesce(*(F.when(F.col("event_type") == k, F.col(f"n_{k}")) for k in CASE_QUALIFIER), F.lit(0).cast("long"))
-    rows = rows.join(counts, ["cse_id", "primary_id"], "left").withColumn("n_events", own).drop(*(f"n_{k}" for k in CASE_QUALIFIER))
+    rows = reduce(DataFrame.unionByName, found)
     if low_confidence is None:
         rows = rows.withColumn("evidence_quality", F.lit("HIGH"))
     else:
@@ -149,9 +169,7 @@ def fuse(log: Log, low_confidence: DataFrame | None = None, uniform_threshold: f
         "concern_score": concern_score(F.col("evidence_quality"), F.col("authority"), F.col("capability")),
         "minutes": review_minutes(F.col("n_events"), F.col("evidence_quality"), F.col("authority")),
     })
-    excess = many.join(signal, ["cse_id", "case_id"]).select("cse_id", "case_id", F.lit("EXCESSIVE_REASSIGNMENT_CARDINALITY").alias("finding_type"), "reason")
-    shifts = loops.where("is_loop and justified").select("cse_id", "case_id", F.lit("REASSIGNMENT_LOOP").alias("finding_type"), F.lit("every handover is a shift change").alias("reason"))
-    return Fusion(rows, excess.union(shifts))
+    return Fusion(rows, suppressions(log, few))
 
 
 def by_capability(concerns: DataFrame) -> DataFrame:

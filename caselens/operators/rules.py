@@ -48,13 +48,24 @@ def predicate(conditions: dict) -> Column:
     return out
 
 
+def scope(log: Log, rule: Rule) -> DataFrame:
+    """cse_id, case_id of the cases that a RESPONSE rule is about, each once."""
+    return case_context(log).where(predicate(rule.applies_when)).select("cse_id", "case_id").distinct()
+
+
+def answer(rule: Rule) -> tuple[Column, Column]:
+    """Over the case profile: `never` or `late` where a RESPONSE rule is broken, else null; the minutes that it took."""
+    answered = F.col(f"first_{rule.expect['event']}")
+    took = minutes(F.col("opened"), answered)
+    fits = COMPARE[rule.within[0]](took, F.lit(float(rule.within[1] * UNIT_MINUTES[rule.within[2]]))) if rule.within else F.lit(True)
+    return F.when(answered.isNull(), "never").when(~fits, "late"), took
+
+
 def response(log: Log, rule: Rule) -> DataFrame:
     """Cases in scope, each once, where the expected event never comes or comes at the wrong time."""
-    scope = case_context(log).where(predicate(rule.applies_when)).select("cse_id", "case_id").distinct()
-    seen = case_profile(log).select("cse_id", "case_id", "opened", F.col(f"first_{rule.expect['event']}").alias("answered"))
-    took = minutes(F.col("opened"), F.col("answered"))
-    fits = COMPARE[rule.within[0]](took, F.lit(float(rule.within[1] * UNIT_MINUTES[rule.within[2]]))) if rule.within else F.lit(True)
-    return scope.join(seen, ["cse_id", "case_id"]).where(F.col("answered").isNull() | ~fits).select("cse_id", "case_id", F.when(F.col("answered").isNull(), "never").otherwise("late").alias("detail"), took.alias("measure"))
+    detail, took = answer(rule)
+    seen = case_profile(log).select("cse_id", "case_id", detail.alias("detail"), took.alias("measure"))
+    return scope(log, rule).join(seen, ["cse_id", "case_id"]).where("detail is not null")
 
 
 def precedence(log: Log, rule: Rule) -> DataFrame:
@@ -66,14 +77,24 @@ def precedence(log: Log, rule: Rule) -> DataFrame:
 
 def precedence_cases(log: Log, rule: Rule) -> DataFrame:
     """Cases with such an event, each once: their first `after` comes before any `before`."""
+    return case_profile(log).where(out_of_order(rule)).select("cse_id", "case_id")
+
+
+def out_of_order(rule: Rule) -> Column:
+    """Over the case profile: whether a PRECEDENCE rule is broken by the first events."""
     before, after = (F.col(f"first_{rule.expect[k]}") for k in ("before", "after"))
-    return case_profile(log).where(after.isNotNull() & (before.isNull() | (before > after))).select("cse_id", "case_id")
+    return after.isNotNull() & (before.isNull() | (before > after))
+
+
+def out_of_bound(rule: Rule) -> Column:
+    """Over the case profile: whether a CARDINALITY rule is broken."""
+    n = F.col(f"n_{rule.expect['event']}")
+    return (n > 0) & ~COMPARE[rule.expect["op"]](n.cast("double"), F.lit(float(rule.expect["bound"])))
 
 
 def cardinality(log: Log, rule: Rule) -> DataFrame:
     """Cases with the event whose count is out of bounds."""
-    n = case_profile(log).select("cse_id", "case_id", F.col(f"n_{rule.expect['event']}").cast("double").alias("measure")).where("measure > 0")
-    return n.where(~COMPARE[rule.expect["op"]](F.col("measure"), F.lit(float(rule.expect["bound"])))).select("cse_id", "case_id", F.lit("count").alias("detail"), "measure")
+    return case_profile(log).where(out_of_bound(rule)).select("cse_id", "case_id", F.lit("count").alias("detail"), F.col(f"n_{rule.expect['event']}").cast("double").alias("measure"))
 
 
 def not_co_existence(log: Log, rule: Rule) -> DataFrame:
