@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, materialise, parts_for
+from .common import HOT_SHARE, SALTS, materialise, parts_for
 
 
 def with_rank(rows: DataFrame, keys: list[str], bucket: str, order: list[Column], out: str) -> DataFrame:
@@ -44,10 +44,10 @@ def interleave(docs: DataFrame, n_shards: int = 40, seed: int = 17, stratum: str
     rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
     total = rows.count()
     buckets = parts_for(total, rows_per_bucket, 16)
-    # A text with very many copies (there are fewer than HOT_SHARE such) outgrows a bucket: its rows' numbers spread it.
-    hot = rows.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") > max(total // HOT_SHARE, rows_per_bucket)).select("_h", F.lit(True).alias("_hot"))
-    spread = F.when(F.col("_hot"), F.xxhash64("_h", "_row")).otherwise(F.col("_h"))
-    rows = rows.join(F.broadcast(hot), "_h", "left").withColumn("_b", F.pmod(spread, F.lit(buckets))).drop("_hot")
+    # Texts with very many copies (fewer than HOT_SHARE) follow the others of their bucket, in parts of their own.
+    hot = rows.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") > max(total // HOT_SHARE, SALTS)).select("_h", F.lit(True).alias("_hot"))
+    part = F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64("_row"), F.lit(SALTS))).otherwise(0)
+    rows = rows.join(F.broadcast(hot), "_h", "left").withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)) * (SALTS + 1) + part).drop("_hot")
     ranked = with_rank(rows, ["_key"], "_b", [F.col("_h"), F.col("_id"), F.col("_size"), F.col("_row")], "_rank")
     sizes = rows.groupBy("_key").agg(F.count("*").alias("_rows"))
     ranked = materialise(ranked.join(sizes, "_key").withColumn("_f", F.expr(f"((2 * _rank - 1) * {buckets}) div (2 * _rows)")).drop("_b", "_h", "_row"))

@@ -377,12 +377,11 @@ def test_shards_against_brute_force(spark, monkeypatch):
         hashed = df.select("*", F.xxhash64(F.lit(17), F.coalesce("text", F.lit(""))).alias("h")).collect()
         order = []
         for source in {r.source for r in hashed}:
-            own = sorted(((r.h % buckets, r.h), r.doc_id or 0) for r in hashed if r.source == source)
+            own = sorted(((r.h % buckets, r.text == "same", r.h), r.doc_id or 0) for r in hashed if r.source == source)
             order += [(Fraction(2 * k + 1, 2 * len(own)), "-" if source is None else f"+{source}", k, i) for k, (_, i) in enumerate(own)]
         want = [i for *_, i in sorted(order)]
         got = sorted((r.shard, r.slot, r.doc_id or 0) for r in sharding.interleave(df, 7, rows_per_bucket=per_bucket).collect())
-        spread = per_bucket == 10  # the 300 equal rows are over a bucket's rows, and dealt by number
-        assert len(got) == len(rows) and (spread or [i for *_, i in got] == want)
+        assert len(got) == len(rows) and [i for *_, i in got] == want
         assert [g[:2] for g in got] == [(s, k) for s in range(7) for k in range((len(rows) * (s + 1) + 6) // 7 - (len(rows) * s + 6) // 7)]
 
 
