@@ -65,5 +65,5 @@ def test_fusion_suppresses_and_scores(spark):
     assert set(rows) >= {"REASSIGNMENT_LOOP", "MISSING_ENRICHMENT"} and "EXCESSIVE_REASSIGNMENT_CARDINALITY" not in rows
     assert abs(rows["REASSIGNMENT_LOOP"].concern_score - 0.35) < 1e-9 and abs(rows["REASSIGNMENT_LOOP"].minutes - (20 + 6) * 1.2) < 1e-9
     assert rows["MISSING_ENRICHMENT"].evidence_quality == "MEDIUM" and abs(rows["MISSING_ENRICHMENT"].minutes - (20 + 2 + 20) * 1.2) < 1e-9
-    assert [r.reason for r in got.suppressed.collect()] == ["covered by a reassignment signal"]
+    assert [r.reason for r in got.suppressed.collect()] == ["flagged as a loop"]
     assert sum(r.n for r in ingest.validate_log(log).collect()) == 0
