@@ -43,7 +43,7 @@ def interleave(docs: DataFrame, n_shards: int = 40, seed: int = 17, stratum: str
     ).withColumn("_h", F.xxhash64(F.lit(seed), "_text")).drop("_text")
     rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
     total = rows.count()
-    buckets = parts_for(total, rows_per_bucket, 16)
+    buckets = parts_for(total, rows_per_bucket, 128)
     # Texts with very many copies (fewer than HOT_SHARE) follow the others of their bucket, in parts of their own.
     hot = rows.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") > max(total // HOT_SHARE, SALTS)).select("_h", F.lit(True).alias("_hot"))
     part = F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64("_row"), F.lit(SALTS))).otherwise(0)

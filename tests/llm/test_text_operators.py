@@ -373,7 +373,7 @@ def test_shards_against_brute_force(spark, monkeypatch):
     rows = [(i, f"t{i}", R.choice("aaaab")) for i in range(400)] + [(999, "same", "a")] * 300 + [(None, None, None)] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for per_bucket in (10, 10_000):
-        buckets = max(16, -(-len(rows) // per_bucket))
+        buckets = max(128, -(-len(rows) // per_bucket))
         hashed = df.select("*", F.xxhash64(F.lit(17), F.coalesce("text", F.lit(""))).alias("h")).collect()
         order = []
         for source in {r.source for r in hashed}:
