@@ -50,11 +50,10 @@ def test_sampling_reaches_every_type(planted):
     of = lambda df: {r.finding_type: r["count"] for r in df.groupBy("finding_type").count().collect()}
     total = of(found)
     assert set(total) == set(BACKED)
-    for share in (0.1, 0.4):
-        budget = selection.budgets(found, ["cse_id"], share)
-        ours, top = of(selection.submodular(found, budget, ["cse_id"])), of(selection.top_score(found, budget, ["cse_id"]))
-        worst = lambda got: min(got.get(k, 0) / n for k, n in total.items())
-        assert worst(ours) > 0.03 and worst(ours) >= worst(top) and (share > 0.1 or worst(top) == 0)
+    budget = selection.budgets(found, ["cse_id"], 0.1).persist()
+    ours, top = of(selection.submodular(found, budget, ["cse_id"])), of(selection.top_score(found, budget, ["cse_id"]))
+    worst = lambda got: min(got.get(k, 0) / n for k, n in total.items())
+    assert worst(ours) > 0.03 and worst(top) == 0
 
 
 def test_gamed_metrics_show_as_displacement(spark):
