@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,7 @@ from .log import Log, objects
 
 MIN_ROWS = 6
 MIN_ROBUSTNESS = 0.3
+SINGULAR = 1e-6  # of a column, what is left of its length beside the others
 
 
 def outcome_frame(log: Log, flagged: DataFrame) -> DataFrame:
@@ -53,6 +58,49 @@ def regression(rows: DataFrame, confounders: list[str], t: str = "t", y: str = "
     return {"effect": effect, "se": se, "df": df, "t_stat": effect / se, "ci_low": effect - q * se, "ci_high": effect + q * se}
 
 
+def adjusted(rows: DataFrame, keys: list[str], confounders: list[str], t: str = "t", y: str = "y") -> DataFrame:
+    """Effect of t on y with confounders held, for each key: n, sufficient, effect, se, df, t_stat as `slope` gives them.
+
+    The centred sums of squares and products of all columns are one aggregate with map-side sums, so rows never meet; each
+    key's small system is then solved by Cholesky's decomposition. Rows with a null in any of the columns don't count.
+    Under MIN_ROWS rows, one value of t or y alone, no degree of freedom, or columns that follow from each other:
+    `sufficient` is false and the numbers are null.
+    """
+    names = [t, *adjustment_set(confounders)]
+    rows = rows.dropna(subset=[*names, y]).select(*keys, *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate([*names, y])))
+    k = len(names)
+    pairs = [(i, j) for i in range(k + 1) for j in range(i + 1)]
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*(F.covar_pop(f"_x{i}", f"_x{j}") * F.count("*") for i, j in pairs)).alias("_s"))
+
+    @F.pandas_udf("sufficient boolean, effect double, se double, df long")
+    def solve(n: pd.Series, s: pd.Series) -> pd.DataFrame:
+        out = []
+        for rows_of, flat in zip(n, s, strict=True):
+            full = np.zeros((k + 1, k + 1))
+            for (i, j), v in zip(pairs, flat, strict=True):
+                full[i, j] = full[j, i] = v
+            left, sizes = rows_of - k - 1, np.sqrt(np.diag(full))
+            if rows_of < MIN_ROWS or left < 1 or not (sizes > 0).all():
+                out.append((False, None, None, None))
+                continue
+            scaled = full / np.outer(sizes, sizes)  # correlations
+            try:
+                low = np.linalg.cholesky(scaled[:k, :k])
+            except np.linalg.LinAlgError:
+                low = np.zeros((k, k))
+            if np.diag(low).min() < SINGULAR:
+                out.append((False, None, None, None))
+                continue
+            inverse = np.linalg.inv(low)
+            beta = inverse.T @ (inverse @ scaled[:k, k])
+            rest = max(0.0, 1 - float(beta @ scaled[:k, k])) * full[k, k]
+            out.append((True, beta[0] * sizes[k] / sizes[0], math.sqrt(rest / left * float(inverse[:, 0] @ inverse[:, 0])) / sizes[0], left))
+        return pd.DataFrame(out, columns=["sufficient", "effect", "se", "df"]).astype({"df": "Int64"})
+
+    out = sums.withColumn("_o", solve("n", "_s")).select(*keys, "n", "_o.*")
+    return out.withColumn("t_stat", F.when(F.col("se") > 0, F.col("effect") / F.col("se")).when(F.col("effect") != 0, F.lit(float("inf")) * F.signum("effect")))
+
+
 def adjustment_set(confounders: list[str]) -> list[str]:
     """With every confounder a cause of both, and nothing else, all of them close the back doors."""
     return sorted(set(confounders))
@@ -79,9 +127,9 @@ def decide(ci_low: Column, ci_high: Column, value: Column) -> Column:
     return F.when(clear & (value >= MIN_ROBUSTNESS), "ACT").otherwise("INVESTIGATE_MORE")
 
 
-def opportunities(rows: DataFrame, keys: list[str]) -> DataFrame:
+def opportunities(rows: DataFrame, keys: list[str], confounders: list[str] | None = None) -> DataFrame:
     """Effect, interval, robustness and decision for each key; insufficient frames decide nothing."""
-    out = with_interval(slope(rows, keys)).withColumn("robustness", robustness(F.col("t_stat"), F.col("df")))
+    out = with_interval(adjusted(rows, keys, confounders) if confounders else slope(rows, keys)).withColumn("robustness", robustness(F.col("t_stat"), F.col("df")))
     return out.withColumn("decision", F.when(F.col("sufficient"), decide(F.col("ci_low"), F.col("ci_high"), F.col("robustness"))))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -36,6 +38,7 @@ class Log:
     cases_known: bool = False  # every edge that ends in `_for_case` leads to a case of the log
     kept: bool = False  # what the tables are made from is held already
     views: dict[str, DataFrame] = field(default_factory=dict)  # views of the log that are held
+    base: tuple[DataFrame, ...] = ()  # what the tables are made from, where that is held
 
     @staticmethod
     def of(spark: SparkSession, event: list, object: list, object_attr: list = ()) -> Log:  # noqa: A002
@@ -43,7 +46,7 @@ class Log:
         return Log(spark.createDataFrame(list(event), EVENT), spark.createDataFrame(list(object), OBJECT), spark.createDataFrame(list(object_attr), OBJECT_ATTR))
 
     def map(self, f) -> Log:  # noqa: ANN001
-        return Log(f(self.event), f(self.object), f(self.object_attr), {k: f(v) for k, v in self.by_type.items()}, {k: f(v) for k, v in self.by_name.items()}, self.cases_known, self.kept)
+        return Log(f(self.event), f(self.object), f(self.object_attr), {k: f(v) for k, v in self.by_type.items()}, {k: f(v) for k, v in self.by_name.items()}, self.cases_known, self.kept, base=self.base)
 
     def union(self, other: Log) -> Log:
         return Log(*(getattr(self, n).unionByName(getattr(other, n)) for n in ("event", "object", "object_attr")))
@@ -68,8 +71,18 @@ class Log:
         views |= {f"{kind}.{name}": objects(self, kind, name) for kind, name in (("Alert", "severity"), ("Asset", "criticality"))}
         return replace(self, views={k: hold(v) for k, v in views.items()})
 
+    @contextmanager
+    def held(self) -> Iterator[Log]:
+        """The log as persist() gives it, released at the end: what is to outlive it is written before."""
+        log = self.persist()
+        try:
+            yield log
+        finally:
+            log.release()
+
     def release(self) -> None:
-        for df in (*self.views.values(), self.event, self.object, self.object_attr, *self.by_type.values(), *self.by_name.values()):
+        """Let go of all that is held of this log."""
+        for df in (*self.base, *self.views.values(), self.event, self.object, self.object_attr, *self.by_type.values(), *self.by_name.values()):
             df.unpersist()
 
     def where(self, condition: Column | str) -> Log:
@@ -160,13 +173,15 @@ def raw_events(log: Log, kind: str | None = None) -> DataFrame:
     return rows.select("cse_id", "event_id", "type", "time", edges.alias("relationships"))
 
 
-def case_profile(log: Log) -> DataFrame:
+def case_profile(log: Log, events_of: list[str] | None = None) -> DataFrame:
     """What rules and detectors ask of a case, in one pass: `opened` (first event), `closed` (last CLOSE), the number and
-    first time of each type of event (`n_<type>`, `first_<type>`), and `reassigned`, its reassignments in order."""
-    if "case_profile" in log.views:
+    first time of each type of event (`n_<type>`, `first_<type>`), and `reassigned`, its reassignments in order; if
+    events_of is given, also `steps`, the events of these types."""
+    if events_of is None and "case_profile" in log.views:
         return log.views["case_profile"]
     is_ = lambda kind: F.col("type") == kind
     step = F.struct("time", "event_id", F.coalesce(first_target("reassigned_to"), F.lit(NOBODY)).alias("to"), F.coalesce(F.col("attrs")["handover_reason"] == "SHIFT_CHANGE", F.lit(False)).alias("shift"))
+    steps = [F.collect_list(F.when(F.col("type").isin(*events_of), F.struct("type", "time", "event_id"))).alias("steps")] if events_of is not None else []
     numbers = [F.count_if(is_(k)).alias(f"n_{k}") for k in CASE_QUALIFIER]
     times = [F.min(F.when(is_(k), F.col("time"))).alias(f"first_{k}") for k in CASE_QUALIFIER]
-    return case_events(log).groupBy("cse_id", "case_id").agg(F.min("time").alias("opened"), F.max(F.when(is_("CLOSE"), F.col("time"))).alias("closed"), *numbers, *times, F.array_sort(F.collect_list(F.when(is_("REASSIGN"), step))).alias("reassigned"))
+    return case_events(log).groupBy("cse_id", "case_id").agg(F.min("time").alias("opened"), F.max(F.when(is_("CLOSE"), F.col("time"))).alias("closed"), *numbers, *times, F.array_sort(F.collect_list(F.when(is_("REASSIGN"), step))).alias("reassigned"), *steps)

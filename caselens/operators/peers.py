@@ -1,4 +1,4 @@
-"""Peer statistics adjusted for exposure, with shrinkage; drift statistics over ordered series."""
+"""Peer statistics adjusted for exposure, with shrinkage; weekly rates."""
 
 from __future__ import annotations
 
@@ -41,49 +41,6 @@ def two_sided(z: Column | str = "z") -> Column:
     return F.coalesce(F.abs(z) >= Z_FLAG, F.lit(False))
 
 
-def as_series(rows: DataFrame, keys: list[str], order: str, *values: str) -> DataFrame:
-    """An ordered array of each value for each key; a series is as long as its number of periods."""
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *values))).alias("_s")).select(*keys, *(F.col(f"_s.{v}").alias(v) for v in values))
-
-
-def ewma(xs: Column, rate: float = 0.3) -> Column:
-    """y0 = x0, then rate * x + (1 - rate) * the last y."""
-    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(F.lit(rate) * x + F.lit(1 - rate) * F.try_element_at(acc, F.lit(-1)))))
-    return F.aggregate(xs, F.array().cast("array<double>"), step)
-
-
-def cusum(xs: Column, k: float = 0.5, h: float = 4.0) -> Column:
-    """Struct of arrays up and down: places (from 0) where the two-sided cumulative sum alarms; that side then restarts.
-
-    Target and scale are the series' own mean and population deviation (1 if it has none); k and h are in deviations.
-    """
-    n = F.size(xs)
-    mean = F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / n
-    sd = F.sqrt(F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
-    scale = F.when(sd == 0, 1.0).otherwise(sd)
-    none = F.array().cast("array<int>")
-    start = F.struct(F.lit(0.0).alias("hi"), F.lit(0.0).alias("lo"), F.lit(0).alias("i"), none.alias("up"), none.alias("down"))
-
-    def step(acc: Column, x: Column) -> Column:
-        z = (x - mean) / scale
-        hi = F.greatest(F.lit(0.0), acc["hi"] + z - k)
-        lo = F.least(F.lit(0.0), acc["lo"] + z + k)
-        above, below = hi > h, lo < -h
-        add = lambda a, on: F.concat(a, F.when(on, F.array(acc["i"])).otherwise(none))
-        return F.struct(F.when(above, 0.0).otherwise(hi).alias("hi"), F.when(below, 0.0).otherwise(lo).alias("lo"), (acc["i"] + 1).alias("i"), add(acc["up"], above).alias("up"), add(acc["down"], below).alias("down"))
-
-    return F.aggregate(xs, start, step, lambda acc: F.struct(acc["up"].alias("up"), acc["down"].alias("down")))
-
-
-def displacement(rows: DataFrame, keys: list[str], kpi: str, invariant: str, tolerance: int = 1, k: float = 0.5, h: float = 4.0) -> DataFrame:
-    """Alarms where the invariant falls: POTENTIAL_DISPLACEMENT if the KPI rises within `tolerance` periods, else
-    POTENTIAL_EXECUTION_GAP. Series of unequal length fail."""
-    fits = F.assert_true(F.size(kpi) == F.size(invariant), "series of unequal length")
-    found = rows.where(fits.isNull()).select(*keys, cusum(F.col(kpi), k, h)["up"].alias("_up"), F.explode(cusum(F.col(invariant), k, h)["down"]).alias("at"))
-    near = F.exists("_up", lambda i: F.abs(i - F.col("at")) <= tolerance)
-    return found.select(*keys, "at", F.when(near, "POTENTIAL_DISPLACEMENT").otherwise("POTENTIAL_EXECUTION_GAP").alias("signal"))
-
-
 def weekly_rates(log: Log, within: float = 30.0) -> DataFrame:
     """cse_id, week, in_time, enriched: weeks since an entity's first assignment, the share of critical alerts on critical
     assets that were escalated within so many minutes of it, and the share of cases enriched. No such alert: 0."""

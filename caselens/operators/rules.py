@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselens.functions.expressions import COMPARE, minutes
-from caselens.functions.vocabulary import AUTHORITY_WEIGHT
+from caselens.functions.vocabulary import AUTHORITY_WEIGHT, CASE_QUALIFIER
 
 from .log import Log, case_context, case_events, case_profile
 
@@ -23,6 +24,7 @@ class Rule:
 
     expect: RESPONSE event; PRECEDENCE before, after; CARDINALITY event, op, bound; NOT_CO_EXISTENCE a, b.
     within: RESPONSE (op, value, unit) on the time since the case's first event, or None.
+    effective_from, effective_to: the dates from which on and before which a version holds, or None.
     """
 
     rule_id: str
@@ -32,6 +34,9 @@ class Rule:
     expect: dict
     applies_when: dict = field(default_factory=dict)
     within: tuple[str, float, str] | None = None
+    version: str = "1.0"
+    effective_from: str | None = None
+    effective_to: str | None = None
 
     def __post_init__(self) -> None:
         if self.template not in TEMPLATES:
@@ -115,3 +120,76 @@ def evaluate(log: Log, rule: Rule) -> DataFrame:
 ESCALATE_CRITICAL = Rule("ESC-CRIT-001", "RESPONSE", "Escalation", "MANDATORY", {"event": "ESCALATE"}, {"alert_severity": "CRITICAL", "asset_criticality": ["HIGH", "CRITICAL"]}, ("<=", 30, "minutes"))
 ENRICH_FIRST = Rule("ENR-PREC-001", "PRECEDENCE", "Investigation", "EXPECTED", {"before": "ENRICH", "after": "INVESTIGATE"})
 FEW_REASSIGNMENTS = Rule("REASSIGN-CARD-001", "CARDINALITY", "Operational Discipline", "OPTIONAL", {"event": "REASSIGN", "op": "<=", "bound": 2})
+
+
+_IN_FORCE = "rule_id: string, version: string, template: string, capability: string, authority: string, first: string, second: string, op: string, bound: double, scope: map<string,array<string>>"
+
+
+def _in_force(rule: Rule) -> tuple:
+    """A version as a row: its events, and the bound that the number or the minutes of its template must keep."""
+    e = rule.expect
+    first, second = {"RESPONSE": (e.get("event"), None), "CARDINALITY": (e.get("event"), None), "PRECEDENCE": (e.get("before"), e.get("after")), "NOT_CO_EXISTENCE": (e.get("a"), e.get("b"))}[rule.template]
+    op, bound = (e["op"], float(e["bound"])) if rule.template == "CARDINALITY" else (rule.within[0], float(rule.within[1] * UNIT_MINUTES[rule.within[2]])) if rule.within else (None, None)
+    scope = {k: [str(x) for x in (v if isinstance(v, (list, tuple, set)) else [v])] for k, v in rule.applies_when.items()} if rule.template == "RESPONSE" else {}
+    return rule.rule_id, rule.version, rule.template, rule.capability, rule.authority, first, second, op, bound, scope
+
+
+def periods(rules: list[Rule]) -> list[tuple[date | None, list[Rule]]]:
+    """Stretches of time in which the same versions hold: when each begins (None: before all), and what holds. Of the
+    versions of a rule that would hold at once the one that came into force last does."""
+    names = [(r.rule_id, r.version) for r in rules]
+    if len(set(names)) < len(names):
+        raise ValueError("a version of a rule occurs twice")
+    day = lambda text, none: date.fromisoformat(text) if text else none
+    starts = sorted({day(x, None) for r in rules for x in (r.effective_from, r.effective_to) if x})
+    out = []
+    for start in [None, *starts]:
+        at = start or date.min
+        held: dict[str, Rule] = {}
+        for r in sorted(rules, key=lambda r: (day(r.effective_from, date.min), r.version)):
+            if day(r.effective_from, date.min) <= at < day(r.effective_to, date.max):
+                held[r.rule_id] = r
+        out.append((start, list(held.values())))
+    return out
+
+
+def evaluate_all(log: Log, rules: list[Rule]) -> DataFrame:
+    """rule_id, version, cse_id, case_id, capability, authority, detail, measure of every violation of all rules, each
+    case by the versions in force on the day of its first event.
+
+    Rules are rows and not plans: one aggregate over the events makes the profile of a case, its first day says in which
+    period it falls, and the period's versions are laid beside it, of which the violated ones stay. The periods are as
+    many as the rules have dates, so they are broadcast. Equal to evaluate() rule by rule where no version has dates.
+    """
+    spark = log.event.sparkSession
+    spans = periods(rules)
+    table = spark.createDataFrame([(i, [_in_force(r) for r in held]) for i, (_, held) in enumerate(spans)], f"_period int, _rules array<struct<{_IN_FORCE}>>")
+    afters = sorted({r.expect["after"] for r in rules if r.template == "PRECEDENCE"})
+    profile = case_profile(log, afters)
+    some = F.create_map(*(x for k in CASE_QUALIFIER for x in (F.lit(k), F.struct(F.col(f"n_{k}").alias("n"), F.col(f"first_{k}").alias("first")))))
+    starts = F.array(*(F.lit(start) for start, _ in spans[1:])).cast("array<date>")
+    period = F.size(F.filter(starts, lambda d: d <= F.to_date("opened")))
+    cases = profile.select("cse_id", "case_id", "opened", some.alias("_of"), "steps", period.alias("_period"))
+    if any(r.template == "RESPONSE" for r in rules):
+        scopes = case_context(log).groupBy("cse_id", "case_id").agg(F.collect_set(F.struct("alert_severity", "asset_criticality")).alias("_c"))
+        scopes = scopes.select("cse_id", "case_id", F.transform("_c", lambda c: F.map_from_arrays(F.array(F.lit("alert_severity"), F.lit("asset_criticality")), F.array(c["alert_severity"], c["asset_criticality"]))).alias("_contexts"))
+        cases = cases.join(scopes, ["cse_id", "case_id"], "left")
+    else:
+        cases = cases.withColumn("_contexts", F.lit(None).cast("array<map<string,string>>"))
+    rows = cases.join(F.broadcast(table), "_period").select(*cases.columns, F.explode("_rules").alias("r")).select(*cases.columns, "r.*")
+    first, second = F.col("_of")[F.col("first")], F.col("_of")[F.col("second")]
+    is_ = lambda t: F.col("template") == t
+    keeps = lambda x: F.coalesce(*(F.when(F.col("op") == op, f(x, F.col("bound"))) for op, f in COMPARE.items()))
+    due = F.exists("_contexts", lambda c: F.forall(F.map_entries("scope"), lambda s: F.coalesce(F.array_contains(s["value"], c[s["key"]]), F.lit(False))))
+    took = minutes(F.col("opened"), first["first"])
+    early = F.filter("steps", lambda e: (e["type"] == F.col("second")) & (first["first"].isNull() | (first["first"] > e["time"])))
+    none = F.lit(None).cast("double")
+    hit = lambda detail, measure: F.array(F.struct(detail.alias("detail"), measure.alias("measure")))
+    broken = (
+        F.when(is_("RESPONSE") & F.coalesce(due, F.lit(False)), F.when(first["first"].isNull(), hit(F.lit("never"), took)).when(F.col("op").isNotNull() & ~keeps(took), hit(F.lit("late"), took)))
+        .when(is_("PRECEDENCE"), F.transform(early, lambda e: F.struct(e["event_id"].alias("detail"), none.alias("measure"))))
+        .when(is_("CARDINALITY") & (first["n"] > 0) & ~keeps(first["n"].cast("double")), hit(F.lit("count"), first["n"].cast("double")))
+        .when(is_("NOT_CO_EXISTENCE") & (first["n"] > 0) & (second["n"] > 0), hit(F.lit("both"), none))
+    )
+    out = rows.select("rule_id", "version", "cse_id", "case_id", "capability", "authority", F.explode(broken).alias("v"))
+    return out.select("rule_id", "version", "cse_id", "case_id", "capability", "authority", "v.detail", "v.measure")

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import AbstractContextManager
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselens.functions.expressions import event_type
-from caselens.operators import causal, detectors, fusion, ingest, peers, portfolio, review, rules, selection
+from caselens.operators import causal, detectors, drift, fusion, ingest, peers, portfolio, review, rules, selection
 from caselens.operators import log as views
 from caselens.operators.log import Log
+from caselens.sources.scratch import held
 
 from . import projection
 
@@ -37,10 +39,15 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(r6(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def fused(spark: SparkSession, sf_dir: str) -> fusion.Fusion:
-    """Concerns are read several times by what follows, and are few beside the log."""
-    found = fusion.fuse(projection.log(spark, sf_dir, keep=True).persist())
-    return fusion.Fusion(found.concerns.persist(), found.suppressed)
+def log_held(spark: SparkSession, sf_dir: str, strained: bool = False) -> AbstractContextManager[Log]:
+    """The whole log with its views held, for as long as the block lasts."""
+    return projection.log(spark, sf_dir, keep=True, strained=strained).held()
+
+
+def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concerns, which are few beside the log and read several times by what follows, so they are written."""
+    with log_held(spark, sf_dir) as log:
+        return held(fusion.fuse(log).concerns)
 
 
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +101,19 @@ def log_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.validate_log(projection.log(spark, sf_dir))
 
 
+# Two versions of the time to escalate, one that ends, and rules on every kind of event.
+RULE_BOOK = [
+    replace(rules.ESCALATE_CRITICAL, within=("<=", 30, "days"), effective_to="1998-01-01"), replace(rules.ESCALATE_CRITICAL, version="2.0", within=("<=", 60, "days"), effective_from="1998-01-01"),
+    rules.ENRICH_FIRST, replace(rules.FEW_REASSIGNMENTS, effective_to="2000-06-15"), CO_EXISTENCE,
+]
+
+
+@query
+def rule_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules in one pass, each case by the versions in force when it began."""
+    return rounded(rules.evaluate_all(projection.log(spark, sf_dir), RULE_BOOK))
+
+
 def _violations(spark: SparkSession, sf_dir: str, rule: rules.Rule) -> DataFrame:
     return rounded(rules.evaluate(projection.log(spark, sf_dir), rule))
 
@@ -173,63 +193,76 @@ def negspace_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fusion.queue_peers(projection.log(spark, sf_dir)))
 
 
-def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peers.as_series(projection.daily(spark, sf_dir).withColumn("k", F.lit(1)), ["k"], "day", "day", "n_events", "n_errors", "mean_value")
+def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.drift(projection.daily(spark, sf_dir).withColumn("k", F.lit(1)), ["k"], "day", "mean_value", k=0.25, h=1.0)
 
 
 @query
 def ewma_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _series(spark, sf_dir).select(F.explode(F.arrays_zip("day", peers.ewma(F.col("mean_value")).alias("ewma"))).alias("x"))
-    return rounded(rows.select(F.col("x.day").cast("string").alias("day"), F.col("x.ewma").alias("ewma")))
+    return rounded(_drift(spark, sf_dir).select(F.col("day").cast("string").alias("day"), "ewma"))
 
 
 @query
 def cusum_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _series(spark, sf_dir).select(peers.cusum(F.col("mean_value"), 0.25, 1.0).alias("c"))
-    return out.select(F.explode("c.up").alias("at"), F.lit("up").alias("side")).union(out.select(F.explode("c.down"), F.lit("down")))
+    rows = _drift(spark, sf_dir).withColumn("at", F.col("at").cast("int"))
+    return rows.where("up").select("at", F.lit("up").alias("side")).union(rows.where("down").select("at", F.lit("down")))
 
 
 @query
 def displacement_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peers.displacement(_series(spark, sf_dir), ["k"], "n_events", "mean_value", k=0.25, h=1.0).select("at", "signal")
+    rows = projection.daily(spark, sf_dir).withColumn("k", F.lit(1))
+    return drift.displacement(rows, ["k"], "day", "n_events", "mean_value", k=0.25, h=1.0).select(F.col("at").cast("int").alias("at"), "signal")
+
+
+@query
+def drift_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every single event as a period: a long series for each event type, cut into pieces."""
+    rows = drift.drift(projection.read(spark, sf_dir, "events").select("event_type", "event_id", "value"), ["event_type"], "event_id", "value", k=0.25, h=3.0, piece=2_000)
+    return rounded(rows.select("event_type", "event_id", "at", "ewma", "up", "down"))
 
 
 @query
 def concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(fused(spark, sf_dir).concerns.select(*FINDING, "capability", "authority", "n_events", "concern_score", "minutes"))
+    return rounded(fused(spark, sf_dir).select(*FINDING, "capability", "authority", "n_events", "concern_score", "minutes"))
 
 
 @query
 def suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fused(spark, sf_dir).suppressed
+    with log_held(spark, sf_dir) as log:
+        return held(fusion.fuse(log).suppressed)
 
 
 @query
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = projection.log(spark, sf_dir, keep=True).persist()
-    return fusion.evidence(log, fusion.fuse(log).concerns.persist()).drop("finding_id")
+    with log_held(spark, sf_dir) as log:
+        return held(fusion.evidence(log, held(fusion.fuse(log).concerns)).drop("finding_id"))
 
 
-def _strained(spark: SparkSession, sf_dir: str) -> tuple[Log, DataFrame]:
-    log = projection.log(spark, sf_dir, keep=True, strained=True).persist()
-    return log, fusion.fuse(log, uniform_threshold=UNIFORM, few=TWO_ARE_MANY).concerns.persist()
+def _strain(log: Log) -> DataFrame:
+    return held(fusion.fuse(log, uniform_threshold=UNIFORM, few=TWO_ARE_MANY).concerns)
 
 
 @query
 def strained_concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ten finding types."""
-    return rounded(_strained(spark, sf_dir)[1].select(*FINDING, "capability", "authority", "n_events", "concern_score", "minutes"))
+    with log_held(spark, sf_dir, strained=True) as log:
+        return rounded(_strain(log).select(*FINDING, "capability", "authority", "n_events", "concern_score", "minutes"))
 
 
 @query
 def strained_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.evidence(*_strained(spark, sf_dir)).drop("finding_id")
+    with log_held(spark, sf_dir, strained=True) as log:
+        return held(fusion.evidence(log, _strain(log)).drop("finding_id"))
+
+
+def _compared(log: Log, concerns: DataFrame) -> DataFrame:
+    return portfolio.peer_comparison(portfolio.case_counts(log), portfolio.flagged_counts(concerns))
 
 
 @query
 def strained_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log, found = _strained(spark, sf_dir)
-    return rounded(portfolio.entity_risk(portfolio.peer_comparison(portfolio.case_counts(log), portfolio.flagged_counts(found))))
+    with log_held(spark, sf_dir, strained=True) as log:
+        return held(rounded(portfolio.entity_risk(_compared(log, _strain(log)))))
 
 
 def _strained_flags(spark: SparkSession, sf_dir: str) -> tuple[Log, DataFrame]:
@@ -255,37 +288,37 @@ def strained_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def concern_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(fused(spark, sf_dir).concerns.groupBy("cse_id", "finding_type").agg(F.count("*").alias("n"), F.sum("minutes").alias("minutes"), F.sum("n_events").alias("n_events")))
+    return rounded(fused(spark, sf_dir).groupBy("cse_id", "finding_type").agg(F.count("*").alias("n"), F.sum("minutes").alias("minutes"), F.sum("n_events").alias("n_events")))
 
 
 @query
 def concerns_by_capability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(fusion.by_capability(fused(spark, sf_dir).concerns))
+    return rounded(fusion.by_capability(fused(spark, sf_dir)))
 
 
 @query
 def topk_concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(portfolio.topk(fused(spark, sf_dir).concerns).select(*FINDING, "concern_score", "rank"))
+    return rounded(portfolio.topk(fused(spark, sf_dir)).select(*FINDING, "concern_score", "rank"))
 
 
 @query
 def interleaved_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.interleaved(fused(spark, sf_dir).concerns).select(*FINDING, "turn", "position")
+    return portfolio.interleaved(fused(spark, sf_dir)).select(*FINDING, "turn", "position")
 
 
 @query
 def findings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.search(fused(spark, sf_dir).concerns, "Loop", cse_id="BUILDING").select(*FINDING)
+    return portfolio.search(fused(spark, sf_dir), "Loop", cse_id="BUILDING").select(*FINDING)
 
 
 @query
 def page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.page(fused(spark, sf_dir).concerns, 1).select(*FINDING)
+    return portfolio.page(fused(spark, sf_dir), 1).select(*FINDING)
 
 
 def _peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = projection.log(spark, sf_dir, keep=True).persist()
-    return portfolio.peer_comparison(portfolio.case_counts(log), portfolio.flagged_counts(fused(spark, sf_dir).concerns))
+    with log_held(spark, sf_dir) as log:
+        return held(_compared(log, held(fusion.fuse(log).concerns)))
 
 
 @query
@@ -318,6 +351,14 @@ def ols_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(causal.slope(_outcomes(spark, sf_dir), ["cse_id"]))
 
 
+@query
+def ols_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The effect with the case's urgency and year held, and the decision that it leads to."""
+    about = projection.cases(spark, sf_dir).select("cse_id", "case_id", F.col("severity").isin("CRITICAL", "HIGH").cast("int").alias("urgent"), F.year("opened").alias("year"))
+    rows = _outcomes(spark, sf_dir).join(about, ["cse_id", "case_id"])
+    return rounded(causal.adjusted(rows, ["cse_id"], ["urgent", "year"]))
+
+
 @query
 def robustness_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = causal.slope(_outcomes(spark, sf_dir), ["cse_id"])
@@ -327,12 +368,12 @@ def robustness_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def intervention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = projection.log(spark, sf_dir, keep=True).persist()
-    return rounded(causal.entity_report(log, fused(spark, sf_dir).concerns).drop("finding_id"))
+    with log_held(spark, sf_dir) as log:
+        return held(rounded(causal.entity_report(log, held(fusion.fuse(log).concerns)).drop("finding_id")))
 
 
 def _budgeted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = fused(spark, sf_dir).concerns
+    rows = fused(spark, sf_dir)
     return rows, selection.budgets(rows, ["cse_id"], 0.3)
 
 
@@ -356,6 +397,14 @@ def submodular_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.submodular(*_budgeted(spark, sf_dir), ["cse_id"]).select(*FINDING)
 
 
+@query
+def risk_fraction_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the minutes from a tenth to nine tenths, against the concerns that a review would confirm."""
+    rows = fused(spark, sf_dir)
+    truth = projection.verdicts(rows).where("verdict = 'TRUE_SUPERVISORY_FINDING'")
+    return rounded(selection.sweep(rows, truth, ["cse_id"], [0.1, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9]))
+
+
 @query
 def allocation_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, budget = _budgeted(spark, sf_dir)
@@ -364,17 +413,17 @@ def allocation_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def beta_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(review.feedback(projection.verdicts(fused(spark, sf_dir).concerns)))
+    return rounded(review.feedback(projection.verdicts(fused(spark, sf_dir))))
 
 
 @query
 def debiased_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(review.debiased(review.feedback(projection.verdicts(fused(spark, sf_dir).concerns))))
+    return rounded(review.debiased(review.feedback(projection.verdicts(fused(spark, sf_dir)))))
 
 
 @query
 def agreement_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(review.agreement(projection.verdicts(fused(spark, sf_dir).concerns)))
+    return rounded(review.agreement(projection.verdicts(fused(spark, sf_dir))))
 
 
 @query
@@ -404,6 +453,6 @@ def standin_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def portfolio_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = projection.log(spark, sf_dir, keep=True).persist()
-    found = fused(spark, sf_dir).concerns
-    return portfolio.totals(log, found, portfolio.entity_risk(portfolio.peer_comparison(portfolio.case_counts(log), portfolio.flagged_counts(found))))
+    with log_held(spark, sf_dir) as log:
+        found = held(fusion.fuse(log).concerns)
+        return held(portfolio.totals(log, found, portfolio.entity_risk(_compared(log, found))))

@@ -272,3 +272,37 @@ SQL |= {
     dy AS (SELECT wk.*, d.case_id IS NOT NULL AS due FROM wk LEFT JOIN (SELECT DISTINCT cse_id, case_id FROM ctx WHERE alert_severity = 'CRITICAL' AND asset_criticality IN ('HIGH', 'CRITICAL')) d ON wk.cse_id = d.cse_id AND wk.case_id = d.case_id)
     SELECT cse_id, week, round(coalesce(count(*) FILTER (due AND soon) / nullif(count(*) FILTER (due), 0), 0), 6) AS in_time, round(avg(CASE WHEN enriched THEN 1.0 ELSE 0.0 END), 6) AS enriched FROM dy GROUP BY ALL""",
 }
+
+SQL |= {
+    # Rounds over finding types, by id within a type; a round starts only if the one before it took something.
+    "baseline_stratified": _CONCERNS
+    + """, ranks AS (SELECT cse_id, finding_type, primary_id, CAST(minutes AS DOUBLE) AS m, row_number() OVER (PARTITION BY cse_id, finding_type ORDER BY sha256(cse_id || '|' || finding_type || '|' || primary_id)) AS r FROM con),
+    o AS (SELECT *, row_number() OVER (PARTITION BY cse_id ORDER BY r, finding_type) AS i FROM ranks),
+    w AS (SELECT cse_id, CAST(0 AS BIGINT) AS i, 0.3 * sum(m) AS spare, CAST(0 AS BIGINT) AS r, true AS took, false AS hit FROM o GROUP BY cse_id
+      UNION ALL SELECT w.cse_id, o.i, CASE WHEN m <= spare THEN spare - m ELSE spare END, o.r, m <= spare OR (o.r = w.r AND took), m <= spare FROM w JOIN o ON o.cse_id = w.cse_id AND o.i = w.i + 1 WHERE o.r = w.r OR took)
+    SELECT cse_id, finding_type, primary_id FROM w JOIN o USING (cse_id, i) WHERE hit""",
+    "drift_events": """WITH RECURSIVE s AS (SELECT event_type, event_id, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, avg(value) OVER (PARTITION BY event_type) AS m, stddev_pop(value) OVER (PARTITION BY event_type) AS sd FROM events WHERE value IS NOT NULL),
+    z AS (SELECT *, (x - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS d FROM s),
+    e AS (SELECT event_type, CAST(-1 AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS ewma, 0.0::DOUBLE AS hi, 0.0::DOUBLE AS lo FROM z GROUP BY event_type
+      UNION ALL SELECT e.event_type, z.i, coalesce(0.3 * x + 0.7 * ewma, x), greatest(0, CASE WHEN hi > 3 THEN 0 ELSE hi END + d - 0.25), least(0, CASE WHEN lo < -3 THEN 0 ELSE lo END + d + 0.25) FROM e JOIN z ON z.event_type = e.event_type AND z.i = e.i + 1)
+    SELECT event_type, event_id, i AS "at", round(ewma, 6) AS ewma, hi > 3 AS up, lo < -3 AS down FROM e JOIN z USING (event_type, i)""",
+}
+
+SQL |= {
+    "rule_book": _BASE
+    + """, op AS (SELECT cse_id, case_id, min(ts) AS o, min(ts) FILTER (type = 'ESCALATE') AS a, count(*) FILTER (type = 'REASSIGN') AS n, bool_or(type = 'ESCALATE') AND bool_or(type = 'EVIDENCE_COLLECT') AS two FROM ev GROUP BY ALL),
+    due AS (SELECT *, (epoch_us(a) - epoch_us(o)) / 6e7 AS m, o < TIMESTAMP '1998-01-01' AS old FROM op SEMI JOIN (SELECT cse_id, case_id FROM ctx WHERE alert_severity = 'CRITICAL' AND asset_criticality IN ('HIGH', 'CRITICAL')) x USING (cse_id, case_id))
+    SELECT 'ESC-CRIT-001' AS rule_id, CASE WHEN old THEN '1.0' ELSE '2.0' END AS version, cse_id, case_id, 'Escalation' AS capability, 'MANDATORY' AS authority, CASE WHEN a IS NULL THEN 'never' ELSE 'late' END AS detail, round(m, 6) AS measure FROM due WHERE a IS NULL OR m > CASE WHEN old THEN 43200 ELSE 86400 END
+    UNION ALL SELECT 'ENR-PREC-001', '1.0', cse_id, case_id, 'Investigation', 'EXPECTED', event_id, NULL FROM prec
+    UNION ALL SELECT 'REASSIGN-CARD-001', '1.0', cse_id, case_id, 'Operational Discipline', 'OPTIONAL', 'count', n FROM op WHERE n > 2 AND o < TIMESTAMP '2000-06-15'
+    UNION ALL SELECT 'COEX-001', '1.0', cse_id, case_id, 'Operational Discipline', 'OPTIONAL', 'both', NULL FROM op WHERE two""",
+    # The inverse of the three columns' centred products, written out.
+    "ols_adjusted": _OUTCOME
+    + """, x AS (SELECT cse_id, t, y, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 1 ELSE 0 END AS u, year(opened) AS v FROM oc JOIN cs USING (cse_id, case_id)),
+    s AS (SELECT cse_id, count(*) AS n, count(*) * var_pop(t) AS a, count(*) * covar_pop(t, u) AS b, count(*) * covar_pop(t, v) AS c, count(*) * var_pop(u) AS d, count(*) * covar_pop(u, v) AS e, count(*) * var_pop(v) AS f,
+      count(*) * covar_pop(t, y) AS p, count(*) * covar_pop(u, y) AS q, count(*) * covar_pop(v, y) AS r, count(*) * var_pop(y) AS yy FROM x GROUP BY ALL),
+    i AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM s),
+    w AS (SELECT *, ((d * f - e * e) * p + (c * e - b * f) * q + (b * e - c * d) * r) / det AS b1, ((c * e - b * f) * p + (a * f - c * c) * q + (b * c - a * e) * r) / det AS b2, ((b * e - c * d) * p + (b * c - a * e) * q + (a * d - b * b) * r) / det AS b3 FROM i),
+    o AS (SELECT *, sqrt((yy - b1 * p - b2 * q - b3 * r) / (n - 4) * (d * f - e * e) / det) AS se FROM w)
+    SELECT cse_id, n, true AS sufficient, round(b1, 6) AS effect, round(se, 6) AS se, n - 4 AS df, round(b1 / se, 6) AS t_stat FROM o""",
+}

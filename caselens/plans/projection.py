@@ -106,7 +106,7 @@ def log(spark: SparkSession, sf_dir: str, keep: bool = False, strained: bool = F
     union = lambda xs: reduce(DataFrame.unionByName, xs)
     by_type = dict(zip(("Case", "Alert", "Asset", "Analyst", "Queue"), objs, strict=True))
     by_name = dict(zip(("status", "severity", "criticality", "asset_type", "tier"), attrs, strict=True))
-    return Log(event, union(objs), union(attrs), by_type, by_name, cases_known=True, kept=keep)
+    return Log(event, union(objs), union(attrs), by_type, by_name, cases_known=True, kept=keep, base=(case, lines, asset_of) if keep else ())
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:

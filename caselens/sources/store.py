@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,8 +17,13 @@ MANIFEST = "cse_id string, batch_id string, submitted_at timestamp, n_cases long
 
 
 class Store:
-    """Tables under one folder of any file system; a log's rows lie under cse_id and batch_id, so a batch is read by
-    its partitions alone."""
+    """Tables under one folder of any file system; a log's rows lie under cse_id, batch_id and attempt, so a batch is read
+    by its partitions alone.
+
+    A batch is written under a name of its own, the attempt, and counts once the manifest names that: its row, one file
+    that appears as a whole, comes last. What a failed attempt leaves is never read; a batch that is submitted again
+    takes the place of the one before. vacuum() drops what no row names.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -23,36 +31,66 @@ class Store:
     def _at(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _path(self, name: str) -> tuple:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(name))
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(schema).parquet(self._at(name)) if there else self.spark.createDataFrame([], schema)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        path, files = self._path(name)
+        return self.spark.read.schema(schema).parquet(self._at(name)) if files.exists(path) else self.spark.createDataFrame([], schema)
 
-    def write_log(self, log: Log, batch_id: str) -> None:
+    def write_log(self, log: Log, batch_id: str, attempt: str) -> None:
         for name in _PARTS:
-            getattr(log, name).withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("cse_id", "batch_id").parquet(self._at(name))
+            getattr(log, name).withColumns({"batch_id": F.lit(batch_id), "attempt": F.lit(attempt)}).write.mode("append").partitionBy("cse_id", "batch_id", "attempt").parquet(self._at(name))
+
+    def _attempt(self, cse_id: str, batch_id: str) -> str | None:
+        """The attempt that the manifest names for a batch."""
+        row = self._rows().where((F.col("cse_id") == cse_id) & (F.col("batch_id") == batch_id)).first()
+        return row["attempt"] if row else None
 
     def read_log(self, cse_id: str, batch_id: str) -> Log:
+        """The log of a batch; an empty one if there is no such batch."""
+        attempt = self._attempt(cse_id, batch_id)
+
         def rows(name: str, schema: str) -> DataFrame:
             """Reading puts partition columns last, so the schema's order is restored."""
-            got = self._read(name, f"{schema}, batch_id string").where((F.col("cse_id") == cse_id) & (F.col("batch_id") == batch_id))
+            got = self._read(name, f"{schema}, batch_id string, attempt string").where((F.col("cse_id") == cse_id) & (F.col("batch_id") == batch_id) & (F.col("attempt") == (attempt or "")))
             return got.select(*StructType.fromDDL(schema).names)
 
         return Log(*map(rows, _PARTS, (EVENT, OBJECT, OBJECT_ATTR)))
 
     def submit(self, log: Log, concerns: DataFrame, batch_id: str, submitted_at: str, low_confidence: DataFrame | None = None) -> None:
-        """Store a batch: the log, the cases of low confidence, and a manifest row for each entity."""
-        self.write_log(log, batch_id)
+        """Store a batch: the log, the cases of low confidence, and last a manifest row for each entity."""
+        attempt = uuid.uuid4().hex
+        self.write_log(log, batch_id, attempt)
         if low_confidence is not None:
-            low_confidence.select("cse_id", "case_id", F.lit(batch_id).alias("batch_id")).write.mode("append").parquet(self._at("low_confidence"))
+            low_confidence.select("cse_id", "case_id", F.lit(batch_id).alias("batch_id"), F.lit(attempt).alias("attempt")).write.mode("append").partitionBy("attempt").parquet(self._at("low_confidence"))
         cases = log.object.where("type = 'Case'").groupBy("cse_id").agg(F.count("*").alias("n_cases"))
         kinds = concerns.groupBy("cse_id", "finding_type").agg(F.count("*").alias("n"), F.count_distinct("primary_id").alias("flagged")).join(cases, "cse_id")
         per_type = kinds.groupBy("cse_id").agg(F.sum("n").alias("n_concerns"), F.map_from_entries(F.collect_list(F.struct("finding_type", F.struct(F.col("n_cases").alias("case_count"), F.col("flagged").alias("flagged_count"))))).alias("per_type"))
         rows = cases.join(per_type, "cse_id", "left").select("cse_id", F.lit(batch_id).alias("batch_id"), F.lit(submitted_at).cast("timestamp").alias("submitted_at"), "n_cases", F.coalesce("n_concerns", F.lit(0).cast("long")).alias("n_concerns"), "per_type")
-        rows.write.mode("append").parquet(self._at("manifest"))
+        rows.withColumns({"attempt": F.lit(attempt), "written": F.lit(time.time_ns())}).coalesce(1).write.mode("append").parquet(self._at("manifest"))
+
+    def _rows(self) -> DataFrame:
+        """The manifest with the attempt of each batch that was written last."""
+        newest = F.row_number().over(W.partitionBy("cse_id", "batch_id").orderBy(F.desc("written"), F.desc("attempt")))
+        return self._read("manifest", f"{MANIFEST}, attempt string, written long").withColumn("_n", newest).where("_n = 1").drop("_n", "written")
+
+    def vacuum(self) -> int:
+        """Drop the files of attempts that the manifest doesn't name, for when no batch is being written; how many
+        folders went."""
+        named = {r["attempt"] for r in self._rows().select("attempt").distinct().toLocalIterator()}
+        gone = 0
+        for pattern in (*(f"{name}/cse_id=*/batch_id=*/attempt=*" for name in _PARTS), "low_confidence/attempt=*"):
+            path, files = self._path(pattern)
+            for found in files.globStatus(path) or []:
+                if found.getPath().getName().removeprefix("attempt=") not in named:
+                    files.delete(found.getPath(), True)
+                    gone += 1
+        return gone
 
     def manifest(self) -> DataFrame:
-        return self._read("manifest", MANIFEST)
+        return self._rows().drop("attempt")
 
     def entities(self) -> DataFrame:
         return self.manifest().select("cse_id").distinct()
@@ -69,8 +107,8 @@ class Store:
         return self.manifest().withColumn("newest", newest).where("newest <= 2")
 
     def low_confidence(self, cse_id: str, batch_id: str) -> DataFrame:
-        rows = self._read("low_confidence", "cse_id string, case_id string, batch_id string")
-        return rows.where((F.col("cse_id") == cse_id) & (F.col("batch_id") == batch_id)).drop("batch_id")
+        rows = self._read("low_confidence", "cse_id string, case_id string, batch_id string, attempt string")
+        return rows.where((F.col("cse_id") == cse_id) & (F.col("batch_id") == batch_id) & (F.col("attempt") == (self._attempt(cse_id, batch_id) or ""))).drop("batch_id", "attempt")
 
     def load_batch(self, cse_id: str, batch_id: str) -> DataFrame:
         """The concerns of a stored batch, found again from its log, with the verdicts recorded since."""
@@ -86,12 +124,29 @@ class Store:
         bad = review.validate(verdicts).where("problem is not null").select("finding_id", "problem").limit(10).collect()
         if bad:
             raise ValueError(f"invalid verdicts: {[tuple(r) for r in bad]}")
-        verdicts.write.mode("append").parquet(self._at("verdicts"))
+        verdicts.write.parquet(self._at(f"verdicts/{time.time_ns():020}-{uuid.uuid4().hex}"))
+
+    def _recorded(self) -> list[str]:
+        """Folders of verdicts that were written whole, oldest first."""
+        path, files = self._path("verdicts/*/_SUCCESS")
+        return sorted(str(found.getPath().getParent()) for found in files.globStatus(path) or [])
 
     def verdicts(self) -> DataFrame:
+        """All verdicts recorded; one that was recorded twice in all its fields counts once."""
         from caselens.operators.review import VERDICT
 
-        return self._read("verdicts", VERDICT)
+        folders = self._recorded()
+        return self.spark.read.schema(VERDICT).parquet(*folders).distinct() if folders else self.spark.createDataFrame([], VERDICT)
+
+    def compact_verdicts(self) -> None:
+        """Write the verdicts of all calls so far as one folder, then drop theirs. If this stops between the two, verdicts
+        lie in both, which reading doesn't mind."""
+        folders = self._recorded()
+        if len(folders) > 1:
+            self.verdicts().coalesce(1 + len(folders) // 100).write.parquet(self._at(f"verdicts/{time.time_ns():020}-{uuid.uuid4().hex}"))
+            path, files = self._path("verdicts")
+            for folder in folders:
+                files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(folder), True)
 
 
 def worse_prior(manifest: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from caselens.plans import catalogue, oracles
 
 ROOT = Path(__file__).parents[1]
 DATA = "/root/testdata/sf0.001"
-SOME = ("case_context", "rule_response", "rule_precedence", "reassignment_loops", "negspace_telemetry", "investigation_uniformity", "suppressed", "trend_classification", "ols_effect", "cusum_daily")
+SOME = ("case_context", "rule_response", "rule_precedence", "reassignment_loops", "negspace_telemetry", "investigation_uniformity", "suppressed", "trend_classification", "ols_effect", "cusum_daily", "baseline_stratified")
 
 
 def test_names():

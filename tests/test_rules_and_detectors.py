@@ -1,3 +1,7 @@
+from datetime import timedelta
+
+import pytest
+
 from caselens.operators import detectors as D
 from caselens.operators import fusion, ingest, rules
 from tests.logs import case_log
@@ -67,3 +71,44 @@ def test_fusion_suppresses_and_scores(spark):
     assert rows["MISSING_ENRICHMENT"].evidence_quality == "MEDIUM" and abs(rows["MISSING_ENRICHMENT"].minutes - (20 + 2 + 20) * 1.2) < 1e-9
     assert [r.reason for r in got.suppressed.collect()] == ["flagged as a loop"]
     assert sum(r.n for r in ingest.validate_log(log).collect()) == 0
+
+
+def violations(df, version=True):
+    return sorted(((r.rule_id, *([r.version] if version else []), r.case_id, r.capability, r.authority, r.detail, r.measure) for r in df.collect()), key=str)
+
+
+def test_all_rules_in_one_pass_equal_each_alone(spark):
+    kinds = ("ASSIGN", "ESCALATE", "ENRICH", "INVESTIGATE", "REASSIGN", "CLOSE")
+    log = case_log(
+        spark, {f"C{i}": [(kinds[(i * 7 + j * j) % 6], (j * 13 + i) % 50) for j in range(i % 9)] for i in range(60)},
+        severity={f"C{i}": ("CRITICAL", "LOW")[i % 2] for i in range(60) if i % 5}, assets={f"C{i}": "AB"[i % 2] for i in range(60) if i % 7}, criticality={"A": "HIGH", "B": "LOW"},
+    )
+    book = [rules.ESCALATE_CRITICAL, rules.ENRICH_FIRST, rules.FEW_REASSIGNMENTS]
+    for i, a in enumerate(kinds):
+        for b in kinds[:i]:
+            book.append(rules.Rule(f"P-{a}-{b}", "PRECEDENCE", "Investigation", "EXPECTED", {"before": a, "after": b}))
+            book.append(rules.Rule(f"N-{a}-{b}", "NOT_CO_EXISTENCE", "Escalation", "OPTIONAL", {"a": a, "b": b}))
+        for op, n in (("<=", 1), (">", 1), ("==", 2)):
+            book.append(rules.Rule(f"K-{a}-{op}", "CARDINALITY", "Escalation", "OPTIONAL", {"event": a, "op": op, "bound": n}))
+        book.append(rules.Rule(f"R-{a}", "RESPONSE", "Escalation", "MANDATORY", {"event": a}, {"alert_severity": ["LOW", "CRITICAL"]} if i % 2 else {}, (">=", 0.5, "hours") if i % 3 else None))
+    assert len(book) >= 50
+    got = rules.evaluate_all(log, book)
+    want = [v for r in book for v in violations(rules.evaluate(log, r), version=False)]
+    assert sorted(str(v[:1] + v[2:]) for v in violations(got)) == sorted(map(str, want))
+    assert len(want) > 100
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [cse_id") <= 8  # however many rules there are
+
+
+def test_versions_hold_by_the_day_a_case_begins(spark):
+    at = lambda day, *kinds: [(k, day * 1440 + i) for i, k in enumerate(kinds)]
+    log = case_log(spark, {"old": at(0, "REASSIGN", "REASSIGN"), "edge": at(10, "REASSIGN", "REASSIGN"), "new": at(11, "REASSIGN"), "late": at(20, "REASSIGN", "REASSIGN"), "none": []})
+    first = log.event.selectExpr("min(to_date(time)) AS d").first().d
+    day = lambda n: str(first + timedelta(days=n))
+    rule = lambda version, bound, start, end: rules.Rule("K", "CARDINALITY", "Escalation", "OPTIONAL", {"event": "REASSIGN", "op": "<=", "bound": bound}, version=version, effective_from=start, effective_to=end)
+    book = [rule("1", 1, None, day(10)), rule("2", 0, day(10), day(20)), rule("1b", 5, day(11), day(12))]
+    assert [(v[1], v[2]) for v in violations(rules.evaluate_all(log, book))] == [("1", "old"), ("2", "edge")]
+    assert [s for s, _ in rules.periods(book)] == [None, *(first + timedelta(days=n) for n in (10, 11, 12, 20))]
+    assert rules.evaluate_all(log, [rule("9", 0, day(500), None)]).isEmpty()
+    with pytest.raises(ValueError, match="twice"):
+        rules.periods([book[0], book[0]])

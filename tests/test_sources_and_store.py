@@ -5,6 +5,7 @@ from dataclasses import replace
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from caselens.operators import detectors, fusion, ingest, portfolio, review
 from caselens.sources import exchange, exports, synthetic
@@ -125,6 +126,44 @@ def test_round_trips_and_history(spark, tmp_path):
     assert bundle["finding_count"] == len(bundle["findings"]) == found.count()
 
 
+def test_a_batch_is_written_once(spark, tmp_path):
+    """A submission that dies midway leaves nothing that is read; repeated, there is one batch."""
+    log = case_log(spark, {"C1": [("REASSIGN", 0, "a"), ("REASSIGN", 1, "b"), ("REASSIGN", 2, "a", "LUNCH")]}, severity={"C1": "HIGH"}, assets={"C1": "S"}, owner={"C1": "a"})
+    found, doubt = fusion.fuse(log).concerns, spark.createDataFrame([("E", "C1")], "cse_id string, case_id string")
+    store = Store(spark, str(tmp_path / "store"))
+    dies = replace(log, object_attr=log.object_attr.withColumn("value", F.raise_error(F.lit("killed"))))
+    for _ in range(2):
+        with pytest.raises(Exception, match="killed"):
+            store.submit(dies, found, "b1", "2024-03-05 00:00:00", doubt)
+    assert store.manifest().isEmpty() and store.read_log("E", "b1").event.isEmpty() and store.low_confidence("E", "b1").isEmpty()
+    for _ in range(3):
+        store.submit(log, found, "b1", "2024-03-05 00:00:00", doubt)
+    assert rows_of(store.read_log("E", "b1")) == rows_of(log) and store.low_confidence("E", "b1").count() == 1
+    assert store.manifest().count() == 1 and portfolio.briefing(store.manifest()).first().batches == 1
+    assert store.vacuum() >= 2 and store.vacuum() == 0
+    assert rows_of(store.read_log("E", "b1")) == rows_of(log) and store.low_confidence("E", "b1").count() == 1
+    smaller = case_log(spark, {"C2": [("REASSIGN", 0, "a")]})
+    store.submit(smaller, fusion.fuse(smaller).concerns, "b1", "2024-03-06 00:00:00")
+    assert rows_of(store.read_log("E", "b1")) == rows_of(smaller) and store.manifest().first().n_cases == 1
+
+
+def test_verdicts_are_compacted(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for k in range(5):
+        store.record_verdicts(spark.createDataFrame([(f"f{k % 3}", "INCONCLUSIVE", None, None, None, None, None, k)], review.VERDICT))
+    store.record_verdicts(spark.createDataFrame([("f1", "INCONCLUSIVE", None, None, None, None, None, 4)], review.VERDICT))  # again
+    before = rows(store.verdicts())
+    assert len(before) == 5
+    store.compact_verdicts()
+    assert rows(store.verdicts()) == before and len(list((tmp_path / "store" / "verdicts").iterdir())) == 1
+    store.compact_verdicts()
+    assert rows(store.verdicts()) == before and rows(review.latest(store.verdicts()).select("finding_id")) == [("f0",), ("f1",), ("f2",)]
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
 def test_exchange_of_a_planted_log(spark, tmp_path):
     """Attribute history, microseconds and every edge come back from both formats; what a file lacks is told."""
     log = synthetic.generate(spark, [replace(synthetic.MATURE_DEV, cases=40)])[0]

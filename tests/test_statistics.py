@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from caselens.operators import causal, peers, portfolio, review, selection
@@ -32,16 +33,6 @@ def test_workload_z(spark):
         assert low <= z <= high
 
 
-def test_drift(spark):
-    rows = spark.createDataFrame([("k", [0.5] * 10 + [0.9] * 5, [0.8] * 10 + [0.3] * 5), ("flat", [0.5] * 15, [0.8] * 10 + [0.3] * 5)], "k string, kpi array<double>, inv array<double>")
-    got = {}
-    for r in peers.displacement(rows, ["k"], "kpi", "inv", k=0.5, h=3.0).collect():
-        got.setdefault(r.k, set()).add(r.signal)
-    assert "POTENTIAL_DISPLACEMENT" in got["k"] and got["flat"] == {"POTENTIAL_EXECUTION_GAP"}
-    xs = [1.0, 2.0, 4.0]
-    assert np.allclose(spark.range(1).select(peers.ewma(F.array(*map(F.lit, xs))).alias("e")).first().e, [1.0, 1.3, 0.3 * 4 + 0.7 * 1.3])
-
-
 def test_trends(spark):
     cycles = {(1000, 700, 1000, 950): "VERIFIED_IMPROVEMENT", (1000, 950, 1000, 600): "REGRESSED", (5, 4, 5, 5): "INSUFFICIENT_EVIDENCE", (100, 90, 100, 91): "INSUFFICIENT_EVIDENCE"}
     rows = spark.createDataFrame([(*k, 1000, 1000, 900, 500) for k in cycles], "prior_exposure long, prior_observed long, exposure long, observed long, p0 long, p1 long, q0 long, q1 long")
@@ -71,6 +62,32 @@ def test_causal(spark):
     assert not causal.opportunities(spark.createDataFrame([(1, 1)] * 5, "t int, y int"), []).first().sufficient
 
 
+def test_adjusted_effects_of_many_keys(spark):
+    """Against least squares on the whole design matrix, key by key."""
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for key, n in (("a", 400), ("b", 60), ("few", 5), ("same", 30), ("tied", 40), ("exact", 20)):
+        c, d = rng.normal(1e6, 3, n), rng.integers(0, 2, n).astype(float)
+        t = (rng.random(n) < 1 / (1 + np.exp(-(c - 1e6) / 2))).astype(float) if key != "same" else np.ones(n)
+        d = 2 * c - 7 if key == "tied" else d
+        y = 0.5 * t + 0.3 * (c - 1e6) - d + (0 if key == "exact" else rng.normal(0, 1, n))
+        rows += [(key, *map(float, r), "x") for r in zip(t, y, c, d, strict=True)]
+        if key in ("a", "b", "exact"):
+            x = np.column_stack([t, c - 1e6, d, np.ones(n)])
+            beta = np.linalg.lstsq(x, y, rcond=None)[0]
+            rest = y - x @ beta
+            want[key] = beta[0], math.sqrt(rest @ rest / (n - 4) * np.linalg.inv(x.T @ x)[0, 0]), n - 4
+    rows += [("a", None, 1.0, 1.0, 1.0, "x"), ("a", 1.0, 1.0, None, 1.0, "x")]
+    got = {r.k: r for r in causal.adjusted(spark.createDataFrame(rows, "k string, t double, y double, c double, d double, n string"), ["k"], ["d", "c", "c"]).collect()}
+    assert {k for k, r in got.items() if r.sufficient} == set(want)
+    for k, (effect, se, df) in want.items():
+        assert got[k].effect == pytest.approx(effect, abs=1e-6) and got[k].se == pytest.approx(se, abs=1e-5) and got[k].df == df
+    one = causal.adjusted(causal.scenario(spark, 3000, 7, 0.5, 4.0, -4.0), [], ["c"]).first()
+    many = causal.regression(causal.scenario(spark, 3000, 7, 0.5, 4.0, -4.0), ["c"])
+    assert one.effect == pytest.approx(many["effect"]) and one.se == pytest.approx(many["se"]) and one.effect > 0
+    assert causal.opportunities(causal.scenario(spark, 3000, 7, 2.0), [], ["c"]).first().decision in ("ACT", "INVESTIGATE_MORE")
+
+
 def concerns(spark, n=14):
     rows = [("E", f"T{i % 3}", f"p{i}", "Cap", "EXPECTED", f"f{i:02}", 1.0 + i % 2, 4.0 + i % 5) for i in range(n)]
     return spark.createDataFrame(rows, "cse_id string, finding_type string, primary_id string, capability string, authority string, finding_id string, concern_score double, minutes double")

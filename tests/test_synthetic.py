@@ -5,7 +5,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from caselens.operators import detectors, fusion, ingest, peers, selection
+from caselens.operators import detectors, fusion, ingest, drift, peers, selection
 from caselens.sources import synthetic
 
 BACKED = ("REASSIGNMENT_LOOP", "ESCALATION_SLA_VIOLATION", "MISSING_ENRICHMENT")
@@ -58,8 +58,7 @@ def test_sampling_reaches_every_type(planted):
 
 def test_gamed_metrics_show_as_displacement(spark):
     log, _ = synthetic.generate(spark, [replace(synthetic.MATURE_GAMING, cases=20_000)])  # enough due alerts a week
-    series = peers.as_series(peers.weekly_rates(log), ["cse_id"], "week", "week", "in_time", "enriched")
-    got = peers.displacement(series, ["cse_id"], "in_time", "enriched", k=0.3, h=1.5).where("signal = 'POTENTIAL_DISPLACEMENT'").collect()
+    got = drift.displacement(peers.weekly_rates(log), ["cse_id"], "week", "in_time", "enriched", k=0.3, h=1.5).where("signal = 'POTENTIAL_DISPLACEMENT'").collect()
     weeks = len(series.first().week)
     assert weeks == 9 and got and min(r["at"] for r in got) >= 0.6 * weeks
 
