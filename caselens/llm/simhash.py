@@ -21,6 +21,8 @@ BLOCK = 1 << 16  # hashes whose bits are unpacked at once
 SHINGLE = 5  # words
 SIMILAR = (4, 5)  # as a fraction: the least Jaccard similarity of near-duplicates
 SHINGLES_PER_TASK = 2_000_000
+CROWD = 16  # sets near one from which on it is held against all others
+SLOW = 16  # a round of pivots that lets go of fewer sets than one in SLOW isn't worth another
 PIVOTS = 8  # sets that those of a large group are compared with in a round
 
 
@@ -161,10 +163,10 @@ def near_duplicates(docs: DataFrame, budget: int = 2, width: int = 3, id_col: st
     component_id. Repeated rows return as often as they came. Empty table: no rows. Other columns are ignored.
     """
     rows = materialise(fingerprints(docs, width, id_col, text_col))
-    fps = materialise(rows.groupBy("fp").agg(F.min("_id").cast("long").alias("rep")))
-    found = components(links(fps.where("rep is not null").withColumn("seed", F.lit(0)), budget))
-    of = fps.join(found, fps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(of, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = materialise(rows.groupBy("fp").agg(F.min("_id").cast("long").alias("rep"), F.count("*").alias("n")))
+    found = components(links(fps.where("rep is not null").select("fp", "rep").withColumn("seed", F.lit(0)), budget))
+    of = fps.join(found, fps.rep == found.node, "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    return skewed_join(rows, of, ["fp"], "n", rows.count(), ["_id"]).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def word_fingerprints(text: str | None, seeds: int) -> list[int]:
@@ -187,36 +189,70 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([one(joined[s : e - 1], 42) for s, e in zip([0, *ends], ends[SHINGLE - 1 :])], np.uint64))  # noqa: B905  the starts are longer
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, start + size), one range after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def prefix_size(size: np.ndarray) -> np.ndarray:
+    """How many of its rarest members a set must be known by: two sets of Jaccard similarity SIMILAR share one of them."""
+    return size + (-size * SIMILAR[0] // SIMILAR[1]) + 1
+
+
 def similar(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     """Index pairs of Jaccard similarity SIMILAR or more that connect all sets which such pairs connect.
 
-    The first set is held against all others and leaves. A set near it leaves too once no set that isn't near can be
-    near to it: 1 - Jaccard is a metric, so the two are at least as far apart as their distances to the first differ.
+    Sets leave one after the other, each held against those that share one of its rarest members and are about as large.
+    Where many are near it, it is held against all others: a set near it leaves too if no set that isn't near can be near
+    to it: 1 - Jaccard is a metric, so the two are at least as far apart as their distances to the first differ. So the
+    work follows the sets that share a rare member, and of a crowd of near ones only a few are held against the others.
     """
-    live, size = np.arange(len(sets)), np.array([len(s) for s in sets])
-    codes: np.ndarray | None = None
-    while len(live) > 1:
-        if codes is None or 2 * len(live) < len(held):
-            held = live
-            _, codes = np.unique(np.concatenate([sets[i] for i in held]), return_inverse=True)
-            bounds = np.concatenate(([0], np.cumsum(size[held])))
-        first, rest = live[0], live[1:]
-        mark = np.zeros(int(codes.max()) + 1, bool)
-        at = np.searchsorted(held, live)
-        mark[codes[bounds[at[0]] : bounds[at[0] + 1]]] = True
-        both = np.add.reduceat(mark[codes], bounds[:-1], dtype=np.int64)[at[1:]]
-        either = size[first] + size[rest] - both
-        near = both * SIMILAR[1] >= either * SIMILAR[0]
-        yield from ((int(first), int(i)) for i in rest[near])
-        apart = 1 - both / either
-        least = apart[~near].min(initial=np.inf)
-        live = rest[~near | (apart >= least - (1 - SIMILAR[0] / SIMILAR[1]) - 1e-9)]
+    n, size = len(sets), np.array([len(s) for s in sets], np.int64)
+    if n < 2:
+        return
+    _, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    start = np.cumsum(size) - size
+    rare = np.lexsort((codes, counts[codes], np.repeat(np.arange(n), size)))  # within each set, the rarest first
+    known = prefix_size(size)
+    tokens, owners = codes[rare[_ranges(start, known)]], np.repeat(np.arange(n), known)
+    by_token = np.argsort(tokens, kind="stable")
+    holders, ends = owners[by_token], np.cumsum(np.bincount(tokens, minlength=len(counts)))
+    first_known, mark, live, others = np.cumsum(known) - known, np.zeros(len(counts), bool), np.ones(n, bool), None
+    for first in range(n):
+        if not live[first]:
+            continue
+        live[first] = False
+        mine = tokens[first_known[first] : first_known[first] + known[first]]
+        width = ends[mine] - np.concatenate(([0], ends))[mine]
+        found = np.unique(holders[_ranges(ends[mine] - width, width)])
+        found = found[live[found] & (np.minimum(size[found], size[first]) * SIMILAR[1] >= np.maximum(size[found], size[first]) * SIMILAR[0])]
+        if not len(found):
+            continue
+        mark[codes[start[first] : start[first] + size[first]]] = True
+        near = found[_apart(first, found, codes, start, size, mark)[0]]
+        yield from ((first, int(i)) for i in near)
+        if len(near) > CROWD:
+            if others is None or live.sum() * 2 < len(others):
+                others = np.flatnonzero(live)
+            others = others[live[others]]
+            close, apart = _apart(first, others, codes, start, size, mark)
+            least = apart[~close].min(initial=np.inf)
+            live[others[close & (apart < least - (1 - SIMILAR[0] / SIMILAR[1]) - 1e-9)]] = False
+        mark[codes[start[first] : start[first] + size[first]]] = False
+
+
+def _apart(first: int, others: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the other sets are near the first, whose members are marked, and 1 - Jaccard of each."""
+    ends = np.cumsum(size[others])
+    both = np.add.reduceat(mark[codes[_ranges(start[others], size[others])]], ends - size[others], dtype=np.int64)
+    either = size[first] + size[others] - both
+    return both * SIMILAR[1] >= either * SIMILAR[0], 1 - both / either
 
 
 def _true_links(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links by `similar` within each candidate group."""
     out = []
-    for _, part in pdf.sort_values(["_c", "_node"], kind="stable").drop_duplicates("_node").groupby("_c", sort=False):
+    for _, part in pdf.sort_values(["_c", "_node"], kind="stable").drop_duplicates(["_c", "_node"]).groupby("_c", sort=False):
         nodes = part["_node"].to_numpy()
         out += [(nodes[i], nodes[j]) for i, j in similar([np.asarray(s, np.int64).view(np.uint64) for s in part["_set"]])]
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -233,31 +269,62 @@ def _compared(held: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
     return met.select("_c", "_node", "pivot", (F.col("_both") * SIMILAR[1] >= either * SIMILAR[0]).alias("near"), (1 - F.col("_both") / either).alias("apart"))
 
 
+def _by_rare_members(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of sets that share one of the rarest members of both in their group, where few share it; and the sets again
+    in groups of their own where more do. No pair of similarity SIMILAR is lost."""
+    members = held.select("_c", "_node", F.size("_set").alias("_s"), F.explode("_set").alias("_m"))
+    counts = members.groupBy("_c", "_m").agg(F.count("*").alias("_f"))
+    total = held.agg(F.sum(F.size("_set"))).first()[0] or 0
+    ranked = skewed_join(members, counts.withColumn("_n", F.col("_f")), ["_c", "_m"], "_n", total, ["_node"])
+    rare = materialise(ranked.where("_f > 1").groupBy("_c", "_node", "_s").agg(F.array_sort(F.collect_list(F.struct("_f", "_m"))).alias("_rare"))
+        .join(ranked.where("_f = 1").groupBy("_c", "_node").agg(F.count("*").alias("_own")), ["_c", "_node"], "left")
+        .withColumn("_left", F.col("_s") - F.ceil(F.col("_s") * SIMILAR[0] / SIMILAR[1]).cast("int") + 1 - F.coalesce("_own", F.lit(0)))
+        .where("_left > 0").select("_c", "_node", "_s", F.explode(F.slice("_rare", F.lit(1), F.col("_left").cast("int"))).alias("_r")).select("_c", "_node", "_s", F.col("_r._m").alias("_m")))
+    shared = materialise(rare.groupBy("_c", "_m").agg(F.count("*").alias("_n")).where("_n > 1"))
+    few = rare.join(shared.where(f"_n <= {CROWD}").select("_c", "_m"), ["_c", "_m"])
+    ids = few.groupBy("_c", "_m").agg(F.collect_list(F.struct("_node", "_s")).alias("_ids"))
+    met = ids.select(F.explode("_ids").alias("x"), "_ids").select("x", F.explode("_ids").alias("y")).where(f"x._node < y._node and least(x._s, y._s) * {SIMILAR[1]} >= greatest(x._s, y._s) * {SIMILAR[0]}")
+    pairs = met.select(F.col("x._node").alias("a"), F.col("y._node").alias("b")).distinct()
+    side = lambda name: held.select(F.col("_node").alias(name), F.col("_set").alias(f"_set_{name}")).dropDuplicates([name])
+    both = F.size(F.array_intersect("_set_a", "_set_b"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("_both", both).where(F.col("_both") * SIMILAR[1] >= (F.size("_set_a") + F.size("_set_b") - F.col("_both")) * SIMILAR[0])
+    many = rare.join(shared.where(f"_n > {CROWD}").select("_c", "_m"), ["_c", "_m"]).select("_node", F.xxhash64("_c", "_m").alias("_c")).join(held.select("_node", "_set").dropDuplicates(["_node"]), "_node")
+    return near.select("a", "b"), many.select("_node", "_c", "_set")
+
+
 def true_links(held: DataFrame, limit: int = SHINGLES_PER_TASK) -> DataFrame:
     """held: _node, _c (candidate group), _set. Pairs (a, b) of Jaccard similarity SIMILAR or more that connect whatever
     such pairs connect within a group.
 
     Groups of up to `limit` shingles are each compared in one task. The sets of larger ones, wherever they are, are
     compared with some pivots of their group, round after round: a set near a pivot leaves once nothing that isn't near
-    that pivot can be near the set (the bound of `similar`), the pivots leave in any case, and what's left goes on.
+    that pivot can be near the set (the bound of `similar`), and the pivots leave in any case. Where a round lets go of
+    less than 1 / SLOW of the sets, what is left is paired by the rarest members that sets share, and where many share
+    one, they are a group of their own. A group that this doesn't make smaller goes on with pivots alone.
     """
-    found = None
+    found, last = None, None
     while True:
         sizes = materialise(held.groupBy("_c").agg(F.count("*").alias("_n"), F.sum(F.size("_set")).alias("_s")))
-        total, shingled, n_big = sizes.agg(F.sum("_n"), F.sum(F.when(F.col("_s") <= limit, F.col("_s"))), F.count_if(F.col("_s") > limit)).first()
+        total, shingled, n_big, most, in_big = sizes.agg(F.sum("_n"), F.sum(F.when(F.col("_s") <= limit, F.col("_s"))), F.count_if(F.col("_s") > limit), F.max("_n"), F.sum(F.when(F.col("_s") > limit, F.col("_n")))).first()
         tasks = parts_for(shingled, limit, 24)
         small = skewed_join(held, sizes, ["_c"], "_n", total or 0, ["_node"]).where(f"_s <= {limit}") if n_big else held
         here = small.withColumn("_p", F.pmod(F.xxhash64("_c"), F.lit(tasks))).groupBy("_p").applyInPandas(lambda pdf: _true_links(pdf), "a long, b long")
         found = here if found is None else found.union(here)
         if not n_big:
             return found
-        met = materialise(_compared(held, sizes.where(f"_s > {limit}"), total))
-        found = found.union(met.where("near and _node <> pivot").select(F.col("_node").alias("a"), F.col("pivot").alias("b")))
+        big = sizes.where(f"_s > {limit}")
+        met = materialise(_compared(held, big, total))
+        found = materialise(found.union(met.where("near and _node <> pivot").select(F.col("_node").alias("a"), F.col("pivot").alias("b"))))
         least = met.groupBy("_c", "pivot").agg(F.min(F.when(~F.col("near"), F.col("apart"))).alias("_least"), F.count("*").alias("_n"))
         judged = skewed_join(met.where("near"), least, ["_c", "pivot"], "_n", total * PIVOTS, ["_node"])
         bound = 1 - SIMILAR[0] / SIMILAR[1] + 1e-9
-        done = judged.where((F.col("_node") == F.col("pivot")) | F.col("_least").isNull() | (F.col("apart") < F.col("_least") - bound)).select("_node").distinct()
-        held = materialise(held.join(met.select("_node").distinct(), "_node", "left_semi").join(done, "_node", "left_anti"))
+        done = judged.where((F.col("_node") == F.col("pivot")) | F.col("_least").isNull() | (F.col("apart") < F.col("_least") - bound)).select("_c", "_node").distinct()
+        held = materialise(skewed_join(held, big, ["_c"], "_n", total, ["_node"]).drop("_s").join(done, ["_c", "_node"], "left_anti"))
+        left = held.count()
+        if (in_big - left) * SLOW < in_big and most != last:
+            last = most
+            near, held = _by_rare_members(held)
+            found, held = found.union(near), materialise(held)
 
 
 def one_of_each(docs: DataFrame, budget: int = 3, seeds: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
