@@ -117,9 +117,11 @@ def counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(blank("lang"), blank("source"), blank("text"))
     groups = rows.select("lang", "source").distinct()
     sums = rows.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(_sums, "lang string, source string, term string, docs long, count long")
-    sums = materialise(sums.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("count")))
-    kept = sums.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("all")).where(F.col("docs") >= LEAST_DOCS).drop("docs")
-    return groups, sums.drop("docs").join(kept, ["lang", "term"])
+    # One shuffle by term serves the sums of a source, those of the language and their join.
+    sums = sums.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("count"))
+    of_term = W.partitionBy("lang", "term")
+    whole = sums.withColumns({"all": F.sum("count").over(of_term), "docs": F.sum("docs").over(of_term)})
+    return groups, whole.where(F.col("docs") >= LEAST_DOCS).drop("docs")
 
 
 def _histograms(kept: DataFrame, groups: DataFrame) -> DataFrame:
