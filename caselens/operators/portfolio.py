@@ -11,7 +11,7 @@ from caselens.functions.vocabulary import AUTHORITY_WEIGHT, CAPABILITY_WEIGHT, C
 
 from .log import Log, objects
 from .peers import negative_space
-from .ranking import ranked, start_of
+from .ranking import ranked_by_range
 
 TIERS = (0.7, 1.5)
 
@@ -101,7 +101,7 @@ def interleaved(concerns: DataFrame) -> DataFrame:
     A position follows from the capabilities' counts: each gives all its concerns of earlier turns, and those ahead in
     the order one more in this turn. Capabilities are few, so they are an array beside the concern.
     """
-    rows = ranked(concerns, ["cse_id", "capability"], [-F.col("concern_score"), F.col("finding_type"), start_of("primary_id", 4)], [F.col("primary_id")], "turn").withColumn("turn", F.col("turn").cast("int"))
+    rows = ranked_by_range(concerns, ["cse_id", "capability"], [-F.col("concern_score"), F.col("finding_type"), F.col("primary_id")], "turn").withColumn("turn", F.col("turn").cast("int"))
     counts = concerns.groupBy("cse_id", "capability").agg(F.count("*").cast("int").alias("n"), F.max("concern_score").alias("_top"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("_top")).alias("top"), "capability", "n")))
     rows = rows.join(counts.groupBy("cse_id").agg(order.alias("_all")), "cse_id")
@@ -116,8 +116,12 @@ def search(concerns: DataFrame, text: str | None = None, capability: str | None
     out = concerns
     for name, value in (("capability", capability), ("cse_id", cse_id)):
         out = out.where(F.col(name) == value) if value is not None else out
-    shown = F.concat_ws(" ", "cse_id", "finding_type", "primary_id", "capability", "authority", "evidence_quality", "detail")
-    return out.where(F.contains(F.lower(shown), F.lit(text.lower()))) if text else out
+    return out.where(F.contains(shown(), F.lit(text.lower()))) if text else out
+
+
+def shown() -> Column:
+    """What a search looks in."""
+    return F.lower(F.concat_ws(" ", "cse_id", "finding_type", "primary_id", "capability", "authority", "evidence_quality", "detail"))
 
 
 def page(rows: DataFrame, number: int, size: int = 25) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselens.functions.expressions import event_type
-from caselens.operators import causal, detectors, drift, fusion, ingest, peers, portfolio, review, rules, selection
+from caselens.operators import causal, detectors, drift, fusion, ingest, paging, peers, portfolio, review, rules, selection
 from caselens.operators import log as views
 from caselens.operators.log import Log
-from caselens.sources.scratch import held
+from caselens.sources.scratch import held, new_folder
 
 from . import projection
 
@@ -321,6 +321,19 @@ def _peers(spark: SparkSession, sf_dir: str) -> DataFrame:
         return held(_compared(log, held(fusion.fuse(log).concerns)))
 
 
+@query
+def page_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after the first 25 concerns, found by the key of the 25th in files that are sorted and cut by range."""
+    pages = paging.Pages.write(fused(spark, sf_dir), new_folder(spark), paging.by_score(), per_part=500)
+    return pages.after(pages.cursor(pages.page(0), paging.by_score())).select(*FINDING)
+
+
+@query
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = paging.SearchIndex.write(fused(spark, sf_dir), new_folder(spark), portfolio.shown, ["finding_type", "cse_id", "primary_id"], per_block=500)
+    return index.search("Escalation_SLA").select(*FINDING)
+
+
 @query
 def peer_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_peers(spark, sf_dir))

@@ -306,3 +306,8 @@ SQL |= {
     o AS (SELECT *, sqrt((yy - b1 * p - b2 * q - b3 * r) / (n - 4) * (d * f - e * e) / det) AS se FROM w)
     SELECT cse_id, n, true AS sufficient, round(b1, 6) AS effect, round(se, 6) AS se, n - 4 AS df, round(b1 / se, 6) AS t_stat FROM o""",
 }
+
+SQL |= {
+    "page_by_key": SQL["page"],
+    "indexed_search": SQL["findings_search"].replace("cse_id = 'BUILDING' AND ", "").replace("'%loop%'", "'%escalation\\_sla%' ESCAPE '\\'"),
+}

@@ -23,10 +23,15 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/held-{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A name for a folder that goes with what is held."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def held(df: DataFrame) -> DataFrame:
     """df written once and read back: its plan ends there, a lost executor costs nothing, and no cache holds it."""
     spark = df.sparkSession
-    at = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    at = new_folder(spark)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

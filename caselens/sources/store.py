@@ -17,12 +17,13 @@ MANIFEST = "cse_id string, batch_id string, submitted_at timestamp, n_cases long
 
 
 class Store:
-    """Tables under one folder of any file system; a log's rows lie under cse_id, batch_id and attempt, so a batch is read
+    """Tables under one folder of any file system; a log's rows lie under attempt, cse_id and batch_id, so a batch is read
     by its partitions alone.
 
-    A batch is written under a name of its own, the attempt, and counts once the manifest names that: its row, one file
-    that appears as a whole, comes last. What a failed attempt leaves is never read; a batch that is submitted again
-    takes the place of the one before. vacuum() drops what no row names.
+    A batch is written in folders of its own, by the name of its attempt, and counts once the manifest has that: its rows,
+    one file that appears as a whole, come last. What a failed attempt leaves is never read, batches can be written at
+    the same time, and a batch that is submitted again takes the place of the one before. vacuum() drops what the manifest
+    doesn't name.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -41,7 +42,7 @@ class Store:
 
     def write_log(self, log: Log, batch_id: str, attempt: str) -> None:
         for name in _PARTS:
-            getattr(log, name).withColumns({"batch_id": F.lit(batch_id), "attempt": F.lit(attempt)}).write.mode("append").partitionBy("cse_id", "batch_id", "attempt").parquet(self._at(name))
+            getattr(log, name).withColumn("batch_id", F.lit(batch_id)).write.partitionBy("cse_id", "batch_id").parquet(self._at(f"{name}/attempt={attempt}"))
 
     def _attempt(self, cse_id: str, batch_id: str) -> str | None:
         """The attempt that the manifest names for a batch."""
@@ -64,25 +65,25 @@ class Store:
         attempt = uuid.uuid4().hex
         self.write_log(log, batch_id, attempt)
         if low_confidence is not None:
-            low_confidence.select("cse_id", "case_id", F.lit(batch_id).alias("batch_id"), F.lit(attempt).alias("attempt")).write.mode("append").partitionBy("attempt").parquet(self._at("low_confidence"))
+            low_confidence.select("cse_id", "case_id", F.lit(batch_id).alias("batch_id")).write.parquet(self._at(f"low_confidence/attempt={attempt}"))
         cases = log.object.where("type = 'Case'").groupBy("cse_id").agg(F.count("*").alias("n_cases"))
         kinds = concerns.groupBy("cse_id", "finding_type").agg(F.count("*").alias("n"), F.count_distinct("primary_id").alias("flagged")).join(cases, "cse_id")
         per_type = kinds.groupBy("cse_id").agg(F.sum("n").alias("n_concerns"), F.map_from_entries(F.collect_list(F.struct("finding_type", F.struct(F.col("n_cases").alias("case_count"), F.col("flagged").alias("flagged_count"))))).alias("per_type"))
         rows = cases.join(per_type, "cse_id", "left").select("cse_id", F.lit(batch_id).alias("batch_id"), F.lit(submitted_at).cast("timestamp").alias("submitted_at"), "n_cases", F.coalesce("n_concerns", F.lit(0).cast("long")).alias("n_concerns"), "per_type")
-        rows.withColumns({"attempt": F.lit(attempt), "written": F.lit(time.time_ns())}).coalesce(1).write.mode("append").parquet(self._at("manifest"))
+        rows.withColumn("written", F.lit(time.time_ns())).coalesce(1).write.parquet(self._at(f"manifest/attempt={attempt}"))
 
     def _rows(self) -> DataFrame:
         """The manifest with the attempt of each batch that was written last."""
         newest = F.row_number().over(W.partitionBy("cse_id", "batch_id").orderBy(F.desc("written"), F.desc("attempt")))
-        return self._read("manifest", f"{MANIFEST}, attempt string, written long").withColumn("_n", newest).where("_n = 1").drop("_n", "written")
+        return self._read("manifest", f"{MANIFEST}, written long, attempt string").withColumn("_n", newest).where("_n = 1").drop("_n", "written")
 
     def vacuum(self) -> int:
         """Drop the files of attempts that the manifest doesn't name, for when no batch is being written; how many
         folders went."""
         named = {r["attempt"] for r in self._rows().select("attempt").distinct().toLocalIterator()}
         gone = 0
-        for pattern in (*(f"{name}/cse_id=*/batch_id=*/attempt=*" for name in _PARTS), "low_confidence/attempt=*"):
-            path, files = self._path(pattern)
+        for name in (*_PARTS, "low_confidence", "manifest"):
+            path, files = self._path(f"{name}/attempt=*")
             for found in files.globStatus(path) or []:
                 if found.getPath().getName().removeprefix("attempt=") not in named:
                     files.delete(found.getPath(), True)

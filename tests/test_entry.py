@@ -9,7 +9,7 @@ from caselens.plans import catalogue, oracles
 
 ROOT = Path(__file__).parents[1]
 DATA = "/root/testdata/sf0.001"
-SOME = ("case_context", "rule_response", "rule_precedence", "reassignment_loops", "negspace_telemetry", "investigation_uniformity", "suppressed", "trend_classification", "ols_effect", "cusum_daily", "baseline_stratified")
+SOME = ("case_context", "rule_response", "rule_precedence", "reassignment_loops", "negspace_telemetry", "investigation_uniformity", "suppressed", "trend_classification", "ols_effect", "cusum_daily", "baseline_stratified", "rule_book", "ols_adjusted", "drift_events", "page_by_key", "indexed_search")
 
 
 def test_names():
@@ -20,7 +20,8 @@ def test_names():
 def test_nothing_outside_imports_the_corpus_folder():
     for path in (ROOT / "caselens").rglob("*.py"):
         if "llm" not in path.parts:
-            names = [getattr(n, "module", None) or "" for n in ast.walk(ast.parse(path.read_text())) if isinstance(n, ast.ImportFrom)]
+            nodes = list(ast.walk(ast.parse(path.read_text())))
+            names = [n.module or "" for n in nodes if isinstance(n, ast.ImportFrom)] + [a.name for n in nodes if isinstance(n, ast.Import | ast.ImportFrom) for a in n.names]
             assert not any("llm" in n for n in names), path
 
 

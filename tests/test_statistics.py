@@ -183,3 +183,13 @@ def test_explanation_keeps_the_selection(spark):
     got = {r.capability: r for r in selection.explain(rows, chosen, budget, ["cse_id"]).collect()}
     assert {c: (r.n_selected, r.n_with_more) for c, r in got.items()} in ({"p": (3, 3), "q": (0, 1)}, {"p": (3, 4)})
     assert all(abs(r.coverage - math.log1p(3)) < 1e-9 and abs(r.marginal_gain - math.log1p(1)) < 1e-9 for r in got.values())
+
+
+def test_ranks_by_ranges_of_ids_that_begin_alike(spark):
+    from caselens.operators.ranking import ranked_by_range
+
+    rows = [(e, float(i % 3), f"INC{i:07}") for e in "AB" for i in range(700)]
+    got = {(r.e, r.i): r.n for r in ranked_by_range(spark.createDataFrame(rows, "e string, s double, i string"), ["e"], [-F.col("s"), F.col("i")], "n", per_range=90).collect()}
+    for e in "AB":
+        mine = sorted((r for r in rows if r[0] == e), key=lambda r: (-r[1], r[2]))
+        assert [got[e, r[2]] for r in mine] == list(range(1, 701))
