@@ -52,6 +52,7 @@ MATURE_DEV = Profile("MATURE_DEV", 20260925, 300, 50, 15, 4)
 MATURE = Profile("MATURE", 20260925, 2200, 180, 40, 6, loops=25, justified_loops=25)
 SMALL = Profile("SMALL", 20260926, 2000, 60, 6, 2, (0.30, 0.30, 0.25, 0.15), (0.25, 0.30, 0.30, 0.15), 0.45, 0.55, 0.55, 20, 20)
 MATURE_GAMING = replace(MATURE, cse_id="MATURE_GAMING", gaming=0.30)
+MATURE_DEV_GAMING = replace(MATURE_DEV, cse_id="MATURE_DEV_GAMING", gaming=0.30)  # too few due alerts a week for an alarm
 LEVELS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
 
@@ -60,6 +61,12 @@ def siblings(profile: Profile, n: int) -> list[Profile]:
     return [profile, *(replace(profile, cse_id=f"{profile.cse_id}_{chr(65 + k)}", seed=profile.seed + 2 * k) for k in range(1, n))]
 
 
+def named() -> dict[str, Profile]:
+    """Every entity that comes with the generator by its name: the three profiles, ten siblings, two with gamed metrics."""
+    every = [*siblings(MATURE_DEV, 3), *siblings(MATURE, 5), *siblings(SMALL, 5), MATURE_DEV_GAMING, MATURE_GAMING]
+    return {p.cse_id: p for p in every}
+
+
 def _draw(seed: Column, name: str, *of: str) -> Column:
     """Uniform in [0, 1)."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(name), seed, *of), 11) / F.lit(float(1 << 53))
@@ -217,6 +224,7 @@ def _as(df: DataFrame, schema: str) -> DataFrame:
 
 
 def sample_portfolio(spark: SparkSession, tier: str = "dev") -> tuple[Log, DataFrame]:
-    """Several entities of a tier in one call: dev (three small ones) or scaled (five of each full-size profile)."""
-    tiers = {"dev": siblings(MATURE_DEV, 3), "scaled": siblings(MATURE, 5) + siblings(SMALL, 5)}
+    """Several entities of a tier in one call: dev (three small ones), scaled (five of each full-size profile) or drift (a
+    small and a full-size one with gamed metrics at the end)."""
+    tiers = {"dev": siblings(MATURE_DEV, 3), "scaled": siblings(MATURE, 5) + siblings(SMALL, 5), "drift": [MATURE_DEV_GAMING, MATURE_GAMING]}
     return generate(spark, tiers[tier])

@@ -59,10 +59,15 @@ def test_sampling_reaches_every_type(planted):
 def test_gamed_metrics_show_as_displacement(spark):
     log, _ = synthetic.generate(spark, [replace(synthetic.MATURE_GAMING, cases=20_000)])  # enough due alerts a week
     got = drift.displacement(peers.weekly_rates(log), ["cse_id"], "week", "in_time", "enriched", k=0.3, h=1.5).where("signal = 'POTENTIAL_DISPLACEMENT'").collect()
-    weeks = len(series.first().week)
+    weeks = peers.weekly_rates(log).select("week").distinct().count()
     assert weeks == 9 and got and min(r["at"] for r in got) >= 0.6 * weeks
 
 
 def test_sample_portfolio(spark):
     log, _ = synthetic.sample_portfolio(spark)
     assert {r.cse_id for r in log.object.select("cse_id").distinct().collect()} == {"MATURE_DEV", "MATURE_DEV_B", "MATURE_DEV_C"}
+    names = synthetic.named()
+    assert len(names) == 15 and len({p.seed for n, p in names.items() if "GAMING" not in n and n.startswith("MATURE")}) == 5
+    assert {"MATURE_E", "SMALL_E", "MATURE_DEV_C", "MATURE_DEV_GAMING"} <= set(names) and names["MATURE_DEV_GAMING"].gaming > 0
+    log, _ = synthetic.sample_portfolio(spark, "drift")
+    assert {r.cse_id for r in log.object.select("cse_id").distinct().collect()} == {"MATURE_DEV_GAMING", "MATURE_GAMING"}
