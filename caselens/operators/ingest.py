@@ -169,21 +169,46 @@ def ingest(tables: Tables, cse_id: str, overrides: Mapping | None = None) -> Ing
 
 
 def validate_log(log: Log) -> DataFrame:
-    """check, n of everything that a well-formed log has none of; a pass is n = 0 throughout."""
-    ids = log.object.select("cse_id", F.col("object_id").alias("target_id")).distinct()
-    e2o, o2o = log.event_object(), log.object_object()
-    count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
-    dup = lambda df, *keys: df.groupBy(*keys).count().where("count > 1")
-    found = [
-        count("event without id, type or time", log.event.where("event_id is null or event_id = '' or type is null or time is null")),
-        count("object without id or type", log.object.where("object_id is null or object_id = '' or type is null")),
-        count("duplicate event id", dup(log.event, "cse_id", "event_id")),
-        count("duplicate object id", dup(log.object, "cse_id", "object_id")),
-        count("duplicate attribute change", dup(log.object_attr, "cse_id", "object_id", "name", "time")),
-        count("event edge without qualifier", e2o.where("qualifier is null or qualifier = ''")),
-        count("object edge without qualifier", o2o.where("qualifier is null or qualifier = ''")),
-        count("event edge to no object", e2o.join(ids, ["cse_id", "target_id"], "left_anti")),
-        count("object edge to no object", o2o.join(ids, ["cse_id", "target_id"], "left_anti")),
-        count("attribute of no object", log.object_attr.withColumnRenamed("object_id", "target_id").join(ids, ["cse_id", "target_id"], "left_anti")),
-    ]
-    return reduce(DataFrame.unionByName, found)
+    """check, n of everything that a well-formed log has none of; a pass is n = 0 throughout.
+
+    Every row is laid out as what it defines and what it points to, and one aggregate by these names answers all checks,
+    so each table is read once and edges that lead to one object are summed up before they move.
+    """
+    fields = ("kind", "id", "name", "time", "defined", "from_event", "from_object", "from_attr", "bad", "unqualified")
+    none = {"name": F.lit(None).cast("string"), "time": F.lit(None).cast("timestamp")}
+
+    def item(kind: str, id_: Column, **more: Column) -> Column:
+        at = {"kind": F.lit(kind), "id": id_} | none | {f: F.lit(0) for f in fields[4:]} | more
+        return F.struct(*(at[f].alias(f) for f in fields))
+
+    lacks = lambda c: c.isNull() | (c == "")
+    one = F.lit(1)
+    bad = lambda *cs: F.coalesce(reduce(lambda a, b: a | b, cs), F.lit(False)).cast("int")
+    edges = F.coalesce("rels", F.array().cast(RELS))
+    unqualified = F.size(F.filter(edges, lambda r: lacks(r["qualifier"])))
+    targets = lambda name: F.transform(edges, lambda r: item("object", r["target_id"], **{name: one}))
+    event, kind = F.col("event_id"), F.col("type")
+    laid = [
+        log.event.select("cse_id", F.explode(F.concat(F.array(item("event", event, defined=one, bad=bad(lacks(event), kind.isNull(), F.col("time").isNull()), unqualified=unqualified)), targets("from_event"))).alias("i")),
+        log.object.select("cse_id", F.explode(F.concat(F.array(item("object", F.col("object_id"), defined=one, bad=bad(lacks(F.col("object_id")), kind.isNull()), unqualified=unqualified)), targets("from_object"))).alias("i")),
+        log.object_attr.select("cse_id", F.explode(F.array(item("attr", F.col("object_id"), name=F.col("name"), time=F.col("time"), defined=one), item("object", F.col("object_id"), from_attr=one))).alias("i")),
+    ]
+    rows = reduce(DataFrame.unionByName, laid).select("cse_id", "i.*")
+    names = rows.groupBy("cse_id", *fields[:4]).agg(*(F.sum(f).alias(f) for f in fields[4:]))
+    of = lambda k: F.col("kind") == k
+    nowhere = of("object") & ((F.col("defined") == 0) | F.col("cse_id").isNull() | F.col("id").isNull())
+    total = lambda when, c: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    found = {
+        "event without id, type or time": total(of("event"), "bad"),
+        "object without id or type": total(of("object"), "bad"),
+        "duplicate event id": F.count_if(of("event") & (F.col("defined") > 1)),
+        "duplicate object id": F.count_if(of("object") & (F.col("defined") > 1)),
+        "duplicate attribute change": F.count_if(of("attr") & (F.col("defined") > 1)),
+        "event edge without qualifier": total(of("event"), "unqualified"),
+        "object edge without qualifier": total(of("object"), "unqualified"),
+        "event edge to no object": total(nowhere, "from_event"),
+        "object edge to no object": total(nowhere, "from_object"),
+        "attribute of no object": total(nowhere, "from_attr"),
+    }
+    sums = names.agg(*(n.alias(f"n{i}") for i, n in enumerate(found.values())))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(name).alias("check"), F.col(f"n{i}").alias("n")) for i, name in enumerate(found)))).alias("x")).select("x.check", "x.n")

@@ -98,7 +98,8 @@ def weekly_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def log_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.validate_log(projection.log(spark, sf_dir))
+    with log_held(spark, sf_dir) as log:
+        return held(ingest.validate_log(log))
 
 
 # Two versions of the time to escalate, one that ends, and rules on every kind of event.
