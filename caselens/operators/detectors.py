@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from caselens.functions.expressions import minutes
 
-from .log import Log, alert_assets, case_alerts, case_events, case_profile, first_target, objects
+from .log import Log, alert_assets, asset_chain, case_events, case_profile, first_target, objects, reassignments, routed_cases
 
 
 MIN_REASSIGNMENTS = 3
 
 
 def loop_columns(max_distinct_analysts: int = 2) -> dict[str, Column]:
-    """Over the case profile: what the reassignments of a case look like. A loop goes round few analysts; a shift change
+    """Over `reassignments`: what the reassignments of a case look like. A loop goes round few analysts; a shift change
     each time justifies it."""
     n, who = F.col("n_REASSIGN"), F.size(F.array_distinct("reassigned.to")).cast("long")
     loop, justified = (n > who) & (who <= max_distinct_analysts), F.forall("reassigned.shift", lambda s: s)
@@ -23,7 +23,7 @@ def loop_columns(max_distinct_analysts: int = 2) -> dict[str, Column]:
 
 def reassignment_loops(log: Log, min_reassignments: int = MIN_REASSIGNMENTS, max_distinct_analysts: int = 2) -> DataFrame:
     """Cases with enough reassignments, and whether they go round."""
-    rows = case_profile(log).where(F.col("n_REASSIGN") >= min_reassignments)
+    rows = reassignments(log).where(F.col("n_REASSIGN") >= min_reassignments)
     return rows.select("cse_id", "case_id", *(c.alias(name) for name, c in loop_columns(max_distinct_analysts).items()))
 
 
@@ -39,9 +39,7 @@ def fast_close(log: Log, threshold: float = 30.0) -> DataFrame:
 
 def asset_recurrence(log: Log, min_alerts: int = 3) -> DataFrame:
     """Assets with alerts: flagged when they recur and no case of theirs was looked into."""
-    depth = case_profile(log).select("cse_id", "case_id", (F.col("n_INVESTIGATE") + F.col("n_EVIDENCE_COLLECT") > 0).alias("deep"))
-    chain = alert_assets(log).join(case_alerts(log), ["cse_id", "alert_id"], "left").join(depth, ["cse_id", "case_id"], "left")
-    out = chain.groupBy("cse_id", "asset_id").agg(F.count_distinct("alert_id").alias("n_alerts"), F.count_distinct("case_id").alias("n_cases"), F.coalesce(F.bool_or("deep"), F.lit(False)).alias("remediated"))
+    out = asset_chain(log).groupBy("cse_id", "asset_id").agg(F.count_distinct("alert_id").alias("n_alerts"), F.count_distinct("case_id").alias("n_cases"), F.coalesce(F.bool_or("deep"), F.lit(False)).alias("remediated"))
     return out.withColumn("flagged", (F.col("n_alerts") >= min_alerts) & ~F.col("remediated"))
 
 
@@ -72,8 +70,6 @@ def analyst_workload(log: Log) -> DataFrame:
 
 def queue_escalations(log: Log) -> DataFrame:
     """Every queue: cases routed to it now and their escalations, zeros kept."""
-    routed = log.object_object("Case").where("qualifier = 'current_queue'").select("cse_id", F.col("source_id").alias("case_id"), F.col("target_id").alias("queue_id"))
-    up = case_profile(log).select("cse_id", "case_id", F.col("n_ESCALATE").alias("n_up"))
-    n = routed.join(up, ["cse_id", "case_id"], "left").groupBy("cse_id", "queue_id").agg(F.count("*").alias("n_routed"), F.coalesce(F.sum("n_up"), F.lit(0)).alias("n_escalated"))
+    n = routed_cases(log).groupBy("cse_id", "queue_id").agg(F.count("*").alias("n_routed"), F.coalesce(F.sum("n_up"), F.lit(0)).alias("n_escalated"))
     everyone = objects(log, "Queue").select("cse_id", F.col("object_id").alias("queue_id"))
     return everyone.join(n, ["cse_id", "queue_id"], "left").fillna(0, ["n_routed", "n_escalated"])

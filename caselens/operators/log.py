@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from caselens.functions.expressions import epoch
 from caselens.functions.vocabulary import CASE_QUALIFIER, FOR_CASE
+from caselens.sources.scratch import drop_held
 
 NOBODY = "∅"  # stands for a reassignment to no one, which counts as someone
 
@@ -36,9 +37,8 @@ class Log:
     by_type: dict[str, DataFrame] = field(default_factory=dict)  # rows of `object` of a type, where they are known apart
     by_name: dict[str, DataFrame] = field(default_factory=dict)  # rows of `object_attr` of a name, likewise
     cases_known: bool = False  # every edge that ends in `_for_case` leads to a case of the log
-    kept: bool = False  # what the tables are made from is held already
-    views: dict[str, DataFrame] = field(default_factory=dict)  # views of the log that are held
-    base: tuple[DataFrame, ...] = ()  # what the tables are made from, where that is held
+    views: dict[str, DataFrame] = field(default_factory=dict)  # views of the log that are held, or plain reads of what is
+    folders: tuple[str, ...] = ()  # where what the tables are made from is held
 
     @staticmethod
     def of(spark: SparkSession, event: list, object: list, object_attr: list = ()) -> Log:  # noqa: A002
@@ -46,7 +46,7 @@ class Log:
         return Log(spark.createDataFrame(list(event), EVENT), spark.createDataFrame(list(object), OBJECT), spark.createDataFrame(list(object_attr), OBJECT_ATTR))
 
     def map(self, f) -> Log:  # noqa: ANN001
-        return Log(f(self.event), f(self.object), f(self.object_attr), {k: f(v) for k, v in self.by_type.items()}, {k: f(v) for k, v in self.by_name.items()}, self.cases_known, self.kept, base=self.base)
+        return Log(f(self.event), f(self.object), f(self.object_attr), {k: f(v) for k, v in self.by_type.items()}, {k: f(v) for k, v in self.by_name.items()}, self.cases_known, folders=self.folders)
 
     def union(self, other: Log) -> Log:
         return Log(*(getattr(self, n).unionByName(getattr(other, n)) for n in ("event", "object", "object_attr")))
@@ -62,12 +62,13 @@ class Log:
 
     def persist(self) -> Log:
         """The same log with its tables and the views that nearly every operator reads held, for plans that read them
-        many times. release() lets go of them."""
+        many times. release() lets go of them. A log that is made from held tables has its views from them."""
+        if self.folders:
+            return self
         hold = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
-        if not self.kept:
-            for df in (self.event, *(self.by_type.values() or [self.object]), *(self.by_name.values() or [self.object_attr])):
-                hold(df)
-        views = {"case_profile": case_profile(self), "case_alerts": case_alerts(self), "alert_assets": alert_assets(self)}
+        for df in (self.event, *(self.by_type.values() or [self.object]), *(self.by_name.values() or [self.object_attr])):
+            hold(df)
+        views = {"case_profile": case_profile(self), "reassignments": reassignments(self), "case_alerts": case_alerts(self), "alert_assets": alert_assets(self)}
         views |= {f"{kind}.{name}": objects(self, kind, name) for kind, name in (("Alert", "severity"), ("Asset", "criticality"))}
         return replace(self, views={k: hold(v) for k, v in views.items()})
 
@@ -82,7 +83,9 @@ class Log:
 
     def release(self) -> None:
         """Let go of all that is held of this log."""
-        for df in (*self.base, *self.views.values(), self.event, self.object, self.object_attr, *self.by_type.values(), *self.by_name.values()):
+        for at in self.folders:
+            drop_held(self.event.sparkSession, at)
+        for df in (*self.views.values(), self.event, self.object, self.object_attr, *self.by_type.values(), *self.by_name.values()):
             df.unpersist()
 
     def where(self, condition: Column | str) -> Log:
@@ -147,6 +150,8 @@ def alert_assets(log: Log) -> DataFrame:
 
 def case_context(log: Log) -> DataFrame:
     """cse_id, case_id, alert_severity, asset_criticality over case, alert and asset; no alerts or assets: no rows."""
+    if "case_context" in log.views:
+        return log.views["case_context"]
     alerts = objects(log, "Alert", "severity").select("cse_id", F.col("object_id").alias("alert_id"), F.col("severity").alias("alert_severity"))
     assets = objects(log, "Asset", "criticality").select("cse_id", F.col("object_id").alias("asset_id"), F.col("criticality").alias("asset_criticality"))
     return case_alerts(log).join(alerts, ["cse_id", "alert_id"]).join(alert_assets(log), ["cse_id", "alert_id"]).join(assets, ["cse_id", "asset_id"]).select("cse_id", "case_id", "alert_severity", "asset_criticality")
@@ -175,13 +180,41 @@ def raw_events(log: Log, kind: str | None = None) -> DataFrame:
 
 def case_profile(log: Log, events_of: list[str] | None = None) -> DataFrame:
     """What rules and detectors ask of a case, in one pass: `opened` (first event), `closed` (last CLOSE), the number and
-    first time of each type of event (`n_<type>`, `first_<type>`), and `reassigned`, its reassignments in order; if
-    events_of is given, also `steps`, the events of these types."""
+    first time of each type of event (`n_<type>`, `first_<type>`); if events_of is given, also `steps`, the events of
+    these types. What takes part is of a fixed size without them, so map-side sums stay small."""
     if events_of is None and "case_profile" in log.views:
         return log.views["case_profile"]
-    is_ = lambda kind: F.col("type") == kind
-    step = F.struct("time", "event_id", F.coalesce(first_target("reassigned_to"), F.lit(NOBODY)).alias("to"), F.coalesce(F.col("attrs")["handover_reason"] == "SHIFT_CHANGE", F.lit(False)).alias("shift"))
     steps = [F.collect_list(F.when(F.col("type").isin(*events_of), F.struct("type", "time", "event_id"))).alias("steps")] if events_of is not None else []
+    return case_events(log).groupBy("cse_id", "case_id").agg(*profile_columns(), *steps)
+
+
+def profile_columns() -> list[Column]:
+    """Aggregates over the type and time of a case's events."""
+    is_ = lambda kind: F.col("type") == kind
     numbers = [F.count_if(is_(k)).alias(f"n_{k}") for k in CASE_QUALIFIER]
     times = [F.min(F.when(is_(k), F.col("time"))).alias(f"first_{k}") for k in CASE_QUALIFIER]
-    return case_events(log).groupBy("cse_id", "case_id").agg(F.min("time").alias("opened"), F.max(F.when(is_("CLOSE"), F.col("time"))).alias("closed"), *numbers, *times, F.array_sort(F.collect_list(F.when(is_("REASSIGN"), step))).alias("reassigned"), *steps)
+    return [F.min("time").alias("opened"), F.max(F.when(is_("CLOSE"), F.col("time"))).alias("closed"), *numbers, *times]
+
+
+def reassignments(log: Log) -> DataFrame:
+    """cse_id, case_id, n_REASSIGN, reassigned (in order) of the cases with any; only these events move."""
+    if "reassignments" in log.views:
+        return log.views["reassignments"]
+    step = F.struct("time", "event_id", F.coalesce(first_target("reassigned_to"), F.lit(NOBODY)).alias("to"), F.coalesce(F.col("attrs")["handover_reason"] == "SHIFT_CHANGE", F.lit(False)).alias("shift"))
+    return case_events(log).where("type = 'REASSIGN'").groupBy("cse_id", "case_id").agg(F.count("*").alias("n_REASSIGN"), F.array_sort(F.collect_list(step)).alias("reassigned"))
+
+
+def routed_cases(log: Log) -> DataFrame:
+    """cse_id, case_id, queue_id, n_up: the escalations of each case, by the queue that it is in."""
+    if "routed_cases" in log.views:
+        return log.views["routed_cases"]
+    routed = log.object_object("Case").where("qualifier = 'current_queue'").select("cse_id", F.col("source_id").alias("case_id"), F.col("target_id").alias("queue_id"))
+    return routed.join(case_profile(log).select("cse_id", "case_id", F.col("n_ESCALATE").alias("n_up")), ["cse_id", "case_id"], "left")
+
+
+def asset_chain(log: Log) -> DataFrame:
+    """cse_id, asset_id, alert_id, case_id, deep: an asset's alerts, their cases, and whether these were looked into."""
+    if "asset_chain" in log.views:
+        return log.views["asset_chain"]
+    depth = case_profile(log).select("cse_id", "case_id", (F.col("n_INVESTIGATE") + F.col("n_EVIDENCE_COLLECT") > 0).alias("deep"))
+    return alert_assets(log).join(case_alerts(log), ["cse_id", "alert_id"], "left").join(depth, ["cse_id", "case_id"], "left")

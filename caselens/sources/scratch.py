@@ -28,15 +28,15 @@ def new_folder(spark: SparkSession) -> str:
     return f"{_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def held(df: DataFrame) -> DataFrame:
+def held(df: DataFrame, at: str | None = None) -> DataFrame:
     """df written once and read back: its plan ends there, a lost executor costs nothing, and no cache holds it."""
     spark = df.sparkSession
-    at = new_folder(spark)
+    at = at or new_folder(spark)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def drop_held(spark: SparkSession) -> None:
-    """Drop all that this application holds, once the results that read it are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+def drop_held(spark: SparkSession, at: str | None = None) -> None:
+    """Drop what this application holds in a folder, or all of it, once the results that read it are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at or _folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
