@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +36,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python steps that run within get so many rows at a time, as whole texts of ten thousand fill an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def with_ids(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """_id, further columns, _text for a Python step. The id goes as text, since pandas makes long ids with nulls floats."""
     return docs.select(F.col(id_col).cast("string").alias("_id"), *more, F.col(text_col).alias("_text"))

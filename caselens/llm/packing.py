@@ -3,28 +3,33 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, parts_for, with_ids
+from .common import batches_of, materialise, parts_for, with_ids
 from .sharding import with_rank
 
 CAPACITY = 2048
-CACHE = 250_000  # parts of texts a task remembers the ids of, in each generation
+CACHE = 250_000  # parts of texts a worker remembers the ids of, in each generation
+BATCH = 500  # texts a task holds at once
 ROWS_PER_BUCKET = 20_000
 
 
 # How the tokenizer splits a text, for the letters and digits of Latin-1, where case and composition are plain.
 _LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+")
+_SPLIT = re.compile(rf"[{_LETTERS}]+|[{_DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^\s{_LETTERS}{_DIGITS}]+")  # letters first: most parts are
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
 _WORD_END = "</w>"
+_OTHER = iter(range(256, 512))
+_BYTES = {b: b if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE else next(_OTHER) for b in range(256)} | {0x20: 0x20}  # how a byte is written in the vocabulary; blanks part words
 _KNOWN = {  # the parts of a tokenizer's description that the above stands for
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
@@ -41,8 +46,11 @@ class WordIds:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tokenizer.model)  # the same model, for words that are normalised and split already
+        self.words.pre_tokenizer = CharDelimiterSplit(" ")
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith(_WORD_END)]] = True
@@ -52,11 +60,14 @@ class WordIds:
         self.old: dict[str, bytes] = {}
 
     def _encode(self, parts: list[str], plain: bool) -> list[bytes]:
-        if plain:  # each is one word to the tokenizer, so all can go in one call
-            ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
+        if plain:  # each is one word to the tokenizer, so all can go in one call; the fast one keeps no offsets
+            text = " ".join(parts)
+            text = text if text.isascii() else text.encode().decode("latin-1").translate(_BYTES)
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(parts):
-                return [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+                flat, at = ids.tobytes(), (4 * cuts).tolist()
+                return [flat[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def __call__(self, text: str | None) -> bytes:
@@ -81,15 +92,23 @@ class WordIds:
         return b"".join(found)
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a worker, as a tokenizer takes longer to read than many a task's texts. Texts go one by one,
+    so threads of its own would only wait."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's ids and a final 0, cut where longer than capacity: _id, piece, start, length, ids (binary)."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        to_ids = WordIds(tokenizer_path)
+        to_ids = word_ids(tokenizer_path)
         for pdf in it:
-            for at in range(0, len(pdf), 500):
+            for at in range(0, len(pdf), BATCH):
                 out = []
-                for i, text in zip(pdf["_id"].iloc[at : at + 500], pdf["_text"].iloc[at : at + 500], strict=True):
+                for i, text in zip(pdf["_id"].iloc[at : at + BATCH], pdf["_text"].iloc[at : at + BATCH], strict=True):
                     ids = to_ids(text if isinstance(text, str) else None) + b"\0\0\0\0"
                     out += [(i, k, k * capacity, len(part) // 4, part) for k, part in enumerate(ids[b : b + 4 * capacity] for b in range(0, len(ids), 4 * capacity))]
                 yield pd.DataFrame(out, columns=["_id", "piece", "start", "length", "ids"])
@@ -195,4 +214,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     other. Very long texts: encoded whole, piece by piece in the result. Empty table: no rows. Other columns are ignored, whatever their names.
     """
     cut = pieces(docs, tokenizer_path, capacity, id_col, text_col).withColumn("ids_crc32", F.crc32("ids")).drop("ids").withColumn("_row", F.monotonically_increasing_id())
-    return pack(materialise(cut), capacity).select(F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    with batches_of(docs.sparkSession, BATCH):
+        cut = materialise(cut)
+    return pack(cut, capacity).select(F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -116,3 +116,18 @@ def test_two_replace_the_smallest():
     left = np.zeros(101, np.int64)
     left[[60, 35, 22, 18]] = 1  # greedy: 60 + 35; then 35 gives way to 22 + 18
     assert packing._fill(left, 100) == [60, 22, 18]
+
+
+def test_a_worker_reads_its_tokenizer_once_and_few_texts_at_a_time(spark, monkeypatch):
+    from caselens.llm.common import batches_of
+
+    assert packing.word_ids(PATH) is packing.word_ids(PATH)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with batches_of(spark, 7):
+        sizes = spark.range(0, 50, 1, 1).mapInPandas(lambda it: (p.assign(id=len(p)) for p in it), "id long").toPandas()["id"].max()
+    assert sizes == 7 and spark.conf.get(name) == before
+    seen = []
+    monkeypatch.setattr(packing, "materialise", lambda df: seen.append(spark.conf.get(name)) or df)
+    packing.pack_documents(spark.createDataFrame([(1, "alpha")], "doc_id long, text string"), PATH)
+    assert seen == [str(packing.BATCH)] and spark.conf.get(name) == before
