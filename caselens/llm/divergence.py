@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, parts_for
+from .common import batches_of, materialise, parts_for
 
 SCALE = 1_000_000_000
 LEAST_DOCS = 3
 TOP = 200
-HELD = 400_000  # different (lang, source, term) that a task sums up before it sends them on
+HELD = 250_000  # different (lang, source, term) that a task sums up before it sends them on
+BATCH = 500  # texts a task holds at once
 ROWS_PER_PART = 200_000  # counts whose pairs one task tallies
 PAIRS = 2_000_000  # pairs of counts it holds at once
 
@@ -161,7 +162,8 @@ def audit(docs: DataFrame) -> DataFrame:
     sources; terms are dealt by hash, so that the sources that share one never meet as more than one term's counts.
     """
     groups, kept = counts(docs)
-    kept = materialise(kept)
+    with batches_of(docs.sparkSession, BATCH):
+        kept = materialise(kept)
     groups = materialise(groups.withColumn("sid", F.row_number().over(W.partitionBy("lang").orderBy("source")).cast("long")))
     of_group = kept.groupBy("lang", "source").agg(F.sum("count").alias("n"))
     of_lang = materialise(kept.groupBy("lang", "term").agg(F.first("all").alias("all")).groupBy("lang").agg(F.sum("all").alias("n_lang"), F.count("*").alias("v")))

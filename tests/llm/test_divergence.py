@@ -84,3 +84,12 @@ def test_tally():
 @pytest.mark.parametrize("text", ["AbC déF", "a1b2_c", "\x00x\x7fy", "ｆｕｌｌ", "", "İI"])
 def test_terms_follow_the_pattern(text):
     assert [t.decode() for t in divergence.terms(text.encode())] == TERM.findall(lower(text))
+
+
+def test_few_texts_at_a_time(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    write = divergence.materialise
+    monkeypatch.setattr(divergence, "materialise", lambda df: seen.append(spark.conf.get(name)) or write(df))
+    assert run(spark, [("a b", "zz", "r")]) == []
+    assert seen[0] == str(divergence.BATCH) and spark.conf.get(name) == before
