@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caselens.functions.expressions import minutes
 
-from .log import Log, alert_assets, asset_chain, case_events, case_profile, first_target, objects, reassignments, routed_cases
+from .log import Log, alert_assets, asset_chain, assignees, case_profile, closed_investigations, investigators, objects, reassignments, routed_cases
 
 
 MIN_REASSIGNMENTS = 3
@@ -39,12 +39,16 @@ def fast_close(log: Log, threshold: float = 30.0) -> DataFrame:
 
 def asset_recurrence(log: Log, min_alerts: int = 3) -> DataFrame:
     """Assets with alerts: flagged when they recur and no case of theirs was looked into."""
-    out = asset_chain(log).groupBy("cse_id", "asset_id").agg(F.count_distinct("alert_id").alias("n_alerts"), F.count_distinct("case_id").alias("n_cases"), F.coalesce(F.bool_or("deep"), F.lit(False)).alias("remediated"))
+    out = log.views.get("asset_recurrence")
+    if out is None:
+        out = asset_chain(log).groupBy("cse_id", "asset_id").agg(F.count_distinct("alert_id").alias("n_alerts"), F.count_distinct("case_id").alias("n_cases"), F.coalesce(F.bool_or("deep"), F.lit(False)).alias("remediated"))
     return out.withColumn("flagged", (F.col("n_alerts") >= min_alerts) & ~F.col("remediated"))
 
 
 def asset_alerts(log: Log) -> DataFrame:
     """Every asset with its initial criticality and number of alerts, 0 included."""
+    if "asset_alerts" in log.views:
+        return log.views["asset_alerts"]
     n = alert_assets(log).groupBy("cse_id", "asset_id").agg(F.count("*").alias("n_alerts"))
     assets = objects(log, "Asset", "criticality").select("cse_id", F.col("object_id").alias("asset_id"), "criticality")
     return assets.join(n, ["cse_id", "asset_id"], "left").withColumn("n_alerts", F.coalesce("n_alerts", F.lit(0).cast("long")))
@@ -52,9 +56,7 @@ def asset_alerts(log: Log) -> DataFrame:
 
 def investigation_uniformity(log: Log, min_cases: int = 5, threshold: float = 0.15) -> DataFrame:
     """Analysts whose investigations take suspiciously alike times: coefficient of variation under the threshold."""
-    closed = case_profile(log).where("closed is not null").select("cse_id", "case_id", "closed")
-    looked = case_events(log).where("type = 'INVESTIGATE'").select("cse_id", "case_id", "time", first_target("investigated_by").alias("analyst_id")).where("analyst_id is not null")
-    took = looked.join(closed, ["cse_id", "case_id"]).withColumn("m", minutes(F.col("time"), F.col("closed"))).where("m >= 0")
+    took = closed_investigations(log).withColumn("m", minutes(F.col("time"), F.col("closed"))).where("m >= 0")
     out = took.groupBy("cse_id", "analyst_id").agg(F.count("*").alias("n_durations"), F.avg("m").alias("mean_minutes"), F.stddev_samp("m").alias("_sd"))
     cov = F.when((F.col("n_durations") >= min_cases) & (F.col("mean_minutes") > 0), F.col("_sd") / F.col("mean_minutes"))
     return out.withColumn("cov", cov).withColumn("flagged", F.coalesce(F.col("cov") < threshold, F.lit(False))).drop("_sd")
@@ -62,8 +64,8 @@ def investigation_uniformity(log: Log, min_cases: int = 5, threshold: float = 0.
 
 def analyst_workload(log: Log) -> DataFrame:
     """Every analyst: cases assigned now and investigations done, zeros kept."""
-    assigned = log.object_object("Case").where("qualifier = 'current_assignee'").groupBy("cse_id", F.col("target_id").alias("analyst_id")).agg(F.count("*").alias("n_assigned"))
-    done = log.event_object().where("type = 'INVESTIGATE' and qualifier = 'investigated_by'").groupBy("cse_id", F.col("target_id").alias("analyst_id")).agg(F.count("*").alias("n_investigated"))
+    assigned = assignees(log).groupBy("cse_id", "analyst_id").agg(F.count("*").alias("n_assigned"))
+    done = investigators(log).groupBy("cse_id", "analyst_id").agg(F.count("*").alias("n_investigated"))
     everyone = objects(log, "Analyst").select("cse_id", F.col("object_id").alias("analyst_id"))
     return everyone.join(assigned, ["cse_id", "analyst_id"], "left").join(done, ["cse_id", "analyst_id"], "left").fillna(0, ["n_assigned", "n_investigated"])
 

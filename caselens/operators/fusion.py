@@ -92,12 +92,11 @@ def case_findings(log: Log, few: rules.Rule = rules.FEW_REASSIGNMENTS, fast: flo
         F.when(~enough & rules.out_of_bound(few), of("EXCESSIVE_REASSIGNMENT_CARDINALITY", few.capability, few.authority, "REASSIGN")),
         F.when(rules.out_of_order(rules.ENRICH_FIRST), of("MISSING_ENRICHMENT", "Investigation", "EXPECTED", "INVESTIGATE")),
     ))
-    overdue = case_profile(log).withColumn("_late", late).where("_late is not null").select(*key, "_late", "n_ESCALATE")
     # What follows from the profile alone moves no row; the rest moves only the cases that it is about.
     found = [
         case_profile(log).select(*key, F.explode(alone).alias("f")),
         reassignments(log).where(enough & loop["flagged"]).select(*key, of("REASSIGNMENT_LOOP", "Operational Discipline", "EXPECTED", "REASSIGN", loop["sequence"]).alias("f")),
-        overdue.join(rules.scope(log, rules.ESCALATE_CRITICAL), key).select(*key, of("ESCALATION_SLA_VIOLATION", "Escalation", "MANDATORY", "ESCALATE", F.col("_late")).alias("f")),
+        rules.scope(log, rules.ESCALATE_CRITICAL, {"_late": late, "n_ESCALATE": F.col("n_ESCALATE")}).where("_late is not null").select(*key, of("ESCALATION_SLA_VIOLATION", "Escalation", "MANDATORY", "ESCALATE", F.col("_late")).alias("f")),
         judged.where("_fast").join(odd, ["cse_id", "severity"]).select(*key, of("FAST_CLOSE_OUTLIER", "Investigation", "PEER_NORMAL", "CLOSE", F.col("severity")).alias("f")),
     ]
     out = reduce(DataFrame.union, found)

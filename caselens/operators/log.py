@@ -185,15 +185,15 @@ def case_profile(log: Log, events_of: list[str] | None = None) -> DataFrame:
     if events_of is None and "case_profile" in log.views:
         return log.views["case_profile"]
     steps = [F.collect_list(F.when(F.col("type").isin(*events_of), F.struct("type", "time", "event_id"))).alias("steps")] if events_of is not None else []
-    return case_events(log).groupBy("cse_id", "case_id").agg(*profile_columns(), *steps)
+    return case_events(log).groupBy("cse_id", "case_id").agg(*(c.alias(name) for name, c in profile_columns().items()), *steps)
 
 
-def profile_columns() -> list[Column]:
-    """Aggregates over the type and time of a case's events."""
+def profile_columns() -> dict[str, Column]:
+    """Aggregates over the type and time of a case's events, by name."""
     is_ = lambda kind: F.col("type") == kind
-    numbers = [F.count_if(is_(k)).alias(f"n_{k}") for k in CASE_QUALIFIER]
-    times = [F.min(F.when(is_(k), F.col("time"))).alias(f"first_{k}") for k in CASE_QUALIFIER]
-    return [F.min("time").alias("opened"), F.max(F.when(is_("CLOSE"), F.col("time"))).alias("closed"), *numbers, *times]
+    numbers = {f"n_{k}": F.count_if(is_(k)) for k in CASE_QUALIFIER}
+    times = {f"first_{k}": F.min(F.when(is_(k), F.col("time"))) for k in CASE_QUALIFIER}
+    return {"opened": F.min("time"), "closed": F.max(F.when(is_("CLOSE"), F.col("time"))), **numbers, **times}
 
 
 def reassignments(log: Log) -> DataFrame:
@@ -204,6 +204,29 @@ def reassignments(log: Log) -> DataFrame:
     return case_events(log).where("type = 'REASSIGN'").groupBy("cse_id", "case_id").agg(F.count("*").alias("n_REASSIGN"), F.array_sort(F.collect_list(step)).alias("reassigned"))
 
 
+def assignees(log: Log) -> DataFrame:
+    """cse_id, case_id, analyst_id for every edge from a case to the one who has it now."""
+    if "assignees" in log.views:
+        return log.views["assignees"]
+    return log.object_object("Case").where("qualifier = 'current_assignee'").select("cse_id", F.col("source_id").alias("case_id"), F.col("target_id").alias("analyst_id"))
+
+
+def investigators(log: Log) -> DataFrame:
+    """cse_id, analyst_id for every edge from an investigation to who did it."""
+    if "investigators" in log.views:
+        return log.views["investigators"]
+    return log.event_object().where("type = 'INVESTIGATE' and qualifier = 'investigated_by'").select("cse_id", F.col("target_id").alias("analyst_id"))
+
+
+def closed_investigations(log: Log) -> DataFrame:
+    """cse_id, case_id, analyst_id, time, closed of the investigations of closed cases that have an analyst."""
+    if "closed_investigations" in log.views:
+        return log.views["closed_investigations"]
+    closed = case_profile(log).where("closed is not null").select("cse_id", "case_id", "closed")
+    looked = case_events(log).where("type = 'INVESTIGATE'").select("cse_id", "case_id", first_target("investigated_by").alias("analyst_id"), "time").where("analyst_id is not null")
+    return looked.join(closed, ["cse_id", "case_id"])
+
+
 def routed_cases(log: Log) -> DataFrame:
     """cse_id, case_id, queue_id, n_up: the escalations of each case, by the queue that it is in."""
     if "routed_cases" in log.views:

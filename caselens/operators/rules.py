@@ -53,9 +53,14 @@ def predicate(conditions: dict) -> Column:
     return out
 
 
-def scope(log: Log, rule: Rule) -> DataFrame:
-    """cse_id, case_id of the cases that a RESPONSE rule is about, each once."""
-    return case_context(log).where(predicate(rule.applies_when)).select("cse_id", "case_id").distinct()
+def scope(log: Log, rule: Rule, about: dict[str, Column] | None = None) -> DataFrame:
+    """cse_id, case_id of the cases that a RESPONSE rule is about, each once; with what is asked about their profile,
+    which cases without a profile have no part in."""
+    key = ["cse_id", "case_id"]
+    if about and "judged_context" in log.views:
+        return log.views["judged_context"].where(predicate(rule.applies_when)).select(*key, *(c.alias(n) for n, c in about.items())).distinct()
+    due = case_context(log).where(predicate(rule.applies_when)).select(*key).distinct()
+    return due.join(case_profile(log).select(*key, *(c.alias(n) for n, c in about.items())), key) if about else due
 
 
 def answer(rule: Rule) -> tuple[Column, Column]:
@@ -69,8 +74,7 @@ def answer(rule: Rule) -> tuple[Column, Column]:
 def response(log: Log, rule: Rule) -> DataFrame:
     """Cases in scope, each once, where the expected event never comes or comes at the wrong time."""
     detail, took = answer(rule)
-    seen = case_profile(log).select("cse_id", "case_id", detail.alias("detail"), took.alias("measure"))
-    return scope(log, rule).join(seen, ["cse_id", "case_id"]).where("detail is not null")
+    return scope(log, rule, {"detail": detail, "measure": took}).where("detail is not null")
 
 
 def precedence(log: Log, rule: Rule) -> DataFrame:

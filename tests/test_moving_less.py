@@ -3,7 +3,9 @@
 import os
 from datetime import datetime
 
-from caselens.operators import causal, fusion, ingest
+from pyspark.sql import functions as F
+
+from caselens.operators import causal, detectors, fusion, ingest, paging, rules
 from caselens.operators import log as views_of_log
 from caselens.operators.log import Log, case_profile, reassignments
 from caselens.plans import projection
@@ -55,3 +57,32 @@ def test_outcomes_join_tiers_by_their_size(spark):
     out = causal.outcome_frame(log, log.of_type("Case").selectExpr("cse_id", "object_id as case_id").where("case_id = 'C2'"))
     assert sorted((r.case_id, r.t, r.y) for r in out.collect()) == [("C1", 1, 1), ("C2", 0, 0)]
     assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_held_log_asks_without_moving_lines_again(spark):
+    with projection.log(spark, SMALL, keep=True).held() as log:  # needs the driver tables
+        shapes = {"uniform": detectors.investigation_uniformity(log), "assets": detectors.asset_alerts(log), "recurring": detectors.asset_recurrence(log), "due": rules.scope(log, rules.ESCALATE_CRITICAL, {"n": F.col("n_CLOSE")})}
+        assert [plan(df).count("Join") for df in shapes.values()] == [0, 0, 0, 1] and "Aggregate" not in plan(shapes["recurring"])
+        many = plan(detectors.reassignment_loops(log))
+        assert "n_REASSIGN" in many[many.index("Aggregate") :].split("Filter", 1)[1]  # cases with few are left out before they move
+        got = {name: held(df) for name, df in (shapes | {"loops": detectors.reassignment_loops(log), "work": detectors.analyst_workload(log)}).items()}
+    whole = projection.log(spark, SMALL)
+    want = {"uniform": detectors.investigation_uniformity(whole), "assets": detectors.asset_alerts(whole), "recurring": detectors.asset_recurrence(whole), "due": rules.scope(whole, rules.ESCALATE_CRITICAL, {"n": F.col("n_CLOSE")}), "loops": detectors.reassignment_loops(whole), "work": detectors.analyst_workload(whole)}
+    rows = lambda df, like: sorted(str(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in df.select(like.columns).collect())
+    for name, df in want.items():
+        assert rows(df, df) == rows(got[name], df), name
+
+
+def test_copies_of_an_order_stay_apart(spark, tmp_path):
+    for name in ("nation", "customer", "supplier", "part", "orders", "lineitem"):
+        rows = spark.read.parquet(f"{SMALL}/{name}.parquet")
+        rows = rows.where("o_orderkey < 40").union(rows.where("o_orderkey < 20")) if name == "orders" else rows.where("l_orderkey < 40") if name == "lineitem" else rows
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    for strained in (False, True):
+        whole = projection.log(spark, str(tmp_path), strained=strained)
+        with projection.log(spark, str(tmp_path), keep=True, strained=strained).held() as log:
+            for view in (views_of_log.case_events, views_of_log.case_alerts, views_of_log.alert_assets, views_of_log.case_profile, reassignments):
+                want = view(whole).drop("attrs")
+                rows = lambda df: sorted(map(str, df.select(want.columns).distinct().collect()))  # noqa: B023, E731
+                assert rows(want) == rows(view(log)), view.__name__
+            assert log.event.count() == whole.event.count() and log.of_type("Case").count() == whole.of_type("Case").count()
