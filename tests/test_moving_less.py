@@ -86,3 +86,15 @@ def test_copies_of_an_order_stay_apart(spark, tmp_path):
                 rows = lambda df: sorted(map(str, df.select(want.columns).distinct().collect()))  # noqa: B023, E731
                 assert rows(want) == rows(view(log)), view.__name__
             assert log.event.count() == whole.event.count() and log.of_type("Case").count() == whole.of_type("Case").count()
+
+
+def test_outcomes_are_counted_as_the_frame_has_them(spark):
+    cases = {f"C{i}": [("CLOSE", 1)] for i in range(12)}
+    log = case_log(spark, cases, owner={c: ("ann", "bob")[i % 2] for i, c in enumerate(cases)}, tiers={"ann": "SENIOR", "bob": "JUNIOR"})
+    some = log.of_type("Case").selectExpr("cse_id", "object_id as case_id", "'REASSIGNMENT_LOOP' as finding_type").where("case_id in ('C0', 'C2', 'C4', 'C3')")
+    frame = causal.outcome_frame(log, some)
+    counts = causal.outcome_counts(log, some.union(some), ["REASSIGNMENT_LOOP", "MISSING_ENRICHMENT"])
+    assert sorted(map(tuple, frame.groupBy("t", "y").count().collect())) == sorted((r.t, r.y, r.n) for r in counts.where("finding_type = 'REASSIGNMENT_LOOP'").collect())
+    want, got = causal.opportunities(frame, []).first(), causal.opportunities(counts.where("finding_type = 'REASSIGNMENT_LOOP'"), [], weight="n").first()
+    assert all(abs(want[c] - got[c]) < 1e-9 for c in ("n", "effect", "se", "t_stat", "ci_low", "robustness")) and want.decision == got.decision
+    assert not causal.opportunities(counts.where("finding_type = 'MISSING_ENRICHMENT'"), [], weight="n").first().sufficient
