@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 ROWS_PER_PART = 50_000
+ROWS_PER_FILE = 100_000
 GRAM = 3
 
 
@@ -23,39 +25,46 @@ def _read(spark: SparkSession, at: str, schema: StructType | None) -> DataFrame:
 
 
 class Pages:
-    """Rows in order in parts of about ROWS_PER_PART, and for each part its first key and how many rows lie before it.
+    """Rows in order in parts of ROWS_PER_PART, a stretch of a file each, and for each part its first key and how many rows
+    lie before it.
 
     Keys are kept beside the rows as `_key`. What a page needs of the index is found by a filter, so the driver sees a
-    row for each part that the page touches.
+    row for each part that the page touches. How many files there are follows from the rows and not from the parts.
     """
 
     def __init__(self, spark: SparkSession, at: str, schema: StructType | None = None):
         """schema: that of the rows as they were written, which files of no row don't tell."""
         self.rows, self.index = _read(spark, f"{at}/rows", schema), spark.read.parquet(f"{at}/index")
-        self.columns = [c for c in self.rows.columns if c not in ("_key", "_part")]
+        self.columns = [c for c in self.rows.columns if c not in ("_key", "_place", "_block", "_part")]
 
     @classmethod
     def write(cls, rows: DataFrame, at: str, order: list[Column], per_part: int = ROWS_PER_PART) -> Pages:
         """order: columns that together name a row, as ascending values."""
         keyed = rows.withColumn("_key", F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order))))
-        parts = max(1, -(-keyed.count() // per_part))
-        cut = keyed.repartitionByRange(parts, "_key").withColumn("_part", F.spark_partition_id()).sortWithinPartitions("_part", "_key")
+        files = max(1, -(-keyed.count() // max(per_part, ROWS_PER_FILE)))
+        cut = keyed.repartitionByRange(files, "_key").withColumn("_part", F.spark_partition_id()).sortWithinPartitions("_part", "_key")
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # a row's place in its sorted file
+        cut = cut.withColumn("_place", place).withColumn("_block", F.floor(F.col("_place") / per_part))
         cut.write.partitionBy("_part").parquet(f"{at}/rows")
-        spark = rows.sparkSession
-        of = spark.read.schema(cut.schema).parquet(f"{at}/rows").groupBy("_part").agg(F.count("*").alias("n"), F.min("_key").alias("first"))
-        before = F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each part
-        of.withColumn("before", before).coalesce(1).write.parquet(f"{at}/index")
+        spark, of = rows.sparkSession, ["_part", "_block"]
+        back = spark.read.schema(cut.schema).parquet(f"{at}/rows")
+        firsts = back.where(F.col("_place") % per_part == 0).select(*of, F.col("_key").alias("first"))
+        before = F.coalesce(F.sum("n").over(W.orderBy(*of).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each part
+        back.groupBy(*of).agg(F.count("*").alias("n")).join(firsts, of).withColumn("before", before).coalesce(1).write.parquet(f"{at}/index")
         return cls(spark, at, cut.schema)
 
-    def _of(self, parts: list[int]) -> DataFrame:
-        return self.rows.where(F.col("_part").isin(parts))
+    def _of(self, parts: list[Row]) -> DataFrame:
+        """The rows of some parts of the index."""
+        files = {p: [r["_block"] for r in parts if r["_part"] == p] for p in sorted({r["_part"] for r in parts})}
+        some = reduce(Column.__or__, [(F.col("_part") == p) & F.col("_block").isin(blocks) for p, blocks in files.items()], F.lit(False))
+        return self.rows.where(F.col("_part").isin(list(files)) & some)
 
     def page(self, number: int, size: int = 25) -> DataFrame:
         """The rows of a page by its number (from 0); none beyond the last."""
         start = number * size
-        touched = self.index.where((F.col("before") < start + size) & (F.col("before") + F.col("n") > start)).orderBy("_part").collect()
+        touched = self.index.where((F.col("before") < start + size) & (F.col("before") + F.col("n") > start)).orderBy("before").collect()
         skip = start - touched[0]["before"] if touched else 0
-        return self._of([r["_part"] for r in touched]).orderBy("_key").offset(skip).limit(size).select(*self.columns)
+        return self._of(touched).orderBy("_key").offset(skip).limit(size).select(*self.columns)
 
     def cursor(self, last: DataFrame, order: list[Column]) -> Row | None:
         """The key of the last of some rows, to go on from; None if there are none."""
@@ -66,12 +75,12 @@ class Pages:
         if cursor is None:
             return self.page(0, size)
         key = F.struct(*(F.lit(v).alias(f"k{i}") for i, v in enumerate(cursor)))
-        at = self.index.where(F.col("first") <= key).agg(F.max("_part").alias("p")).first()["p"]
+        at = self.index.where(F.col("first") <= key).agg(F.max("before").alias("b")).first()["b"]
         at = -1 if at is None else at
-        more = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-        later = self.index.where(F.col("_part") > at).withColumn("_had", F.coalesce(F.sum("n").over(more), F.lit(0))).where(F.col("_had") < size)
-        parts = [at, *(r["_part"] for r in later.select("_part").collect())]
-        return self._of(parts).where(F.col("_key") > key).orderBy("_key").limit(size).select(*self.columns)
+        more = W.orderBy("before").rowsBetween(W.unboundedPreceding, -1)
+        had = F.coalesce(F.sum(F.when(F.col("before") > at, F.col("n"))).over(more), F.lit(0))
+        parts = self.index.where(F.col("before") >= at).withColumn("_had", had).where(F.col("_had") < size)
+        return self._of(parts.select("_part", "_block").collect()).where(F.col("_key") > key).orderBy("_key").limit(size).select(*self.columns)
 
 
 def grams(text: Column) -> Column:

@@ -98,3 +98,11 @@ def test_outcomes_are_counted_as_the_frame_has_them(spark):
     want, got = causal.opportunities(frame, []).first(), causal.opportunities(counts.where("finding_type = 'REASSIGNMENT_LOOP'"), [], weight="n").first()
     assert all(abs(want[c] - got[c]) < 1e-9 for c in ("n", "effect", "se", "t_stat", "ci_low", "robustness")) and want.decision == got.decision
     assert not causal.opportunities(counts.where("finding_type = 'MISSING_ENRICHMENT'"), [], weight="n").first().sufficient
+
+
+def test_pages_of_few_rows_share_files(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("id")
+    pages = paging.Pages.write(rows, str(tmp_path / "p"), [F.col("id")], per_part=20)
+    assert pages.index.count() == 250 and pages.rows.select("_part").distinct().count() == 1
+    assert [r.id for r in pages.page(7, 33).collect()] == list(range(231, 264)) == [r.id for r in pages.after((230,), 33).collect()]
+    assert [r.id for r in pages.after((-5,), 2).collect()] == [0, 1] and pages.after((4999,), 2).isEmpty()
