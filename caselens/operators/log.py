@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -188,9 +188,8 @@ def case_profile(log: Log, events_of: list[str] | None = None) -> DataFrame:
     return case_events(log).groupBy("cse_id", "case_id").agg(*(c.alias(name) for name, c in profile_columns().items()), *steps)
 
 
-def profile_columns() -> dict[str, Column]:
-    """Aggregates over the type and time of a case's events, by name."""
-    is_ = lambda kind: F.col("type") == kind
+def profile_columns(is_: Callable[[str], Column] = lambda kind: F.col("type") == kind) -> dict[str, Column]:
+    """Aggregates over the type and time of a case's events, by name. is_: whether an event is of a type."""
     numbers = {f"n_{k}": F.count_if(is_(k)) for k in CASE_QUALIFIER}
     times = {f"first_{k}": F.min(F.when(is_(k), F.col("time"))) for k in CASE_QUALIFIER}
     return {"opened": F.min("time"), "closed": F.max(F.when(is_("CLOSE"), F.col("time"))), **numbers, **times}

@@ -41,15 +41,16 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(r6(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def log_held(spark: SparkSession, sf_dir: str, strained: bool = False) -> AbstractContextManager[Log]:
-    """The whole log with its views held, for as long as the block lasts."""
-    return projection.log(spark, sf_dir, keep=True, strained=strained).held()
+def log_held(spark: SparkSession, sf_dir: str, strained: bool = False, numbered: bool = True) -> AbstractContextManager[Log]:
+    """The whole log with its views held, for as long as the block lasts; not numbered: for who asks for no event ids."""
+    return projection.log(spark, sf_dir, keep=True, strained=strained, numbered=numbered).held()
 
 
 def fused(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """All or some columns of the concerns, which are few beside the log and read several times by what follows, so they
     are written."""
-    with log_held(spark, sf_dir) as log:
+    # The detail of a loop goes by the event ids; nothing else of a concern does.
+    with log_held(spark, sf_dir, numbered=not columns or "detail" in columns) as log:
         return held(fusion.fuse(log).concerns.select(*(columns or ("*",))))
 
 
@@ -249,7 +250,7 @@ def _strain(log: Log) -> DataFrame:
 @query
 def strained_concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ten finding types."""
-    with log_held(spark, sf_dir, strained=True) as log:
+    with log_held(spark, sf_dir, strained=True, numbered=False) as log:
         return held(rounded(_strain(log).select(*SHOWN)))
 
 
@@ -265,7 +266,7 @@ def _compared(log: Log, concerns: DataFrame) -> DataFrame:
 
 @query
 def strained_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with log_held(spark, sf_dir, strained=True) as log:
+    with log_held(spark, sf_dir, strained=True, numbered=False) as log:
         return held(rounded(portfolio.entity_risk(_compared(log, _strain(log)))))
 
 
@@ -292,7 +293,7 @@ def strained_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def concern_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with log_held(spark, sf_dir) as log:
+    with log_held(spark, sf_dir, numbered=False) as log:
         return held(rounded(fusion.fuse(log).concerns.groupBy("cse_id", "finding_type").agg(F.count("*").alias("n"), F.sum("minutes").alias("minutes"), F.sum("n_events").alias("n_events"))))
 
 
@@ -322,7 +323,7 @@ def page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with log_held(spark, sf_dir) as log:
+    with log_held(spark, sf_dir, numbered=False) as log:
         return held(_compared(log, fusion.fuse(log).concerns))
 
 
@@ -386,7 +387,7 @@ def robustness_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def intervention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with log_held(spark, sf_dir) as log:
+    with log_held(spark, sf_dir, numbered=False) as log:
         return held(rounded(causal.entity_report(log, held(fusion.fuse(log).concerns)).drop("finding_id")))
 
 

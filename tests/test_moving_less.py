@@ -121,3 +121,13 @@ def test_facts_are_held_narrow_and_copies_are_one_case(spark, tmp_path):
             want = f(whole)
             rows = lambda df: sorted(map(str, df.select(want.columns).collect()))  # noqa: B023, E731
             assert rows(want) == rows(f(log)), f.__name__
+
+
+def test_cases_are_summed_up_without_ranking_lines(spark):
+    for strained in (False, True):
+        facts = plan(projection._facts(spark, SMALL, strained))  # needs the driver tables
+        assert "l_extendedprice" not in facts and "collect" not in facts
+        with projection.log(spark, SMALL, keep=True, strained=strained).held() as log, projection.log(spark, SMALL, keep=True, strained=strained, numbered=False).held() as plainer:
+            assert plainer.event.count() == log.event.count()
+            both = [held(fusion.fuse(x, uniform_threshold=0.65).concerns.drop("detail")) for x in (log, plainer)]
+        assert both[0].count() and both[0].exceptAll(both[1]).isEmpty() and both[1].exceptAll(both[0]).isEmpty()
