@@ -126,7 +126,7 @@ def test_facts_are_held_narrow_and_copies_are_one_case(spark, tmp_path):
 def test_cases_are_summed_up_without_ranking_lines(spark):
     for strained in (False, True):
         facts = plan(projection._facts(spark, SMALL, strained))  # needs the driver tables
-        assert "l_extendedprice" not in facts and "collect" not in facts
+        assert facts.count("l_extendedprice") == 1 and "collect" not in facts  # in the table alone
         with projection.log(spark, SMALL, keep=True, strained=strained).held() as log, projection.log(spark, SMALL, keep=True, strained=strained, numbered=False).held() as plainer:
             assert plainer.event.count() == log.event.count()
             both = [held(fusion.fuse(x, uniform_threshold=0.65).concerns.drop("detail")) for x in (log, plainer)]
